@@ -14,10 +14,10 @@ from ..functions.vectors import dot
 _PACKED = "day date, block string, ids array<string>, matrix binary, dims int, center array<double>, radius double"
 
 
-def _cell(vectors: pd.Series, dims_seed: int = 7) -> pd.Series:
+def _cell(vectors: pd.Series) -> pd.Series:
     """Nearest of 2k fixed random directions: near vectors mostly share one."""
     matrix = np.array(vectors.tolist(), dtype=np.float64)
-    axes = np.random.default_rng(dims_seed).standard_normal((matrix.shape[1], 32))
+    axes = np.random.default_rng(7).standard_normal((matrix.shape[1], 32))
     spun = matrix @ axes
     best = np.abs(spun).argmax(axis=1)
     return pd.Series(best * 2 + (spun[np.arange(len(best)), best] < 0))

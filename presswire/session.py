@@ -1,7 +1,9 @@
 """Session settings every job of this package relies on."""
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. The UTC zone is needed for right results; the rest are
@@ -16,6 +18,8 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    # functions of this package travel with the tasks that use them
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for name, value in SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
