@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.dates import eastern, is_late, window_is_open
+from ..sources.tables import drop_day
 from .ordering import first_rows, previous_value
 
 RUN_LOG_SCHEMA = (
@@ -93,22 +94,13 @@ def correct_rows(log: DataFrame, path: str, bad: DataFrame) -> tuple[int, int]:
     days = bad.select("run_date").distinct()
     touched = log.join(days, "run_date", "left_semi")
     kept = touched.join(bad.select("run_date", "run_id"), ["run_date", "run_id"], "left_anti")
-    before = touched.count()
-    after = kept.count()
-    from ..session import shared_dir
-
-    # stage, then swap: a day whose rows all go must lose its files as well
-    stage = f"{shared_dir(log.sparkSession)}/run-log-{uuid4().hex}"
-    kept.write.partitionBy("run_date").parquet(stage)
-    spark = log.sparkSession
-    staged = spark.read.schema(log.schema).parquet(stage)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
-    emptied = days.join(kept.select("run_date").distinct(), "run_date", "left_anti")
-    from ..sources.tables import drop_day
-
-    for row in emptied.toLocalIterator():  # calendar dates
-        drop_day(spark, path, row["run_date"], "run_date")
-    return before, after
+    sizes = touched.groupBy("run_date").agg(F.count(F.lit(1)).alias("before")).join(
+        kept.groupBy("run_date").agg(F.count(F.lit(1)).alias("after")), "run_date", "left").na.fill(0).collect()  # one row per day
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+    for row in sizes:
+        if row["after"] == 0:  # a day left empty writes no file, so its old ones go here
+            drop_day(log.sparkSession, path, row["run_date"], "run_date")
+    return sum(r["before"] for r in sizes), sum(r["after"] for r in sizes)
 
 
 # --- collection -----------------------------------------------------------------
