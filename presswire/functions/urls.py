@@ -5,8 +5,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 
-# scheme, authority, path, query; the fragment is matched and left out
-_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+# 1 scheme, 2 user, 3 password, 4 host, 5 port, 6 path, 7 query; the fragment is
+# matched and left out, and a port that is not a number matches nothing
+_URL = (
+    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
+    r"(?://(?:([^:/?#]*)(?::([^/?#]*))?@)?(\[[^\]/?#]*\]|[^:/?#@\[]*)(?::([0-9]*))?(?=[/?#]|$))?"
+    r"((?!(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)[^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+)
+_PADDING = r"(?U)^[\s\x00-\x20]+|[\s\x00-\x20]+$|[\t\r\n]"
 
 
 def _decode(piece: Column) -> Column:
@@ -42,51 +48,51 @@ def clean_query(query: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, empty when it has none."""
-    host_port = F.regexp_extract(F.regexp_extract(url, _URL, 2), r"(?s)([^@]*)$", 1)
-    return F.lower(
-        F.when(host_port.startswith("["), F.regexp_extract(host_port, r"^\[([^\]]*)", 1)).otherwise(
-            F.regexp_extract(host_port, r"(?s)^([^:]*)", 1)
-        )
-    )
+    return F.lower(F.translate(F.regexp_extract(url, _URL, 4), "[]", ""))
+
+
+def _bind(value: Column, use) -> Column:
+    """Evaluate a value once and use it many times within one expression."""
+    return F.transform(F.array(value), use)[0]
 
 
 def clean_url(url: Column) -> Column:
     """Canonical form of a URL without any network access.
 
-    NULL where the port is not a number, which callers treat as a bad row.
+    NULL where the port is not a number, which callers treat as a bad row. The
+    URL is matched once; its seven parts come out of that match as an array.
     """
-    raw = F.regexp_replace(url, r"(?U)^[\s\x00-\x20]+|[\s\x00-\x20]+$", "")
-    raw = F.regexp_replace(raw, r"[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(raw, _URL, 1))
-    authority = F.regexp_extract(raw, _URL, 2)
-    path = F.regexp_extract(raw, _URL, 3)
-    query = clean_query(F.regexp_extract(raw, _URL, 4))
-
-    userinfo = F.regexp_extract(authority, r"(?s)^(.*)@", 1)
-    user = F.regexp_extract(userinfo, r"(?s)^([^:]*)", 1)
-    password = F.regexp_extract(userinfo, r"(?s)^[^:]*:(.*)$", 1)
-    host_port = F.regexp_extract(authority, r"(?s)([^@]*)$", 1)
-    port_text = F.regexp_extract(host_port, r"(?s)^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
-    port = port_text.try_cast("int")
-
-    credentials = F.when(
-        user != "",
-        F.concat(user, F.when(password != "", F.concat(F.lit(":"), password)).otherwise(""), F.lit("@")),
-    ).otherwise("")
+    mark = "\x01"
+    matched = F.regexp_replace(F.regexp_replace(url, _PADDING, ""), _URL, mark.join(f"${i}" for i in range(1, 8)))
+    return _bind(F.split(matched, mark), _join_parts)
+
+
+def _join_parts(parts: Column) -> Column:
+    scheme, user, password, host, port, path, query = [F.get(parts, F.lit(i)) for i in range(7)]
+
+    def part(text: Column, before: str = "", after: str = "") -> Column:
+        return F.when(text != "", F.concat(F.lit(before), text, F.lit(after))).otherwise("")
+
+    number = F.regexp_replace(port, "^0+", "")
     netloc = F.concat(
-        credentials,
-        host_of(raw),
-        F.when((port_text != "") & (port != 0), F.concat(F.lit(":"), port.cast("string"))).otherwise(""),
-    )
-    path = F.regexp_replace(path, r"(?s)/$", "")
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    joined = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted)).otherwise(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        F.when(user != "", F.concat(user, part(password, ":"), F.lit("@"))).otherwise(""),
+        F.lower(F.translate(host, "[]", "")),
+        part(number, ":"),
     )
-    bad_port = (port_text != "") & (~port_text.rlike(r"^[0-9]+$") | port.isNull() | (port > 65535))
-    return F.when(~bad_port, joined)
+    short = F.regexp_replace(path, r"(?s)/$", "")
+
+    def joined(p: Column) -> Column:
+        return F.concat(
+            F.lower(part(scheme, after=":")),
+            part(p["netloc"], "//"),
+            F.when((p["netloc"] != "") & (p["path"] != "") & ~p["path"].startswith("/"), "/").otherwise(""),
+            p["path"],
+            part(p["query"], "?"),
+        )
+
+    whole = _bind(F.struct(netloc.alias("netloc"), short.alias("path"), clean_query(query).alias("query")), joined)
+    bad_port = (port != "") & ((F.length(number) > 5) | (F.coalesce(number.try_cast("int"), F.lit(0)) > 65535))
+    return F.when((F.size(parts) == 7) & ~bad_port, whole)
 
 
 def make_item_id(canonical_url: Column, published_at: Column) -> Column:

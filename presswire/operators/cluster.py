@@ -128,12 +128,14 @@ def _assign(items: pd.DataFrame, state: pd.DataFrame, threshold: float, first_se
 
 
 def _shape(out: pd.DataFrame, group) -> pd.DataFrame:
-    out["group_key"] = group
-    for column in ("item_id", "canonical_url", "n", "total"):
-        if column not in out:
-            out[column] = None
+    """Both kinds of row under one schema, with None where a column is unused."""
+    out = out.reindex(columns=["kind", "item_id", "canonical_url", "seq", "seed_id", "n", "total"])
+    out.insert(1, "group_key", group)
     out["n"] = out["n"].astype("Int64")
-    return out[["kind", "group_key", "item_id", "canonical_url", "seq", "seed_id", "n", "total"]]
+    for column in ("item_id", "canonical_url", "total"):
+        values = out[column].astype(object)
+        out[column] = values.where(values.notna(), None)
+    return out
 
 
 def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, group: str = "ingest_date",

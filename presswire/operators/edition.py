@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import slugify, strip
+from ..session import cut_lineage
 from .ordering import first_rows, number_rows
 
 
@@ -253,6 +254,7 @@ def assemble_editions(curated: DataFrame, briefly: DataFrame, heads: DataFrame,
     story budget.
     """
     stories = assemble_stories(curated, contexts).join(articles.select("cluster_id", "article"), "cluster_id", "left")
+    stories = cut_lineage(stories)  # a budget's worth a day, read four times below
     body = F.struct("cluster_id", "slug", "title", "summary", "score", "sources", "article")
     sections = stories.groupBy("date", "section").agg(
         F.array_sort(F.collect_list(F.struct("position", body.alias("story")))).alias("_stories"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .. import constants as C
 from ..functions.text import strip
@@ -23,7 +24,7 @@ def _cell(vectors: pd.Series) -> pd.Series:
     return pd.Series(best * 2 + (spun[np.arange(len(best)), best] < 0))
 
 
-_cell_udf = F.pandas_udf(_cell, "int")
+_cell_udf = F.pandas_udf(_cell, IntegerType())
 
 
 def pack_blocks(rows: DataFrame, block_rows: int = 1024) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.dates import make_run_id
 from ..functions.urls import cluster_id
 from ..operators import cluster, edition
 from ..operators.items import build_items
-from ..session import configure
+from ..session import configure, cut_lineage
 
 JOB_OF_EVENT = {"signup": "collector", "click": "silver", "view": "editor", "purchase": "site", "error": "archive"}
 
@@ -64,14 +64,10 @@ def doc_items(spark: SparkSession, sf: str) -> DataFrame:
     return build_items(entries, F.lit("20240101T000000Z-0000"), F.col("_fetched_at")).drop("_fetched_at")
 
 
-def assignments(items: DataFrame) -> DataFrame:
-    seeds = items.groupBy("ingest_date", "story_no").agg(F.min_by("item_id", F.struct("published_at", "item_id")).alias("_seed"))
-    return items.select("item_id", "ingest_date", "story_no").join(seeds, ["ingest_date", "story_no"]).select(
-        "item_id", "ingest_date", cluster_id(F.col("_seed")).alias("cluster_id"))
-
-
 def members(items: DataFrame) -> DataFrame:
-    return cluster.cluster_members(items, assignments(items))
+    """Items with the cluster of their story, seeded by its first item."""
+    seeds = items.groupBy("ingest_date", "story_no").agg(F.min_by("item_id", F.struct("published_at", "item_id")).alias("_seed"))
+    return items.join(seeds, ["ingest_date", "story_no"]).withColumn("cluster_id", cluster_id(F.col("_seed"))).drop("_seed")
 
 
 def scored_clusters(spark: SparkSession, sf: str, member_rows: DataFrame) -> DataFrame:
@@ -104,17 +100,18 @@ def editions(spark: SparkSession, sf: str) -> DataFrame:
     """Assembled editions of every day: selection by rank, then assembly; days
     with too few stories become fallbacks."""
     t = day_tables(spark, sf)
-    contexts = t["contexts"]
+    # a stored table in production: read many times below, so computed once here
+    contexts = cut_lineage(t["contexts"])
     types = edition.edition_types(contexts, t["items"])
     placed = edition.select_stories(contexts).join(types.select("ingest_date", "edition_type"), "ingest_date").where("edition_type <> 'fallback'")
     sectioned = placed.where("placement = 'section'")
     curated = sectioned.select(
         F.col("ingest_date").alias("date"), "section", edition.topic_rank(F.col("topic")).alias("section_pos"),
-        (F.col("position") % 100).alias("story_pos"), "cluster_id", F.col("headline").alias("title"), "headline", "summary_seed", "score", "position")
-    curated = curated.withColumn("summary", F.when(F.col("summary_seed") != "", F.col("summary_seed")).otherwise(F.col("headline")))
+        (F.col("position") % 100).alias("story_pos"), "cluster_id", F.col("headline").alias("title"), "headline", "summary_seed", "score", "position", "edition_type")
+    curated = cut_lineage(curated.withColumn("summary", F.when(F.col("summary_seed") != "", F.col("summary_seed")).otherwise(F.col("headline"))))
     briefly = placed.where("placement = 'briefly'").select(F.col("ingest_date").alias("date"), "position", "cluster_id")
     lead = F.max_by(F.struct("headline", "cluster_id"), F.struct("score", "cluster_id"))
-    points = F.slice(F.array_sort(F.collect_list(F.struct("position", F.col("title").alias("text")))), 1, 3)
+    points = F.slice(F.array_sort(F.collect_list(F.struct("position", F.col("title").alias("text")))), 1, F.when(F.max("edition_type") == "normal", 4).otherwise(3))
     heads = curated.groupBy("date").agg(lead.alias("_lead"), points.alias("_points")).select(
         "date", F.col("_lead.headline").alias("headline_of_the_day"), F.col("_lead.cluster_id").alias("headline_cluster_id"),
         F.lit("picked by score").alias("headline_rationale"),
@@ -124,7 +121,7 @@ def editions(spark: SparkSession, sf: str) -> DataFrame:
     days = t["items"].select("ingest_date").distinct()
     numbers = edition_numbers(days)
     stats = edition.edition_stats(t["items"], t["clusters"], edition.select_stories(contexts), contexts, edition.section_plan(contexts))
-    full = edition.assemble_editions(curated.drop("score"), briefly, heads, contexts, articles, numbers, types, stats)
+    full = edition.assemble_editions(curated.drop("score", "edition_type"), briefly, heads, contexts, articles, numbers, types, stats)
     thin = types.where("edition_type = 'fallback'").select(F.col("ingest_date").alias("date"))
     return full.unionByName(edition.fallback_editions(contexts, thin, numbers, "A short list today."))
 
