@@ -1,5 +1,7 @@
 """Per-reader newsletters: allocation, records, read times, telemetry, retention."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ def matches_topic(topic: Column) -> Column:
 
 
 def story_topics() -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(
-        F.array("primary_topic"), F.coalesce("secondary_topics", F.array().cast("array<string>"))))))
+    """The distinct topics of a story, out of the closed list, in text order."""
+    named = F.concat(F.array("primary_topic"), F.coalesce("secondary_topics", F.array().cast("array<string>")))
+    return F.array_sort(F.array_intersect(named, F.array(*[F.lit(t) for t in C.TOPICS])))
 
 
 # --- lookback ---------------------------------------------------------------------
@@ -100,7 +103,7 @@ def _newsletter(user: pd.DataFrame, stories: pd.DataFrame) -> dict:
     picked = pd.concat(chosen) if chosen else stories.head(0).assign(topped_up=False)
     lead = picked.sort_values(["general_score", "written_at", "story_id"], ascending=[False, False, True]).head(1)["story_id"].tolist()
     return {
-        "user_id": row["user_id"],
+        "user_id": row["reader"],
         "lead_story_id": lead[0] if lead else None,
         "stories": [{"story_id": s, "claimed_by_topic": t, "topped_up": bool(u)} for s, t, u in zip(picked["story_id"], picked["claim"], picked["topped_up"])],
         "allocation": [{"topic": t, "weight": w, "target": g, "filled": n} for (t, w), g, n in zip(prefs, targets, filled)],
@@ -130,10 +133,12 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
     keyed = keyed.withColumn("group_id", F.concat_ws("|", F.col("fresh").cast("string"), F.array_join("topics", "|")))
     keyed = keyed.select("story_id", "group_id", "fresh", "topics", "primary_topic", "topic_score", "general_score", "written_at")
 
-    # at most two age classes times the subsets of the topic list
+    # at most two age classes times the subsets of the ten topics, so this small
+    # list may be collected and carried by every task
     sizes = keyed.groupBy("group_id", "fresh", "topics").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("general_score") >= C.TOPUP_FLOOR).alias("n_high"))
-    groups = sizes.agg(F.array_sort(F.collect_list(F.struct("group_id", "fresh", "topics", "n", "n_high")))).scalar()
+    listed = [row.asDict() for row in sizes.orderBy("group_id").collect()]
+    groups = F.from_json(F.lit(json.dumps(listed)), "array<struct<group_id: string, fresh: boolean, topics: array<string>, n: long, n_high: long>>")
 
     base = users.select(
         F.col("user_id").cast("string").alias("user_id"), "length",
@@ -186,7 +191,7 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
         return pd.DataFrame([_newsletter(user, rows)] if len(user) else [], columns=[p.strip().split()[0] for p in (
             "user_id", "lead_story_id", "stories", "allocation", "selected", "topped_up")])
 
-    made = base.select("user_id", "length", "entitled").groupBy("user_id").cogroup(
+    made = base.select(F.col("user_id").alias("reader"), "length", "entitled").groupBy("reader").cogroup(
         mine.unionByName(offered).groupBy("user_id")).applyInPandas(assemble, NEWSLETTER)
     facts = base.select("user_id", "length", "locked_topics").join(supply, "user_id", "left").na.fill(0, ["supply"])
     return made.join(facts.withColumnRenamed("supply", "candidates"), "user_id")
