@@ -69,7 +69,8 @@ def main_text(page: Column) -> Column:
     """Paragraph text of a page: scripts and styles out, tags stripped, joined."""
     body = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
-    flat = unescape(F.array_join(F.transform(blocks, lambda b: F.regexp_replace(b, r"<[^>]+>", " ")), _JOINT))
+    # nearly every page holds an entity, so all are sent and matched once
+    flat = _unescape(F.array_join(F.transform(blocks, lambda b: F.regexp_replace(b, r"<[^>]+>", " ")), _JOINT))
     paragraphs = F.filter(F.transform(F.split(flat, _JOINT), collapse), lambda p: p != "")
     return F.array_join(paragraphs, " ")
 

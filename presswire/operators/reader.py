@@ -1,6 +1,7 @@
 """Per-reader newsletters: allocation, records, read times, telemetry, retention."""
 
-import json
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.dates import local_instant
+from ..session import cut_lineage
 from .ordering import first_rows
 
 # --- two scores and topics --------------------------------------------------------
@@ -88,60 +90,85 @@ def _fill(prefs: list[tuple[str, int]], waiting: dict[str, int], length: int) ->
             filled[i] += min(more, waiting[names[i]] - filled[i])
 
 
-def _newsletter(user: pd.DataFrame, stories: pd.DataFrame) -> dict:
-    row = user.iloc[0]
-    prefs = [(p["topic"], int(p["weight"])) for p in row["entitled"]]
-    length = int(row["length"])
-    ranked = stories.sort_values(["topic_score", "written_at", "story_id"], ascending=[False, False, True])
-    own = {t: part for t, part in ranked[~ranked["outside"]].groupby("claim", sort=False)}
+def _newsletter(user_id: str, entitled: list, length: int, offers: list) -> dict:
+    """One reader's newsletter from the stories offered, best of a topic first."""
+    prefs = [(p["topic"], int(p["weight"])) for p in entitled]
+    length = int(length)
+    own: dict[str, list] = {t: [] for t, _ in prefs}
+    outside = []
+    for o in offers:
+        place = outside if o["outside"] else own[o["claim"]]
+        place.append((o["story_id"], o["claim"], o["general_score"], o["written_at"]))
     targets, filled = _fill(prefs, {t: len(part) for t, part in own.items()}, length)
-    chosen = [own[t].head(n).assign(topped_up=False) for (t, _), n in zip(prefs, filled) if n]
-    short = min(length - sum(filled), int(length * C.TOPUP_MAX_SHARE))
-    if short > 0:
-        outside = stories[stories["outside"]].sort_values(["general_score", "written_at", "story_id"], ascending=[False, False, True])
-        chosen.append(outside.head(short).assign(topped_up=True))
-    picked = pd.concat(chosen) if chosen else stories.head(0).assign(topped_up=False)
-    lead = picked.sort_values(["general_score", "written_at", "story_id"], ascending=[False, False, True]).head(1)["story_id"].tolist()
+    picked = [(*s, False) for (t, _), n in zip(prefs, filled) for s in own[t][:n]]
+    short = min(length - len(picked), int(length * C.TOPUP_MAX_SHARE))
+    extra = [(*s, True) for s in outside[: max(short, 0)]]
+    picked += extra
+    by_story = sorted(picked, key=lambda s: s[0])
+    lead = max(by_story, key=lambda s: (s[2], s[3]), default=(None,))[0]  # of equals the first id
     return {
-        "user_id": row["reader"],
-        "lead_story_id": lead[0] if lead else None,
-        "stories": [{"story_id": s, "claimed_by_topic": t, "topped_up": bool(u)} for s, t, u in zip(picked["story_id"], picked["claim"], picked["topped_up"])],
+        "user_id": user_id,
+        "lead_story_id": lead,
+        "stories": [{"story_id": s, "claimed_by_topic": t, "topped_up": up} for s, t, _, _, up in picked],
         "allocation": [{"topic": t, "weight": w, "target": g, "filled": n} for (t, w), g, n in zip(prefs, targets, filled)],
         "selected": len(picked),
-        "topped_up": int(picked["topped_up"].sum()) if len(picked) else 0,
+        "topped_up": len(extra),
     }
 
 
+def _walk(wants: DataFrame, entries: DataFrame, order: list[Column], allowed: Column, seen: DataFrame, depth: int = 32) -> DataFrame:
+    """The first `need` allowed and unseen entries of a ranked list per reader.
+
+    `wants(user_id, list_id, need, ..)`, `entries(list_id, story_id, ..)`. Only
+    the head of each list meets the readers. Readers whose need the head does
+    not fill go round again with one eight times as deep, down to the end of
+    the list, so the result does not depend on the depth.
+    """
+    sizes = entries.groupBy("list_id").agg(F.count(F.lit(1)).alias("list_size"))
+    # by reader once, so the windows below need no further shuffle
+    waiting = wants.join(sizes, "list_id").repartition("user_id")
+    found = []
+    while True:
+        head = first_rows(entries, ["list_id"], order, depth, rank="place", spread="story_id")
+        if depth <= 1024:
+            head = F.broadcast(head)  # at most `depth` rows of each of the few lists
+        hits = waiting.join(head, "list_id").where(allowed).join(seen, ["user_id", "story_id"], "left_anti")
+        best = first_rows(hits, ["user_id", "list_id"], order, C.MAX_STORIES, rank="nth").where(F.col("nth") <= F.col("need"))
+        best = cut_lineage(best)
+        filled = best.groupBy("user_id", "list_id").agg(F.count(F.lit(1)).alias("_n"))
+        unfilled = waiting.join(filled, ["user_id", "list_id"], "left").where(
+            (F.coalesce("_n", F.lit(0)) < F.col("need")) & (F.col("list_size") > depth)).drop("_n")
+        unfilled = cut_lineage(unfilled)
+        found.append(best.join(unfilled.select("user_id", "list_id"), ["user_id", "list_id"], "left_anti"))
+        if unfilled.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        waiting, depth = unfilled, depth * 8
+
+
 def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Column) -> DataFrame:
     """One newsletter row per reader.
 
     `users(user_id, topic_prefs, length, allowance, last_read_at,
     has_newsletter, added_topics)`, `stories(story_id, primary_topic,
     secondary_topics, topic_score, general_score, written_at)`,
-    `seen(user_id, story_id)`.
+    `seen(user_id, story_id)`. A length is at most the longest preset.
 
-    Readers never meet the story table. Stories that share a topic set and an
-    age class are interchangeable to every reader but for their rank, and the
-    closed topic list bounds the number of such groups whatever the data. A
-    reader needs at most `length` unseen stories of a group, so at most
-    ``length + seen in the group`` of its ranked list are looked at.
+    Readers never meet the story table: each walks the ranked lists of its own
+    topics until it has `length` stories a topic, which is all it can use.
     """
     daily = as_of - F.expr(f"INTERVAL {C.LOOKBACK_DAILY_HOURS} HOURS")
     catchup = as_of - F.expr(f"INTERVAL {C.LOOKBACK_CATCHUP_DAYS} DAYS")
     recent = stories.where((F.col("written_at") >= catchup) & (F.col("written_at") <= as_of))
-    keyed = recent.withColumn("fresh", F.col("written_at") >= daily).withColumn("topics", story_topics())
-    keyed = keyed.withColumn("group_id", F.concat_ws("|", F.col("fresh").cast("string"), F.array_join("topics", "|")))
-    keyed = keyed.select("story_id", "group_id", "fresh", "topics", "primary_topic", "topic_score", "general_score", "written_at")
-
-    # at most two age classes times the subsets of the ten topics, so this small
-    # list may be collected and carried by every task
-    sizes = keyed.groupBy("group_id", "fresh", "topics").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("general_score") >= C.TOPUP_FLOOR).alias("n_high"))
-    listed = [row.asDict() for row in sizes.orderBy("group_id").collect()]
-    groups = F.from_json(F.lit(json.dumps(listed)), "array<struct<group_id: string, fresh: boolean, topics: array<string>, n: long, n_high: long>>")
+    keyed = cut_lineage(recent.select(
+        "story_id", "primary_topic", "topic_score", "general_score", "written_at",
+        (F.col("written_at") >= daily).alias("fresh"), story_topics().alias("topics")))
+    # a story is on the wide list of each of its topics, a fresh one on the daily list too
+    scopes = F.when(F.col("fresh"), F.array(F.lit("daily"), F.lit("wide"))).otherwise(F.array(F.lit("wide")))
+    scoped = keyed.withColumn("scope", F.explode(scopes))
+    by_topic = scoped.withColumn("topic", F.explode("topics")).withColumn("list_id", F.concat_ws("/", "topic", "scope")).drop("topic", "scope")
 
     base = users.select(
-        F.col("user_id").cast("string").alias("user_id"), "length",
+        F.col("user_id").cast("string").alias("user_id"), F.least("length", F.lit(C.MAX_STORIES)).alias("length"),
         F.slice("topic_prefs", 1, F.col("allowance")).alias("entitled"),
         F.transform("topic_prefs", lambda p: p["topic"]).alias("ranked"),
         F.coalesce("added_topics", F.array().cast("array<string>")).alias("added"),
@@ -149,52 +176,70 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
         F.greatest(F.size("topic_prefs") - F.col("allowance"), F.lit(0)).alias("locked_topics"),
     )
 
-    def claim(g: Column) -> Column:
-        reached = F.filter("entitled", lambda p: F.array_contains(g["topics"], p["topic"]) & (
-            g["fresh"] | F.col("away") | F.array_contains("added", p["topic"])))
-        return F.get(reached, F.lit(0))["topic"]
-
-    claims = F.filter(F.transform(groups, lambda g: F.struct(
-        g["group_id"].alias("group_id"), g["n"].alias("n"), claim(g).alias("claim"))), lambda c: c["claim"].isNotNull())
-    own = base.select("user_id", "length", F.explode(claims).alias("c")).select(
-        "user_id", "length", "c.group_id", "c.n", "c.claim")
+    def reaches(p: Column, topics: Column, fresh: Column) -> Column:
+        """Whether a ranked topic of the reader draws on a story."""
+        return F.array_contains(topics, p["topic"]) & (fresh | F.col("away") | F.array_contains("added", p["topic"]))
 
     seen_keys = seen.select(F.col("user_id").cast("string").alias("user_id"), "story_id").distinct()
-    seen_groups = seen_keys.join(keyed.select("story_id", "group_id", "general_score"), "story_id").groupBy("user_id", "group_id").agg(
-        F.count(F.lit(1)).alias("seen_n"), F.count_if(F.col("general_score") >= C.TOPUP_FLOOR).alias("seen_high"))
-    own = own.join(seen_groups, ["user_id", "group_id"], "left").na.fill(0, ["seen_n", "seen_high"])
-
-    # how deep any reader looks: two small numbers
-    depth_row = users.agg(F.max("length")).first()[0] or 0
-    seen_row = seen_groups.agg(F.max("seen_n")).first()[0] or 0
-    depth = int(depth_row) + int(seen_row)
-
+    ranks = base.select("*", F.posexplode("entitled").alias("position", "p"))
+    wide = F.col("away") | F.array_contains("added", F.col("p.topic"))
+    own = ranks.select(
+        "user_id", F.col("length").alias("need"), "added", "away", F.col("p.topic").alias("claim"),
+        F.slice("entitled", 1, F.col("position")).alias("earlier"),
+        F.concat_ws("/", "p.topic", F.when(wide, "wide").otherwise("daily")).alias("list_id"))
+    unclaimed = ~F.exists("earlier", lambda p: reaches(p, F.col("topics"), F.col("fresh")))
     best = [F.desc("topic_score"), F.desc("written_at"), F.col("story_id")]
-    ranked = first_rows(keyed, ["group_id"], best, max(depth, 1), rank="place", spread="story_id").drop("fresh", "topics")
-    picked = own.where(F.col("n") > F.col("seen_n")).join(ranked, "group_id").where(F.col("place") <= F.col("length") + F.col("seen_n"))
-    columns = ["user_id", "claim", "story_id", "topic_score", "general_score", "written_at"]
-    mine = picked.join(seen_keys, ["user_id", "story_id"], "left_anti").select(*columns, F.lit(False).alias("outside"))
-
-    # readers whose own topics cannot fill the length look outside of them
-    supply = own.groupBy("user_id").agg(F.sum(F.col("n") - F.col("seen_n")).alias("supply"))
-    short = base.join(supply, "user_id", "left").na.fill(0, ["supply"]).where(F.col("supply") < F.col("length"))
-    others = F.filter(groups, lambda g: (g["n_high"] > 0) & ~F.arrays_overlap(g["topics"], F.col("ranked")) & (g["fresh"] | F.col("away")))
-    budget = F.least(F.col("length") - F.col("supply"), F.floor(F.col("length") * C.TOPUP_MAX_SHARE))
-    outside = short.select("user_id", budget.alias("budget"), F.explode(others).alias("g")).select("user_id", "budget", "g.group_id")
-    outside = outside.join(seen_groups, ["user_id", "group_id"], "left").na.fill(0, ["seen_n", "seen_high"])
-    high = [F.desc("general_score"), F.desc("written_at"), F.col("story_id")]
-    ranked_high = first_rows(keyed.where(F.col("general_score") >= C.TOPUP_FLOOR), ["group_id"], high, max(depth, 1), rank="place", spread="story_id")
-    offered = outside.join(ranked_high.drop("fresh", "topics"), "group_id").where(F.col("place") <= F.col("budget") + F.col("seen_high"))
-    offered = offered.join(seen_keys, ["user_id", "story_id"], "left_anti").withColumn("claim", F.col("primary_topic")).select(*columns, F.lit(True).alias("outside"))
-
-    def assemble(key, user: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_newsletter(user, rows)] if len(user) else [], columns=[p.strip().split()[0] for p in (
-            "user_id", "lead_story_id", "stories", "allocation", "selected", "topped_up")])
-
-    made = base.select(F.col("user_id").alias("reader"), "length", "entitled").groupBy("reader").cogroup(
-        mine.unionByName(offered).groupBy("user_id")).applyInPandas(assemble, NEWSLETTER)
-    facts = base.select("user_id", "length", "locked_topics").join(supply, "user_id", "left").na.fill(0, ["supply"])
-    return made.join(facts.withColumnRenamed("supply", "candidates"), "user_id")
+    columns = ["user_id", "claim", "story_id", "general_score", "written_at"]
+    mine = _walk(own, by_topic, best, unclaimed, seen_keys).select(*columns, F.lit(False).alias("outside"), "nth")
+
+    # readers whose own topics cannot fill the length look outside of them; the
+    # walk finds all there is of a topic up to the length, so a short sum is exact
+    supply = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("_supply"))
+    free = F.col("length") - F.coalesce("_supply", F.lit(0))
+    short = base.join(supply, "user_id", "left").where(free > 0).select(
+        "user_id", "ranked", F.least(free, F.floor(F.col("length") * C.TOPUP_MAX_SHARE)).alias("need"),
+        F.when(F.col("away"), "wide").otherwise("daily").alias("list_id"))
+    high = scoped.where(F.col("general_score") >= C.TOPUP_FLOOR).withColumnRenamed("scope", "list_id")
+    by_general = [F.desc("general_score"), F.desc("written_at"), F.col("story_id")]
+    offered = _walk(short, high, by_general, ~F.arrays_overlap("topics", "ranked"), seen_keys)
+    offered = offered.withColumn("claim", F.col("primary_topic")).select(*columns, F.lit(True).alias("outside"), "nth")
+
+    # at most a length's worth a topic and the top-up: a short list per reader
+    offers = mine.unionByName(offered).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        "nth", "outside", "claim", "story_id", "general_score", F.unix_micros("written_at").alias("written_at")))).alias("offers"))
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([
+                _newsletter(u, list(e), n, [] if o is None else list(o))
+                for u, e, n, o in zip(batch["user_id"], batch["entitled"], batch["length"], batch["offers"])
+            ], columns=["user_id", "lead_story_id", "stories", "allocation", "selected", "topped_up"])
+
+    made = base.select("user_id", "entitled", "length").join(offers, "user_id", "left").mapInPandas(assemble, NEWSLETTER)
+    facts = base.select("user_id", "length", "locked_topics").join(_candidates(base, keyed, seen_keys), "user_id")
+    return made.join(facts, "user_id")
+
+
+def _candidates(base: DataFrame, keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:
+    """Unseen stories within reach of each reader, counted, not listed.
+
+    Topic sets are bit masks. Stories count by mask and age, readers by the two
+    masks they draw on, so the match is between two short lists.
+    """
+    def bits(topics: Column) -> Column:
+        bit = F.create_map(*[F.lit(x) for i, t in enumerate(C.TOPICS) for x in (t, 1 << i)])
+        return F.aggregate(topics, F.lit(0), lambda m, t: m.bitwiseOR(F.coalesce(bit[t], F.lit(0))))
+
+    names = F.transform("entitled", lambda p: p["topic"])
+    wide = F.when(F.col("away"), names).otherwise(F.array_intersect(names, F.col("added")))
+    masks = base.select("user_id", bits(names).alias("near"), bits(wide).alias("far"))
+    marked = keyed.select("story_id", "fresh", bits(F.col("topics")).alias("mask"))
+    reach = F.when(F.col("fresh"), F.col("near")).otherwise(F.col("far")).bitwiseAND(F.col("mask")) != 0
+    sizes = marked.groupBy("fresh", "mask").agg(F.count(F.lit(1)).alias("n"))  # at most 2,048 rows
+    eligible = masks.select("near", "far").distinct().join(F.broadcast(sizes), reach).groupBy("near", "far").agg(F.sum("n").alias("_n"))
+    used = seen_keys.join(marked, "story_id").join(masks, "user_id").where(reach).groupBy("user_id").agg(F.count(F.lit(1)).alias("_used"))
+    return masks.join(eligible, ["near", "far"], "left").join(used, "user_id", "left").select(
+        "user_id", (F.coalesce("_n", F.lit(0)) - F.coalesce("_used", F.lit(0))).alias("candidates"))
 
 
 # --- newsletter records -----------------------------------------------------------

@@ -413,9 +413,9 @@ _COUNTS = f"""SELECT doc_id, lang, text, len({_in(_SENTENCES, 'text')}) AS sente
 
 @query("doc_grades", f"SELECT doc_id, sentences, words, syllables, round({_grade_sql('sentences', 'words', 'syllables')}, 6) AS grade FROM ({_COUNTS})")
 def _(spark, sf):
-    t = F.col("text")
-    counts = table(spark, sf, "documents").select("doc_id", F.size(fk.sentences(t)).alias("sentences"), fk.word_count(t).alias("words"), fk.syllable_count(t).alias("syllables"))
-    return plain(rounded(counts.withColumn("grade", fk.grade_from_counts(F.col("sentences"), F.col("words"), F.col("syllables"))), "grade"))
+    counts = fk.reading_counts(F.col("text"))
+    graded = table(spark, sf, "documents").select("doc_id", counts.alias("c"))
+    return plain(rounded(graded.select("doc_id", "c.*", fk.grade_of(F.col("c")).alias("grade")), "grade"))
 
 
 @query("failing_sentences", f"""SELECT doc_id, position - 1 AS position, md5(s) AS sentence_md5, round(grade, 6) AS grade FROM (

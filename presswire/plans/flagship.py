@@ -18,5 +18,5 @@ def pages_by_host(spark: SparkSession, sf: str) -> DataFrame:
         host_of(F.col("url")).alias("source"), F.lit("rss").alias("source_type"), F.lit("World").alias("topic_hint"), "url",
         F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), main_text(F.col("html")).alias("body"),
         F.lit("").alias("author"), at.alias("published_at"))
-    items = build_items(entries, F.lit("20240101T000000Z-0000"), at)
+    items = build_items(entries, F.lit("20240101T000000Z-0000"), F.col("published_at"))
     return body_coverage(dedup(items)).orderBy("source")
