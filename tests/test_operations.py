@@ -19,7 +19,7 @@ def test_a_run_writes_exactly_one_row(spark, tmp_path):
     with runlog.logged_run(spark, path, "site", dry_run=True):
         pass
     rows = {r.job: r for r in runlog.read_run_log(spark, path).collect()}
-    assert set(rows) == {"silver", "editor"} and run.status == "success"
+    assert set(rows) == {"silver", "editor"} and run.status == "failed"
     assert rows["silver"].status == "success" and rows["silver"].items_in == 3 and rows["silver"].reasons is None
     assert rows["editor"].status == "failed" and json.loads(rows["editor"].reasons) == ["run_failed"] and "boom" in rows["editor"].notes
 
