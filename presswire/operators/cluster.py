@@ -154,6 +154,7 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
     """
     spark = items.sparkSession
     base = items.select(F.col(group).cast("string").alias("group_key"), "item_id", "canonical_url", "published_at", "vector")
+    base = cut_lineage(base)  # counted, sampled and shuffled below; the vectors are costly
     total = base.count()
     parts = max(1, -(-total // piece), min(spark.sparkContext.defaultParallelism, max(1, total // 1000)))
     # ranges over the full order split a hot instant as well as a hot day

@@ -1,5 +1,6 @@
 """Per-reader newsletters: allocation, records, read times, telemetry, retention."""
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -223,8 +224,9 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
 def _candidates(base: DataFrame, keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:
     """Unseen stories within reach of each reader, counted, not listed.
 
-    Topic sets are bit masks. Stories count by mask and age, readers by the two
-    masks they draw on, so the match is between two short lists.
+    Topic sets are bit masks. Stories count by mask and age: at most two times
+    the subsets of the ten topics, a list short enough to collect and to be
+    carried by every task. Each pair of masks readers draw on is counted once.
     """
     def bits(topics: Column) -> Column:
         bit = F.create_map(*[F.lit(x) for i, t in enumerate(C.TOPICS) for x in (t, 1 << i)])
@@ -235,8 +237,11 @@ def _candidates(base: DataFrame, keyed: DataFrame, seen_keys: DataFrame) -> Data
     masks = base.select("user_id", bits(names).alias("near"), bits(wide).alias("far"))
     marked = keyed.select("story_id", "fresh", bits(F.col("topics")).alias("mask"))
     reach = F.when(F.col("fresh"), F.col("near")).otherwise(F.col("far")).bitwiseAND(F.col("mask")) != 0
-    sizes = marked.groupBy("fresh", "mask").agg(F.count(F.lit(1)).alias("n"))  # at most 2,048 rows
-    eligible = masks.select("near", "far").distinct().join(F.broadcast(sizes), reach).groupBy("near", "far").agg(F.sum("n").alias("_n"))
+    listed = [row.asDict() for row in marked.groupBy("fresh", "mask").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = F.from_json(F.lit(json.dumps(listed)), "array<struct<fresh: boolean, mask: int, n: long>>")
+    eligible = masks.select("near", "far").distinct().withColumn("_n", F.aggregate(
+        F.filter(sizes, lambda g: F.when(g["fresh"], F.col("near")).otherwise(F.col("far")).bitwiseAND(g["mask"]) != 0),
+        F.lit(0).cast("long"), lambda total, g: total + g["n"]))
     used = seen_keys.join(marked, "story_id").join(masks, "user_id").where(reach).groupBy("user_id").agg(F.count(F.lit(1)).alias("_used"))
     return masks.join(eligible, ["near", "far"], "left").join(used, "user_id", "left").select(
         "user_id", (F.coalesce("_n", F.lit(0)) - F.coalesce("_used", F.lit(0))).alias("candidates"))
