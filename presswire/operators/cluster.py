@@ -165,7 +165,7 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
     staged = ranged.join(sizes, "group_key").withColumn("_round", rounds).drop("_part", "_size", "_first")
     last = staged.agg(F.max("_round")).first()[0] or 0
 
-    def first_piece(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def first_piece(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _shape(_assign(rows.assign(known_seq=None), _empty_state(), threshold, 0), key[0])
 
     opening = staged.where(F.col("_round") == 0).drop("_round").groupBy("group_key").applyInPandas(first_piece, _OUT)

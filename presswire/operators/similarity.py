@@ -39,7 +39,7 @@ def pack_blocks(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
         F.when(F.col("_slices") > 1, F.concat_ws("/", _cell_udf("vector"), F.pmod(F.xxhash64("id"), F.col("_slices")))).otherwise("0"),
     )
 
-    def pack(key, part: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         matrix = np.array(part["vector"].tolist(), dtype=np.float32)
         wide = matrix.astype(np.float64)
         center = wide.mean(axis=0)

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_DIRS: dict[str, str] = {}  # scratch folders of local sessions that name none
+
 
 def configure(spark: SparkSession) -> SparkSession:
     # functions of this package travel with the tasks that use them
@@ -53,9 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="presswire-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="presswire-")
+    return _LOCAL_DIRS[app]
 
 
 def cut_lineage(df):
