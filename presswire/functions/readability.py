@@ -2,8 +2,8 @@
 
 A word starts with an ASCII letter and runs over letters, apostrophes and
 hyphens; its syllables are its vowel groups over the letters alone. The three
-counts are taken by one Arrow kernel over a batch of texts. Five built-in regex
-passes gave the same counts at about a tenth of the speed.
+counts are taken by one Arrow kernel over a batch of texts. An earlier version in
+built-in regex passes gave the same counts in about seven times the time.
 """
 
 from collections.abc import Iterator
