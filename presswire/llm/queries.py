@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import packing, sharding, warc
+from . import packing, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -13,6 +13,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_toxicity(spark, sf):
+    """Toxicity of all documents, learnt from the labelled ones outside fold 0."""
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op4_sharding(spark, sf):
     """Two-pass external shuffle of all documents into 24 shards."""
@@ -20,6 +26,12 @@ def op4_sharding(spark, sf):
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "bucket")
 
 
+@query
+def op6_quality(spark, sf):
+    """Expected grade of all documents and whether they are kept."""
+    return quality.score(table(spark, sf, "documents"), quality.grade_labels(table(spark, sf, "labels")))
+
+
 @query
 def op9_warc(spark, sf):
     """All pages written as WARC archives and read back."""

@@ -53,7 +53,7 @@ def shuffle_rows(docs: DataFrame, path: str, shards: int = 24, bucket_bytes: int
         return bucket.take(pa.array(order)).append_column("position", pa.array(np.arange(len(bucket)), pa.int64()))
 
     schema = rows.schema.simpleString()[len("struct<"):-1] + ",position:bigint"
-    mixed = rows.groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
+    mixed = rows.repartition(shards * buckets, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
     mixed.sortWithinPartitions("shard", "bucket", "position").write.partitionBy("shard").parquet(path)
     kept = docs.sparkSession.read.schema(mixed.schema).parquet(path)
     sizes = kept.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
