@@ -46,30 +46,35 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total
     return at_once.unionByName(rest.join(groups.where(F.col(count) <= least), key, "left"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, checkpoint: str = "components") -> DataFrame:
-    """(id, component): the smallest id reachable over undirected edges (a, b).
-
-    `nodes` has one column ``id``; ids are longs. Labels start as the smallest
-    neighbour and then jump: every round joins an edge to both ends' labels,
-    hooks the larger label under the smaller and follows pointers, so chains
-    halve. Rows per round are at most the edges that still cross labels.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id on an undirected edge (a, b); ids are longs and a
+    component is named by its smallest id.
+
+    Every id first points to its smallest neighbour. A round follows pointers
+    until all of them reach a root, replaces edges by edges between roots, drops
+    those inside a tree, and hooks each root under the smallest root next to it.
+    Rounds grow with the logarithm of the longest path. Each step is a join
+    whose result is written to the shared folder.
     """
-    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), checkpoint)
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    label = written(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("label")), checkpoint)
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
+    label = ends.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("label"))
     while True:
-        # pointer jump: a label is itself an id, take that id's label
-        up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = written(label.join(up, "label", "left").select("id", F.coalesce("up", "label").alias("label")), checkpoint)
-        la = jumped.select(F.col("id").alias("a"), F.col("label").alias("la"))
-        lb = jumped.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        links = written(links.join(la, "a").join(lb, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), checkpoint)
+        label = _to_roots(written(label, "labels"))
+        root_a, root_b = (label.select(F.col("id").alias(x), F.col("label").alias(f"root_{x}")) for x in "ab")
+        across = links.join(root_a, "a").join(root_b, "b").where("root_a <> root_b")
+        links = written(across.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
         if links.isEmpty():
-            moved = jumped.join(jumped.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").where("up <> label").isEmpty()
-            if moved:
-                break
-            label = jumped
-            continue
+            return label.select("id", F.col("label").alias("component"))
         hooks = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("hook"))
-        label = written(jumped.join(hooks, "id", "left").select("id", F.least("label", F.coalesce("hook", "label")).alias("label")), checkpoint)
-    return nodes.join(jumped, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+        label = label.join(hooks, "id", "left").select("id", F.coalesce("hook", "label").alias("label"))
+
+
+def _to_roots(label: DataFrame) -> DataFrame:
+    while True:
+        up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        # every label is an id too
+        step = written(label.join(up, "label").select("id", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "labels")
+        label = step.select("id", "label")
+        if step.where("moved").isEmpty():
+            return label

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, toxicity, warc
+from . import jaccard, packing, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -32,6 +32,12 @@ def op6_quality(spark, sf):
     return quality.score(table(spark, sf, "documents"), quality.grade_labels(table(spark, sf, "labels")))
 
 
+@query
+def op8_jaccard_join(spark, sf):
+    """Classes of near-duplicate documents, and how many links each document has."""
+    return jaccard.links(table(spark, sf, "documents"))
+
+
 @query
 def op9_warc(spark, sf):
     """All pages written as WARC archives and read back."""
