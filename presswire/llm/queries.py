@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality, sharding, toxicity, warc
+from . import decontamination, jaccard, packing, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -32,6 +32,12 @@ def op6_quality(spark, sf):
     return quality.score(table(spark, sf, "documents"), quality.grade_labels(table(spark, sf, "labels")))
 
 
+@query
+def op7_decontamination(spark, sf):
+    """Documents that hold a benchmark item, with the item and the place."""
+    return decontamination.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op8_jaccard_join(spark, sf):
     """Classes of near-duplicate documents, and how many links each document has."""
