@@ -82,7 +82,7 @@ def _linked(keys_a, sets_a, keys_b, sets_b, threshold) -> np.ndarray:
     return meet & (shared >= threshold * both - 1e-9)
 
 
-def _roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """The smallest number connected to each of n numbers by the pairs given."""
     root = np.arange(n)
     while True:
@@ -130,7 +130,7 @@ def _rows(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
         order = np.argsort(node)
         place = np.empty(len(node), np.int64)
         place[order] = np.arange(len(node))
-        root = node[order][_roots(place[a[i]], place[b[j]], len(node))[place]]
+        root = node[order][roots(place[a[i]], place[b[j]], len(node))[place]]
         found = count > 0
         return pa.table({"node": node[found], "links": count[found], "root": root[found]})
 

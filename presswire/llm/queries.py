@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing, quality, sharding, toxicity, warc
+from . import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -13,12 +13,24 @@ def query(fn):
     return fn
 
 
+@query
+def op1_chat_formatting(spark, sf):
+    """Turns of all conversations read as tool calls, linked, ordered and checked."""
+    return chat.link(*chat.turns_as_calls(table(spark, sf, "conversations")), chat.SCHEMAS)
+
+
 @query
 def op2_toxicity(spark, sf):
     """Toxicity of all documents, learnt from the labelled ones outside fold 0."""
     return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op3_lattice(spark, sf):
+    """Near-duplicate links among all embeddings."""
+    return lattice.links(table(spark, sf, "embeddings"))
+
+
 @query
 def op4_sharding(spark, sf):
     """Two-pass external shuffle of all documents into 24 shards."""
@@ -26,6 +38,12 @@ def op4_sharding(spark, sf):
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "bucket")
 
 
+@query
+def op5_html(spark, sf):
+    """Main text of all pages."""
+    return html.main_text(table(spark, sf, "pages"))
+
+
 @query
 def op6_quality(spark, sf):
     """Expected grade of all documents and whether they are kept."""
