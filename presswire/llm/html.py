@@ -80,7 +80,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
         key = xxhash.xxh3_64_intdigest("\x00".join(e.parts).encode("utf-8", "surrogatepass")) - (1 << 63)
         menu = xxhash.xxh3_64_intdigest("\x00".join(dict.fromkeys(e.menu)).encode()) - (1 << 63)
         for i in e.segments:
-            blocks[i][2].append(key)
+            if e.tag not in ("html", "body") and not e.root:  # these are never a template
+                blocks[i][2].append(key)
             if e.size and e.links >= 0.8 * e.size:
                 blocks[i][3].append(menu)
         if stack:
@@ -209,10 +210,11 @@ def main_text(pages: DataFrame) -> DataFrame:
                     "blocks": [[dict(zip(("text", "inside", "keys", "menus"), b)) for b in blocks] for blocks, _ in found]})
 
     rows = written(pages.select("page_id", "url", "html").mapInPandas(read, shape), "pages")
-    once = rows.where("host <> ''").dropDuplicates(["host", "page"])
-    every = F.flatten(F.transform("blocks", lambda b: F.concat(b["keys"], b["menus"])))
+    # hashes alone are shuffled, never texts
+    hashes = rows.where("host <> ''").select("host", "page", F.array_distinct(F.concat(F.flatten("blocks.keys"), F.flatten("blocks.menus"))).alias("keys"))
+    once = hashes.dropDuplicates(["host", "page"])
     sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.select("host", F.explode(F.array_distinct(every)).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     common = counts.where(F.col("n") >= PAGE_LEAST).join(sizes, "host").where(F.col("n") >= PAGE_SHARE * F.col("pages"))
     everywhere = (F.col("n") >= INSIDE_LEAST) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))
     # at most a page's hashes / PAGE_SHARE per host
