@@ -12,8 +12,17 @@ from ..session import configure, shared_dir
 HOT_SHARE = 1 / 1000
 
 
+BATCH_ROWS = "1000"  # whole texts that a Python worker holds at once
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings of this library, and small batches to Python."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:

@@ -16,7 +16,7 @@ from .labelled import fold, held_out, sample, with_labels
 BITS = 16           # hashed features have 2**BITS weights
 SAMPLE_ROWS = 6000  # labelled rows the model is fitted on, at most
 GRADES = 3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 _OTHER = re.compile(r"[\W_]+")
 _RUNS = re.compile(r"(.)\1+")

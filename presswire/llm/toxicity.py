@@ -15,13 +15,13 @@ from .labelled import fold, held_out, sample, with_labels
 
 WORD = re.compile(r"\w+")
 ORDER = 5          # letters an n-gram spans
-BITS = 21          # count tables have 2**BITS slots, which bounds the model
+BITS = 20          # count tables have 2**BITS slots, which bounds the model
 DISCOUNT = 0.75
 START, END = 1, 2  # marks around a word; no letter has these code points
 LEARN = (1, 2, 3)  # folds whose words are counted
 TUNE = (4,)        # fold on which the two scores are weighed; fold 0 is never read
 TUNE_ROWS = 20_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 _MODULUS, _BASE = 2_147_483_647, 1_000_003
 

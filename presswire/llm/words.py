@@ -7,7 +7,7 @@ import xxhash
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 # odd multipliers, one per word of a shingle
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
