@@ -15,7 +15,7 @@ from .labelled import fold, held_out, sample, with_labels
 
 WORD = re.compile(r"\w+")
 ORDER = 5          # letters an n-gram spans
-BITS = 20          # count tables have 2**BITS slots, which bounds the model
+LONG_BITS, BITS = 22, 20  # whole n-grams have 2**LONG_BITS slots, shorter ones 2**BITS, which bounds the model
 DISCOUNT = 0.75
 START, END = 1, 2  # marks around a word; no letter has these code points
 LEARN = (1, 2, 3)  # folds whose words are counted
@@ -26,12 +26,16 @@ MEMO_WORDS = 150_000
 _MODULUS, _BASE = 2_147_483_647, 1_000_003
 
 
+def size(letters: int) -> int:
+    return 1 << (LONG_BITS if letters == ORDER else BITS)
+
+
 def slots(letters: list) -> np.ndarray:
     """The slot of an n-gram given as columns of code points."""
     h = 17 + len(letters)
     for c in letters:
         h = (h * _BASE + c) % _MODULUS
-    return h % (1 << BITS)
+    return h % size(len(letters))
 
 
 def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +98,11 @@ def _slot(names: list[str]):
     h = F.lit(17 + len(names)).cast("long")
     for c in names:
         h = (h * _BASE + F.col(c)) % _MODULUS
-    return (h % (1 << BITS)).cast("int")
+    return (h % size(len(names))).cast("int")
 
 
 def count_tables(grams: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The model's count tables as (slots, values), at most 2**BITS slots each.
+    """The model's count tables as (slots, values), at most 2**LONG_BITS slots each.
 
     The longest n-grams are counted per class. Shorter ones are counted once for
     both classes, by the number of different letters that come before them.
@@ -132,7 +136,8 @@ class Spelling:
         self.tables = {}
         for k in ["ordinary", "toxic", *map(str, range(1, ORDER))]:
             for part in ("count", "total", "kinds"):
-                dense = np.zeros(1 << BITS, np.float32)
+                whole = part == "count" and not k.isdigit()
+                dense = np.zeros(size(ORDER if whole else 0), np.float32)
                 if (name := f"{k} {part}") in tables:
                     dense[tables[name][0]] = tables[name][1]
                 self.tables[k, part] = dense
