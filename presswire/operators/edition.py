@@ -72,11 +72,10 @@ def context_losses(clusters: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def first_members(members: DataFrame, n: int = C.EXCERPT_MEMBERS) -> DataFrame:
-    """The first members of each cluster as an ordered array of at most n."""
-    top = first_rows(members, ["ingest_date", "cluster_id"], [F.col("published_at"), F.col("item_id")], n, rank="_pos")
-    entry = F.struct("_pos", "item_id", "source", "title", "canonical_url", "body_excerpt")
-    return top.groupBy("ingest_date", "cluster_id").agg(F.array_sort(F.collect_list(entry)).alias("members"))
+def ordered_members(members: DataFrame) -> DataFrame:
+    """All members of each cluster as an array, in order: a prompt names every one."""
+    entry = F.struct("published_at", "item_id", "source", "title", "canonical_url", "body_excerpt")
+    return members.groupBy("ingest_date", "cluster_id").agg(F.array_sort(F.collect_list(entry)).alias("members"))
 
 
 def excerpt_block(members: Column) -> Column:

@@ -91,7 +91,9 @@ def accepted_rewrites(failing: DataFrame, rewrites: DataFrame, key: str = "date"
 
 def apply_rewrites(editions: DataFrame, accepted: DataFrame, key: str = "date", edition: str = "edition") -> DataFrame:
     """Editions with the accepted text put back by id and how many landed. An
-    edition has a few dozen pieces, so its rewrites are one small map."""
+    edition has a few dozen pieces, so its rewrites are one small map. Of several
+    rewrites for one id the greatest text counts."""
+    accepted = accepted.groupBy(key, "id").agg(F.max("rewrite").alias("rewrite"))
     texts = accepted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", "rewrite"))).alias("_new"))
     joined = editions.join(texts, key, "left").withColumn("_new", F.coalesce("_new", F.create_map().cast("map<string,string>")))
     e, new = F.col(edition), F.col("_new")

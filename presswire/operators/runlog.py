@@ -206,7 +206,7 @@ def trigger_of(notes: Column) -> Column:
     """The ``trigger=`` part of ``;``-separated notes, else ``unknown``."""
     parts = F.transform(F.split(F.coalesce(notes, F.lit("")), ";"), lambda p: F.trim(p))
     found = F.get(F.filter(parts, lambda p: p.startswith("trigger=")), F.lit(0))
-    value = F.substring(found, len("trigger=") + 1, 10_000)
+    value = F.substring(found, F.lit(len("trigger=") + 1), F.length(found))
     return F.when(F.coalesce(value, F.lit("")) != "", value).otherwise("unknown")
 
 

@@ -97,7 +97,7 @@ def _(spark, sf):
     string_agg('- ' || title || CASE WHEN s = '' THEN '' ELSE chr(10) || '  ' || s END, chr(10) ORDER BY published_at, item_id)) AS prompt_md5
   FROM (SELECT *, regexp_replace(substr(body_excerpt, 1, 700), '^{WS}+|{WS}+$', '', 'g') AS e, regexp_replace(substr(body_excerpt, 1, 400), '^{WS}+|{WS}+$', '', 'g') AS s FROM members) GROUP BY 1""", "members"))
 def _(spark, sf):
-    rows = edition.first_members(members(doc_items(spark, sf)))
+    rows = edition.ordered_members(members(doc_items(spark, sf)))
     return rows.select("cluster_id", F.md5(edition.excerpt_block(F.col("members"))).alias("block_md5"), F.md5(scoring.scoring_prompt(F.col("members"))).alias("prompt_md5"))
 
 
@@ -434,7 +434,7 @@ def _document_editions(spark, sf):
     text = F.col("text")
     e = F.struct(F.lit("normal").alias("edition_type"), F.lit(None).cast("string").alias("notice"), F.substring(text, 1, 70).alias("headline_of_the_day"),
                  F.array(F.struct(F.substring(text, 71, 100).alias("text"), F.lit("World").alias("topic"))).alias("key_points"),
-                 F.array(F.struct(F.lit("World").alias("name"), F.array(story("one", F.substring(text, 171, 200)), story("two", F.substring(text, 371, 100_000))).alias("stories"))).alias("sections"))
+                 F.array(F.struct(F.lit("World").alias("name"), F.array(story("one", F.substring(text, 171, 200)), story("two", F.substring(text, F.lit(371), F.length(text)))).alias("stories"))).alias("sections"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("date"), e.alias("edition"))
 
 

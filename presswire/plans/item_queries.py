@@ -115,16 +115,16 @@ def _slug_sql(expr):
     return f"CASE WHEN length({base}) > 60 THEN coalesce(nullif({cut}, ''), 'story') WHEN {base} = '' THEN 'story' ELSE {base} END"
 
 
-@query("slugify", f"SELECT doc_id, {_slug_sql('substr(text, 1, 90)')} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {_slug_sql('text')} AS slug FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.slugify(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("unique_slugs", f"""SELECT doc_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (
   SELECT doc_id, base, row_number() OVER (PARTITION BY lang, base ORDER BY doc_id) AS n FROM (
-    SELECT doc_id, lang, {_slug_sql('substr(text, 1, 4)')} AS base FROM documents))""")
+    SELECT doc_id, lang, {_slug_sql('text')} AS base FROM documents))""")
 def _(spark, sf):
-    titles = table(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 4).alias("title"))
+    titles = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("title"))
     return number_slugs(titles, "lang", "doc_id", width=100_000).select("doc_id", "slug")
 
 
@@ -396,11 +396,11 @@ def _stamp(fmt):
 
 
 def _numbered(spark, sf):
-    words = F.trim(F.regexp_replace(F.substring("text", 1, 60), r"[^\p{L}]+", " "))
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("n"), words.alias("w"), "lang", "source")
 
 
-_WORDS = r"trim(regexp_replace(substr(text, 1, 60), '[^\p{L}]+', ' ', 'g'))"
+_WORDS = r"trim(regexp_replace(text, '[^\p{L}]+', ' ', 'g'))"
 _WHEN = "strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S')"
 _DAY = "strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d 00:00:00')"
 
@@ -513,7 +513,7 @@ def _(spark, sf):
 @query("stream_ingest", f"""SELECT substr(sha256(url || '2024-01-01T00:00:00Z'), 1, 32) AS item_id, title FROM (
   SELECT 'https://s.example.com/' || md5(text) AS url, arg_min({_WORDS}, doc_id) AS title FROM documents GROUP BY 1)""")
 def _(spark, sf):
-    words = F.trim(F.regexp_replace(F.substring("text", 1, 60), r"[^\p{L}]+", " "))
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     entries = table(spark, sf, "documents").select(
         "source", F.lit("rss").alias("source_type"), F.lit("World").alias("topic_hint"), F.concat(F.lit("https://s.example.com/"), F.md5("text")).alias("url"),
         words.alias("title"), F.lit("").alias("body"), F.lit("2024-01-01").cast("timestamp").alias("published_at"),

@@ -158,15 +158,8 @@ def _(spark, sf):
 
 # --- lateness ---------------------------------------------------------------------
 
-# publishes of the hours around the deadline, so days differ in their verdict
-def _site_log(spark, sf):
-    log = run_log(spark, sf)
-    near = F.hour("ended_at").between(10, 11) & (F.col("event_id") % 3 == 0)
-    return log.where((F.col("job") != "site") | near)
-
-
 _SITE = """site AS (SELECT *, timezone('America/New_York', timezone('UTC', ended_at)) AS live FROM run_log
-    WHERE job = 'site' AND hour(ended_at) BETWEEN 10 AND 11 AND event_id % 3 = 0
+    WHERE job = 'site'
     QUALIFY row_number() OVER (PARTITION BY run_date ORDER BY started_at DESC, run_id) = 1),
   days AS (SELECT CAST(d AS DATE) AS day, s.run_id IS NOT NULL AS measured, CAST(live AS TIME) > TIME '06:00:00' AS late, live, trigger
     FROM (SELECT unnest(generate_series(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY)) AS d) LEFT JOIN site s ON s.run_date = CAST(d AS DATE))"""
@@ -178,7 +171,7 @@ def _late_sql(text):
 
 
 def _late(spark, sf):
-    return runlog.late_days(_site_log(spark, sf), date(2023, 12, 28), date(2024, 2, 3))
+    return runlog.late_days(run_log(spark, sf), date(2023, 12, 28), date(2024, 2, 3))
 
 
 @query("late_days", _late_sql("""SELECT CAST(day AS VARCHAR) AS day, late, CASE WHEN late IS NULL THEN 'unknown' WHEN late THEN 'late' ELSE 'on time' END AS verdict,

@@ -9,7 +9,7 @@ Entries that miss a title, a link or a readable date are dropped.
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -124,10 +124,11 @@ def caps(registry: list[dict]) -> dict[str, int]:
 
 def read_payloads(spark: SparkSession, source: dict) -> DataFrame:
     """Landed files of one source, one payload per file, in file-name order."""
-    files = spark.read.text(source["path"], wholetext=True)
-    return files.select(
+    files = spark.read.text(source["path"], wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    numbers = files.select("_path").distinct().withColumn("payload_no", F.row_number().over(Window.orderBy("_path")).cast("long") - 1)
+    return files.join(numbers, "_path").select(
         F.lit(source["name"]).alias("source"), F.lit(source["topic_hint"]).alias("topic_hint"),
-        F.lit(0).cast("long").alias("payload_no"), F.col("value").alias("payload"))
+        "payload_no", F.col("value").alias("payload"))
 
 
 def collect(spark: SparkSession, registry: list[dict]) -> tuple[DataFrame, DataFrame]:

@@ -106,3 +106,31 @@ def test_dialogue_rules(spark):
     out = {r.script_id: r for r in quality.check_dialogues(spark.createDataFrame(rows, "script_id string, speaker string, text string")).collect()}
     assert out["ok"].problems == [] and out["ok"].words == 8 and not out["ok"].in_band
     assert out["one"].problems == ["speakers"] and out["few"].problems == ["too_few_turns", "em_dash"]
+
+
+def test_scoring_prompt_names_every_member(spark):
+    from presswire.operators import edition, scoring
+
+    rows = [("2024-01-01", "c", f"i{n}", f"2024-01-01 0{n}:00:00", f"s{n}", f"T{n}", "u", "") for n in range(9)]
+    members = spark.createDataFrame(rows, "ingest_date string, cluster_id string, item_id string, published_at string, source string, title string, canonical_url string, body_excerpt string")
+    prompt = edition.ordered_members(members).select(scoring.scoring_prompt("members").alias("p")).first().p
+    assert prompt.startswith("Sources reporting this story: 9\n") and prompt.endswith("- T8")
+
+
+def test_replies_with_text_behind_them_are_rejected(spark):
+    from presswire.operators import scoring
+
+    good = '{"score": 7, "topic": "World", "rationale": "r", "confidence": 0.5}'
+    replies = spark.createDataFrame([(good,), (good + " Hope that helps!",), (good + "," + good,), (good + "] x",)], "reply string")
+    assert [r.score is not None for r in scoring.check_replies(replies).collect()] == [True, False, False, False]
+
+
+def test_two_rewrites_for_one_piece_do_not_collide(spark):
+    from pyspark.sql import functions as F
+    from presswire.operators import readability
+
+    accepted = spark.createDataFrame([(1, "headline", "a"), (1, "headline", "b")], "date long, id string, rewrite string")
+    kind = "struct<headline_of_the_day:string,key_points:array<struct<text:string,topic:string>>,sections:array<struct<name:string,stories:array<struct<slug:string,summary:string,article:struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string>>>>>>>"
+    edition = spark.range(1, 2).select(F.col("id").alias("date"), F.from_json(F.lit('{"headline_of_the_day": "old", "key_points": [], "sections": []}'), kind).alias("edition"))
+    row = readability.apply_rewrites(edition, accepted).first()
+    assert row.edition.headline_of_the_day == "b" and row.applied == 1
