@@ -4,7 +4,6 @@ from collections.abc import Iterator
 from itertools import combinations, product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +64,17 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
-def _units(vectors) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, unit vectors of the usable ones), all of one length."""
-    arrays = [None if v is None else np.asarray(v, np.float64) for v in vectors]
-    norms = [0.0 if a is None or not len(a) or not np.isfinite(a).all() else float(np.linalg.norm(a / np.abs(a).max())) if a.any() else 0.0 for a in arrays]
-    good = np.array([n > 0 for n in norms], bool)
-    rows = [a / np.abs(a).max() / n for a, n, g in zip(arrays, norms, good) if g]
-    return good, rows
+def _units(vectors: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, unit vectors) of the usable vectors, once per vector length."""
+    column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    lengths = np.diff(ends)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        found = values[ends[at][:, None] + np.arange(size)].astype(np.float64)
+        found /= np.abs(found).max(axis=1, keepdims=True)
+        yield at, found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
 def links(embeddings: DataFrame, threshold: float = 0.9, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -81,8 +84,9 @@ def links(embeddings: DataFrame, threshold: float = 0.9, tables: int = TABLES, p
     dimensions in several tables, put in the cell of the nearest E8 point, and
     also looks into the neighbouring cells nearest to it. Those that meet in a
     cell are compared by exact cosine in double precision, blocks of a crowded
-    cell two by two in tasks of their own. Tasks return the links of a class as
-    one list a block, so pairs are never rows.
+    cell two by two in tasks of their own. A pair at home in one cell is taken in
+    the first such cell alone and only counted; the other links of a class, which
+    several tables may find, are returned as one list a block. Pairs are never rows.
 
     Returns one row per row of embeddings: (vec_id, n_links, component_id, kept):
     n_links counts other rows linked directly, copies included; component_id is
@@ -99,60 +103,69 @@ def links(embeddings: DataFrame, threshold: float = 0.9, tables: int = TABLES, p
     classes = written(rows.where("node is not null").groupBy("node").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v")), "vectors")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, units = _units(batch["v"])
-            nodes = batch["node"].to_numpy()[good]
-            for size in {len(u) for u in units}:
-                at = [i for i, u in enumerate(units) if len(u) == size]
-                found = cells(np.array([units[i] for i in at]), tables, probes)
-                flat = found.reshape(len(at), -1)
-                home = np.tile(np.arange(flat.shape[1]) % (1 + probes) == 0, len(at))
-                yield pd.DataFrame({"node": np.repeat(nodes[at], flat.shape[1]), "cell": flat.ravel() ^ size, "home": home})
+            nodes = batch.column("node").to_numpy()
+            for at, units in _units(batch.column("v")):
+                found = cells(units, tables, probes) ^ units.shape[1]
+                each = found[0].size
+                homes = np.repeat(found[:, :, 0], each, axis=0)
+                home = np.tile(np.arange(each) % (1 + probes) == 0, len(at))
+                homes = pa.ListArray.from_arrays(pa.array(np.arange(len(homes) + 1) * tables, pa.int32()), pa.array(homes.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at], each)), pa.array(found.ravel()), pa.array(home), homes], ["node", "cell", "home", "homes"])
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         first, second = key[1].as_py(), key[2].as_py()
         node, copies, block, cell, home = (rows[c].to_numpy() for c in ("node", "copies", "block", "cell", "home"))
-        _, units = _units(rows["v"].to_pylist())
-        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for size in {len(u) for u in units}:
-            i, j = (np.array([k for k in x if len(units[k]) == size], np.int64) for x in (a, b))
-            if not len(i) or not len(j):
-                continue
-            ours = np.array([units[k] for k in i])
-            for at in range(0, len(j), BLOCK):
-                part = j[at:at + BLOCK]
-                hit = (ours @ np.array([units[k] for k in part]).T) >= threshold
-                hit &= (cell[i][:, None] == cell[part][None, :]) & (home[i][:, None] | home[part][None, :]) & (node[i][:, None] != node[part][None, :])
-                x, y = np.nonzero(hit)
-                left += [i[x], part[y]]
-                right += [part[y], i[x]]
+        homes = rows["homes"].combine_chunks().flatten().to_numpy().reshape(len(node), tables)
+        left, right, once = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for at, units in _units(rows["v"]):
+            ours, theirs = np.flatnonzero(block[at] == first), np.flatnonzero(block[at] == second)
+            for start in range(0, len(theirs), BLOCK):
+                part = theirs[start:start + BLOCK]
+                i, j = at[ours][:, None], at[part][None, :]
+                hit = (units[ours] @ units[part].T) >= threshold
+                hit &= (cell[i] == cell[j]) & (home[i] | home[j]) & (node[i] != node[j])
+                row, column = np.nonzero(hit)
+                x, y = at[ours][row], at[part][column]
+                same = homes[x] == homes[y]
+                shared = same.any(axis=1)
+                # those at home in one cell are taken in the first such cell alone
+                use = ~shared | (home[x] & home[y] & (homes[x, same.argmax(axis=1)] == cell[x]))
+                left += [x[use], y[use]]
+                right += [y[use], x[use]]
+                once += [shared[use], shared[use]]
         # one place per class, in the order of their numbers; each link once
         names, at, place = np.unique(node, return_index=True, return_inverse=True)
-        pairs = np.unique(place[np.concatenate(left)] * len(names) + place[np.concatenate(right)])
-        left, right = pairs // max(1, len(names)), pairs % max(1, len(names))
-        linked, counts = np.unique(left, return_counts=True)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        near = pa.StructArray.from_arrays([pa.array(names[right]), pa.array(copies[at][right])], ["node", "copies"])
+        pairs, kept = np.unique(place[np.concatenate(left)] * len(names) + place[np.concatenate(right)], return_index=True)
+        left, right, once = pairs // max(1, len(names)), pairs % max(1, len(names)), np.concatenate(once)[kept]
+        linked, start = np.unique(left, return_index=True)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, left[once], copies[at][right[once]])
+        offsets = np.append(np.concatenate([[0], np.cumsum(~once)])[start], (~once).sum())
+        near = pa.StructArray.from_arrays([pa.array(names[right[~once]]), pa.array(copies[at][right[~once]])], ["node", "copies"])
         root = names[roots(left, right, len(names))[linked]]
-        return pa.table({"node": names[linked], "near": pa.ListArray.from_arrays(offsets, near), "root": root})
+        return pa.table({"node": names[linked], "sure": sums[linked], "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near), "root": root})
 
-    entries = written(classes.repartition("node").mapInPandas(place, "node long, cell long, home boolean"), "cells")
+    entries = written(classes.repartition("node").mapInArrow(place, "node long, cell long, home boolean, homes array<long>"), "cells")
     busy = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("owned")).where("owned and n > 1")
     busy = written(busy.select("cell", "n"), "cells")
     total = busy.agg(F.sum("n")).first()[0] or 0
     shared = join_counted(entries, busy, "cell", "n", total).where("n is not null")
     small, cut = F.col("n") <= BLOCK, F.ceil(F.col("n") / BLOCK)
     placed = shared.select(
-        "node", "cell", "home", F.struct(small.alias("small"), F.when(small, F.pmod(F.xxhash64("cell"), F.lit(max(1, total // BLOCK)))).otherwise(F.col("cell")).alias("part")).alias("part"),
+        "node", "cell", "home", "homes", F.struct(small.alias("small"), F.when(small, F.pmod(F.xxhash64("cell"), F.lit(max(1, total // BLOCK)))).otherwise(F.col("cell")).alias("part")).alias("part"),
         F.when(small, 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "node"), cut)).cast("int").alias("block"), F.when(small, 1).otherwise(cut).cast("int").alias("blocks"))
     dealt = placed.join(classes.select("node", "copies", "v"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "part", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "copies", "block", "cell", "home", "v")
-    found = written(dealt.groupBy("part", "first", "second").applyInArrow(compare, "node long, near array<struct<node: long, copies: long>>, root long"), "near")
-
-    merged = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    degree = written(merged.select("node", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + x["copies"]).alias("links")), "near")
+        "part", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "copies", "block", "cell", "home", "homes", "v")
+    found = written(dealt.groupBy("part", "first", "second").applyInArrow(compare, "node long, sure long, near array<struct<node: long, copies: long>>, root long"), "near")
+
+    # sorted lists, as array_distinct compares structs two by two
+    merged = found.groupBy("node").agg(F.sum("sure").alias("sure"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    nothing = F.struct(F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("n"))
+    counted = F.aggregate("near", nothing, lambda so_far, x: F.struct(
+        x["node"].alias("node"), (so_far["n"] + F.when(x["node"].eqNullSafe(so_far["node"]), 0).otherwise(x["copies"])).alias("n")))
+    degree = written(merged.select("node", (F.col("sure") + counted["n"]).alias("links")), "near")
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.drop("v").join(degree, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
