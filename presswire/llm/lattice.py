@@ -108,11 +108,8 @@ def links(embeddings: DataFrame, threshold: float = 0.9, tables: int = TABLES, p
             nodes = batch.column("node").to_numpy()
             for at, units in _units(batch.column("v")):
                 found = cells(units, tables, probes) ^ units.shape[1]
-                each = found[0].size
-                homes = np.repeat(found[:, :, 0], each, axis=0)
-                home = np.tile(np.arange(each) % (1 + probes) == 0, len(at))
-                homes = pa.ListArray.from_arrays(pa.array(np.arange(len(homes) + 1) * tables, pa.int32()), pa.array(homes.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at], each)), pa.array(found.ravel()), pa.array(home), homes], ["node", "cell", "home", "homes"])
+                ends = pa.array(np.arange(len(at) + 1) * found[0].size, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["node", "cells"])
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         first, second = key[1].as_py(), key[2].as_py()
@@ -147,16 +144,18 @@ def links(embeddings: DataFrame, threshold: float = 0.9, tables: int = TABLES, p
         root = names[roots(left, right, len(names))[linked]]
         return pa.table({"node": names[linked], "sure": sums[linked], "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near), "root": root})
 
-    entries = written(classes.repartition("node").mapInArrow(place, "node long, cell long, home boolean, homes array<long>"), "cells")
+    places = written(classes.repartition("node").mapInArrow(place, "node long, cells array<long>"), "cells")
+    entries = places.select("node", F.posexplode("cells").alias("at", "cell")).select("node", "cell", (F.col("at") % (1 + probes) == 0).alias("home"))
+    homes = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get("cells", t * (1 + probes)))
     busy = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("owned")).where("owned and n > 1")
     busy = written(busy.select("cell", "n"), "cells")
     total = busy.agg(F.sum("n")).first()[0] or 0
     shared = join_counted(entries, busy, "cell", "n", total).where("n is not null")
     small, cut = F.col("n") <= BLOCK, F.ceil(F.col("n") / BLOCK)
     placed = shared.select(
-        "node", "cell", "home", "homes", F.struct(small.alias("small"), F.when(small, F.pmod(F.xxhash64("cell"), F.lit(max(1, total // BLOCK)))).otherwise(F.col("cell")).alias("part")).alias("part"),
+        "node", "cell", "home", F.struct(small.alias("small"), F.when(small, F.pmod(F.xxhash64("cell"), F.lit(max(1, total // BLOCK)))).otherwise(F.col("cell")).alias("part")).alias("part"),
         F.when(small, 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "node"), cut)).cast("int").alias("block"), F.when(small, 1).otherwise(cut).cast("int").alias("blocks"))
-    dealt = placed.join(classes.select("node", "copies", "v"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    dealt = placed.join(classes.select("node", "copies", "v").join(places.select("node", homes.alias("homes")), "node"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "part", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "copies", "block", "cell", "home", "homes", "v")
     found = written(dealt.groupBy("part", "first", "second").applyInArrow(compare, "node long, sure long, near array<struct<node: long, copies: long>>, root long"), "near")
 
