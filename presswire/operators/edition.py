@@ -7,6 +7,7 @@ from .. import constants as C
 from ..functions.text import slugify, strip
 from ..session import cut_lineage
 from .ordering import first_rows, number_rows
+from .quality import check_editions
 
 
 def topic_rank(topic: Column) -> Column:
@@ -231,7 +232,9 @@ def assemble_stories(curated: DataFrame, contexts: DataFrame) -> DataFrame:
     kept = split_sections(curated).where("kept")
     facts = contexts.select(F.col("ingest_date").alias("date"), "cluster_id", "score", "sources")
     joined = kept.join(facts, ["date", "cluster_id"], "left")
-    placed = joined.withColumn("position", F.col("section_pos") * 100 + F.col("story_pos"))
+    # a day holds an edition's worth of stories
+    order = Window.partitionBy("date").orderBy("section_pos", "story_pos", "cluster_id")
+    placed = joined.withColumn("position", F.row_number().over(order))
     bad = placed.where(F.col("score").isNull()).select("date").distinct()
     return unique_slugs(placed.join(bad, "date", "left_anti"), "date", "position")
 
@@ -241,6 +244,10 @@ def unassembled(curated: DataFrame, contexts: DataFrame) -> DataFrame:
     return kept.join(contexts.select(F.col("ingest_date").alias("date"), "cluster_id"), ["date", "cluster_id"], "left_anti").select("date", "cluster_id")
 
 
+def _place(*parts: Column) -> Column:
+    return F.struct(*[p.cast("long").alias(f"part_{i}") for i, p in enumerate(parts)]).alias("position")
+
+
 def assemble_editions(curated: DataFrame, briefly: DataFrame, heads: DataFrame, contexts: DataFrame,
                       articles: DataFrame, numbers: DataFrame, types: DataFrame, stats: DataFrame) -> DataFrame:
     """``(date, edition_number, edition_type, edition_json)`` of normal and quiet
@@ -249,10 +256,12 @@ def assemble_editions(curated: DataFrame, briefly: DataFrame, heads: DataFrame,
     `curated(date, section, section_pos, story_pos, cluster_id, title, summary)`,
     `briefly(date, position, cluster_id)`, `heads(date, headline_of_the_day,
     headline_cluster_id, headline_rationale, key_points)`,
-    `articles(cluster_id, article)`. Lists inside an edition are bounded by its
-    story budget.
+    `articles(date, cluster_id, position, article)`, of which the last of a story
+    counts. Lists inside an edition are bounded by its story budget. A day without
+    a kept section has none, see `daily_editions`.
     """
-    stories = assemble_stories(curated, contexts).join(articles.select("cluster_id", "article"), "cluster_id", "left")
+    written = articles.groupBy("date", "cluster_id").agg(F.max_by("article", "position").alias("article"))
+    stories = assemble_stories(curated, contexts).join(written, ["date", "cluster_id"], "left")
     stories = cut_lineage(stories)  # a budget's worth a day, read four times below
     body = F.struct("cluster_id", "slug", "title", "summary", "score", "sources", "article")
     sections = stories.groupBy("date", "section").agg(
@@ -263,8 +272,9 @@ def assemble_editions(curated: DataFrame, briefly: DataFrame, heads: DataFrame,
     ))).alias("_sections")).select("date", F.transform("_sections", lambda s: s["section"]).alias("sections"))
 
     spilled = split_sections(curated).where("not kept").select(
-        "date", (F.col("section_pos") * 100 + F.col("story_pos") - 10**6).alias("position"), "cluster_id")
-    lines = resolve_briefly(spilled.unionByName(briefly.select("date", "position", "cluster_id")), contexts, stories)
+        "date", _place(F.lit(0), F.col("section_pos"), F.col("story_pos")), "cluster_id")
+    asked = briefly.select("date", _place(F.lit(1), F.col("position"), F.lit(0)), "cluster_id")
+    lines = resolve_briefly(spilled.unionByName(asked), contexts, stories)
     lines = lines.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("position", F.struct("cluster_id", "title", "url", "topic").alias("line")))).alias("_b"))
     lines = lines.select("date", F.transform("_b", lambda b: b["line"]).alias("briefly"))
 
@@ -307,3 +317,12 @@ def fallback_editions(contexts: DataFrame, days: DataFrame, numbers: DataFrame,
         F.col("date").cast("string").alias("date"), "edition_number", F.lit("fallback").alias("edition_type"),
         F.lit(notice).alias("notice"), F.coalesce("stories", empty).alias("stories"))
     return joined.select("date", "edition_number", F.lit("fallback").alias("edition_type"), F.to_json(edition).alias("edition_json"))
+
+
+def daily_editions(assembled: DataFrame, contexts: DataFrame, days: DataFrame, numbers: DataFrame, notice: str) -> DataFrame:
+    """One edition for each of the days: the assembled one where it is valid, a
+    fallback where there is none or a rule of its schema is broken."""
+    assembled = cut_lineage(check_editions(assembled))  # one row a day, read twice below
+    valid = assembled.where(F.size("problems") == 0).drop("problems")
+    left = days.select("date").distinct().join(valid.select("date"), "date", "left_anti")
+    return valid.unionByName(fallback_editions(contexts, left, numbers, notice))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import SPACES, casefold, strip
-from ..sources.editions import parse_edition
+from ..sources.editions import lone_object, parse_edition
 
 
 def _rules(rules: dict[str, Column]) -> Column:
@@ -98,8 +98,8 @@ def _full_rules(text: Column, e: Column) -> dict[str, Column]:
         "briefly_repeats_story": _some(briefly, lambda b: F.array_contains(titles, casefold(strip(b["title"])))),
         "audio": e["audio"].isNotNull() & (_blank(e["audio"]["url"]) | ~F.coalesce(
             (e["audio"]["duration_seconds"] > 0) & (e["audio"]["size_bytes"] > 0), F.lit(False))),
-        "stats": stats.isNull() | ~F.coalesce(F.least(*[stats[c] for c in (
-            "items_ingested", "clusters_considered", "stories_run", "sources", "sections_held")]) >= 0, F.lit(False)),
+        "stats": ~F.forall(F.array(*[stats[c] for c in (
+            "items_ingested", "clusters_considered", "stories_run", "sources", "sections_held")]), lambda n: n.isNotNull() & (n >= 0)),
     }
 
 
@@ -157,7 +157,7 @@ def check_curation(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Adds ``problems`` to curation replies. Section names and the lower budget
     are left to assembly; the headline must name a placed story."""
     raw = F.col(text)
-    parsed = replies.withColumn("_r", F.when(F.json_object_keys(raw).isNotNull(), F.from_json(raw, CURATION_SCHEMA)))
+    parsed = replies.withColumn("_r", F.from_json(lone_object(raw), CURATION_SCHEMA))
     r = F.col("_r")
     stories = F.flatten(F.transform(r["sections"], lambda s: s["stories"]))
     rules = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import strip
+from ..sources.editions import lone_object
 
 REPLY_KEYS = ["score", "topic", "rationale", "confidence"]
 _REPLY = "score string, topic string, rationale string, confidence string"
@@ -25,9 +26,7 @@ def _is_string(text: Column, key: str) -> Column:
 def check_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Parse score replies. Adds score, topic, rationale, confidence and
     ``problems``; the four values are NULL where a reply is rejected."""
-    # a value of the array before the sentinel, so nothing stands behind the object
-    alone = F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit(", 0]"))) == 2
-    raw = F.when(alone, F.col(text))
+    raw = lone_object(F.col(text))
     keys = F.json_object_keys(raw)
     body = F.from_json(raw, _REPLY)
     wanted = F.array(*[F.lit(k) for k in REPLY_KEYS])

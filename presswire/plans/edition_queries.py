@@ -286,6 +286,11 @@ def _(spark, sf):
     return plain(checked.select("date", "edition_type", "edition_number", F.array_join("problems", ",").alias("problems")))
 
 
+@query("daily_editions", with_sql("SELECT CAST(date AS VARCHAR) AS date, edition_type, edition_number FROM edition_days", "edition_days"))
+def _(spark, sf):
+    return plain(editions(spark, sf).select("date", "edition_type", "edition_number"))
+
+
 @query("published_cluster_ids", with_sql("""SELECT CAST(ingest_date AS VARCHAR) AS date, cluster_id FROM placed JOIN types USING (ingest_date)
   WHERE edition_type <> 'fallback' AND ingest_date IN (SELECT ingest_date FROM cards)""", "placed", "types", "cards"))
 def _(spark, sf):
@@ -541,10 +546,10 @@ def _(spark, sf):
 
 
 @query("check_dialogues", f"""SELECT conv_id, count(*) AS turns, CAST(sum(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> ''))) AS BIGINT) AS words,
-  array_to_string(list_filter([CASE WHEN count(*) < 4 THEN 'too_few_turns' END, CASE WHEN count(DISTINCT role) <> 2 THEN 'speakers' END, CASE WHEN count(*) FILTER (text = '') > 0 THEN 'empty_turn' END,
+  array_to_string(list_filter([CASE WHEN count(*) < 4 THEN 'too_few_turns' END, CASE WHEN count(DISTINCT role) <> 2 OR count(*) FILTER (role NOT IN ('user', 'assistant')) > 0 THEN 'speakers' END, CASE WHEN count(*) FILTER (text = '') > 0 THEN 'empty_turn' END,
     CASE WHEN count(*) FILTER (text LIKE '%—%') > 0 THEN 'em_dash' END], lambda x: x IS NOT NULL), ',') AS problems,
-  sum(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> ''))) BETWEEN 1300 AND 1600 AS in_band FROM conversations WHERE role <> 'system' GROUP BY 1""")
+  sum(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> ''))) BETWEEN 1300 AND 1600 AS in_band FROM conversations GROUP BY 1""")
 def _(spark, sf):
-    speaker = F.when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B")
-    turns = table(spark, sf, "conversations").where("role <> 'system'").withColumn("speaker", speaker)
+    speaker = F.when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B").otherwise(F.col("role"))
+    turns = table(spark, sf, "conversations").withColumn("speaker", speaker)
     return quality.check_dialogues(turns, "conv_id").withColumn("problems", F.array_join("problems", ","))

@@ -97,8 +97,8 @@ def edition_numbers(days: DataFrame) -> DataFrame:
 
 
 def editions(spark: SparkSession, sf: str) -> DataFrame:
-    """Assembled editions of every day: selection by rank, then assembly; days
-    with too few stories become fallbacks."""
+    """One edition of every day: selection by rank, then assembly; days with too
+    few stories, or none in a section, become fallbacks."""
     t = day_tables(spark, sf)
     # a stored table in production: read many times below, so computed once here
     contexts = cut_lineage(t["contexts"])
@@ -116,14 +116,13 @@ def editions(spark: SparkSession, sf: str) -> DataFrame:
         "date", F.col("_lead.headline").alias("headline_of_the_day"), F.col("_lead.cluster_id").alias("headline_cluster_id"),
         F.lit("picked by score").alias("headline_rationale"),
         F.transform("_points", lambda p: F.struct(p["text"].alias("text"), F.lit("World").alias("topic"))).alias("key_points"))
-    articles = contexts.select("cluster_id", F.lit(None).cast(
+    articles = contexts.select(F.col("ingest_date").alias("date"), "cluster_id", F.lit(0).alias("position"), F.lit(None).cast(
         "struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string,attribution:string,source_url:string>>").alias("article")).limit(0)
     days = t["items"].select("ingest_date").distinct()
     numbers = edition_numbers(days)
     stats = edition.edition_stats(t["items"], t["clusters"], edition.select_stories(contexts), contexts, edition.section_plan(contexts))
     full = edition.assemble_editions(curated.drop("score", "edition_type"), briefly, heads, contexts, articles, numbers, types, stats)
-    thin = types.where("edition_type = 'fallback'").select(F.col("ingest_date").alias("date"))
-    return full.unionByName(edition.fallback_editions(contexts, thin, numbers, "A short list today."))
+    return edition.daily_editions(full, contexts, days.select(F.col("ingest_date").alias("date")), numbers, "A short list today.")
 
 
 # --- run log ----------------------------------------------------------------------
@@ -205,8 +204,8 @@ SQL = {
       SELECT p.*, t.edition_type FROM placed p JOIN types t USING (ingest_date)
       WHERE placement = 'section' AND edition_type <> 'fallback'""",
     "edition_days": """
-      SELECT * FROM (SELECT ingest_date AS date, edition_type, row_number() OVER (ORDER BY ingest_date) AS edition_number FROM types)
-      WHERE edition_type = 'fallback' OR date IN (SELECT ingest_date FROM cards)""",
+      SELECT ingest_date AS date, CASE WHEN ingest_date IN (SELECT ingest_date FROM cards) THEN edition_type ELSE 'fallback' END AS edition_type,
+             row_number() OVER (ORDER BY ingest_date) AS edition_number FROM types""",
     "run_log": """
       SELECT strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || substr(md5(CAST(event_id AS VARCHAR)), 1, 4) AS run_id, event_id,
              CASE event_type WHEN 'signup' THEN 'collector' WHEN 'click' THEN 'silver' WHEN 'view' THEN 'editor'

@@ -134,3 +134,43 @@ def test_two_rewrites_for_one_piece_do_not_collide(spark):
     edition = spark.range(1, 2).select(F.col("id").alias("date"), F.from_json(F.lit('{"headline_of_the_day": "old", "key_points": [], "sections": []}'), kind).alias("edition"))
     row = readability.apply_rewrites(edition, accepted).first()
     assert row.edition.headline_of_the_day == "b" and row.applied == 1
+
+
+def test_every_day_has_an_edition(spark):
+    """A day whose sections are all too short gets a fallback; of two articles of a story the last counts."""
+    from presswire.operators import edition
+
+    day = lambda n: date(2024, 1, n)
+    curated = spark.createDataFrame(
+        [(day(1), "World", 1, i, f"c{i}", f"title {i}", "text") for i in range(3)] + [(day(2), s, p, 0, f"d{p}", "title", "text") for p, s in enumerate(("World", "AI"))],
+        "date date, section string, section_pos int, story_pos int, cluster_id string, title string, summary string")
+    source = "sources array<struct<name: string, url: string>>"
+    contexts = spark.createDataFrame(
+        [(r.date, r.cluster_id, 5, [("s", "http://s")], "h", "http://s", "s", "World") for r in curated.collect()],
+        f"ingest_date date, cluster_id string, score int, {source}, headline string, primary_url string, primary_source string, topic string")
+    heads = spark.createDataFrame([(day(n), "head", "c0", "why", [("p", "World")] * 3) for n in (1, 2)], "date date, headline_of_the_day string, headline_cluster_id string, headline_rationale string, key_points array<struct<text: string, topic: string>>")
+    article = "struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string,attribution:string,source_url:string>>"
+    articles = spark.createDataFrame([(day(1), "c0", 0, ("first", "b", "c", None)), (day(1), "c0", 1, ("second", "b", "c", None)), (day(2), "c0", 2, ("other day", "b", "c", None))],
+                                     f"date date, cluster_id string, position int, article {article}")
+    numbers = spark.createDataFrame([(day(n), n) for n in (1, 2)], "date date, edition_number int")
+    types = spark.createDataFrame([(day(n), "quiet") for n in (1, 2)], "ingest_date date, edition_type string")
+    stats = spark.createDataFrame([(day(n), 9, 5, 3, 1, 0) for n in (1, 2)], "ingest_date date, items_ingested int, clusters_considered int, stories_run int, sources int, sections_held int")
+    briefly = spark.createDataFrame([], "date date, position int, cluster_id string")
+    full = edition.assemble_editions(curated, briefly, heads, contexts, articles, numbers, types, stats)
+    found = {r.date: r for r in edition.daily_editions(full, contexts, numbers, numbers, "short").collect()}
+    assert {d: r.edition_type for d, r in found.items()} == {day(1): "quiet", day(2): "fallback"}
+    first = json.loads(found[day(1)].edition_json)
+    assert [s["cluster_id"] for s in first["sections"][0]["stories"]] == ["c0", "c1", "c2"]
+    assert first["sections"][0]["stories"][0]["article"]["background"] == "second"
+    assert len(json.loads(found[day(2)].edition_json)["stories"]) == 2
+
+
+def test_text_behind_an_edition_and_missing_stats(spark):
+    from presswire.operators import quality
+
+    good = {"date": "2024-01-01", "edition_number": 1, "edition_type": "fallback", "notice": "n", "stories": []}
+    texts = [json.dumps(good), json.dumps(good) + " tail", json.dumps(good) + "] [", json.dumps(good | {"edition_type": "quiet", "stats": {"items_ingested": 1}}), "[1]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, edition_json string")
+    found = {r.n: r.problems for r in quality.check_editions(rows).collect()}
+    assert found[0] == [] and found[1] == found[2] == found[4] == ["not_an_object"]
+    assert "stats" in found[3]
