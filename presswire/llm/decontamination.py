@@ -1,7 +1,5 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions alone."""
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +43,11 @@ def _probes(print_: Column) -> Column:
     """Every (block, value) whose value is near enough to the fingerprint's own."""
     most, out = RADIUS // len(BLOCKS), []
     for i, (first, width) in enumerate(BLOCKS):
-        flips = [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
+        # a short rule in place of each flip written out, which makes plans large
+        flips = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda x: F.bit_count(x) <= most)
         own = _block(print_, first, width)
-        out += [F.struct(F.lit(i).alias("block"), own.bitwiseXOR(F.lit(x)).alias("value")) for x in flips]
-    return F.array(*out)
+        out.append(F.transform(flips, lambda x: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(x).alias("value"))))
+    return F.concat(*out)
 
 
 def _small(df: DataFrame) -> DataFrame:
