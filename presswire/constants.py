@@ -52,7 +52,6 @@ HOUSE_TOPIC = "norm"  # the key-point topic only quiet editions may use, once
 MIN_STORIES_PER_SECTION = 2
 MAX_STORIES_PER_SECTION = 4
 MAX_STORIES = 20
-TARGET_STORIES = 15
 KEY_POINTS = {"normal": (4, 6), "quiet": (3, 3)}
 FALLBACK_STORIES = 10
 MIN_CLUSTERS_NORMAL = 12
@@ -122,4 +121,3 @@ TOPUP_MAX_SHARE = 0.5
 LOOKBACK_DAILY_HOURS = 36
 LOOKBACK_CATCHUP_DAYS = 7
 RETENTION_MONTHS = {"stories": 12, "newsletters": 12, "seen": 12, "events": 13}
-READER_EVENTS = ["newsletter_opened", "story_opened", "story_completed", "story_skipped"]

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -21,10 +21,6 @@ def with_legacy_scores(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("score", F.col("general_score")).withColumn("topic", F.col("primary_topic"))
 
 
-def matches_topic(topic: Column) -> Column:
-    return (F.col("primary_topic") == topic) | F.array_contains(F.coalesce("secondary_topics", F.array()), topic)
-
-
 def story_topics() -> Column:
     """The distinct topics of a story, out of the closed list, in text order."""
     named = F.concat(F.array("primary_topic"), F.coalesce("secondary_topics", F.array().cast("array<string>")))
@@ -134,7 +130,8 @@ def _walk(wants: DataFrame, entries: DataFrame, order: list[Column], allowed: Co
         if depth <= 1024:
             head = F.broadcast(head)  # at most `depth` rows of each of the few lists
         hits = waiting.join(head, "list_id").where(allowed).join(seen, ["user_id", "story_id"], "left_anti")
-        best = first_rows(hits, ["user_id", "list_id"], order, C.MAX_STORIES, rank="nth").where(F.col("nth") <= F.col("need"))
+        nth = F.row_number().over(Window.partitionBy("user_id", "list_id").orderBy(*order))
+        best = hits.withColumn("nth", nth).where(F.col("nth") <= F.col("need"))
         best = cut_lineage(best)
         filled = best.groupBy("user_id", "list_id").agg(F.count(F.lit(1)).alias("_n"))
         unfilled = waiting.join(filled, ["user_id", "list_id"], "left").where(
@@ -152,7 +149,7 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
     `users(user_id, topic_prefs, length, allowance, last_read_at,
     has_newsletter, added_topics)`, `stories(story_id, primary_topic,
     secondary_topics, topic_score, general_score, written_at)`,
-    `seen(user_id, story_id)`. A length is at most the longest preset.
+    `seen(user_id, story_id)`. Any length is filled as asked, preset or not.
 
     Readers never meet the story table: each walks the ranked lists of its own
     topics until it has `length` stories a topic, which is all it can use.
@@ -169,7 +166,7 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
     by_topic = scoped.withColumn("topic", F.explode("topics")).withColumn("list_id", F.concat_ws("/", "topic", "scope")).drop("topic", "scope")
 
     base = users.select(
-        F.col("user_id").cast("string").alias("user_id"), F.least("length", F.lit(C.MAX_STORIES)).alias("length"),
+        F.col("user_id").cast("string").alias("user_id"), "length",
         F.slice("topic_prefs", 1, F.col("allowance")).alias("entitled"),
         F.transform("topic_prefs", lambda p: p["topic"]).alias("ranked"),
         F.coalesce("added_topics", F.array().cast("array<string>")).alias("added"),

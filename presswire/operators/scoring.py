@@ -15,12 +15,8 @@ _REPLY = "score string, topic string, rationale string, confidence string"
 
 
 def _is_string(text: Column, key: str) -> Column:
-    """Whether the JSON value under a key is a string.
-
-    A string value sits right after its key in the text; anything else does
-    not start with a quotation mark.
-    """
-    return text.rlike(rf'"{key}"\s*:\s*"')
+    """Whether the JSON value under a top-level key is a string."""
+    return F.schema_of_variant(F.from_json(text, f"{key} variant")[key]) == "STRING"
 
 
 def check_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
@@ -151,10 +147,20 @@ def score_clusters(to_score: DataFrame, make_scorer: Callable[[], Callable], pro
     return done
 
 
-def settle_scores(attempts: DataFrame, cost: Column) -> DataFrame:
-    """One row per cluster: the last attempt's values and the cost of all."""
+def settle_scores(attempts: DataFrame, cost: Column, model_version: Column | None = None,
+                  prompt_version: Column | None = None, scored_at: Column | None = None) -> DataFrame:
+    """One row per cluster: the last attempt's values and the cost of all.
+
+    Model, prompt version and time stand beside every cluster that was asked
+    about, also where no reply was good and the score is NULL; the time is that
+    of the call unless given.
+    """
+    none = F.lit(None).cast("string")
+    stamps = [(none if model_version is None else model_version).alias("model_version"),
+              (none if prompt_version is None else prompt_version).alias("prompt_version"),
+              (F.current_timestamp() if scored_at is None else scored_at).alias("scored_at")]
     last = F.struct("attempt", "score", "topic", "rationale", "confidence")
     return attempts.groupBy("ingest_date", "cluster_id").agg(
         F.max(last).alias("_last"), F.sum(cost).alias("cost_usd"), F.count(F.lit(1)).alias("attempts")
     ).select("ingest_date", "cluster_id", "attempts", "cost_usd",
-             *[F.col("_last")[c].alias(c) for c in ("score", "topic", "rationale", "confidence")])
+             *[F.col("_last")[c].alias(c) for c in ("score", "topic", "rationale", "confidence")], *stamps)

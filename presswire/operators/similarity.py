@@ -1,6 +1,7 @@
 """Similarity joins: prior mentions and headline repeats."""
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,13 @@ from ..functions.vectors import dot
 _PACKED = "day date, block string, ids array<string>, matrix binary, dims int, center array<double>, radius double"
 
 
-def _cell(vectors: pd.Series) -> pd.Series:
-    """Nearest of 2k fixed random directions: near vectors mostly share one."""
+def _cell(vectors: pd.Series, slices: pd.Series) -> pd.Series:
+    """Nearest of as many fixed random directions as the day needs blocks, 64 at
+    most: near vectors mostly share one."""
     matrix = np.array(vectors.tolist(), dtype=np.float64)
     axes = np.random.default_rng(7).standard_normal((matrix.shape[1], 32))
     spun = matrix @ axes
+    spun[np.arange(32) >= np.maximum(slices.to_numpy() // 2, 1)[:, None]] = 0
     best = np.abs(spun).argmax(axis=1)
     return pd.Series(best * 2 + (spun[np.arange(len(best)), best] < 0))
 
@@ -33,11 +36,13 @@ def pack_blocks(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
     A day that fits stays one block. A larger day is cut by direction, so its
     blocks are tight and can be skipped as a whole, and by hash within one.
     """
-    per_day = rows.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_slices"))
-    sliced = rows.join(per_day, "day").withColumn(
-        "block",
-        F.when(F.col("_slices") > 1, F.concat_ws("/", _cell_udf("vector"), F.pmod(F.xxhash64("id"), F.col("_slices")))).otherwise("0"),
-    )
+    needed = F.ceil(F.count(F.lit(1)) / block_rows)
+    per_day = rows.groupBy("day").agg(needed.alias("_slices"))
+    celled = rows.join(per_day, "day").withColumn(
+        "_cell", F.when(F.col("_slices") > 1, _cell_udf("vector", "_slices")).otherwise(0)).drop("_slices")
+    per_cell = celled.groupBy("day", "_cell").agg(needed.alias("_slices"))
+    sliced = celled.join(per_cell, ["day", "_cell"]).withColumn(
+        "block", F.concat_ws("/", "_cell", F.pmod(F.xxhash64("id"), F.col("_slices"))))
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         matrix = np.array(part["vector"].tolist(), dtype=np.float32)
@@ -112,7 +117,11 @@ def prior_mentions(today: DataFrame, gold: DataFrame, published_ids: DataFrame,
     Both sides have ingest_date, cluster_id and vector; `gold` also headline
     and summary_seed. Rows are ranked newest first, then most similar.
     """
-    candidates = published_only(gold, published_ids)
+    span = today.agg(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last")).first()
+    # only the days any story looks back on are read; without a story there are none
+    in_reach = F.lit(False) if span["first"] is None else (
+        F.col("ingest_date") >= F.lit(span["first"] - timedelta(days=days))) & (F.col("ingest_date") < F.lit(span["last"]))
+    candidates = published_only(gold.where(in_reach), published_ids)
     pairs = similar_before(
         today.select(F.col("ingest_date").alias("day"), F.col("cluster_id").alias("id"), "vector"),
         candidates.select(F.col("ingest_date").alias("day"), F.col("cluster_id").alias("id"), "vector"),
@@ -125,10 +134,6 @@ def prior_mentions(today: DataFrame, gold: DataFrame, published_ids: DataFrame,
         F.col("prior_day").alias("date"), F.col("prior_id").alias("prior_cluster_id"), "summary", "similarity")
 
 
-def mention_order() -> list[Column]:
-    return [F.desc("date"), F.desc("similarity")]
-
-
 def recent_headlines(editions: DataFrame, day: Column, days: int = C.CONTINUING_COVERAGE_DAYS) -> DataFrame:
     """Headlines of ``[day - days, day)``; fallbacks and blanks carry none."""
     text = strip(F.col("headline_of_the_day"))

@@ -1,12 +1,13 @@
 """Run-log writing, table writes that survive a rerun, and quality rules."""
 
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presswire.operators import quality, runlog, similarity
+from presswire.operators import quality, runlog, scoring, similarity
 from presswire.sources import editions, tables
 
 
@@ -174,3 +175,43 @@ def test_text_behind_an_edition_and_missing_stats(spark):
     found = {r.n: r.problems for r in quality.check_editions(rows).collect()}
     assert found[0] == [] and found[1] == found[2] == found[4] == ["not_an_object"]
     assert "stats" in found[3]
+
+
+def test_blocks_of_a_crowded_day_are_few(spark):
+    rng = np.random.default_rng(3)
+    rows = [(date(2024, 5, 1), f"v{i:04}", rng.standard_normal(8).tolist()) for i in range(800)]
+    blocks = similarity.pack_blocks(spark.createDataFrame(rows, "day date, id string, vector array<double>"), 100).collect()
+    assert sum(len(b.ids) for b in blocks) == 800
+    assert len(blocks) <= 2 * 8  # eight are needed; a cell is cut in two where it holds more than its share
+
+
+def test_prior_mentions_read_only_the_days_in_reach(spark, tmp_path):
+    schema = "ingest_date date, cluster_id string, vector array<double>, headline string, summary_seed string"
+    day = date(2024, 5, 31)
+    gold = [(day - timedelta(days=n), f"c{n}", [1.0, 0.0], f"told {n}", None) for n in (0, 1, 30, 31, 400)]
+    spark.createDataFrame(gold, schema).write.partitionBy("ingest_date").parquet(str(tmp_path / "gold"))
+    stored = spark.read.schema(schema).parquet(str(tmp_path / "gold"))
+    today = spark.createDataFrame([(day, "new", [1.0, 0.0], "h", None)], schema)
+    ids = stored.select("cluster_id")
+    found = similarity.prior_mentions(today, stored, ids, threshold=0.9)
+    assert sorted(r.prior_cluster_id for r in found.collect()) == ["c1", "c30"]
+    assert "PartitionFilters: [isnotnull(ingest_date" in found._jdf.queryExecution().toString()
+    assert similarity.prior_mentions(today.where("false"), stored, ids).count() == 0
+
+
+def test_a_rationale_must_be_a_string_itself(spark):
+    good = '{"score": 5, "topic": "AI", "rationale": "why", "confidence": 0.5}'
+    inside = '{"score": 5, "topic": {"rationale": "AI"}, "rationale": 7, "confidence": 0.5}'
+    number = '{"score": 5, "topic": "AI", "rationale": 7, "confidence": 0.5}'
+    got = scoring.check_replies(spark.createDataFrame([(1, good), (2, inside), (3, number)], "k int, reply string")).collect()
+    problems = {r.k: r.problems for r in got}
+    assert problems[1] == [] and "rationale" in problems[2] and problems[3] == ["rationale"]
+
+
+def test_scores_name_their_model_also_when_null(spark):
+    rows = [(date(2024, 5, 1), "a", 1, 5, "AI", "why", 0.5), (date(2024, 5, 1), "b", 1, None, None, None, None)]
+    attempts = spark.createDataFrame(
+        rows, "ingest_date date, cluster_id string, attempt int, score int, topic string, rationale string, confidence double")
+    got = scoring.settle_scores(attempts, F.lit(0.0), F.lit("m1"), F.lit("p1"), F.lit(datetime(2024, 5, 1, 9))).collect()
+    assert {(r.cluster_id, r.score, r.model_version, r.prompt_version, r.scored_at) for r in got} == {
+        ("a", 5, "m1", "p1", datetime(2024, 5, 1, 9)), ("b", None, "m1", "p1", datetime(2024, 5, 1, 9))}

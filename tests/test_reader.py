@@ -130,3 +130,8 @@ def test_read_time_at_clock_changes(spark):
     df = spark.createDataFrame(cases, "timezone string, read_time_local string, now string, want string")
     rows = reader.next_read(df, F.col("now").cast("timestamp")).select(F.col("next_read_at").cast("string").alias("got"), "want").collect()
     assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_a_length_beyond_the_presets_is_filled(spark):
+    row = run(spark, [("AI", 3)], [story(i) for i in range(70)], length=45)
+    assert len(row.stories) == 45 and row.allocation[0].target == 45
