@@ -5,7 +5,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .. import constants as C
 
@@ -60,9 +60,9 @@ def strip_html(text: Column) -> Column:
     return unescape(drop_tags(text))
 
 
-# joins the paragraphs of a page while their entities are decoded in one call;
-# a private-use character, so no page text is taken for it
-_JOINT = "\ue000"
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape_each(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda b: None if b is None else [html.unescape(t) for t in b])
 
 
 def main_text(page: Column) -> Column:
@@ -70,8 +70,8 @@ def main_text(page: Column) -> Column:
     body = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
     # nearly every page holds an entity, so all are sent and matched once
-    flat = _unescape(F.array_join(F.transform(blocks, lambda b: F.regexp_replace(b, r"<[^>]+>", " ")), _JOINT))
-    paragraphs = F.filter(F.transform(F.split(flat, _JOINT), collapse), lambda p: p != "")
+    plain = _unescape_each(F.transform(blocks, lambda b: F.regexp_replace(b, r"<[^>]+>", " ")))
+    paragraphs = F.filter(F.transform(F.coalesce(plain, F.array().cast("array<string>")), collapse), lambda p: p != "")
     return F.array_join(paragraphs, " ")
 
 

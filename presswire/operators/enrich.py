@@ -31,17 +31,15 @@ def readable_page(pages: DataFrame, max_bytes: int = C.ENRICH_MAX_BYTES) -> Colu
     return ok
 
 
-def page_texts(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def page_texts(pages: DataFrame) -> DataFrame:
     """``(canonical_url, page_text)``, one row per URL, earliest page first.
 
-    Only pages some item asks for are parsed, each once however many items
-    link to it.
+    Pages are parsed where they are read, each once however many items link to
+    it, so that excerpts and not whole pages go through the shuffle.
     """
-    found = pages.where(readable_page(pages)).withColumn("canonical_url", clean_url(F.col("url")))
-    if wanted is not None:
-        found = found.join(wanted.select("canonical_url").distinct(), "canonical_url", "left_semi")
-    found = first_rows(found, ["canonical_url"], [F.col("page_id")])
-    return found.select("canonical_url", excerpt(main_text(F.col("html"))).alias("page_text"))
+    found = pages.where(readable_page(pages)).select(
+        clean_url(F.col("url")).alias("canonical_url"), "page_id", excerpt(main_text(F.col("html"))).alias("page_text"))
+    return first_rows(found, ["canonical_url"], [F.col("page_id")]).drop("page_id")
 
 
 def enrich_items(items: DataFrame, pages: DataFrame, **config) -> DataFrame:
@@ -52,7 +50,7 @@ def enrich_items(items: DataFrame, pages: DataFrame, **config) -> DataFrame:
     # rows with equal URLs agree on the page text, so the join is on URL alone;
     # adaptive execution splits a URL that many items share
     flagged = items.withColumn("fetched", should_fetch(F.col("body_excerpt"), F.col("canonical_url"), **config))
-    texts = page_texts(pages, flagged.where("fetched"))
+    texts = page_texts(pages)
     joined = flagged.join(texts, "canonical_url", "left")
     before = F.length(strip(F.col("body_excerpt")))
     better = F.col("fetched") & (F.length(F.coalesce("page_text", F.lit(""))) > before)

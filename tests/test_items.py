@@ -170,3 +170,23 @@ def test_cap_counts_accepted_rows_in_feed_order(spark):
     df = spark.createDataFrame(rows, "source string, position int, published_at timestamp")
     kept = items.since_and_cap(df, F.lit("2024-01-05").cast("timestamp"), {"s": 3})
     assert sorted(r.position for r in kept.collect()) == [2, 3, 4]
+
+
+def test_control_characters_of_a_url_stay_in_it(spark):
+    rows = spark.createDataFrame([("https://A.com/x\x01y/\n",), ("https://a.com/x\ny",)], "u string").select(urls.clean_url(F.col("u")).alias("c"))
+    assert [r.c for r in rows.collect()] == ["https://a.com/x\x01y", "https://a.com/xy"]
+
+
+def test_private_use_characters_of_a_page_stay_in_it(spark):
+    pages = [("<p>ab &#xE000; c</p><p> </p><p>x &amp; y</p>", "ab  c x & y"), (None, ""), ("", "")]
+    got = spark.createDataFrame(pages, "html string, want string").select(text.main_text(F.col("html")).alias("t"), "want").collect()
+    assert all(r.t == r.want for r in got)
+
+
+def test_excerpts_and_not_pages_are_shuffled(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/x", "<p>one</p>"), (2, "https://a.com/x/", "<p>two</p>")], "page_id long, url string, html string")
+    texts = enrich.page_texts(pages)
+    assert [tuple(r) for r in texts.collect()] == [("https://a.com/x", "one")]
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange"):]
+    assert "ArrowEvalPython" in below  # parsed below the exchange
