@@ -32,36 +32,43 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 PART = re.compile(r"[a-z]+")
 
 PAGE_SHARE, PAGE_LEAST = 0.3, 3    # of a host's pages that a subtree of a template is on
-INSIDE_SHARE, INSIDE_LEAST = 0.8, 10  # the same, inside the article or where none is marked
+INSIDE_SHARE, INSIDE_LEAST = 0.8, 10  # of a host's pages with such a place that a subtree inside the article is on
+HOST_SHARE = 0.001  # of a host's pages that any template is on, which bounds a host's list of them
 
 
 class _Element:
-    __slots__ = ("tag", "around", "root", "menu", "parts", "links", "size", "segments", "key")
+    __slots__ = ("tag", "around", "root", "slot", "menu", "parts", "links", "size", "segments")
 
-    def __init__(self, tag, names, around, root):
+    def __init__(self, tag, names, around, root, slot):
         self.tag, self.around, self.root = tag, around, root
+        self.slot = _hash(f"{slot}\x00{tag}\x00{names}")  # its place: tags and names from the top down
         self.parts = [tag, names]      # what the subtree's hash is made of
         self.menu = [tag, names]       # the same without texts
         self.links, self.size = 0, 0   # letters inside links, letters
         self.segments = []             # numbers of the blocks of text inside
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _around(tag: str, names: str, roles: str, inside_root: bool) -> bool:
     if tag in AROUND or roles in ROLES or tag == "header" and not inside_root:
         return True
     return tag not in ("html", "body", "main") and not NAMES.isdisjoint(PART.findall(names))
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool]:
-    """The blocks of text of a page, and whether it marks its article.
+def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool, dict[int, int]]:
+    """The blocks of text of a page, whether it marks its article, and its subtrees.
 
     A block is (text, inside the article, subtree hashes, hashes of menus);
     those of all elements around it, for subtrees that hold nothing of an
     article. Text inside elements named as not part of the article, and inside
-    scripts, styles and the like, is left out.
+    scripts, styles and the like, is left out. Each subtree hash comes with its
+    place, 0 for menus.
     """
     blocks, stack, buffer = [], [], []
-    seen_root = False
+    seen_root, subtrees = False, {}
 
     def flush():
         text = " ".join(html.unescape("".join(buffer)).split())
@@ -77,13 +84,18 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
     def close():
         flush()
         e = stack.pop()
-        key = xxhash.xxh3_64_intdigest("\x00".join(e.parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-        menu = xxhash.xxh3_64_intdigest("\x00".join(dict.fromkeys(e.menu)).encode()) - (1 << 63)
+        key, menu = _hash("\x00".join(e.parts)), _hash("\x00".join(dict.fromkeys(e.menu)))
+        plain = e.tag not in ("html", "body") and not e.root  # others are never a template
+        links = bool(e.size) and e.links >= 0.8 * e.size
         for i in e.segments:
-            if e.tag not in ("html", "body") and not e.root:  # these are never a template
+            if plain:
                 blocks[i][2].append(key)
-            if e.size and e.links >= 0.8 * e.size:
+            if links:
                 blocks[i][3].append(menu)
+        if e.segments and plain:
+            subtrees.setdefault(key, e.slot)
+        if e.segments and links:
+            subtrees.setdefault(menu, 0)
         if stack:
             up = stack[-1]
             up.parts.append(str(key))
@@ -138,11 +150,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
             around = _around(tag, names, roles, inside)
             root = not around and (tag in ("article", "main") or roles in ("main", "article"))
             seen_root = seen_root or root and not any(e.around for e in stack)
-            stack.append(_Element(tag, names, around, root))
+            stack.append(_Element(tag, names, around, root, stack[-1].slot if stack else 0))
     flush()
     while stack:
         close()
-    return [tuple(b) for b in blocks], seen_root
+    return [tuple(b) for b in blocks], seen_root, subtrees
 
 
 def _marked(attributes: str) -> bool:
@@ -183,19 +195,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Element subtrees are hashed with all they hold, and lists of links also
     without their texts. Spark counts on how many pages of a host each hash
-    occurs, pages of equal html once. A subtree on at least 30 % of them, and on
-    three, is the site's template and is deleted; inside an article element, or
-    on a page without one, subtrees only go from 80 % and ten pages, so that a
-    passage which many articles share stays. Elements named as menus, headers,
-    footers, sidebars, notices, adverts, forms or comments go on any page, and
-    where a page marks its article, so does what is outside of it.
+    occurs, pages of equal html once. On every page a subtree is deleted that is
+    on ten pages, and on 80 % of the host's pages that have an element in such a
+    place (tags, classes and ids from the top down): a box on some of a host's pages goes, a
+    passage among the paragraphs which many articles share stays. Outside of
+    articles what encloses the text also goes from three pages and 30 % of the
+    host's. Elements named as menus, headers, footers, sidebars, notices, adverts,
+    forms or comments go on any page, and at last, where a page marks its
+    article, what is outside of it. No template is on under 0.1 % of a host's pages.
 
     Returns (page_id, url, text, n_chars) per row of pages. A null or empty html
     gives an empty text. Pages without a host share no template. Rows that repeat
     and null ids are extracted like others; other columns are ignored.
     """
+    parts = ("text", "inside", "keys", "menus")
     block = "array<struct<text: string, inside: boolean, keys: array<bigint>, menus: array<bigint>>>"
-    shape = f"page_id long, url string, host string, page long, marked boolean, blocks {block}"
+    shape = (f"page_id long, url string, host string, page long, marked boolean, blocks {block}, "
+             "subtrees array<struct<key: bigint, slot: bigint>>")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,32 +221,38 @@ def main_text(pages: DataFrame) -> DataFrame:
                 found = [parse(x) for x in sources]
                 yield pd.DataFrame({
                     "page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": [_host(u) for u in part["url"]],
-                    "page": [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in sources],
-                    "marked": [m for _, m in found],
-                    "blocks": [[dict(zip(("text", "inside", "keys", "menus"), b)) for b in blocks] for blocks, _ in found]})
+                    "page": [_hash(x) for x in sources], "marked": [m for _, m, _ in found],
+                    "blocks": [[dict(zip(parts, b)) for b in blocks] for blocks, _, _ in found],
+                    "subtrees": [[{"key": k, "slot": slot} for k, slot in subtrees.items()] for _, _, subtrees in found]})
 
     rows = written(pages.select("page_id", "url", "html").mapInPandas(read, shape), "pages")
     # hashes alone are shuffled, never texts
-    hashes = rows.where("host <> ''").select("host", "page", F.array_distinct(F.concat(F.flatten("blocks.keys"), F.flatten("blocks.menus"))).alias("keys"))
-    once = hashes.dropDuplicates(["host", "page"])
+    once = rows.where("host <> ''").select("host", "page", "subtrees").dropDuplicates(["host", "page"])
     sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.where(F.col("n") >= PAGE_LEAST).join(sizes, "host").where(F.col("n") >= PAGE_SHARE * F.col("pages"))
-    everywhere = (F.col("n") >= INSIDE_LEAST) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))
-    # at most a page's hashes / PAGE_SHARE per host
-    template = common.groupBy("host").agg(F.collect_list("key").alias("outside"), F.collect_list(F.when(everywhere, F.col("key"))).alias("inside"))
+    places = once.select("host", F.explode(F.array_distinct("subtrees.slot")).alias("slot")).where("slot <> 0").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("placed"))
+    counts = once.select("host", F.inline("subtrees")).groupBy("host", "key", "slot").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("host", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "slot")).alias("top"))
+    common = whole.where(F.col("n") >= PAGE_LEAST).join(sizes, "host").where(F.col("n") >= HOST_SHARE * F.col("pages"))
+    common = common.withColumn("slot", F.col("top.slot")).join(places, ["host", "slot"], "left")
+    often = F.col("n") >= PAGE_SHARE * F.col("pages")
+    everywhere = (F.col("top.n") >= INSIDE_LEAST) & (F.col("top.n") >= INSIDE_SHARE * F.coalesce("placed", "pages"))
+    common = common.select("host", "key", often.alias("often"), everywhere.alias("everywhere")).where("often or everywhere")
+    # at most a page's hashes / HOST_SHARE per host
+    template = common.groupBy("host").agg(*[F.collect_list(F.when(F.col(x), F.col("key"))).alias(x) for x in ("often", "everywhere")])
     copies = rows.groupBy("host").agg(F.count(F.lit(1)).alias("copies"))
     template = written(copies.join(template, "host"), "templates")
     total = rows.count()
     none = F.array().cast("array<bigint>")
-    joined = join_counted(rows, template, "host", "copies", total).withColumns(
-        {"outside": F.coalesce("outside", none), "inside": F.coalesce("inside", none)})
+    joined = join_counted(rows.drop("subtrees"), template, "host", "copies", total)
+    # of a host's templates those on the page
+    held = {"often": ("keys", "menus"), "everywhere": ("keys", "menus")}
+    joined = joined.withColumns({x: F.coalesce(F.array_intersect(F.flatten(F.concat(*[F.col(f"blocks.{p}") for p in held[x]])), x), none) for x in held})
 
     def stays(b):
         mine = F.concat(b["keys"], b["menus"])
-        free = ~F.arrays_overlap(mine, F.col("inside"))
-        return F.when(F.col("marked"), b["inside"] & free).otherwise(free & ~F.arrays_overlap(b["menus"], F.col("outside")) & ~(
-            (F.size(b["keys"]) > 0) & F.arrays_overlap(F.slice(b["keys"], 2, F.greatest(F.size(b["keys"]) - 1, F.lit(0))), F.col("outside"))))
+        free = ~F.arrays_overlap(mine, F.col("everywhere"))
+        return F.when(F.col("marked"), b["inside"] & free).otherwise(free & ~F.arrays_overlap(b["menus"], F.col("often")) & ~(
+            (F.size(b["keys"]) > 0) & F.arrays_overlap(F.slice(b["keys"], 2, F.greatest(F.size(b["keys"]) - 1, F.lit(0))), F.col("often"))))
 
     text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -265,6 +265,20 @@ def test_main_text(spark):
     assert got[51].text == "" and got[52].text == "plain text" and got[53].n_chars == 0
 
 
+def test_main_text_counts_boxes_inside_articles(spark):
+    """A box on some pages of a host goes, with and without article elements; a shared paragraph stays."""
+    def page(i, tag):
+        box = "<div class='c7'><p>Spread the word</p><p>now</p></div>" if i % 2 else ""
+        shared = "<p>Quoted by many.</p>" if i % 3 == 0 else ""
+        return f"<body><{tag}><h1>Head {i}</h1><p>Story {i} tells.</p>{shared}{box}<p>End {i}.</p></{tag}></body>"
+    rows = [(i, f"http://{tag}.example/{i}", page(i, tag)) for tag in ("article", "div") for i in range(40)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 80
+    for r in got:
+        i = r.page_id
+        assert r.text == f"Head {i} Story {i} tells. " + ("Quoted by many. " if i % 3 == 0 else "") + f"End {i}."
+
+
 def test_chat_linking(spark):
     calls = spark.createDataFrame([
         (1, 0, "a", "ask", '{"turn": 0, "text": "hé"}', None), (1, 2, "b", "ask", '{"text": "x", "turn": 2.0, "more": 1}', ["a"]), (1, 4, "c", "ask", "no json", ["b", "zz"]),
