@@ -18,6 +18,7 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 BLOCKS = frozenset(("html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form "
                     "h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption").split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+TEXTUAL = frozenset("html body main p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote address summary figcaption option".split())
 KEEPERS = frozenset("ul ol menu dl table tr article section div main aside nav header footer form body blockquote".split())
 # Names of what is not the article
 AROUND = frozenset("nav footer aside form dialog menu head".split())
@@ -26,6 +27,7 @@ NAMES = frozenset(("ad ads advert adverts advertisement advertising sponsor spon
                    "breadcrumbs sidebar sidebars footer masthead notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login "
                    "share sharing social related recommended recommendations comment comments disqus replies respond widget widgets toolbar pagination pager "
                    "skip disclaimer alert").split())
+DENIED = frozenset("no not non has have with without hide hidden".split())  # a class that begins so tells of the page, not of the element
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -37,10 +39,11 @@ HOST_SHARE = 0.001  # of a host's pages that any template is on, which bounds a
 
 
 class _Element:
-    __slots__ = ("tag", "around", "root", "slot", "menu", "parts", "links", "size", "segments")
+    __slots__ = ("tag", "around", "root", "named", "slot", "menu", "parts", "links", "size", "segments")
 
     def __init__(self, tag, names, around, root, slot):
         self.tag, self.around, self.root = tag, around, root
+        self.named = _named(tag, names)
         self.slot = _hash(f"{slot}\x00{tag}\x00{names}")  # its place: tags and names from the top down
         self.parts = [tag, names]      # what the subtree's hash is made of
         self.menu = [tag, names]       # the same without texts
@@ -52,23 +55,39 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _around(tag: str, names: str, roles: str, inside_root: bool) -> bool:
-    if tag in AROUND or roles in ROLES or tag == "header" and not inside_root:
-        return True
-    return tag not in ("html", "body", "main") and not NAMES.isdisjoint(PART.findall(names))
+def _around(tag: str, roles: str, inside_root: bool) -> bool:
+    return tag in AROUND or roles in ROLES or tag == "header" and not inside_root
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool, dict[int, int]]:
+def _named(tag: str, names: str) -> int:
+    """What class and id tell: 3 if one of them is a name of what is not the article and
+    the element is no text itself, 2 if one ends in such a name, 1 if a name occurs, else 0."""
+    if NAMES.isdisjoint(PART.findall(names)):
+        return 0
+    if tag in TEXTUAL or tag not in BLOCKS:
+        return 1
+    words = names.split()
+    if any(w in NAMES for w in words):
+        return 3
+    parts = [PART.findall(w) for w in words]
+    return 2 if any(p and p[-1] in NAMES and p[0] not in DENIED for p in parts) else 1
+
+
+def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int], list[int], list[int]]], bool, dict[int, tuple[int, bool]]]:
     """The blocks of text of a page, whether it marks its article, and its subtrees.
 
-    A block is (text, inside the article, subtree hashes, hashes of menus);
-    those of all elements around it, for subtrees that hold nothing of an
-    article. Text inside elements named as not part of the article, and inside
-    scripts, styles and the like, is left out. Each subtree hash comes with its
-    place, 0 for menus.
+    A block is (text, inside the article, subtree hashes, hashes of menus, hashes
+    of names, hashes of named subtrees); those of all elements around it, for
+    subtrees that hold nothing of an article. Text inside elements whose tag or
+    role is not part of the article, and inside scripts, styles and the like, is
+    left out, and so is that of side elements with such a name as a class or
+    id. Names do not count for elements that hold half of the article's text or
+    more; where none is marked, half of the page's, unless the host has the name on
+    small ones. Each subtree hash comes with its place, that of a name being all
+    elements of the name, 0 for menus, and with whether it is a named subtree's.
     """
     blocks, stack, buffer = [], [], []
-    seen_root, subtrees = False, {}
+    seen_root, named, subtrees = False, [], {}
 
     def flush():
         text = " ".join(html.unescape("".join(buffer)).split())
@@ -76,7 +95,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
         if text and not any(e.around for e in stack):
             for e in stack:
                 e.segments.append(len(blocks))
-            blocks.append([text, any(e.root for e in stack), [], []])
+            blocks.append([text, any(e.root for e in stack), [], [], [], []])
         if text and stack:
             stack[-1].parts.append(text)
             stack[-1].size += len(text)
@@ -93,9 +112,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
             if links:
                 blocks[i][3].append(menu)
         if e.segments and plain:
-            subtrees.setdefault(key, e.slot)
+            subtrees.setdefault(key, (e.slot, False))
         if e.segments and links:
-            subtrees.setdefault(menu, 0)
+            subtrees.setdefault(menu, (0, False))
+        if e.segments and e.named:
+            named.append((e, key))
         if stack:
             up = stack[-1]
             up.parts.append(str(key))
@@ -103,6 +124,28 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
             up.links += e.links
             up.size += e.size
 
+    def judge():
+        """Use the names, now that it is known how much each element holds."""
+        weight = [len(b[0]) if b[1] or not seen_root else 0 for b in blocks]
+        gone = set()
+        for e, key in named:
+            large = 2 * sum(weight[i] for i in e.segments) >= sum(weight)
+            name, place = _hash("\x00".join(["name", *e.menu[:2]])), _hash("\x00".join(["place", *e.menu[:2]]))
+            if e.named >= 2:
+                subtrees.setdefault(place if large else name, (place, False))
+            if large and (e.named < 3 or seen_root):
+                continue
+            if e.named == 3 and not large:
+                gone.update(e.segments)
+            for i in e.segments:
+                if e.named >= 2:
+                    blocks[i][4].append(name)
+                if not large:
+                    blocks[i][5].append(key)
+            if not large:
+                subtrees[key] = (subtrees.get(key, (e.slot, False))[0], True)
+        return [tuple(b) for i, b in enumerate(blocks) if i not in gone]
+
     position, end, in_link = 0, len(page), 0
     while position < end:
         found = TOKEN.search(page, position)
@@ -147,14 +190,14 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int], list[int]]], bool
             elif buffer:
                 flush()
             inside = any(e.root for e in stack)
-            around = _around(tag, names, roles, inside)
+            around = _around(tag, roles, inside)
             root = not around and (tag in ("article", "main") or roles in ("main", "article"))
             seen_root = seen_root or root and not any(e.around for e in stack)
             stack.append(_Element(tag, names, around, root, stack[-1].slot if stack else 0))
     flush()
     while stack:
         close()
-    return [tuple(b) for b in blocks], seen_root, subtrees
+    return judge(), seen_root, subtrees
 
 
 def _marked(attributes: str) -> bool:
@@ -200,18 +243,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     place (tags, classes and ids from the top down): a box on some of a host's pages goes, a
     passage among the paragraphs which many articles share stays. Outside of
     articles what encloses the text also goes from three pages and 30 % of the
-    host's. Elements named as menus, headers, footers, sidebars, notices, adverts,
-    forms or comments go on any page, and at last, where a page marks its
+    host's. Names in classes and ids are evidence: a name alone, of a side
+    element, suffices; a class that ends in one has to be on ten pages, and on
+    a side element on 80 % of those that have it; any other needs a subtree that is
+    on three pages. Menus, headers, footers, asides
+    and forms by tag or role go on any page, and at last, where a page marks its
     article, what is outside of it. No template is on under 0.1 % of a host's pages.
 
     Returns (page_id, url, text, n_chars) per row of pages. A null or empty html
     gives an empty text. Pages without a host share no template. Rows that repeat
     and null ids are extracted like others; other columns are ignored.
     """
-    parts = ("text", "inside", "keys", "menus")
-    block = "array<struct<text: string, inside: boolean, keys: array<bigint>, menus: array<bigint>>>"
+    parts = ("text", "inside", "keys", "menus", "names", "named")
+    block = "array<struct<text: string, inside: boolean, keys: array<bigint>, menus: array<bigint>, names: array<bigint>, named: array<bigint>>>"
     shape = (f"page_id long, url string, host string, page long, marked boolean, blocks {block}, "
-             "subtrees array<struct<key: bigint, slot: bigint>>")
+             "subtrees array<struct<key: bigint, slot: bigint, named: boolean>>")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -223,34 +269,34 @@ def main_text(pages: DataFrame) -> DataFrame:
                     "page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": [_host(u) for u in part["url"]],
                     "page": [_hash(x) for x in sources], "marked": [m for _, m, _ in found],
                     "blocks": [[dict(zip(parts, b)) for b in blocks] for blocks, _, _ in found],
-                    "subtrees": [[{"key": k, "slot": slot} for k, slot in subtrees.items()] for _, _, subtrees in found]})
+                    "subtrees": [[{"key": k, "slot": slot, "named": named} for k, (slot, named) in subtrees.items()] for _, _, subtrees in found]})
 
     rows = written(pages.select("page_id", "url", "html").mapInPandas(read, shape), "pages")
     # hashes alone are shuffled, never texts
     once = rows.where("host <> ''").select("host", "page", "subtrees").dropDuplicates(["host", "page"])
     sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     places = once.select("host", F.explode(F.array_distinct("subtrees.slot")).alias("slot")).where("slot <> 0").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("placed"))
-    counts = once.select("host", F.inline("subtrees")).groupBy("host", "key", "slot").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("host", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "slot")).alias("top"))
+    counts = once.select("host", F.inline("subtrees")).groupBy("host", "key", "slot").agg(F.count(F.lit(1)).alias("n"), F.max("named").alias("named"))
+    whole = counts.groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("named").alias("named"), F.max(F.struct("n", "slot")).alias("top"))
     common = whole.where(F.col("n") >= PAGE_LEAST).join(sizes, "host").where(F.col("n") >= HOST_SHARE * F.col("pages"))
     common = common.withColumn("slot", F.col("top.slot")).join(places, ["host", "slot"], "left")
     often = F.col("n") >= PAGE_SHARE * F.col("pages")
     everywhere = (F.col("top.n") >= INSIDE_LEAST) & (F.col("top.n") >= INSIDE_SHARE * F.coalesce("placed", "pages"))
-    common = common.select("host", "key", often.alias("often"), everywhere.alias("everywhere")).where("often or everywhere")
+    common = common.select("host", "key", often.alias("often"), everywhere.alias("everywhere"), "named").where("often or everywhere or named")
     # at most a page's hashes / HOST_SHARE per host
-    template = common.groupBy("host").agg(*[F.collect_list(F.when(F.col(x), F.col("key"))).alias(x) for x in ("often", "everywhere")])
+    template = common.groupBy("host").agg(*[F.collect_list(F.when(F.col(x), F.col("key"))).alias(x) for x in ("often", "everywhere", "named")])
     copies = rows.groupBy("host").agg(F.count(F.lit(1)).alias("copies"))
     template = written(copies.join(template, "host"), "templates")
     total = rows.count()
     none = F.array().cast("array<bigint>")
     joined = join_counted(rows.drop("subtrees"), template, "host", "copies", total)
     # of a host's templates those on the page
-    held = {"often": ("keys", "menus"), "everywhere": ("keys", "menus")}
+    held = {"often": ("keys", "menus"), "everywhere": ("keys", "menus", "names"), "named": ("named",)}
     joined = joined.withColumns({x: F.coalesce(F.array_intersect(F.flatten(F.concat(*[F.col(f"blocks.{p}") for p in held[x]])), x), none) for x in held})
 
     def stays(b):
-        mine = F.concat(b["keys"], b["menus"])
-        free = ~F.arrays_overlap(mine, F.col("everywhere"))
+        mine = F.concat(b["keys"], b["menus"], b["names"])
+        free = ~F.arrays_overlap(mine, F.col("everywhere")) & ~F.arrays_overlap(b["named"], F.col("named"))
         return F.when(F.col("marked"), b["inside"] & free).otherwise(free & ~F.arrays_overlap(b["menus"], F.col("often")) & ~(
             (F.size(b["keys"]) > 0) & F.arrays_overlap(F.slice(b["keys"], 2, F.greatest(F.size(b["keys"]) - 1, F.lit(0))), F.col("often"))))
 

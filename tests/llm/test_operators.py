@@ -279,6 +279,17 @@ def test_main_text_counts_boxes_inside_articles(spark):
         assert r.text == f"Head {i} Story {i} tells. " + ("Quoted by many. " if i % 3 == 0 else "") + f"End {i}."
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content has-sidebar'><p>All of it</p></div>", "<article class='post no-comments'><p>All of it</p></article>",
+    "<article id='comment-on-x'><p>All of it</p></article>", "<div><p>All</p><div class='social-policy'>of</div><p>it</p></div>",
+    "<div class='sidebar'><article><p>All of it</p></article></div>", "<article><p class='alert'>All</p><p>of it</p></article>",
+    "<article><p>All of it</p><div class='comments'>Bad</div></article>", "<div class='sponsored'><h1>All</h1><p>of it</p><div class='ad'>Bad</div></div>"])
+def test_main_text_names_are_only_evidence(spark, page):
+    rows = [(i, f"http://names.example/{i}", f"<body>{page.replace('it', f'it{i}')}") for i in range(2)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(i, f"All of it{i}") for i in range(2)}
+
+
 def test_chat_linking(spark):
     calls = spark.createDataFrame([
         (1, 0, "a", "ask", '{"turn": 0, "text": "hé"}', None), (1, 2, "b", "ask", '{"text": "x", "turn": 2.0, "more": 1}', ["a"]), (1, 4, "c", "ask", "no json", ["b", "zz"]),
