@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest."""
+"""N-gram Jaccard join by MinHash prefixes that are shortened while links are found."""
 
 from collections.abc import Iterator
 
@@ -68,18 +68,11 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(keys_a, sets_a, keys_b, sets_b, threshold) -> np.ndarray:
-    """Which of a and b share a prefix and are as similar as wanted."""
-    meet = np.zeros((len(sets_a), len(sets_b)), bool)
-    for tree in range(keys_a.shape[1]):
-        meet |= keys_a[:, tree, None] == keys_b[None, :, tree]
-    if not meet.any():
-        return meet
-    rows, cols = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
-    shared = np.zeros(meet.shape)
-    shared[np.ix_(rows, cols)] = _overlaps([sets_a[i] for i in rows], [sets_b[j] for j in cols])
+def _linked(sets_a, sets_b, threshold) -> np.ndarray:
+    """Which of a and b are as similar as wanted."""
+    shared = _overlaps(sets_a, sets_b)
     both = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])[None, :] - shared
-    return meet & (shared >= threshold * both - 1e-9)
+    return (shared >= threshold * both - 1e-9) & (both > 0)
 
 
 def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -100,12 +93,15 @@ def _rows(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """One row per row of docs: (doc_id, node, class_id, n_links, kept), see links."""
     length = prefix_length(threshold, recall)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
-        for batch in batches:
-            words = [shingler.words(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": [Shingler.digest(w) for w in words],
-                                "keys": [prefix_keys(Shingler.shingles(w), length) for w in words]})
+    def signed_at(length: int) -> DataFrame:
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingler = Shingler()
+            for batch in batches:
+                words = [shingler.words(t) for t in batch["text"]]
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": [Shingler.digest(w) for w in words],
+                                    "keys": [prefix_keys(Shingler.shingles(w), length) for w in words]})
+
+        return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, node long, keys array<long>")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -116,10 +112,9 @@ def _rows(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         first, second = key[1].as_py(), key[2].as_py()
         node, copies, block = (rows[c].to_numpy() for c in ("node", "copies", "block"))
-        keys = np.array(rows["keys"].to_pylist(), np.int64)
         sets = [np.asarray(x.values.to_numpy()) for x in rows["shingles"]]
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        hit = _linked(keys[a], [sets[i] for i in a], keys[b], [sets[i] for i in b], threshold)
+        hit = _linked([sets[i] for i in a], [sets[i] for i in b], threshold)
         if first == second:
             hit &= ~np.eye(len(a), dtype=bool)
         count = np.zeros(len(node), np.int64)
@@ -134,40 +129,64 @@ def _rows(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
         found = count > 0
         return pa.table({"node": node[found], "links": count[found], "root": root[found]})
 
-    signed = written(docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, node long, keys array<long>"), "forest")
-    classes = written(signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "forest")
-
-    # classes that share a prefix, each linked to the first of them
-    met = written(classes.select("node", F.explode("keys").alias("key")), "forest")
-    firsts = written(met.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "forest")
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    edges = join_counted(met, firsts, "key", "n", total).where("first is not null").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = written(components(edges), "forest")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    some = max(1, near.count() // BLOCK)
-    # small groups fill blocks together, large ones are cut into blocks
-    cut = F.ceil(F.col("n") / BLOCK)
-    small = F.col("n") <= BLOCK
-    placed = near.withColumnRenamed("id", "node").join(sizes, "component").select(
-        "node", F.when(small, F.pmod(F.xxhash64("component"), F.lit(some))).otherwise(F.col("component")).alias("part"), small.alias("small"),
-        F.when(small, 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "node"), cut)).cast("int").alias("block"),
-        F.when(small, 1).otherwise(cut).cast("int").alias("blocks"))
-    wanted = written(placed.join(classes, "node"), "forest")
-
-    # the texts of one row per class; rows without an id are looked at again
-    ids = wanted.where("doc_id is not null").select("doc_id").distinct()
-    ids = F.broadcast(ids) if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    spelt = texts.select("doc_id", "text").mapInPandas(spell, "node long, shingles array<long>").dropDuplicates(["node"])
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = wanted.drop("doc_id").join(spelt, "node").select("*", every).select(
-        F.struct("small", "part").alias("part"), F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-        "node", "copies", "block", "keys", "shingles")
-    found = written(dealt.groupBy("part", "first", "second").applyInArrow(compare, "node long, links long, root long"), "forest")
+    def groups(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(id, component) of classes that share a prefix, each linked to the first of them, or that are linked already."""
+        met = written(keyed.select("node", F.explode("keys").alias("key")), "forest")
+        firsts = written(met.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "forest")
+        total = firsts.agg(F.sum("n")).first()[0] or 0
+        edges = join_counted(met, firsts, "key", "n", total).where("first is not null").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        return written(components(edges if known is None else edges.unionByName(known)), "forest")
+
+    def verify(near: DataFrame) -> DataFrame:
+        """(node, links, root) of the links among classes of a group, a row per task that finds one."""
+        sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        some = max(1, near.count() // BLOCK)
+        # small groups fill blocks together, large ones are cut into blocks
+        cut = F.ceil(F.col("n") / BLOCK)
+        small = F.col("n") <= BLOCK
+        placed = near.withColumnRenamed("id", "node").join(sizes, "component").select(
+            "node", F.when(small, F.pmod(F.xxhash64("component"), F.lit(some))).otherwise(F.col("component")).alias("part"), small.alias("small"),
+            F.when(small, 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "node"), cut)).cast("int").alias("block"),
+            F.when(small, 1).otherwise(cut).cast("int").alias("blocks"))
+        wanted = written(placed.join(classes, "node"), "forest")
+
+        # the texts of one row per class; rows without an id are looked at again
+        ids = wanted.where("doc_id is not null").select("doc_id").distinct()
+        ids = F.broadcast(ids) if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
+        texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+        spelt = texts.select("doc_id", "text").mapInPandas(spell, "node long, shingles array<long>").dropDuplicates(["node"])
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = wanted.drop("doc_id").join(spelt, "node").select("*", every).select(
+            F.struct("small", "part").alias("part"), F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+            "node", "copies", "block", "shingles")
+        return written(dealt.groupBy("part", "first", "second").applyInArrow(compare, "node long, links long, root long"), "forest")
+
+    signed = written(signed_at(length), "forest")
+    classes = written(signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "forest")
+    near = groups(signed.groupBy("node").agg(F.first("keys").alias("keys")))
+    found = verify(near)
+    # shorter prefixes bring groups together; only groups that grow are verified again
+    while length > 1:
+        length -= 1
+        known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        wider = groups(signed_at(length).groupBy("node").agg(F.first("keys").alias("keys")), known)
+        within = wider.join(near.withColumnRenamed("component", "before"), "id", "left").groupBy("component").agg(
+            F.count_distinct(F.coalesce("before", "id")).alias("n"))
+        grown = written(wider.join(within.where("n > 1"), "component", "left_semi").select("id", "component"), "forest")
+        if grown.isEmpty():
+            break
+        more = verify(grown)
+        members = grown.select(F.col("id").alias("node"))
+        had = found.join(members, "node", "left_semi").agg(F.sum("links")).first()[0] or 0
+        has = more.agg(F.sum("links")).first()[0] or 0
+        found = written(found.join(members, "node", "left_anti").unionByName(more), "forest")
+        near = wider
+        if has <= had:
+            break
 
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.drop("keys").join(degree, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
+    named = classes.join(degree, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = written(named.join(names, "component").select(
@@ -183,12 +202,14 @@ def links(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995) -> Dat
     Words are runs of letters and digits in lower case. Texts of equal word
     sequences are one class with similarity 1, compared once; texts without words
     are copies of each other. Every class has a MinHash prefix in each of 32
-    trees, cut to the length that finds a pair at the threshold with probability
-    `recall`. Classes that share a prefix are brought together: those reachable
-    over shared prefixes go to blocks of at most about 256, blocks of a larger
-    group meet two by two in tasks of their own, and each pair that shares a
-    prefix is verified exactly there. Tasks return one row per class, with the
-    number of its links, so pairs are never listed.
+    trees, at first of the length that finds a pair at the threshold with
+    probability `recall`. Classes that share a prefix are brought together: those
+    reachable over shared prefixes go to blocks of at most about 256, blocks of a
+    larger group meet two by two in tasks of their own, and every pair that meets is
+    verified exactly there and kept. Then prefixes are shortened by one value, and
+    groups that grow by it or by links are verified again, until none grows or no new
+    link is found. Tasks return one row per class, with the number of its links, so
+    pairs are never listed.
 
     Returns one row per row of docs: (doc_id, class_id, n_links, kept): class_id
     is the smallest doc_id reachable over links, n_links the number of other

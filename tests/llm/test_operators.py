@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from presswire.llm import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc
+from presswire.llm.words import Shingler
 
 DOCS = "doc_id long, text string, score double, node string, n long"
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(30_000))
@@ -64,6 +65,24 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert len(rows) == 600 and {r.class_id for r in rows} == {0} and {r.n_links for r in rows} == {599}
 
 
+def test_jaccard_goes_to_shorter_prefixes(spark):
+    """Pairs over the threshold that share no prefix of the first length are found."""
+    rng, n, rows = np.random.default_rng(9), jaccard.prefix_length(0.8, 0.995), []
+    shingler, left = Shingler(), range(4000)
+    for _ in left:
+        words = [f"v{x}" for x in rng.integers(0, 100_000, 60)]
+        texts = " ".join(words), " ".join(words[:49])
+        shingles = [Shingler.shingles(shingler.words(t)) for t in texts]
+        meet = [(jaccard.prefix_keys(shingles[0], k) == jaccard.prefix_keys(shingles[1], k)).any() for k in (n, n - 1)]
+        if meet == [False, True]:
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+        if len(rows) == 4:
+            break
+    assert len(rows) == 4
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (2, 1)}
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     rows = sorted(jaccard.links(odd).collect(), key=str)
     assert len(rows) == len(ODD)
