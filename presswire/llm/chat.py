@@ -90,24 +90,44 @@ def levels(calls: DataFrame) -> DataFrame:
     else one more than the highest level needed.
 
     `calls` has conv_id, call_id and needs, the ids of calls of that conversation.
-    A round settles all calls whose needs are settled, by a join on the call, so a
-    conversation of any size is spread over tasks; rounds are as many as the
-    longest chain. Needs that name no call are ignored; calls on a cycle, and
-    those that need them, get no level.
+    Chains of calls that need one other are followed by pointer doubling, in rounds
+    that grow with the logarithm of their length. What is left are calls that need
+    several: a round settles all whose needs are settled, and these rounds are as
+    many as the longest path of such calls. Each round is a join on the call, so a
+    conversation of any size is spread over tasks. Needs that name no call are
+    ignored; calls on a cycle, and those that need them, get no level.
     """
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
+    keys = ["conv_id", "call_id"]
+    edges = calls.select(*keys, F.explode(F.array_distinct("needs")).alias("need"))
     known = calls.select("conv_id", F.col("call_id").alias("need"))
-    waiting = written(edges.join(known, ["conv_id", "need"], "left_semi"), "calls")
-    fresh = written(calls.select("conv_id", "call_id").join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "calls")
+    edges = written(edges.join(known, ["conv_id", "need"], "left_semi"), "calls")
+    needs = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    # each call points down its chain, at last to a call with no or several needs
+    chain = written(calls.select(*keys).join(needs, keys, "left").select(
+        *keys, F.when(single, F.col("need")).otherwise(F.col("call_id")).alias("foot"), single.cast("long").alias("steps"), (~single).alias("done"), F.col("n").isNull().alias("free")), "calls")
+    settled, before = chain.where("done").count(), -1
+    while settled > before:
+        below = chain.select("conv_id", F.col("call_id").alias("foot"), F.col("foot").alias("to"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        chain = written(chain.where("not done").join(below, ["conv_id", "foot"]).select(
+            *keys, F.col("to").alias("foot"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), "free").unionByName(chain.where("done")), "calls")
+        before, settled = settled, chain.where("done").count()
+    chain = chain.where("done")
+
+    # between the feet of chains; a need without a foot stays open for good
+    feet = chain.select("conv_id", F.col("call_id").alias("need"), "foot", (F.col("steps") + 1).alias("steps"))
+    waiting = written(edges.join(needs.where("n > 1").select(*keys), keys, "left_semi").join(feet, ["conv_id", "need"], "left").select(*keys, "foot", "steps"), "calls")
+    fresh = written(chain.where("free and steps = 0").select(*keys, F.lit(0).cast("long").alias("level")), "calls")
     done = fresh
-    while not fresh.isEmpty():
-        settled = done.select("conv_id", F.col("call_id").alias("need"), F.col("level"))
-        reached = waiting.join(settled, ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
-        fresh = written(reached.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).alias("level")), "calls")
-        waiting = written(waiting.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "calls")
+    while not fresh.isEmpty() and not waiting.isEmpty():
+        at = done.select("conv_id", F.col("call_id").alias("foot"), "level")
+        reached = waiting.join(at, ["conv_id", "foot"], "left").groupBy(*keys).agg(
+            F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        fresh = written(reached.where("open = 0").select(*keys, "level"), "calls")
+        waiting = written(waiting.join(fresh.select(*keys), keys, "left_anti"), "calls")
         done = done.unionByName(fresh)
-    return done
+    done = done.select("conv_id", F.col("call_id").alias("foot"), "level")
+    return chain.join(done, ["conv_id", "foot"]).select(*keys, (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -117,7 +137,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls whose results it uses); `results` has conv_id, turn, call_id, content.
     Both are hashed on (conv_id, call_id) and joined. If an id is called twice the
     first turn counts and later calls are marked `repeated`; of several results the
-    first counts. Rows without conv_id or call_id are left out.
+    first counts and the others are rows of status `extra`. Rows without conv_id or call_id are left out.
 
     Returns one row per call: (conv_id, turn, call_id, tool, level, result_turn,
     status, problems, message). level orders the calls of a conversation so that
@@ -132,11 +152,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     asked = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "tool", "arguments")
     calls = written(calls.withColumn("nth", F.row_number().over(asked)), "calls")
     first = calls.where("nth = 1")
-    answers = results.where("conv_id is not null and call_id is not null").groupBy(*keys).agg(
-        F.min(F.struct(F.col("turn").isNull().alias("last"), F.col("turn").alias("result_turn"), F.col("content").alias("content"))).alias("answer"))
-    both = calls.join(answers, keys, "full")
+    told = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "content")
+    results = results.where("conv_id is not null and call_id is not null").select(
+        *keys, F.struct(F.col("turn").alias("result_turn"), F.col("content").alias("content")).alias("answer"), F.row_number().over(told).alias("place"))
+    results = written(results, "calls")
+    both = calls.join(results.where("place = 1").drop("place"), keys, "full").withColumn("extra", F.lit(False))
+    both = both.unionByName(results.where("place > 1").drop("place").withColumn("extra", F.lit(True)), allowMissingColumns=True)
     orphan = F.col("nth").isNull()
-    status = (F.when(orphan, "orphan").when(F.col("nth") > 1, "repeated").when(F.col("answer").isNull(), "unanswered")
+    status = (F.when(F.col("extra"), "extra").when(orphan, "orphan").when(F.col("nth") > 1, "repeated").when(F.col("answer").isNull(), "unanswered")
               .when(F.col("answer.result_turn") < F.col("turn"), "early").otherwise("linked"))
     checked = both.withColumn("status", status).withColumn("check", check_column(schemas)(F.col("tool"), F.col("arguments")))
     checked = checked.join(levels(first.select(*keys, "needs")), keys, "left")
@@ -146,7 +169,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             out = []
             for i, tool, line, text, content, s in zip(ids, tools, lines, texts, contents, status):
                 body = {"id": i, "result": None if pd.isna(content) else content, "status": s}
-                if s != "orphan":
+                if s not in ("orphan", "extra"):
                     body |= {"name": None if pd.isna(tool) else tool, "arguments": json.loads(line) if isinstance(line, str) else None if pd.isna(text) else text}
                 out.append(canonical(body))
             yield pd.Series(out)
@@ -171,14 +194,36 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user or system turn is a call of `ask` or `instruct` with its whole text; an
     assistant turn is the result of the call one turn earlier. A call needs the
-    call two turns earlier where both are among the same eight turns. Other roles are skipped.
+    call two turns earlier, if there is one. Other turns are in other_turns.
     """
     turn = F.col("turn").cast("long")
     name = lambda t: F.concat(F.lit("call-"), F.xxhash64("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    chained = (F.col("role") == "user") & (turn % 8 >= 2)
+    chained = (F.col("role") == "user") & (turn >= 2)
     body = F.struct(F.col("text"), turn.alias("turn"), F.when(chained, name(turn - 2)).alias("after"))
     calls = conversations.where(F.col("role").isin("user", "system")).select(
         "conv_id", turn.alias("turn"), name(turn).alias("call_id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("tool"),
         F.to_json(body).alias("arguments"), F.when(chained, F.array(name(turn - 2))).alias("needs"))
     results = conversations.where(F.col("role") == "assistant").select("conv_id", turn.alias("turn"), name(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that are neither call nor result as rows like those of link: of
+    status `unplaced` without conversation or number, `other` with another or no role."""
+    turn = F.col("turn").cast("long")
+    status = F.when(F.col("conv_id").isNull() | turn.isNull(), "unplaced").when(~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False)), "other")
+
+    def serialise(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for roles, texts, states in batches:
+            yield pd.Series([canonical({"role": r if isinstance(r, str) else None, "text": t if isinstance(t, str) else None, "status": s})
+                             for r, t, s in zip(roles, texts, states)], dtype=object)
+
+    rest = conversations.withColumn("status", status).where("status is not null")
+    null = lambda kind: F.lit(None).cast(kind)
+    return rest.select("conv_id", turn.alias("turn"), null("string").alias("call_id"), null("string").alias("tool"), null("int").alias("level"), null("long").alias("result_turn"),
+                       "status", F.array().cast("array<string>").alias("problems"), F.pandas_udf(serialise, "string")("role", "text", "status").alias("message"))
+
+
+def link_turns(conversations: DataFrame) -> DataFrame:
+    """link for turns read as calls and results: a row for every turn that is no linked result."""
+    return link(*turns_as_calls(conversations.where("conv_id is not null and turn is not null")), SCHEMAS).unionByName(other_turns(conversations))

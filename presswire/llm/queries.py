@@ -16,7 +16,7 @@ def query(fn):
 @query
 def op1_chat_formatting(spark, sf):
     """Turns of all conversations read as tool calls, linked, ordered and checked."""
-    return chat.link(*chat.turns_as_calls(table(spark, sf, "conversations")), chat.SCHEMAS)
+    return chat.link_turns(table(spark, sf, "conversations"))
 
 
 @query

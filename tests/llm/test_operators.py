@@ -330,3 +330,18 @@ def test_chat_query_keeps_every_turn(spark, sf):
     rows = chat.link(calls, results, chat.SCHEMAS).collect()
     assert len([r for r in rows if r.status != "orphan"]) == turns.where("role <> 'assistant'").count()
     assert all(json.loads(r.message)["status"] == r.status for r in rows)
+
+
+def test_chat_orders_long_conversations_and_keeps_odd_turns(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(80)]
+    rows += [(1, 3, "assistant", "again"), (1, 90, "tool", "x"), (1, 91, None, "y"), (1, None, "user", "z"), (None, 2, "user", "n")]
+    got = chat.link_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.level for r in got if r.status == "linked"} == {i: i // 2 for i in range(0, 80, 2)}
+    assert sorted((r.status, r.turn, r.result_turn) for r in got if r.status in ("extra", "other")) == [("extra", None, 3), ("other", 90, None), ("other", 91, None)]
+    assert sorted(json.loads(r.message)["text"] for r in got if r.status == "unplaced") == ["n", "z"] and len(got) == 45
+
+
+def test_chat_levels_of_branches_and_cycles(spark):
+    needs = {"a": [], "b": ["a"], "c": ["b"], "d": ["a", "c"], "e": ["d"], "f": ["e", "b"], "x": ["y"], "y": ["x"], "z": ["x", "a"], "s": ["s"], "g": ["gone"], "h": ["z"]}
+    calls = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv_id long, call_id string, needs array<string>")
+    assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": 0}
