@@ -28,7 +28,7 @@ def _hash(kind: str, value) -> int:
 
 def token_features(token: str) -> tuple[int, int]:
     """The word without marks, and the token's shape with runs of a kind shortened."""
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)
     return _hash("word", _OTHER.sub("", token.lower())), _hash("shape", _RUNS.sub(r"\1", shape))
 
 

@@ -184,6 +184,11 @@ def test_toxicity_and_quality_odd_rows(spark, odd, none):
         assert toxicity.keep_clean(odd, marks).columns == odd.columns
 
 
+def test_quality_shape_reads_whole_tokens():
+    assert quality.token_features("a" * 64 + "9")[1] != quality.token_features("a" * 64 + "-")[1]
+    assert quality.token_features("a" * 64 + "9")[1] == quality.token_features("ab9")[1]
+
+
 def test_ordinal_thresholds_stay_in_order():
     rows = [(np.array([g]), np.array([1.0], np.float32)) for g in (0, 1, 2) for _ in range(30)]
     model = quality.fit_ordinal(rows, np.repeat([0, 1, 2], 30))
