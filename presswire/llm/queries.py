@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc
+from . import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -72,3 +72,9 @@ def op9_warc(spark, sf):
 def op10_packing(spark, sf):
     """Length buckets and batches of all documents."""
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def op11_whitening(spark, sf):
+    """All embeddings on their first four whitened principal components."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
