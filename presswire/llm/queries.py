@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc, whitening
+from . import chat, decontamination, html, jaccard, lattice, packing, quality, repair, sharding, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -78,3 +78,9 @@ def op10_packing(spark, sf):
 def op11_whitening(spark, sf):
     """All embeddings on their first four whitened principal components."""
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_structure_repair(spark, sf):
+    """All conversations, damaged by a rule, with the cheapest edits that mend them."""
+    return repair.report(repair.damaged(table(spark, sf, "conversations")), "gone")
