@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, jaccard, lattice, packing, quality, repair, sharding, toxicity, warc, whitening
+from . import chat, credentials, decontamination, html, jaccard, lattice, packing, quality, repair, sharding, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -84,3 +84,14 @@ def op11_whitening(spark, sf):
 def op12_structure_repair(spark, sf):
     """All conversations, damaged by a rule, with the cheapest edits that mend them."""
     return repair.report(repair.damaged(table(spark, sf, "conversations")), "gone")
+
+
+@query
+def op13_secret_scans(spark, sf):
+    """Secrets of all documents: fixed shapes, and credential values that are hard to guess."""
+    found = credentials.scan(table(spark, sf, "documents"))
+    count = [F.size(F.array_compact(F.transform("base", lambda s: F.when(s["kind"] == k, 1)))).cast("long").alias(f"n_{name}") for k, name in enumerate(credentials.KINDS[:3])]
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select(
+        "doc_id", *count, F.sha2(credentials.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        credentials.joined(every).alias("spans"), F.size("added").cast("long").alias("n_guess"), "values")

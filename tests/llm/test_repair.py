@@ -155,7 +155,7 @@ def test_odd_rows(spark):
             (3, 5, "assistant", big), (4, 1, "user", "\u00a0"), (5, 0, "User", "Q?"), (6, 0, "system", "Be."), (6, 1, "user", "?"), (6, 2, "assistant", "!")]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], ROWS)
     found = as_rows(repair.report(frame))
-    assert found[1][:7] == (0, 0, 1, 0, 0, 3, "KKD") and found[2][:7] == (0, 1, 0, 0, 0, 3, "D")
+    assert found[1][:7] == (0, 0, 1, 0, 1, 3, "KKD") and found[2][:7] == (0, 1, 0, 0, 0, 3, "D")
     assert found[None][:7] == (0, 0, 1, 1, 1, 6, "DD") and found[4][3] == 1 and found[5][6] == "D"
     assert found[3][5:7] == (2, "IK") and found[6][:7] == (0, 0, 0, 0, 0, 0, "KKK")
     turns = {}
