@@ -1,6 +1,7 @@
 """Embedding, exact greedy clustering of any day size, and cluster rows."""
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from .. import constants as C
 from ..functions.text import strip
 from ..functions.urls import cluster_id
-from ..session import cut_lineage
+from ..session import cut_lineage, written
+from .blocks import BLOCK_ROWS, heads, matrices, pack_blocks, with_matrices, within_reach
+from .graph import components, roots
 from .ordering import first_rows
 
 
@@ -138,23 +141,99 @@ def _shape(out: pd.DataFrame, group) -> pd.DataFrame:
     return out
 
 
+def reachable_parts(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(id, component)`` of the vectors ``(day, id long, vector)`` of a day that are
+    linked, over any number of steps, by a cosine of threshold^2 or more.
+
+    No greedy cluster crosses such parts. An item joins where its mean dot with the
+    members is at least t times the length of their mean; as every earlier member
+    did so too, that length is at least t, so some member has a dot of t^2 or more.
+    Blocks of a day meet two by two, once, and only if near enough; a task returns
+    one link per row it connects, not the pairs.
+    """
+    least = threshold * threshold - 1e-5  # vectors are stored in single precision
+    blocks = pack_blocks(rows, block_rows)
+
+    def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                a, b = matrices(row)
+                i, j = np.nonzero(a @ b.T >= least)
+                ids = np.concatenate([row.ids, row.r_ids]).astype(np.int64)
+                names, place = np.unique(ids, return_inverse=True)
+                root = roots(place[i], place[len(a) + j], len(names))
+                moved = root != np.arange(len(names))
+                if moved.any():
+                    yield pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
+
+    pairs = heads(blocks).join(heads(blocks, "r_").withColumn("day", F.col("r_day")), "day").where(F.col("block") <= F.col("r_block")).where(within_reach(least))
+    return components(with_matrices(pairs, blocks, blocks).mapInPandas(connect, "a long, b long"))
+
+
 def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, group: str = "ingest_date",
                     piece: int = 10_000) -> DataFrame:
-    """``(group, item_id, seed_id, cluster_id, seq)`` of the sequential greedy pass.
+    """``(group, item_id, seed_id, cluster_id)`` of the sequential greedy pass.
 
     `items` has the group, item_id, canonical_url, published_at and a unit
-    vector. The pass is defined item by item, so it cannot be split freely. Each
-    group is cut into consecutive pieces of about `piece` items; piece r of all
-    groups runs in round r, in parallel, and sees only those earlier clusters
-    that some item of the piece can reach. That is exact: a cluster no item of
-    the piece is within the threshold of cannot gain its first new member, so
-    it stays as it is for the whole piece. Days of up to `piece` items, which is
-    the normal case, take one round. No task holds more than a piece and the
-    clusters near it.
+    vector. The pass is defined item by item. A group of up to `piece` items,
+    which is the normal day, is one task. A larger one falls into parts that no
+    cluster crosses (see reachable_parts), and every part runs by itself, small
+    ones several to a task. Only where a URL comes twice in such a group, so that
+    items join whatever their vectors are, or where a part is itself larger than
+    `piece`, is the group walked piece by piece (see _walked).
+    """
+    base = items.select(F.col(group).cast("string").alias("group_key"), "item_id", "canonical_url", "published_at", "vector",
+                        F.monotonically_increasing_id().alias("id"))
+    base = written(base, "items")
+    sizes = written(base.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")), "items")
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    normal = base.join(sizes.where(F.col("n") <= piece).select("group_key"), "group_key", "left_semi")
+    found = [_by_part(normal.withColumn("part", F.lit(0).cast("long")), threshold, F.col("group_key"))]
+    if (most or 0) > piece:
+        large = base.join(sizes.where(F.col("n") > piece).select("group_key"), "group_key", "left_semi")
+        forced = large.where("canonical_url is not null").groupBy("group_key", "canonical_url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_key")
+        if threshold > 0:
+            free = large.join(forced.distinct(), "group_key", "left_anti")
+            linked = reachable_parts(free.select(F.col("group_key").alias("day"), "id", "vector"), threshold).withColumnRenamed("component", "part")
+            parted = written(free.join(linked, "id", "left").withColumn("part", F.coalesce("part", "id")), "items")
+            part_sizes = parted.groupBy("group_key", "part").agg(F.count(F.lit(1)).alias("n"))
+            crowded = written(part_sizes.where(F.col("n") > piece).select("group_key").distinct(), "items")
+            small = parted.join(crowded, "group_key", "left_anti").join(part_sizes.where("n > 1").select("group_key", "part", F.lit(True).alias("shared")), ["group_key", "part"], "left")
+            # a part of one item is a cluster of its own
+            found.append(small.where("shared is null").select("group_key", "item_id", F.col("item_id").alias("seed_id")))
+            found.append(_by_part(small.where("shared").drop("shared"), threshold, F.pmod(F.xxhash64("part"), F.lit(max(1, total // piece))).cast("string")))
+            walked = large.join(crowded.unionByName(forced).distinct(), "group_key", "left_semi")
+        else:
+            walked = large
+        walked = written(walked.drop("id"), "items")
+        if not walked.isEmpty():
+            found.append(_walked(walked, threshold, piece))
+    done = reduce(DataFrame.unionByName, found)
+    kind = dict(items.dtypes)[group]
+    return done.select(F.col("group_key").cast(kind).alias(group), "item_id", "seed_id", cluster_id(F.col("seed_id")).alias("cluster_id"))
+
+
+def _by_part(rows: DataFrame, threshold: float, together: Column) -> DataFrame:
+    """The pass over every (group, part) from its first item; parts of one `together` share a task."""
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (group, _), part in batch.groupby(["group_key", "part"], dropna=False, sort=False):
+            done = _assign(part.assign(known_seq=None), _empty_state(), threshold, 0)
+            done = done[done["kind"] == "item"]
+            out.append(pd.DataFrame({"group_key": group, "item_id": done["item_id"], "seed_id": done["seed_id"]}))
+        return pd.concat(out, ignore_index=True)
+
+    return rows.withColumn("together", together).groupBy("together").applyInPandas(run, "group_key string, item_id string, seed_id string")
+
+
+def _walked(base: DataFrame, threshold: float, piece: int) -> DataFrame:
+    """Each group in consecutive pieces of about `piece` items; piece r of all groups
+    runs in round r, in parallel, and sees only those earlier clusters that some
+    item of the piece can reach. That is exact: a cluster no item of the piece is
+    within the threshold of cannot gain its first new member, so it stays as it is
+    for the whole piece. No task holds more than a piece and the clusters near it.
     """
-    spark = items.sparkSession
-    base = items.select(F.col(group).cast("string").alias("group_key"), "item_id", "canonical_url", "published_at", "vector")
-    base = cut_lineage(base)  # counted, sampled and shuffled below; the vectors are costly
+    spark = base.sparkSession
     total = base.count()
     parts = max(1, -(-total // piece), min(spark.sparkContext.defaultParallelism, max(1, total // 1000)))
     # ranges over the full order split a hot instant as well as a hot day
@@ -180,9 +259,7 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
             done = done.unionByName(_items_of(out))
             moved = _state_of(out)
             state = cut_lineage(state.join(moved, ["group_key", "seq"], "left_anti").unionByName(moved))
-    kind = dict(items.dtypes)[group]
-    return done.select(F.col("group_key").cast(kind).alias(group), "item_id", "seed_id",
-                       cluster_id(F.col("seed_id")).alias("cluster_id"), "seq")
+    return done.select("group_key", "item_id", "seed_id")
 
 
 def _empty_state() -> pd.DataFrame:
@@ -247,11 +324,6 @@ def centroids(members: DataFrame, keys: list[str], vector: str = "vector") -> Da
     return sums.groupBy(*keys).agg(mean.alias("_mean")).select(*keys, unit(F.col("_mean")).alias("centroid"))
 
 
-def cluster_members(items: DataFrame, assignments: DataFrame) -> DataFrame:
-    """One row per member with its cluster id: the form every join here uses."""
-    return items.join(assignments.select("item_id", "ingest_date", "cluster_id"), ["item_id", "ingest_date"])
-
-
 def cluster_rows(members: DataFrame) -> DataFrame:
     """Seed title and summary, member count and sorted sources per cluster.
 
@@ -280,10 +352,5 @@ def with_member_ids(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(ids, ["ingest_date", "cluster_id"])
 
 
-def members_from_rows(rows: DataFrame) -> DataFrame:
-    """Stored cluster rows back to one row per member."""
-    return rows.select("ingest_date", "cluster_id", F.explode("member_ids").alias("item_id"))
-
-
 def largest_clusters(rows: DataFrame, n: int = 15) -> DataFrame:
     return rows.orderBy(F.desc("member_count"), "cluster_id").limit(n)

@@ -7,86 +7,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .. import constants as C
 from ..functions.text import strip
 from ..functions.vectors import dot
+from .blocks import BLOCK_ROWS, heads, matrices, pack_blocks, with_matrices, within_reach
 
-_PACKED = "day date, block string, ids array<string>, matrix binary, dims int, center array<double>, radius double"
 
-
-def _cell(vectors: pd.Series, slices: pd.Series) -> pd.Series:
-    """Nearest of as many fixed random directions as the day needs blocks, 64 at
-    most: near vectors mostly share one."""
-    matrix = np.array(vectors.tolist(), dtype=np.float64)
-    axes = np.random.default_rng(7).standard_normal((matrix.shape[1], 32))
-    spun = matrix @ axes
-    spun[np.arange(32) >= np.maximum(slices.to_numpy() // 2, 1)[:, None]] = 0
-    best = np.abs(spun).argmax(axis=1)
-    return pd.Series(best * 2 + (spun[np.arange(len(best)), best] < 0))
-
-
-_cell_udf = F.pandas_udf(_cell, IntegerType())
-
-
-def pack_blocks(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
-    """Vectors of a day in blocks of about `block_rows`, one row per block.
-
-    A day that fits stays one block. A larger day is cut by direction, so its
-    blocks are tight and can be skipped as a whole, and by hash within one.
-    """
-    needed = F.ceil(F.count(F.lit(1)) / block_rows)
-    per_day = rows.groupBy("day").agg(needed.alias("_slices"))
-    celled = rows.join(per_day, "day").withColumn(
-        "_cell", F.when(F.col("_slices") > 1, _cell_udf("vector", "_slices")).otherwise(0)).drop("_slices")
-    per_cell = celled.groupBy("day", "_cell").agg(needed.alias("_slices"))
-    sliced = celled.join(per_cell, ["day", "_cell"]).withColumn(
-        "block", F.concat_ws("/", "_cell", F.pmod(F.xxhash64("id"), F.col("_slices"))))
-
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.array(part["vector"].tolist(), dtype=np.float32)
-        wide = matrix.astype(np.float64)
-        center = wide.mean(axis=0)
-        length = np.linalg.norm(center)
-        center = center / length if length else center
-        lengths = np.linalg.norm(wide, axis=1)
-        cosines = (wide @ center) / np.where(lengths == 0, 1, lengths)
-        radius = float(np.arccos(np.clip(cosines, -1, 1)).max()) if length and (lengths > 0).all() else float(np.pi)
-        return pd.DataFrame({
-            "day": [key[0]], "block": [key[1]], "ids": [part["id"].tolist()], "matrix": [matrix.tobytes()],
-            "dims": [matrix.shape[1]], "center": [center], "radius": [radius],
-        })
-
-    return sliced.select("day", "block", "id", "vector").groupBy("day", "block").applyInPandas(pack, _PACKED)
-
-
-def similar_before(left: DataFrame, right: DataFrame, threshold: float, days: int, block_rows: int = 1024) -> DataFrame:
+def similar_before(left: DataFrame, right: DataFrame, threshold: float, days: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of unit vectors at or above a cosine, with the right one dated in
     ``[left day - days, left day)``.
 
-    Inputs are ``(day date, id string, vector)``. Blocks meet by an equi-join
-    on the earlier day; two blocks whose directions are too far apart for any
-    pair are skipped by the triangle inequality, the others take one matrix
-    product each. Only pairs that pass are emitted.
+    Inputs are ``(day date, id string, vector)``. Vectors are packed in blocks of
+    near directions. First only the blocks' centers and radii meet, by an equi-join
+    on the earlier day; pairs of blocks too far apart for any pair of vectors end
+    there. For those that are left the matrices are fetched and take one product
+    each. Only pairs of vectors that pass are emitted.
     """
-    older = pack_blocks(right, block_rows).select(*[F.col(c).alias(f"r_{c}") for c in _names()])
-    # blocks of a crowded day are spread over slices, so one day is many tasks
-    slices = older.groupBy("r_day").agg(F.ceil(F.count(F.lit(1)) / 64).alias("_slices"))
-    older = older.join(slices, "r_day").withColumn("_slice", F.pmod(F.xxhash64("r_block"), F.col("_slices"))).drop("_slices")
-    newer = pack_blocks(left, block_rows).withColumn("r_day", F.explode(F.sequence(F.date_sub("day", days), F.date_sub("day", 1))))
-    newer = newer.join(slices, "r_day").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
-    meetings = newer.join(older, ["r_day", "_slice"])
+    older, newer = pack_blocks(right, block_rows), pack_blocks(left, block_rows)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        widest = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
         for batch in batches:
             for row in batch.itertuples(index=False):
-                apart = np.arccos(np.clip(np.dot(row.center, row.r_center), -1, 1))
-                if apart - row.radius - row.r_radius > widest:
-                    continue
-                a = np.frombuffer(row.matrix, dtype=np.float32).reshape(-1, row.dims).astype(np.float64)
-                b = np.frombuffer(row.r_matrix, dtype=np.float32).reshape(-1, row.dims).astype(np.float64)
+                a, b = matrices(row)
                 cosines = a @ b.T
                 i, j = np.nonzero(cosines >= threshold)
                 if len(i):
@@ -96,13 +39,15 @@ def similar_before(left: DataFrame, right: DataFrame, threshold: float, days: in
                         "similarity": cosines[i, j],
                     })
 
-    columns = ["day", "ids", "matrix", "dims", "center", "radius", "r_day", "r_ids", "r_matrix", "r_center", "r_radius"]
-    return meetings.select(*columns).mapInPandas(
+    near = blocks_before(newer, older, days).where(within_reach(threshold))
+    return with_matrices(near, newer, older).mapInPandas(
         multiply, "day date, id string, prior_day date, prior_id string, similarity double")
 
 
-def _names() -> list[str]:
-    return [part.strip().split()[0] for part in _PACKED.split(",")]
+def blocks_before(newer: DataFrame, older: DataFrame, days: int) -> DataFrame:
+    """Heads of blocks with those of the days before."""
+    looking = heads(newer).withColumn("r_day", F.explode(F.sequence(F.date_sub("day", days), F.date_sub("day", 1))))
+    return looking.join(heads(older, "r_"), "r_day")
 
 
 def published_only(clusters: DataFrame, published_ids: DataFrame) -> DataFrame:
@@ -110,6 +55,13 @@ def published_only(clusters: DataFrame, published_ids: DataFrame) -> DataFrame:
     return clusters.join(published_ids.select("cluster_id").distinct(), "cluster_id", "left_semi")
 
 
+def days_in_reach(today: DataFrame, gold: DataFrame, days: int) -> DataFrame:
+    """The rows of gold of any day that a story of today looks back on; without a story there are none."""
+    span = today.agg(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last")).first()
+    return gold.where(F.lit(False) if span["first"] is None else (
+        F.col("ingest_date") >= F.lit(span["first"] - timedelta(days=days))) & (F.col("ingest_date") < F.lit(span["last"])))
+
+
 def prior_mentions(today: DataFrame, gold: DataFrame, published_ids: DataFrame,
                    threshold: float = C.CLUSTER_THRESHOLD, days: int = C.PRIOR_MENTION_DAYS) -> DataFrame:
     """Earlier published coverage of each story.
@@ -117,11 +69,7 @@ def prior_mentions(today: DataFrame, gold: DataFrame, published_ids: DataFrame,
     Both sides have ingest_date, cluster_id and vector; `gold` also headline
     and summary_seed. Rows are ranked newest first, then most similar.
     """
-    span = today.agg(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last")).first()
-    # only the days any story looks back on are read; without a story there are none
-    in_reach = F.lit(False) if span["first"] is None else (
-        F.col("ingest_date") >= F.lit(span["first"] - timedelta(days=days))) & (F.col("ingest_date") < F.lit(span["last"]))
-    candidates = published_only(gold.where(in_reach), published_ids)
+    candidates = published_only(days_in_reach(today, gold, days), published_ids)
     pairs = similar_before(
         today.select(F.col("ingest_date").alias("day"), F.col("cluster_id").alias("id"), "vector"),
         candidates.select(F.col("ingest_date").alias("day"), F.col("cluster_id").alias("id"), "vector"),

@@ -2,9 +2,10 @@
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. The UTC zone is needed for right results; the rest are
 # what a large cluster wants and are harmless on a small one.
@@ -68,3 +69,19 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder in the cluster's shared place, removed when the session ends."""
+    path = f"{shared_dir(spark)}/presswire-{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """Cut lineage with a table in the shared folder. Other than on a checkpoint, later
+    reads take only the columns and rows they ask for."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presswire.operators import cluster
+from presswire.operators import cluster, graph
 
 SCHEMA = "ingest_date date, item_id string, canonical_url string, published_at timestamp, vector array<double>"
 
@@ -60,6 +60,51 @@ def test_matches_the_loop(spark, piece, noise, threshold, urls):
     assert all(r.cluster_id == hashlib.sha256(r.seed_id.encode()).hexdigest()[:32] for r in out)
 
 
+def test_parts_match_the_loop_on_random_days(spark, monkeypatch):
+    """400 days too large for a task, each in parts that no cluster crosses; no rounds."""
+    monkeypatch.setattr(cluster, "_walked", None)
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(400):
+        centers = rng.standard_normal((6, 5))
+        for i in range(12):
+            v = centers[rng.integers(6)] + rng.choice([0.2, 0.5]) * rng.standard_normal(5)
+            v = (v / np.linalg.norm(v)).astype(np.float32).astype(float)
+            rows.append((date(2020, 1, 1) + timedelta(days=n), f"{n}-{rng.integers(10**9)}", f"u{n}-{i}", datetime(2024, 1, 1, 0, int(rng.integers(30))), v.tolist()))
+    want = {}
+    for n in range(400):
+        want |= loop(rows[12 * n:12 * n + 12], 0.9)
+    out = cluster.greedy_clusters(spark.createDataFrame(rows, SCHEMA), 0.9, piece=11)
+    assert {r.item_id: r.seed_id for r in out.collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_parts_and_urls_and_a_crowded_part(spark):
+    """A day in parts, a day with a URL twice, and one whose part is larger than a task's share."""
+    free = make(60, 8, 25, 0.2, 21)
+    urls = [(date(2024, 1, 2), f"b{r[1]}", "same" if i in (3, 40) else r[2], *r[3:]) for i, r in enumerate(make(50, 8, 20, 0.2, 22))]
+    crowd = [(date(2024, 1, 3), f"c{r[1]}", *r[2:]) for r in make(50, 4, 2, 0.2, 23)]
+    got = {r.item_id: r.seed_id for r in cluster.greedy_clusters(spark.createDataFrame(free + urls + crowd, SCHEMA), 0.8, piece=20).collect()}
+    assert got == loop(free, 0.8) | loop(urls, 0.8) | loop(crowd, 0.8)
+
+
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_components(spark, one_task):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (7, 7)]
+    names = {}
+    for a, b in links:
+        if a != b:
+            names.setdefault(a, a), names.setdefault(b, b)
+    for _ in range(200):
+        for a, b in links:
+            if a != b:
+                names[a] = names[b] = min(names[a], names[b])
+    found = graph.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()
+    assert len(found) == len(names) and {r.id: r.component for r in found} == names
+    assert graph.components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+
+
 def angle(degrees):
     return [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
 

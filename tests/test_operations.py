@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from presswire.operators import blocks as blocks_of
 from presswire.operators import quality, runlog, scoring, similarity
 from presswire.sources import editions, tables
 
@@ -180,11 +181,32 @@ def test_text_behind_an_edition_and_missing_stats(spark):
 def test_blocks_of_a_crowded_day_are_few(spark):
     rng = np.random.default_rng(3)
     rows = [(date(2024, 5, 1), f"v{i:04}", rng.standard_normal(8).tolist()) for i in range(800)]
-    blocks = similarity.pack_blocks(spark.createDataFrame(rows, "day date, id string, vector array<double>"), 100).collect()
+    blocks = blocks_of.pack_blocks(spark.createDataFrame(rows, "day date, id string, vector array<double>"), 100).collect()
     assert sum(len(b.ids) for b in blocks) == 800
     assert len(blocks) <= 2 * 8  # eight are needed; a cell is cut in two where it holds more than its share
 
 
+def test_most_block_pairs_end_before_their_matrices(spark):
+    """Two days of 60 topics in 40 directions: centers decide, matrices of near blocks alone are fetched."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((60, 48))
+    def day_of(day, n):
+        v = base[rng.integers(60, size=n)] + 0.15 * rng.standard_normal((n, 48))
+        return [(day, f"{day.day}-{i}", (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)]
+
+    old, new = day_of(date(2024, 5, 1), 1500), day_of(date(2024, 5, 2), 1500)
+    schema = "day date, id string, vector array<double>"
+    left, right = spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)
+    newer, older = blocks_of.pack_blocks(left, 25), blocks_of.pack_blocks(right, 25)
+    pairs = similarity.blocks_before(newer, older, 30)
+    near = pairs.where(blocks_of.within_reach(0.82))
+    assert near.count() < 0.2 * pairs.count()
+    assert "matrix" not in near._jdf.queryExecution().executedPlan().toString()
+    found = {(r.id, r.prior_id) for r in similarity.similar_before(left, right, 0.82, 30, 25).collect()}
+    cosines = np.array([r[2] for r in new]) @ np.array([r[2] for r in old]).T
+    assert found == {(new[i][1], old[j][1]) for i, j in zip(*np.nonzero(cosines >= 0.82))} and len(found) > 10_000
+
+
 def test_prior_mentions_read_only_the_days_in_reach(spark, tmp_path):
     schema = "ingest_date date, cluster_id string, vector array<double>, headline string, summary_seed string"
     day = date(2024, 5, 31)
@@ -195,7 +217,7 @@ def test_prior_mentions_read_only_the_days_in_reach(spark, tmp_path):
     ids = stored.select("cluster_id")
     found = similarity.prior_mentions(today, stored, ids, threshold=0.9)
     assert sorted(r.prior_cluster_id for r in found.collect()) == ["c1", "c30"]
-    assert "PartitionFilters: [isnotnull(ingest_date" in found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(ingest_date" in similarity.days_in_reach(today, stored, 30)._jdf.queryExecution().toString()
     assert similarity.prior_mentions(today.where("false"), stored, ids).count() == 0
 
 
