@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import comb, inf, log2
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ TAIL = ".!?:)]}"
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 24   # letters of a word
-MEMO_WORDS = 200_000        # words a task counts before it hands them on
+FILTER_BITS = 2**24
 LEAST_BITS = log2(10**10)   # guesses from which a value is a secret
 
 CHOICE = log2(5)            # which of the five kinds of span comes next
@@ -141,7 +143,7 @@ def _walk_ends(value: str, i: int) -> Iterator[tuple[int, float]]:
 
 def guess_bits(value: str, words: dict[str, float]) -> float:
     """log2 of the guesses for a value, the least over all ways to cut it into words,
-    dates, repeats, keyboard walks and spans tried letter by letter. words: log2 of a word's rank."""
+    dates, repeats, keyboard walks and spans tried letter by letter. words: log2 of what a word takes."""
 
     @lru_cache(maxsize=4096)
     def unit_bits(unit: str) -> float:
@@ -195,25 +197,32 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(base, span), pa.array(values, value)], ["row", "doc_id", "base", "values"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words outside values, so that a value is no word because it stands there itself."""
-    counts: Counter[str] = Counter()
+def _slots(word: str) -> tuple[int, int]:
+    """Where the filter marks a word: the two halves of the hash that Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h >> 32 & FILTER_BITS - 1, h & FILTER_BITS - 1
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            text, at, parts = text or "", 0, []
-            for start, end in context_values(text):
-                parts.append(text[at:start])
-                at = end
-            counts.update(WORD.findall(" ".join([*parts, text[at:]]).lower()))
-            if len(counts) > MEMO_WORDS:
-                yield flush()
-    yield flush()
+def _counted(marks: bytes):
+    """Counts of the words that the filter lets through, and under no word that of all.
+    Values are left out, so that one is no word because it stands there itself."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.frombuffer(marks, np.uint64)
+        total = 0
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column("text").to_pylist():
+                text, at, parts = text or "", 0, []
+                for start, end in context_values(text):
+                    parts.append(text[at:start])
+                    at = end
+                counts.update(WORD.findall(" ".join([*parts, text[at:]]).lower()))
+            total += counts.total()
+            names = [w for w in counts if all(int(asked[slot >> 6]) >> (slot & 63) & 1 for slot in _slots(w))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[w] for w in names], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([total], pa.int64())], ["word", "n"])
+
+    return counted
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,25 +241,31 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(bits, pa.float64())], ["name", "bits"])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, rank): words of 3 to 24 letters of all texts, small, outside credential
-    values; rank is log2 of how many words are as frequent or more, counts taken by powers of two."""
-    counts = docs.select("text").mapInArrow(_counted, "word string, n long").where(F.length("word").between(SHORTEST, LONGEST))
-    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")), "words").withColumn("level", F.length(F.bin("n")))
-    levels = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # 63 at most
-    ranks = {level: log2(sum(n for other, n in levels.items() if other >= level)) for level in levels}
-    rank = F.coalesce(*[F.when(F.col("level") == level, F.lit(bits)) for level, bits in ranks.items()]) if ranks else F.lit(0.0)
-    return counts.select("word", "n", rank.alias("rank"))
+def word_costs(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n, rank) of those of the distinct words (word) that occur in texts, in small
+    letters, outside credential values; rank is log2 of one in how many words of
+    all texts is this one. Tasks count only what a filter of the words, a bitmap of
+    2 MB however many they are, lets through; the join is exact."""
+    h = F.xxhash64("word")
+    slots = words.select(F.explode(F.array(F.shiftrightunsigned(h, 32), h)).alias("h")).select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    marked = slots.select(F.shiftright("slot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2^18 rows at most
+    marks = np.zeros(FILTER_BITS // 64, np.int64)
+    marks[marked["at"]] = marked["bits"]
+    counts = written(docs.select("text").mapInArrow(_counted(marks.tobytes()), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 1
+    return counts.join(words, "word").select("word", "n", F.log2(F.lit(float(total)) / F.col("n")).alias("rank"))
 
 
 def _named(value):
     return F.unhex(F.sha2(F.col(value).cast("binary"), 256)).alias("name")
 
 
-def value_bits(values: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, bits) of distinct values, by the words of word_counts; name is a value's SHA-256."""
+def value_bits(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, bits) of distinct values, by the words of the texts; name is a value's SHA-256."""
     candidates = written(values.select("value").mapInArrow(_candidates, "name binary, word string"), "candidates")
-    known = written(candidates.groupBy("word").agg(F.count(F.lit(1)).alias("times")).join(words, "word").select("word", "times", "rank"), "candidates")
+    asked = written(candidates.groupBy("word").agg(F.count(F.lit(1)).alias("times")), "candidates")
+    known = written(word_costs(docs, asked.select("word")).join(asked, "word").select("word", "times", "rank"), "candidates")
     total = known.agg(F.sum("times")).first()[0] or 0
     met = join_counted(candidates, known, "word", "times", total).where("rank is not null")
     lists = met.groupBy("name").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
@@ -263,8 +278,7 @@ def scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
     Fixed shapes are taken as they are. Besides, whatever stands where a credential's
     value does (`password is ..`, `api-key => ..`, in quotes or not) is cut at the least
     cost into words, dates, repeats, keyboard walks and spans tried letter by letter;
-    words are those of all texts, ranked by frequency, so a value of usual words is
-    cheap. Values that take `least_bits` or more, and overlap no fixed shape, are spans
+    words are those of all texts, by frequency, so a value of usual words is cheap. Values that take `least_bits` or more, and overlap no fixed shape, are spans
     of kind guess. A value's words are found by joining its substrings to the counted
     words, once per distinct value; no list of words is broadcast.
 
@@ -281,7 +295,7 @@ def scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
     places = values.select("row", _named("v.value"), "v.start", "v.end", apart.alias("apart"))
     distinct = written(values.groupBy("v.value").agg(F.count(F.lit(1)).alias("n")), "secrets")
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    bits = value_bits(distinct.select("value"), word_counts(docs))
+    bits = value_bits(distinct.select("value"), docs)
     costed = written(distinct.select(_named("value"), "n").join(bits, "name"), "secrets")
     told = join_counted(places, costed, "name", "n", total)
     added = F.sort_array(F.collect_list(F.when(F.col("apart") & (F.col("bits") >= least_bits), F.struct("start", F.lit(3).alias("kind"), "end"))))

@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-from collections import Counter
 from math import log2
 
 import pytest
@@ -99,8 +98,12 @@ def test_words_make_values_cheap(spark):
     assert found[102].values[0].start == 16 and len(found) == len(rows)
     alone = {r.doc_id: r for r in credentials.scan(frame.where("doc_id <> 104")).collect()}
     assert [tuple(s) for s in alone[103].added] == [(10, 3, 20)]
-    counts = Counter({r.word: r.n for r in credentials.word_counts(frame).collect()})
-    assert counts["nightingale"] == 20 and counts["incorrect"] == 20 and counts["kxvqzjwpyf"] == 1 and counts["the"] == 21
+    wanted = spark.createDataFrame([(w,) for w in ("nightingale", "incorrect", "kxvqzjwpyf", "the", "nowhere")], "word string")
+    counts = {r.word: (r.n, r.rank) for r in credentials.word_costs(frame, wanted).collect()}
+    texts = " ".join(r[1] for r in rows).lower().replace("is incorrect", "is").replace("= \"nightingale incorrect\"", "").replace("zq8#vvtr!x29", "").replace("=> kxvqzjwpyf", "")
+    total = len(re.findall(r"[^\W\d_]+", texts))
+    assert {w: n for w, (n, _) in counts.items()} == {"nightingale": 20, "incorrect": 20, "kxvqzjwpyf": 1, "the": 21}
+    assert counts["the"][1] == pytest.approx(log2(total / 21))
 
 
 def test_odd_documents(spark):
