@@ -111,13 +111,38 @@ def _(spark, sf):
     return contexts.withColumn("_m", told).select("cluster_id", F.md5(edition.candidate_block(F.col("_m"))).alias("block_md5"))
 
 
-@query("greedy_clusters")
+def _greedy_sql(threshold, days):
+    """The pass item by item: a row per step, with the clusters so far and what each adds up to."""
+    return f"""WITH RECURSIVE v AS (SELECT DATE '2024-01-01' + CAST(vec_id % {days} AS INTEGER) AS day, md5(CAST(vec_id AS VARCHAR)) AS item_id, CAST(embedding AS DOUBLE[]) AS e,
+    row_number() OVER (PARTITION BY vec_id % {days} ORDER BY vec_id) AS i FROM embeddings),
+  walk AS (
+    SELECT DISTINCT day, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(seed VARCHAR, total DOUBLE[])[]) AS clusters, CAST(NULL AS VARCHAR) AS item_id, CAST(NULL AS VARCHAR) AS seed FROM v
+    UNION ALL
+    SELECT day, i, CASE WHEN home IS NULL THEN list_append(clusters, {{'seed': item_id, 'total': e}})
+        ELSE list_transform(clusters, lambda c, j: CASE WHEN j = home THEN {{'seed': c.seed, 'total': list_transform(list_zip(c.total, e), lambda z: z[1] + z[2])}} ELSE c END) END,
+      item_id, CASE WHEN home IS NULL THEN item_id ELSE clusters[home].seed END
+    FROM (SELECT *, CASE WHEN len(scores) > 0 AND list_max(scores) >= {threshold} THEN len(scores) + 1 - list_position(list_reverse(scores), list_max(scores)) END AS home
+          FROM (SELECT w.day, v.i, w.clusters, v.item_id, v.e, list_transform(w.clusters, lambda c: list_dot_product(c.total, v.e) / sqrt(list_dot_product(c.total, c.total))) AS scores
+                FROM walk w JOIN v ON v.day = w.day AND v.i = w.i + 1)))
+  SELECT CAST(day AS VARCHAR) AS ingest_date, item_id, substr(sha256(seed), 1, 32) AS cluster_id FROM walk WHERE i > 0"""
+
+
+def _vector_items(spark, sf, days):
+    n = F.col("vec_id")
+    return table(spark, sf, "embeddings").select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (n % days).cast("int")).alias("ingest_date"), F.md5(n.cast("string")).alias("item_id"),
+        n.cast("string").alias("canonical_url"), F.timestamp_seconds(n * 60).alias("published_at"), F.col("embedding").alias("vector"))
+
+
+@query("greedy_clusters", _greedy_sql(0.3, 4))
+def _(spark, sf):
+    return plain(cluster.greedy_clusters(_vector_items(spark, sf, 4), threshold=0.3).select("ingest_date", "item_id", "cluster_id"))
+
+
+@query("greedy_parts", _greedy_sql(0.62, 2))
 def _(spark, sf):
-    v = table(spark, sf, "embeddings")
-    items = v.select(
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 4).cast("int")).alias("ingest_date"), F.md5(F.col("vec_id").cast("string")).alias("item_id"),
-        F.col("vec_id").cast("string").alias("canonical_url"), F.timestamp_seconds(F.col("vec_id") * 60).alias("published_at"), F.col("embedding").alias("vector"))
-    return plain(cluster.greedy_clusters(items, threshold=0.3).select("ingest_date", "item_id", "cluster_id"))
+    # two crowded days, each in parts that no cluster crosses
+    return plain(cluster.greedy_clusters(_vector_items(spark, sf, 2), threshold=0.62, piece=100).select("ingest_date", "item_id", "cluster_id"))
 
 
 @query("centroids", """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2)
