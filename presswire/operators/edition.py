@@ -83,10 +83,7 @@ def excerpt_block(members: Column) -> Column:
     """Grounding text of a story for the writer prompt."""
     def block(m: Column) -> Column:
         text = F.replace(strip(F.substring(m["body_excerpt"], 1, C.EXCERPT_CHARS)), F.lit("\n"), F.lit(" "))
-        return F.concat(
-            F.lit("["), m["source"], F.lit("] "), m["title"], F.lit("\n  url: "), m["canonical_url"],
-            F.lit("\n  excerpt: "), F.when(text != "", text).otherwise("(none available)"),
-        )
+        return F.concat(m["source"], F.lit(" | "), m["title"], F.lit("\n<"), m["canonical_url"], F.lit(">\n"), F.when(text != "", text).otherwise("(no text)"))
 
     return F.array_join(F.transform(F.slice(members, 1, C.EXCERPT_MEMBERS), block), "\n")
 
@@ -99,15 +96,14 @@ def candidate_block(mentions: Column) -> Column:
 
     def line(m: Column) -> Column:
         told = F.substring(F.replace(strip(m["summary"]), F.lit("\n"), F.lit(" ")), 1, C.CANDIDATE_MENTION_CHARS)
-        return F.concat(F.lit("  prior_coverage: "), m["date"].cast("string"), F.lit(": "), told)
+        return F.concat(F.lit("- told on "), m["date"].cast("string"), F.lit(": "), told)
 
     return F.concat(
-        F.lit("cluster_id: "), F.col("cluster_id"),
-        F.lit("\n  topic: "), F.coalesce(F.col("topic"), F.lit("None")),
-        F.lit("\n  score: "), F.col("score").cast("string"), F.lit("  ("), F.coalesce(F.col("rationale"), F.lit("None")), F.lit(")"),
-        F.lit("\n  sources ("), F.col("member_count").cast("string"), F.lit("): "), names,
-        F.lit("\n  headline: "), F.col("headline"),
-        F.when(text != "", F.concat(F.lit("\n  excerpt: "), text)).otherwise(""),
+        F.lit("story "), F.col("cluster_id"), F.lit(": "), F.col("headline"),
+        F.lit("\n- rated "), F.col("score").cast("string"), F.lit(" in "), F.coalesce(F.col("topic"), F.lit("no topic")),
+        F.lit(", because: "), F.coalesce(F.col("rationale"), F.lit("not said")),
+        F.lit("\n- told by "), F.col("member_count").cast("string"), F.lit(" items of "), names,
+        F.when(text != "", F.concat(F.lit("\n- begins: "), text)).otherwise(""),
         F.coalesce(F.concat(F.lit("\n"), F.array_join(F.transform(mentions, line), "\n")), F.lit("")),
     )
 

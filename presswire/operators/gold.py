@@ -7,7 +7,7 @@ from ..functions.dates import date_long, date_short, duration, feed_date, month_
 from ..functions.text import topic_slug
 from ..sources.editions import parse_edition
 
-FALLBACK_TITLE = "Abbreviated edition"
+FALLBACK_TITLE = "Short edition"
 
 
 def parsed_editions(editions: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.strict import lax_whole, list_of, lone_object, object_of, shape_problems, text_value, whole_value
 from ..functions.text import SPACES, casefold, strip
-from ..sources.editions import lone_object, parse_edition
+from ..sources.editions import EDITION_SCHEMA
 
 
 def _rules(rules: dict[str, Column]) -> Column:
@@ -32,17 +33,33 @@ def _repeats(values: Column) -> Column:
     return F.size(F.array_distinct(values)) != F.size(values)
 
 
-def _extra_keys(text: Column, allowed: list[str]) -> Column:
-    return F.size(F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in allowed]))) > 0
-
-
-_COMMON = ["date", "edition_number", "edition_type"]
-_FULL_KEYS = _COMMON + ["headline_of_the_day", "headline_cluster_id", "headline_rationale", "key_points",
-                        "audio", "sections", "briefly", "stats"]
-_FALLBACK_KEYS = _COMMON + ["notice", "stories"]
-
-
-def _full_rules(text: Column, e: Column) -> dict[str, Column]:
+# The documents as the record and the curation stage know them: every key, no other.
+_SOURCE = object_of(name=text_value(), url=text_value())
+_QUOTE = object_of(nullable=True, text=text_value(), attribution=text_value(), source_url=text_value())
+_ARTICLE = object_of(nullable=True, background=text_value(), what_happened=text_value(), why_it_matters=text_value(), quote=_QUOTE)
+_STORY = object_of(cluster_id=text_value(), slug=text_value(), title=text_value(), summary=text_value(), score=whole_value(),
+                   sources=list_of(_SOURCE), article=_ARTICLE)
+_POINT = object_of(text=text_value(), topic=text_value())
+_HEAD = {"date": text_value(), "edition_number": whole_value(), "edition_type": text_value()}
+FULL_SHAPE = object_of(
+    **_HEAD, headline_of_the_day=text_value(), headline_cluster_id=text_value(nullable=True), headline_rationale=text_value(nullable=True),
+    key_points=list_of(_POINT), audio=object_of(nullable=True, url=text_value(), duration_seconds=whole_value(), size_bytes=whole_value()),
+    sections=list_of(object_of(name=text_value(), stories=list_of(_STORY))),
+    briefly=list_of(object_of(cluster_id=text_value(), title=text_value(), url=text_value(), topic=text_value()), optional=True),
+    stats=object_of(**{c: whole_value() for c in ("items_ingested", "clusters_considered", "stories_run", "sources", "sections_held")}))
+FALLBACK_SHAPE = object_of(
+    **_HEAD, notice=text_value(),
+    stories=list_of(object_of(rank=whole_value(), title=text_value(), score=whole_value(), url=text_value(), source=text_value()), optional=True))
+CURATION_SHAPE = object_of(
+    headline_of_the_day=text_value(), headline_cluster_id=text_value(), headline_rationale=text_value(), key_points=list_of(_POINT),
+    sections=list_of(object_of(name=text_value(), stories=list_of(object_of(cluster_id=text_value(), title=text_value(), summary=text_value())))),
+    briefly=list_of(text_value(), optional=True))
+
+# whole numbers are read as written and taken by lax_whole
+_AS_WRITTEN = EDITION_SCHEMA.replace(": int", ": string").replace("edition_number int", "edition_number string")
+
+
+def _full_rules(e: Column) -> dict[str, Column]:
     points, sections, briefly = e["key_points"], e["sections"], F.coalesce(e["briefly"], F.array())
     names = F.transform(sections, lambda s: s["name"])
     stories = F.flatten(F.transform(sections, lambda s: s["stories"]))
@@ -56,7 +73,6 @@ def _full_rules(text: Column, e: Column) -> dict[str, Column]:
     kind = e["edition_type"]
     stats = e["stats"]
     return {
-        "extra_key": _extra_keys(text, _FULL_KEYS),
         "headline_empty": _blank(e["headline_of_the_day"]),
         "headline_em_dash": _dashed(e["headline_of_the_day"]),
         "rationale_too_long": F.coalesce(F.length(e["headline_rationale"]) > C.RATIONALE_MAX_CHARS, F.lit(False)),
@@ -79,7 +95,7 @@ def _full_rules(text: Column, e: Column) -> dict[str, Column]:
         "slug_pattern": _some(stories, lambda s: ~F.coalesce(s["slug"].rlike(C.SLUG_PATTERN), F.lit(False))),
         "story_text_empty": _some(stories, lambda s: _blank(s["title"]) | _blank(s["summary"])),
         "story_em_dash": _some(stories, lambda s: _dashed(s["title"]) | _dashed(s["summary"])),
-        "story_score": _some(stories, lambda s: ~F.coalesce(s["score"].between(1, 10), F.lit(False))),
+        "story_score": _some(stories, lambda s: ~F.coalesce(lax_whole(s["score"]).between(1, 10), F.lit(False))),
         "story_sources": _some(stories, lambda s: F.coalesce(F.size(s["sources"]), F.lit(0)) <= 0),
         "source_empty": _some(stories, lambda s: _some(s["sources"], lambda x: _blank(x["name"]) | _blank(x["url"]))),
         "article_empty": _some(stories, lambda s: s["article"].isNotNull() & (
@@ -97,47 +113,51 @@ def _full_rules(text: Column, e: Column) -> dict[str, Column]:
         "briefly_topic": _some(briefly, lambda b: ~in_vocabulary(b["topic"], [])),
         "briefly_repeats_story": _some(briefly, lambda b: F.array_contains(titles, casefold(strip(b["title"])))),
         "audio": e["audio"].isNotNull() & (_blank(e["audio"]["url"]) | ~F.coalesce(
-            (e["audio"]["duration_seconds"] > 0) & (e["audio"]["size_bytes"] > 0), F.lit(False))),
-        "stats": ~F.forall(F.array(*[stats[c] for c in (
+            (lax_whole(e["audio"]["duration_seconds"]) > 0) & (lax_whole(e["audio"]["size_bytes"]) > 0), F.lit(False))),
+        "stats": ~F.forall(F.array(*[lax_whole(stats[c]) for c in (
             "items_ingested", "clusters_considered", "stories_run", "sources", "sections_held")]), lambda n: n.isNotNull() & (n >= 0)),
     }
 
 
-def _fallback_rules(text: Column, e: Column) -> dict[str, Column]:
+def _fallback_rules(e: Column) -> dict[str, Column]:
     stories = F.coalesce(e["stories"], F.array())
-    ranks = F.transform(stories, lambda s: s["rank"])
-    scores = F.transform(stories, lambda s: s["score"])
+    ranks = F.transform(stories, lambda s: lax_whole(s["rank"]))
+    scores = F.transform(stories, lambda s: lax_whole(s["score"]))
     n = F.size(stories)
     expected = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return {
-        "extra_key": _extra_keys(text, _FALLBACK_KEYS),
         "notice_empty": _blank(e["notice"]),
         "notice_em_dash": _dashed(e["notice"]),
         "too_many_stories": n > C.FALLBACK_STORIES,
         "ranks": ranks != expected,
         "score_order": scores != F.sort_array(scores, asc=False),
-        "story_score": _some(stories, lambda s: ~F.coalesce(s["score"].between(1, 10), F.lit(False))),
+        "story_score": _some(stories, lambda s: ~F.coalesce(lax_whole(s["score"]).between(1, 10), F.lit(False))),
         "story_text_empty": _some(stories, lambda s: _blank(s["title"]) | _blank(s["url"]) | _blank(s["source"])),
         "story_em_dash": _some(stories, lambda s: _dashed(s["title"])),
     }
 
 
 def check_editions(texts: DataFrame, text: str = "edition_json") -> DataFrame:
-    """Adds ``problems``: the broken rules of each edition, empty when valid."""
-    raw = F.col(text)
-    checked = texts.withColumn("_e", parse_edition(raw))
-    e = F.col("_e")
+    """Adds ``problems`` of each edition, empty when valid: departures from its shape at
+    any depth, or else the rules it breaks."""
+    checked = texts.withColumn("_raw", lone_object(F.col(text))).withColumn("_e", F.from_json("_raw", _AS_WRITTEN))
+    raw, e = F.col("_raw"), F.col("_e")
     base = {
         "date": ~e["date"].rlike(C.DATE_PATTERN),
-        "edition_number": ~(e["edition_number"] >= 1),
+        "edition_number": ~(lax_whole(e["edition_number"]) >= 1),
     }
+
+    def shaped(shape, rules: dict[str, Column]) -> Column:
+        found = shape_problems("_raw", shape)
+        return F.when(F.size(found) > 0, found).otherwise(_rules(base | rules))
+
     problems = (
-        F.when(e.isNull(), F.array(F.lit("not_an_object")))
+        F.when(raw.isNull(), F.array(F.lit("not_an_object")))
         .when(~F.coalesce(e["edition_type"].isin("normal", "quiet", "fallback"), F.lit(False)), F.array(F.lit("edition_type")))
-        .when(e["edition_type"] == "fallback", _rules(base | _fallback_rules(raw, e)))
-        .otherwise(_rules(base | _full_rules(raw, e)))
+        .when(e["edition_type"] == "fallback", shaped(FALLBACK_SHAPE, _fallback_rules(e)))
+        .otherwise(shaped(FULL_SHAPE, _full_rules(e)))
     )
-    return checked.withColumn("problems", problems).drop("_e")
+    return checked.withColumn("problems", problems).drop("_e", "_raw")
 
 
 def edition_problems(texts: DataFrame, key: str, text: str = "edition_json") -> DataFrame:
@@ -156,13 +176,10 @@ briefly array<string>
 def check_curation(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Adds ``problems`` to curation replies. Section names and the lower budget
     are left to assembly; the headline must name a placed story."""
-    raw = F.col(text)
-    parsed = replies.withColumn("_r", F.from_json(lone_object(raw), CURATION_SCHEMA))
-    r = F.col("_r")
+    parsed = replies.withColumn("_raw", lone_object(F.col(text))).withColumn("_r", F.from_json("_raw", CURATION_SCHEMA))
+    raw, r = F.col("_raw"), F.col("_r")
     stories = F.flatten(F.transform(r["sections"], lambda s: s["stories"]))
     rules = {
-        "extra_key": _extra_keys(raw, ["headline_of_the_day", "headline_cluster_id", "headline_rationale",
-                                       "key_points", "sections", "briefly"]),
         "headline_empty": _blank(r["headline_of_the_day"]) | _blank(r["headline_cluster_id"]),
         "em_dash": _dashed(r["headline_of_the_day"]) | _dashed(r["headline_rationale"])
         | _some(r["key_points"], lambda p: _dashed(p["text"])) | _some(stories, lambda s: _dashed(s["title"]) | _dashed(s["summary"])),
@@ -176,8 +193,9 @@ def check_curation(replies: DataFrame, text: str = "reply") -> DataFrame:
         "too_many_stories": F.size(stories) > C.MAX_STORIES,
         "headline_not_placed": ~_some(stories, lambda s: s["cluster_id"] == r["headline_cluster_id"]),
     }
-    problems = F.when(r.isNull(), F.array(F.lit("not_an_object"))).otherwise(_rules(rules))
-    return parsed.withColumn("problems", problems).drop("_r")
+    found = shape_problems("_raw", CURATION_SHAPE)
+    problems = F.when(raw.isNull(), F.array(F.lit("not_an_object"))).when(F.size(found) > 0, found).otherwise(_rules(rules))
+    return parsed.withColumn("problems", problems).drop("_r", "_raw")
 
 
 def check_run_log(rows: DataFrame, reasons: str = "reasons") -> DataFrame:

@@ -1,10 +1,15 @@
 """Readability of editions: report, failing pieces, and rewrites."""
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.readability import grade, sentences
+from ..session import written
 
 
 def _joined(*parts: Column) -> Column:
@@ -81,19 +86,19 @@ def failing_pieces(editions: DataFrame, key: str = "date", edition: str = "editi
     return pieces(editions, key, edition).withColumn("grade", grade(F.col("text"))).where(F.col("grade") > limit)
 
 
-def accepted_rewrites(failing: DataFrame, rewrites: DataFrame, key: str = "date") -> DataFrame:
-    """Rewrites that land: asked for, and graded lower than what they replace."""
-    new = rewrites.select(key, "id", F.col("text").alias("rewrite"), grade(F.col("text")).alias("new_grade"))
+def accepted_rewrites(failing: DataFrame, rewrites: DataFrame, key: str = "date", position: str = "position") -> DataFrame:
+    """Rewrites that land: asked for, graded lower than what they replace, and of several
+    such for one id the last by `position`."""
+    new = rewrites.select(key, "id", F.col(position).alias("_place"), F.col("text").alias("rewrite"), grade(F.col("text")).alias("new_grade"))
     new = new.where(~F.contains("rewrite", F.lit(C.EM_DASH)))
-    joined = failing.join(new, [key, "id"])
-    return joined.where(F.col("new_grade") < F.col("grade")).select(key, "id", "rewrite", "grade", "new_grade")
+    better = failing.join(new, [key, "id"]).where(F.col("new_grade") < F.col("grade"))
+    last = better.groupBy(key, "id").agg(F.max_by(F.struct("rewrite", "grade", "new_grade"), F.struct("_place", "rewrite")).alias("_r"))
+    return last.select(key, "id", "_r.*")
 
 
 def apply_rewrites(editions: DataFrame, accepted: DataFrame, key: str = "date", edition: str = "edition") -> DataFrame:
-    """Editions with the accepted text put back by id and how many landed. An
-    edition has a few dozen pieces, so its rewrites are one small map. Of several
-    rewrites for one id the greatest text counts."""
-    accepted = accepted.groupBy(key, "id").agg(F.max("rewrite").alias("rewrite"))
+    """Editions with the accepted text, one an id, put back and how many landed. An
+    edition has a few dozen pieces, so its rewrites are one small map."""
     texts = accepted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", "rewrite"))).alias("_new"))
     joined = editions.join(texts, key, "left").withColumn("_new", F.coalesce("_new", F.create_map().cast("map<string,string>")))
     e, new = F.col(edition), F.col("_new")
@@ -107,3 +112,42 @@ def apply_rewrites(editions: DataFrame, accepted: DataFrame, key: str = "date",
     changed = (e.withField("headline_of_the_day", swap(F.lit("headline"), e["headline_of_the_day"]))
                .withField("key_points", points).withField("sections", sections))
     return joined.withColumn("applied", F.size("_new")).withColumn(edition, changed).drop("_new")
+
+
+def revise(editions: DataFrame, make_rewriter: Callable[[], Callable], key: str = "date", edition: str = "edition", passes: int = 3) -> DataFrame:
+    """Editions whose hard pieces are rewritten until the whole reads easily enough:
+    ``(key, edition, passes, average, hard)``.
+
+    A pass takes the editions still over the limit alone, sends their failing
+    pieces to the rewriter, and keeps what reads easier. After the last pass an
+    edition goes out as it is, marked hard. ``make_rewriter()`` runs once per Python
+    worker and returns ``rewriter(text) -> text``; one that raises leaves its piece
+    as it was.
+    """
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rewriter = make_rewriter()
+
+        def one(text: str) -> str | None:
+            try:
+                return rewriter(text)
+            except Exception:  # a failed call keeps the text
+                return None
+
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "id": batch["id"], "position": 0, "text": [one(t) for t in batch["text"]]}).dropna(subset=["text"])
+
+    kind = dict(editions.dtypes)[key]
+    open_, done = editions.select(key, edition, F.lit(0).alias("passes")), []
+    for n in range(passes + 1):
+        average = grade(edition_text(F.col(edition)))
+        graded = written(open_.withColumn("average", average), "revision")
+        over = F.coalesce(F.col("average") > C.MAX_GRADE, F.lit(False))
+        done.append(graded.where(~over if n < passes else F.lit(True)).withColumn("hard", over))
+        hard = graded.where(over)
+        if n == passes or hard.isEmpty():
+            break
+        failing = written(failing_pieces(hard, key, edition), "revision")
+        asked = failing.select(key, "id", "text").mapInPandas(ask, f"{key} {kind}, id string, position int, text string")
+        accepted = accepted_rewrites(failing, written(asked, "revision"), key)
+        open_ = apply_rewrites(hard.drop("average"), accepted, key, edition).drop("applied").withColumn("passes", F.col("passes") + 1)
+    return reduce(DataFrame.unionByName, done).select(key, edition, "passes", "average", "hard")

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.strict import lax_number, lax_whole, lone_object
 from ..functions.text import strip
-from ..sources.editions import lone_object
+from ..session import cut_lineage
 
+COMPLAINT = "\n\nThe last answer broke these rules: "
 REPLY_KEYS = ["score", "topic", "rationale", "confidence"]
 _REPLY = "score string, topic string, rationale string, confidence string"
 
@@ -26,12 +28,7 @@ def check_replies(replies: DataFrame, text: str = "reply") -> DataFrame:
     keys = F.json_object_keys(raw)
     body = F.from_json(raw, _REPLY)
     wanted = F.array(*[F.lit(k) for k in REPLY_KEYS])
-    # whole numbers, numbers written as strings, 7.0 and true all count
-    word = F.lower(F.trim(body["score"]))
-    number = F.when(word == "true", F.lit(1.0)).when(word == "false", F.lit(0.0)).otherwise(word.try_cast("double"))
-    whole = F.when(number == F.floor(number), number.cast("int"))
-    flag = F.lower(F.trim(body["confidence"]))
-    confidence = F.when(flag == "true", F.lit(1.0)).when(flag == "false", F.lit(0.0)).otherwise(flag.try_cast("double"))
+    whole, confidence = lax_whole(body["score"]), lax_number(body["confidence"])
     rationale = strip(body["rationale"])
 
     def rule(bad: Column, name: str) -> Column:
@@ -66,14 +63,11 @@ def scoring_prompt(members: Column) -> Column:
 
     def block(m: Column) -> Column:
         text = F.replace(strip(F.substring(m["body_excerpt"], 1, C.SCORING_EXCERPT_CHARS)), F.lit("\n"), F.lit(" "))
-        return F.concat(F.lit("- "), m["title"], F.when(text != "", F.concat(F.lit("\n  "), text)).otherwise(""))
+        return F.concat(F.lit("* "), m["title"], F.when(text != "", F.concat(F.lit("\n    "), text)).otherwise(""))
 
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Sources reporting this story: "), F.size(members).cast("string")),
-        F.concat(F.lit("Source names: "), F.array_join(names, ", ")),
-        F.lit(""),
-        F.lit("Headlines and excerpts:"),
+        F.concat(F.lit("Reports of one event: "), F.size(members).cast("string"), F.lit(", from "), F.array_join(names, ", ")),
         F.array_join(F.transform(members, block), "\n"),
     )
 
@@ -127,14 +121,11 @@ def score_clusters(to_score: DataFrame, make_scorer: Callable[[], Callable], pro
 
     asked, pending, done = [], key.withColumn("attempt", F.lit(1)), None
     for attempt in range(1, retries + 2):
-        from ..session import cut_lineage
-
         replies = cut_lineage(check_replies(pending.mapInPandas(ask, schema)))
         asked.append(replies)
         if attempt <= retries:
             complaint = F.concat(
-                F.lit("\n\nYour previous reply was rejected: "), F.array_join("problems", ", "),
-                F.lit("\nReply with valid JSON matching the schema exactly."),
+                F.lit(COMPLAINT), F.array_join("problems", ", "), F.lit(". Answer again with one JSON object of the four keys."),
             )
             failed = replies.where(F.size("problems") > 0).select("ingest_date", "cluster_id", complaint.alias("_complaint"))
             pending = key.join(failed, ["ingest_date", "cluster_id"]).select(

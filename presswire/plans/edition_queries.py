@@ -54,57 +54,68 @@ def _(spark, sf):
     return plain(scoring.carry_forward(now, stored).select("cluster_id", "carried", "score"))
 
 
-@query("check_replies", """SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'score' WHEN 2 THEN 'topic' WHEN 3 THEN 'extra_key' WHEN 4 THEN 'missing_key,confidence'
-    WHEN 5 THEN 'not_an_object' WHEN 6 THEN 'not_an_object' WHEN 7 THEN 'rationale' WHEN 8 THEN '' WHEN 9 THEN '' WHEN 10 THEN 'score' ELSE 'confidence' END AS problems,
-  CASE doc_id % 12 WHEN 0 THEN 1 + n_chars % 10 WHEN 8 THEN 7 WHEN 9 THEN 1 END AS score, CASE WHEN doc_id % 12 IN (0, 8, 9) THEN 'AI' END AS topic FROM documents""")
+@query("check_replies", f"""SELECT doc_id, CASE WHEN doc_id % 16 IN (0, 8, 9) AND told = '' THEN 'rationale' ELSE (['', 'score', 'topic', 'extra_key', 'missing_key,confidence', 'not_an_object', 'not_an_object', 'rationale',
+      '', '', 'score', 'confidence', 'not_an_object', 'not_an_object', 'not_an_object', 'rationale'])[CAST(doc_id % 16 AS INTEGER) + 1] END AS problems,
+    CASE WHEN told <> '' THEN CASE doc_id % 16 WHEN 0 THEN 1 + n_chars % 10 WHEN 8 THEN 7 WHEN 9 THEN 1 END END AS score, CASE WHEN told <> '' AND doc_id % 16 IN (0, 8, 9) THEN 'AI' END AS topic,
+    CASE WHEN told <> '' AND doc_id % 16 IN (0, 8, 9) THEN md5(told) END AS rationale_md5
+  FROM (SELECT doc_id, n_chars, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS told FROM documents)""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("told"))
 
-    def reply(score, topic='"AI"', rationale='"it matters"', confidence="0.5", more=""):
-        return F.format_string('{"score": %s, "topic": %s, "rationale": %s, "confidence": %s%s}', score, F.lit(topic), F.lit(rationale), F.lit(confidence), F.lit(more))
+    def reply(score, topic='"AI"', rationale=None, confidence="0.5", more=""):
+        return F.concat(F.lit('{"score": '), score, F.lit(f', "topic": {topic}, "rationale": '), _json_text(F.col("told")) if rationale is None else F.lit(rationale), F.lit(f', "confidence": {confidence}{more}}}'))
 
     fair = F.format_string("%d", 1 + F.col("n_chars") % 10)
-    variants = [reply(fair), reply(F.lit("11")), reply(fair, '"ai"'), reply(fair, more=', "why": 1'),
+    good = reply(fair)
+    variants = [good, reply(F.lit("11"), rationale='"r"'), reply(fair, '"ai"', '"r"'), reply(fair, rationale='"r"', more=', "why": 1'),
                 F.lit('{"score": 3, "topic": "AI", "rationale": "it matters"}'), F.lit("sorry, no"), F.lit("[1, 2]"), reply(fair, rationale='" "'),
-                reply(F.lit('"7"')), reply(F.lit("true")), reply(F.lit("7.5")), reply(fair, confidence="1.5")]
-    pick = F.get(F.array(*variants), (F.col("doc_id") % 12).cast("int"))
-    return plain(scoring.check_replies(d.withColumn("reply", pick)).select("doc_id", F.array_join("problems", ",").alias("problems"), "score", "topic"))
+                reply(F.lit('"7"')), reply(F.lit("true")), reply(F.lit("7.5"), rationale='"r"'), reply(fair, rationale='"r"', confidence="1.5"),
+                F.concat(good, F.lit(" Hope that helps!")), F.concat(good, F.lit(", 0] Hope that helps!")), F.concat(good, good), reply(fair, rationale="12")]
+    pick = F.get(F.array(*variants), (F.col("doc_id") % 16).cast("int"))
+    checked = scoring.check_replies(d.withColumn("reply", pick))
+    return plain(checked.select("doc_id", F.array_join("problems", ",").alias("problems"), "score", "topic", F.md5("rationale").alias("rationale_md5")))
+
+
+def _json_text(value):
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
 
 
 def _make_scorer():
     def score(prompt):
         """A stand-in model: refuses some prompts once, some for good."""
-        n = len(prompt.split("\n\nYour previous reply")[0])
-        again = "Your previous reply was rejected" in prompt
+        n, again = len(prompt.split(scoring.COMPLAINT)[0]), scoring.COMPLAINT in prompt
         if n % 5 == 0 or (n % 3 == 0 and not again):
             return "no", {"input_tokens": n, "output_tokens": 1}
         return json.dumps({"score": 1 + n % 10, "topic": "AI", "rationale": "ok", "confidence": 0.5}), {"input_tokens": n, "output_tokens": 2}
     return score
 
 
-@query("score_clusters", with_sql("""SELECT cluster_id, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 5 <> 0 THEN 1 + n % 10 END AS score
-  FROM (SELECT cluster_id, length(headline) AS n FROM clusters WHERE story_no % 3 = 0)""", "clusters"))
+@query("score_clusters", with_sql("""SELECT cluster_id, CAST(ingest_date AS VARCHAR) AS ingest_date, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 5 <> 0 THEN 1 + n % 10 END AS score,
+    CASE WHEN n % 5 <> 0 THEN 'AI' END AS topic, CASE WHEN n % 5 <> 0 THEN 'ok' END AS rationale, CASE WHEN n % 5 <> 0 THEN 0.5::DOUBLE END AS confidence,
+    CASE WHEN n % 5 = 0 THEN 10 WHEN n % 3 = 0 THEN 15 ELSE 10 END AS output_micros, 'model-7' AS model_version, 'prompt-3' AS prompt_version, '2024-02-02 06:00:00' AS scored_at
+  FROM (SELECT cluster_id, ingest_date, length(headline) AS n FROM clusters)""", "clusters"))
 def _(spark, sf):
-    rows = day_tables(spark, sf)["clusters"].where("story_no % 3 = 0").withColumn("prompt", F.col("headline"))
+    rows = day_tables(spark, sf)["clusters"].withColumn("prompt", F.col("headline"))
     attempts = scoring.score_clusters(rows, _make_scorer)
-    cost = (F.col("input_tokens") + F.col("output_tokens") * 5) / 1_000_000
-    return plain(scoring.settle_scores(attempts, cost).select("cluster_id", "attempts", "score"))
+    settled = scoring.settle_scores(attempts, F.col("output_tokens") * 5, F.lit("model-7"), F.lit("prompt-3"), F.lit("2024-02-02 06:00:00").cast("timestamp"))
+    return plain(settled.withColumnRenamed("cost_usd", "output_micros"))
 
 
-@query("prompt_blocks", with_sql(f"""SELECT cluster_id, md5(string_agg('[' || source || '] ' || title || chr(10) || '  url: ' || canonical_url || chr(10) || '  excerpt: ' ||
-    CASE WHEN e = '' THEN '(none available)' ELSE e END, chr(10) ORDER BY published_at, item_id)) AS block_md5,
-  md5('Sources reporting this story: ' || count(*) || chr(10) || 'Source names: ' || array_to_string(list_sort(list(DISTINCT source)), ', ') || chr(10) || chr(10) || 'Headlines and excerpts:' || chr(10) ||
-    string_agg('- ' || title || CASE WHEN s = '' THEN '' ELSE chr(10) || '  ' || s END, chr(10) ORDER BY published_at, item_id)) AS prompt_md5
+@query("prompt_blocks", with_sql(f"""SELECT cluster_id, md5(string_agg(source || ' | ' || title || chr(10) || '<' || canonical_url || '>' || chr(10) ||
+    CASE WHEN e = '' THEN '(no text)' ELSE e END, chr(10) ORDER BY published_at, item_id)) AS block_md5,
+  md5('Reports of one event: ' || count(*) || ', from ' || array_to_string(list_sort(list(DISTINCT source)), ', ') || chr(10) ||
+    string_agg('* ' || title || CASE WHEN s = '' THEN '' ELSE chr(10) || '    ' || s END, chr(10) ORDER BY published_at, item_id)) AS prompt_md5
   FROM (SELECT *, regexp_replace(substr(body_excerpt, 1, 700), '^{WS}+|{WS}+$', '', 'g') AS e, regexp_replace(substr(body_excerpt, 1, 400), '^{WS}+|{WS}+$', '', 'g') AS s FROM members) GROUP BY 1""", "members"))
 def _(spark, sf):
     rows = edition.ordered_members(members(doc_items(spark, sf)))
     return rows.select("cluster_id", F.md5(edition.excerpt_block(F.col("members"))).alias("block_md5"), F.md5(scoring.scoring_prompt(F.col("members"))).alias("prompt_md5"))
 
 
-@query("candidate_blocks", with_sql("""SELECT cluster_id, md5('cluster_id: ' || cluster_id || chr(10) || '  topic: ' || coalesce(topic, 'None') || chr(10) || '  score: ' || score || '  (story ' || story_no || ')' || chr(10) ||
-  '  sources (' || member_count || '): ' || replace(source_names, ',', ', ') || chr(10) || '  headline: ' || headline ||
-  CASE WHEN summary_seed <> '' THEN chr(10) || '  excerpt: ' || substr(summary_seed, 1, 400) ELSE '' END ||
-  CASE WHEN story_no % 2 = 0 THEN chr(10) || '  prior_coverage: 2024-01-01: ' || substr(headline, 1, 200) ELSE '' END) AS block_md5 FROM contexts""", "contexts"))
+@query("candidate_blocks", with_sql("""SELECT cluster_id, md5('story ' || cluster_id || ': ' || headline || chr(10) || '- rated ' || score || ' in ' || coalesce(topic, 'no topic') || ', because: story ' || story_no || chr(10) ||
+  '- told by ' || member_count || ' items of ' || replace(source_names, ',', ', ') ||
+  CASE WHEN summary_seed <> '' THEN chr(10) || '- begins: ' || substr(summary_seed, 1, 400) ELSE '' END ||
+  CASE WHEN story_no % 2 = 0 THEN chr(10) || '- told on 2024-01-01: ' || substr(headline, 1, 200) ELSE '' END) AS block_md5 FROM contexts""", "contexts"))
 def _(spark, sf):
     contexts = day_tables(spark, sf)["contexts"]
     told = F.when(F.col("story_no") % 2 == 0, F.array(F.struct(F.lit("2024-01-01").cast("date").alias("date"), F.col("headline").alias("summary"))))
@@ -344,7 +355,7 @@ def _(spark, sf):
 
 
 _ARCHIVE = """SELECT date, e.edition_type, CASE WHEN e.edition_type = 'fallback' THEN (SELECT least(count(*), 10) FROM contexts x WHERE x.ingest_date = e.date)
-    ELSE count(c.cluster_id) END AS stories, CASE WHEN e.edition_type = 'fallback' THEN 'Abbreviated edition' ELSE arg_max(c.headline, (c.score, c.cluster_id)) END AS title
+    ELSE count(c.cluster_id) END AS stories, CASE WHEN e.edition_type = 'fallback' THEN 'Short edition' ELSE arg_max(c.headline, (c.score, c.cluster_id)) END AS title
   FROM edition_days e LEFT JOIN cards c ON c.ingest_date = e.date GROUP BY 1, 2"""
 
 
@@ -395,6 +406,13 @@ def _(spark, sf):
     return publishable(new, published).select("o_orderkey")
 
 
+@query("edition_headers", with_sql(f"""SELECT CAST(date AS VARCHAR) AS date, strftime(date, '%B %-d, %Y') AS long_date, strftime(date, '/%Y/%m/%d/') AS path,
+  CAST(greatest(15, CAST(floor(CASE edition_type WHEN 'fallback' THEN 0 WHEN 'normal' THEN least(n, 4) ELSE least(n, 3) END * 12 / 15 + 0.5) AS BIGINT) * 15) AS VARCHAR) || '-second read' AS read_time
+  FROM (SELECT e.date, e.edition_type, (SELECT count(*) FROM cards c WHERE c.ingest_date = e.date) AS n FROM edition_days e)""", "edition_days", "cards"))
+def _(spark, sf):
+    return plain(gold.edition_headers(editions(spark, sf)))
+
+
 # --- weekly review ----------------------------------------------------------------
 
 @query("topic_summary", with_sql("SELECT topic, count(*) AS clusters, round(avg(score), 6) AS avg_score FROM clusters GROUP BY 1", "clusters"))
@@ -492,14 +510,15 @@ def _(spark, sf):
 
 
 @query("apply_rewrites", f"""WITH failing AS MATERIALIZED (SELECT * FROM ({_part_counts(_PIECES)}) WHERE grade > 9.0 AND t <> '')
-  SELECT d.doc_id AS date, count(f.id) AS applied, md5(CASE WHEN max(f.id = 'headline') THEN 'It is so.' ELSE substr(d.text, 1, 70) END) AS headline_md5
+  SELECT d.doc_id AS date, count(f.id) AS applied, md5(CASE WHEN max(f.id = 'headline') THEN 'So it is.' ELSE substr(d.text, 1, 70) END) AS headline_md5
   FROM documents d LEFT JOIN failing f ON f.doc_id = d.doc_id AND f.id <> 'point:0' GROUP BY d.doc_id, d.text""")
 def _(spark, sf):
     rows = _document_editions(spark, sf)
-    # a plain rewrite for everything but the point, which gets a harder one
+    # two plain rewrites for everything but the point, the last of which counts; the point gets a harder one
     ids = ["headline", "point:0", "summary:one", "summary:two"]
-    offered = rows.select("date", F.explode(F.array(*[F.lit(i) for i in ids])).alias("id")).withColumn(
-        "text", F.when(F.col("id") == "point:0", "Extraordinarily complicated institutional responsibilities notwithstanding internationalization characteristically individualistic organizational considerations unquestionably incomprehensibilities.").otherwise("It is so."))
+    hard = "Extraordinarily complicated institutional responsibilities notwithstanding internationalization characteristically individualistic organizational considerations unquestionably incomprehensibilities."
+    texts = F.when(F.col("id") == "point:0", F.array(F.lit(hard))).otherwise(F.array(F.lit("We go."), F.lit("So it is.")))
+    offered = rows.select("date", F.explode(F.array(*[F.lit(i) for i in ids])).alias("id")).select("date", "id", F.posexplode(texts).alias("position", "text"))
     accepted = readability.accepted_rewrites(readability.failing_pieces(rows), offered)
     done = readability.apply_rewrites(rows, accepted)
     return plain(done.select("date", "applied", F.md5("edition.headline_of_the_day").alias("headline_md5")))
@@ -507,45 +526,59 @@ def _(spark, sf):
 
 # --- other quality rules ----------------------------------------------------------
 
-def _full_edition(**changes):
-    def story(i):
-        return {"cluster_id": f"c{i}", "slug": f"s-{i}", "title": f"Title {i}", "summary": "Short.", "score": 5, "sources": [{"name": "a", "url": f"http://a/{i}"}], "article": None}
-
-    e = {"date": "2024-01-01", "edition_number": 1, "edition_type": "quiet", "headline_of_the_day": "Head", "headline_cluster_id": "c1",
-         "key_points": [{"text": "p", "topic": "AI"}] * 3, "audio": None, "sections": [{"name": "Technology", "stories": [story(1), story(2)]}], "briefly": [],
-         "stats": {"items_ingested": 1, "clusters_considered": 1, "stories_run": 2, "sources": 1, "sections_held": 0}}
-    return json.dumps(e | changes)
-
-
-def _edition_variants():
-    """(edition, expected problem): one broken rule each."""
-    stories = json.loads(_full_edition())["sections"][0]["stories"]
-    a, b = stories
-    quote = {"text": "q", "attribution": "me", "source_url": "http://elsewhere"}
-    section = lambda *s: [{"name": "Technology", "stories": list(s)}]
-    fallback = {"date": "2024-01-01", "edition_number": 1, "edition_type": "fallback", "notice": "n"}
-    ranked = lambda r, s: {"rank": r, "title": "t", "score": s, "url": "u", "source": "x"}
-    return [
-        (_full_edition(), ""), (_full_edition(date="1 Jan"), "date"), (_full_edition(edition_type="loud"), "edition_type"),
-        (_full_edition(headline_of_the_day="a—b"), "headline_em_dash"), (_full_edition(key_points=[]), "key_point_count"),
-        (_full_edition(sections=section(a)), "section_budget"), (_full_edition(sections=section(a, a)), "slug_repeated,cluster_repeated"),
-        (_full_edition(sections=section(a, b | {"score": 11})), "story_score"), (_full_edition(sections=section(a, b | {"slug": "No"})), "slug_pattern"),
-        (_full_edition(sections=section(a, b | {"article": {"background": "x", "what_happened": "y", "why_it_matters": "z", "quote": quote}})), "quote_source"),
-        (_full_edition(briefly=[{"cluster_id": "c9", "title": "title 1", "url": "u", "topic": "AI"}]), "briefly_repeats_story"),
-        (_full_edition(key_points=[{"text": "p", "topic": "norm"}] * 2 + [{"text": "p", "topic": "AI"}]), "house_point_repeated"),
-        (json.dumps(fallback | {"stories": [ranked(1, 5), ranked(2, 6)]}), "score_order"), (json.dumps(fallback | {"stories": [ranked(2, 5)]}), "ranks"),
-        (json.dumps(fallback | {"stories": []}), ""), ("[]", "not_an_object"),
-    ]
-
-
-_VARIANTS = _edition_variants()
-
-
-@query("check_editions", "SELECT doc_id, [" + ", ".join(f"'{p}'" for _, p in _VARIANTS) + f"][CAST(doc_id % {len(_VARIANTS)} AS INTEGER) + 1] AS problems FROM documents")
-def _(spark, sf):
-    pick = F.get(F.array(*[F.lit(text) for text, _ in _VARIANTS]), (F.col("doc_id") % len(_VARIANTS)).cast("int"))
-    rows = table(spark, sf, "documents").select("doc_id", pick.alias("edition_json"))
-    return quality.check_editions(rows).select("doc_id", F.array_join("problems", ",").alias("problems"))
+# Documents as editions, one way of going wrong per remainder; what texts and counts hold may be wrong besides.
+_CASES = ["", "extra_key:why", "extra_key:sections[].stories[].mood", "", "wrong_kind:sections[].stories[].score", "missing_key:stats.sources", "wrong_kind:headline_of_the_day",
+          "not_an_object", "extra_key:audio.kind", "", "", "", "", "", "", "not_an_object", "", "", "edition_type", "wrong_kind:key_points", "missing_key:sections[].stories[].article.quote.attribution"]
+_CASE_COUNT = len(_CASES)
+
+
+def _edition_texts(spark, sf):
+    n, text = F.col("doc_id"), F.col("text")
+    case = n % _CASE_COUNT
+
+    def on(number, there, otherwise=""):
+        return F.when(case == number, F.lit(there) if isinstance(there, str) else there).otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
+
+    def told(prefix, start, size=None):
+        part = F.substring(text, F.lit(start), F.length(text)) if size is None else F.substring(text, start, size)
+        return _json_text(F.concat(F.lit(prefix), part))
+
+    def story(number, more="", article="null"):
+        natural = (F.col("n_chars") % 12).cast("string")
+        score = on(3, '"7"', on(4, "7.5", natural)) if number == 2 else F.lit("5")
+        slug = on(11, "s-1", f"s-{number}")
+        return F.concat(F.lit('{"cluster_id": "c'), n, F.lit("-"), on(11, "1", str(number)), F.lit('", "slug": "'), slug, F.lit('", "title": '), told(f"T{number} ", 171, 50), F.lit(', "summary": '), told("S ", 221),
+                        F.lit(', "score": '), score, F.lit(', "sources": [{"name": '), _json_text(F.col("source")), F.lit(', "url": "http://a/'), n, F.lit('"}], "article": '), F.lit(article) if isinstance(article, str) else article, F.lit(more) if isinstance(more, str) else more, F.lit("}"))
+
+    quote = '{"background": "b", "what_happened": "w", "why_it_matters": "y", "quote": {"text": "q", %s"source_url": "http://elsewhere"}}'
+    article = on(12, quote % '"attribution": "me", ', on(20, quote % "", "null"))
+    second = story(2, on(2, ', "mood": 1'), article)
+    point = F.concat(F.lit('{"text": '), told("p ", 71, 100), F.lit(', "topic": "'), on(16, "Ai", "AI"), F.lit('"}'))
+    full = F.concat(
+        F.lit('{"date": "'), on(9, "1 Jan", "2024-01-01"), F.lit('", "edition_number": '), on(3, "true", "1"), F.lit(', "edition_type": "'), on(18, "loud", "quiet"), F.lit('", "headline_of_the_day": '), on(6, "12", told("H ", 1, 70)),
+        F.lit(', "key_points": '), on(19, '"x"', F.concat(F.lit("["), point, F.lit(", "), point, F.lit(", "), point, F.lit("]"))),
+        F.lit(', "audio": '), on(8, '{"url": "u", "duration_seconds": 1, "size_bytes": 2, "kind": "mp3"}', on(3, '{"url": "u", "duration_seconds": "1", "size_bytes": 2.0}', "null")),
+        F.lit(', "sections": [{"name": "Technology", "stories": ['), story(1), on(10, "", F.concat(F.lit(", "), second)), F.lit("]}]"),
+        on(17, F.concat(F.lit(', "briefly": [{"cluster_id": "c9", "title": '), told("t1 ", 171, 50), F.lit(', "url": "u", "topic": "AI"}]'))),
+        F.lit(', "stats": {"items_ingested": 1, "clusters_considered": 1, "stories_run": 2'), on(5, "", ', "sources": 1'), F.lit(', "sections_held": 0}'), on(1, ', "why": 1'), F.lit("}"),
+        on(7, ", 0] More below."), on(15, "{}"))
+    ranked = lambda rank, score: F.concat(F.lit(f'{{"rank": {rank}, "title": '), told("T ", 1, 50), F.lit(f', "score": {score}, "url": "u", "source": "x"}}'))
+    fallback = F.concat(F.lit('{"date": "2024-01-01", "edition_number": 2, "edition_type": "fallback", "notice": '), told("n ", 1, 90), F.lit(', "stories": ['), ranked(1, 5), F.lit(", "), on(13, ranked(2, 6), ranked(2, '"5"')), F.lit("]}"))
+    return table(spark, sf, "documents").select("doc_id", F.when(case.isin(13, 14), fallback).otherwise(full).alias("edition_json"))
+
+
+def _dashes(start, size=""):
+    return f"substr(text, {start}{size}) LIKE '%—%'"
+
+
+@query("check_editions", f"""SELECT doc_id, CASE WHEN k IN (13, 14) THEN array_to_string(list_filter([CASE WHEN k = 13 THEN 'score_order' END], lambda x: x IS NOT NULL) || list_filter([CASE WHEN {_dashes(1, ', 90')} THEN 'notice_em_dash' END, CASE WHEN {_dashes(1, ', 50')} THEN 'story_em_dash' END], lambda x: x IS NOT NULL), ',')
+    WHEN fixed <> '' THEN fixed ELSE array_to_string(list_filter([CASE WHEN k = 9 THEN 'date' END, CASE WHEN {_dashes(1, ', 70')} THEN 'headline_em_dash' END, CASE WHEN {_dashes(71, ', 100')} THEN 'key_point_em_dash' END,
+      CASE WHEN k = 16 THEN 'key_point_topic' END, CASE WHEN k = 10 THEN 'section_budget' END, CASE WHEN k = 11 THEN 'slug_repeated' END, CASE WHEN k = 11 THEN 'cluster_repeated' END,
+      CASE WHEN {_dashes(171)} THEN 'story_em_dash' END, CASE WHEN k NOT IN (3, 10) AND n_chars % 12 NOT BETWEEN 1 AND 10 THEN 'story_score' END, CASE WHEN k = 12 THEN 'quote_source' END,
+      CASE WHEN k = 17 AND {_dashes(171, ', 50')} THEN 'briefly_em_dash' END, CASE WHEN k = 17 THEN 'briefly_repeats_story' END], lambda x: x IS NOT NULL), ',') END AS problems
+  FROM (SELECT doc_id, text, n_chars, doc_id % {_CASE_COUNT} AS k, ([{', '.join(f"'{c}'" for c in _CASES)}])[CAST(doc_id % {_CASE_COUNT} AS INTEGER) + 1] AS fixed FROM documents)""")
+def _(spark, sf):
+    return quality.check_editions(_edition_texts(spark, sf)).select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 
 @query("check_curation", """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'headline_not_placed' WHEN 2 THEN 'key_point_count' WHEN 3 THEN 'rationale_length' WHEN 4 THEN 'not_an_object' ELSE '' END AS problems FROM documents""")

@@ -1,14 +1,12 @@
 """Registered queries over items: scalars, sources, dedup, enrichment, tables."""
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import dates, text, urls
 from ..operators import enrich, items, waitlist
 from ..operators.edition import unique_slugs as number_slugs
-from ..session import shared_dir
+from ..session import scratch_path
 from ..sources import feeds, tables
 from ..streaming import ingest
 from .standins import WS, doc_items, plain, table, with_sql
@@ -25,10 +23,6 @@ def query(name, sql=None):
     return register
 
 
-def scratch(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-
-
 # --- scalars ----------------------------------------------------------------------
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -171,6 +165,15 @@ def _(spark, sf):
     return doc_items(spark, sf).select("doc_id", F.md5(text.embed_text(F.col("title"), body)).alias("text_md5"))
 
 
+@query("match_text", with_sql("""SELECT cluster_id, md5(CASE WHEN coalesce(s, '') = '' THEN headline ELSE headline || chr(10) || s END) AS text_md5 FROM (
+  SELECT cluster_id, headline, CASE WHEN member_count % 2 = 0 THEN summary_seed END AS s FROM clusters)""", "clusters"))
+def _(spark, sf):
+    from .standins import day_tables
+
+    rows = day_tables(spark, sf)["clusters"].withColumn("told", F.when(F.col("member_count") % 2 == 0, F.col("summary_seed")))
+    return rows.select("cluster_id", F.md5(text.match_text(F.col("headline"), F.col("told"))).alias("text_md5"))
+
+
 # --- enrichment -------------------------------------------------------------------
 
 @query("should_fetch", with_sql("""SELECT doc_id, length(trim(body_excerpt)) < 600 AND canonical_url LIKE 'http%' AND source NOT IN ('src3', 'src4') AS fetch FROM doc_items""", "doc_items"))
@@ -270,7 +273,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _repeating(spark, sf).withColumn("ingest_date", F.lit("2024-01-01").cast("date"))
     schema = "doc_id long, item_id string, canonical_url string, published_at timestamp, source string, ingest_date date"
-    path = scratch(spark, "items")
+    path = scratch_path(spark, "items")
     first = tables.append_items(rows, path, schema, position="doc_id")
     second = tables.append_items(rows, path, schema, position="doc_id")
     stored = tables.read_table(spark, path, schema)
@@ -289,7 +292,7 @@ def _order_rows(spark, sf):
 @query("overwrite_days", """SELECT CAST(d AS VARCHAR) AS d, count(*) AS orders, round(sum(CASE WHEN month(d) = 2 THEN o_totalprice * 2 ELSE o_totalprice END), 2) AS total
   FROM (SELECT date_trunc('month', o_orderdate)::DATE AS d, o_totalprice, o_orderkey FROM orders) WHERE month(d) <> 2 OR o_orderkey % 2 = 0 GROUP BY 1""")
 def _(spark, sf):
-    path = scratch(spark, "days")
+    path = scratch_path(spark, "days")
     schema = "o_orderkey long, o_totalprice double, d date"
     rows = _order_rows(spark, sf).select("o_orderkey", "o_totalprice", F.trunc("o_orderdate", "month").alias("d"))
     tables.overwrite_days(rows, path, "d")
@@ -306,7 +309,7 @@ def _(spark, sf):
   SELECT month, count(*) AS orders, round(sum(price), 2) AS total,
     (SELECT count(*) FILTER (o_orderkey % 10 = 9) FROM orders) AS added FROM ends GROUP BY 1""")
 def _(spark, sf):
-    path = scratch(spark, "months")
+    path = scratch_path(spark, "months")
     rows = _order_rows(spark, sf)
     tables.upsert_months(rows.where(F.col("o_orderkey") % 10 != 9), path, _ORDERS, "o_orderdate", ["o_orderkey"])
     late = rows.where(F.col("o_orderkey") % 10 >= 8).withColumn("o_totalprice", F.col("o_totalprice") + 1)
@@ -325,16 +328,17 @@ def _(spark, sf):
     return merged.select("o_custkey", (F.col("o_orderkey") % 2 == 1).alias("replaced"), F.col("o_totalprice").alias("price"))
 
 
-@query("archive_day", with_sql("""SELECT 'gold_items' AS name, count(*) AS gold, 0 AS daily FROM doc_items WHERE ingest_date = DATE '2024-01-06'
-  UNION ALL SELECT 'gold_clusters', count(*), 0 FROM clusters WHERE ingest_date = DATE '2024-01-06'
-  UNION ALL SELECT 'left', 0, count(*) FROM doc_items WHERE ingest_date <> DATE '2024-01-06'""", "doc_items", "clusters"))
+@query("archive_day", with_sql("""SELECT 'gold_items' AS name, count(*) AS gold, 0 AS daily FROM doc_items WHERE ingest_date IN (DATE '2024-01-06', DATE '2024-01-07')
+  UNION ALL SELECT 'gold_clusters', count(*), 0 FROM clusters WHERE ingest_date IN (DATE '2024-01-06', DATE '2024-01-07')
+  UNION ALL SELECT 'gold_editions', count(*), 0 FROM types WHERE ingest_date = DATE '2024-01-06' UNION ALL SELECT 'missing_editions', 1, 0
+  UNION ALL SELECT 'left', 0, count(*) FROM doc_items WHERE ingest_date NOT IN (DATE '2024-01-06', DATE '2024-01-07')""", "doc_items", "clusters", "types"))
 def _(spark, sf):
     from datetime import date
 
     from ..operators.items import ITEM_SCHEMA, ITEM_COLUMNS
     from .standins import members, scored_clusters
 
-    base = scratch(spark, "lake")
+    base = scratch_path(spark, "lake")
     paths = {k: f"{base}/{k}" for k in ("items", "clusters", "gold_items", "gold_clusters", "gold_editions")}
     schemas = {"items": ITEM_SCHEMA, "clusters": "cluster_id string, headline string, member_count int, sources array<string>, score int, topic string, ingest_date date",
                "editions": "date date, edition_number int, edition_type string, edition_json string"}
@@ -342,13 +346,18 @@ def _(spark, sf):
     rows.select(*ITEM_COLUMNS).write.partitionBy("ingest_date").parquet(paths["items"])
     names = [p.split()[0] for p in schemas["clusters"].split(", ")]
     scored_clusters(spark, sf, members(rows)).select(*names).write.partitionBy("ingest_date").parquet(paths["clusters"])
-    none = spark.createDataFrame([], schemas["editions"])
-    for _ in range(2):  # the second run finds nothing and changes nothing
-        tables.archive_day(spark, date(2024, 1, 6), paths, schemas, none)
+    # an edition of every day but the 7th, whose archive run has to say so
+    days = rows.where("ingest_date <> '2024-01-07'").groupBy(F.col("ingest_date").alias("date")).agg(F.count(F.lit(1)).cast("int").alias("edition_number"))
+    text_of = F.to_json(F.struct(F.col("date").cast("string").alias("date"), "edition_number", F.lit("quiet").alias("edition_type")))
+    published = days.select("date", "edition_number", F.lit("quiet").alias("edition_type"), text_of.alias("edition_json"))
+    runs = [tables.archive_day(spark, day, paths, schemas, published) for _ in range(2) for day in (date(2024, 1, 6), date(2024, 1, 7))]
+    # of each day the first run counts; the second finds nothing and changes nothing
+    missing = sum(r["edition_missing"] for r in runs[:2])
     gold = [tables.read_table(spark, paths[k], schemas[k[5:]] + ", month string").agg(
-        F.lit(k).alias("name"), F.count(F.lit(1)).alias("gold"), F.lit(0).cast("long").alias("daily")) for k in ("gold_items", "gold_clusters")]
+        F.lit(k).alias("name"), F.count(F.lit(1)).alias("gold"), F.lit(0).cast("long").alias("daily")) for k in ("gold_items", "gold_clusters", "gold_editions")]
     left = tables.read_table(spark, paths["items"], schemas["items"]).agg(F.lit("left").alias("name"), F.lit(0).cast("long").alias("gold"), F.count(F.lit(1)).alias("daily"))
-    return gold[0].unionByName(gold[1]).unionByName(left)
+    told = spark.range(1).select(F.lit("missing_editions").alias("name"), F.lit(missing).cast("long").alias("gold"), F.lit(0).cast("long").alias("daily"))
+    return gold[0].unionByName(gold[1]).unionByName(gold[2]).unionByName(left).unionByName(told)
 
 
 @query("partition_scan", with_sql("""SELECT item_id, title, CAST(ingest_date AS VARCHAR) AS ingest_date FROM doc_items
@@ -356,7 +365,7 @@ def _(spark, sf):
 def _(spark, sf):
     from datetime import date
 
-    path = scratch(spark, "scan")
+    path = scratch_path(spark, "scan")
     doc_items(spark, sf).select(*items.ITEM_COLUMNS).write.partitionBy("ingest_date").parquet(path)
     return plain(tables.read_table(spark, path, items.ITEM_SCHEMA, start=date(2024, 1, 3), end=date(2024, 1, 6), columns=["item_id", "title", "ingest_date"]))
 
@@ -397,7 +406,7 @@ def _stamp(fmt):
 
 def _numbered(spark, sf):
     words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("n"), words.alias("w"), "lang", "source")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("n"), words.alias("w"), "lang", "source", "text")
 
 
 _WORDS = r"trim(regexp_replace(text, '[^\p{L}]+', ' ', 'g'))"
@@ -406,11 +415,11 @@ _DAY = "strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d 00:00:00
 
 
 def _out(entries):
-    return plain(entries.select("url", "title", "body", "author", "published_at", "source_type", "position"))
+    return plain(entries.select("url", "title", "body", "author", "published_at", "source_type", "position.payload_no", "position.entry"))
 
 
 @query("read_item_api", f"""SELECT CASE WHEN doc_id % 4 = 0 THEN '{C.DISCUSSION_PAGE}' || doc_id ELSE 'http://a.example.com/' || doc_id END AS url, {_WORDS} AS title,
-  ' ' || {_WORDS} || ' & more' AS body, lang AS author, {_WHEN} AS published_at, 'api' AS source_type, doc_id * 1000000 AS position FROM documents
+  ' ' || {_WORDS} || ' & more' AS body, lang AS author, {_WHEN} AS published_at, 'api' AS source_type, doc_id AS payload_no, 0 AS entry FROM documents
   WHERE doc_id % 5 <> 1 AND doc_id % 7 <> 1 AND doc_id % 11 <> 1 AND {_WORDS} <> ''""")
 def _(spark, sf):
     d = _numbered(spark, sf)
@@ -423,11 +432,11 @@ def _(spark, sf):
     return _out(feeds.item_api(d.select(F.lit("hn").alias("source"), F.lit("Tech").alias("topic_hint"), n.alias("payload_no"), F.to_json(item).alias("payload"))))
 
 
-_POS = "(doc_id // 50) * 1000000 + doc_id % 50"
+_POS = "doc_id // 50 AS payload_no, doc_id % 50 AS entry"
 
 
-@query("read_rss", f"""SELECT 'http://r.example.com/' || doc_id AS url, {_WORDS} AS title, ' ' || {_WORDS} || ' & ' AS body, lang AS author,
-  {_WHEN} AS published_at, 'rss' AS source_type, {_POS} AS position FROM documents WHERE doc_id % 6 <> 2 AND doc_id % 5 <> 3 AND {_WORDS} <> ''""")
+@query("read_rss", f"""SELECT 'http://r.example.com/' || doc_id AS url, {_WORDS} AS title, ' ' || {_WORDS} || ' &' AS body, lang AS author,
+  {_WHEN} AS published_at, 'rss' AS source_type, {_POS} FROM documents WHERE doc_id % 6 <> 2 AND doc_id % 5 <> 3 AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
     item = F.concat(
@@ -435,11 +444,11 @@ def _(spark, sf):
         F.lit("<description>&lt;b&gt;"), "w", F.lit(" &amp;amp; </description><dc:creator>"), "lang", F.lit("</dc:creator><pubDate>"),
         F.when(n % 5 == 3, "no date").otherwise(_stamp("EEE, dd MMM yyyy HH:mm:ss Z")), F.lit("</pubDate></item>"))
     shape = lambda v: F.concat(F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>'), F.array_join(v, ""), F.lit("</channel></rss>"))
-    return _out(feeds.rss(_payloads(_numbered(spark, sf), "r", item, shape))).withColumn("body", F.rtrim("body")).withColumn("body", F.concat("body", F.lit(" ")))
+    return _out(feeds.rss(_payloads(_numbered(spark, sf), "r", item, shape)))
 
 
 @query("read_atom", f"""SELECT 'http://t.example.com/' || doc_id AS url, {_WORDS} AS title, {_WORDS} AS body, lang AS author,
-  {_WHEN} AS published_at, 'api' AS source_type, {_POS} AS position FROM documents WHERE doc_id % 5 <> 3 AND {_WORDS} <> ''""")
+  {_WHEN} AS published_at, 'api' AS source_type, {_POS} FROM documents WHERE doc_id % 5 <> 3 AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
     entry = F.concat(
@@ -451,7 +460,7 @@ def _(spark, sf):
 
 
 @query("read_documents_json", f"""SELECT 'http://d.example.com/' || doc_id AS url, {_WORDS} AS title, {_WORDS} AS body, CASE WHEN doc_id % 3 > 0 THEN lang END AS author,
-  {_DAY} AS published_at, 'json' AS source_type, {_POS} AS position FROM documents WHERE doc_id % 5 <> 3 AND {_WORDS} <> ''""")
+  {_DAY} AS published_at, 'json' AS source_type, {_POS} FROM documents WHERE doc_id % 5 <> 3 AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
     entry = F.struct(F.col("w").alias("title"), F.concat(F.lit("http://d.example.com/"), n).alias("html_url"),
@@ -460,17 +469,17 @@ def _(spark, sf):
     return _out(feeds.documents_json(_payloads(_numbered(spark, sf), "d", entry, lambda v: F.to_json(F.struct(v.alias("results"))))))
 
 
-@query("read_headlines_json", f"""SELECT 'http://h.example.com/' || doc_id AS url, {_WORDS} AS title, CASE doc_id % 3 WHEN 0 THEN 'd' ELSE 'c' END AS body, lang AS author,
-  {_WHEN} AS published_at, 'json' AS source_type, {_POS} AS position FROM documents WHERE doc_id % 7 <> 3 AND {_WORDS} <> ''""")
+@query("read_headlines_json", f"""SELECT 'http://h.example.com/' || doc_id AS url, {_WORDS} AS title, CASE doc_id % 3 WHEN 0 THEN {_WORDS} ELSE text END AS body, lang AS author,
+  {_WHEN} AS published_at, 'json' AS source_type, {_POS} FROM documents WHERE doc_id % 7 <> 3 AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
     entry = F.struct(F.when(n % 7 != 3, F.col("w")).alias("title"), F.concat(F.lit("http://h.example.com/"), n).alias("url"), _stamp("yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
-                     F.when(n % 3 == 0, "d").when(n % 3 == 1, "").alias("description"), F.lit("c").alias("content"), F.col("lang").alias("author"))
+                     F.when(n % 3 == 0, F.col("w")).when(n % 3 == 1, "").alias("description"), F.col("text").alias("content"), F.col("lang").alias("author"))
     return _out(feeds.headlines_json(_payloads(_numbered(spark, sf), "h", entry, lambda v: F.to_json(F.struct(v.alias("articles"))))))
 
 
 @query("read_market_news_json", f"""SELECT 'http://m.example.com/' || doc_id AS url, {_WORDS} AS title, {_WORDS} AS body, source AS author,
-  {_WHEN} AS published_at, 'json' AS source_type, {_POS} AS position FROM documents WHERE doc_id % 7 <> 3 AND {_WORDS} <> ''""")
+  {_WHEN} AS published_at, 'json' AS source_type, {_POS} FROM documents WHERE doc_id % 7 <> 3 AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
     entry = F.struct(F.col("w").alias("headline"), F.concat(F.lit("http://m.example.com/"), n).alias("url"),
@@ -479,7 +488,7 @@ def _(spark, sf):
 
 
 @query("read_releases_json", f"""SELECT CASE WHEN doc_id % 3 = 0 THEN '{C.RELEASE_PAGE}' || doc_id ELSE 'http://f.example.com/' || doc_id END AS url, {_WORDS} AS title, '' AS body,
-  CAST(NULL AS VARCHAR) AS author, {_DAY} AS published_at, 'json' AS source_type, {_POS} AS position FROM documents
+  CAST(NULL AS VARCHAR) AS author, {_DAY} AS published_at, 'json' AS source_type, {_POS} FROM documents
   WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0) AND {_WORDS} <> ''""")
 def _(spark, sf):
     n = F.col("n")
@@ -510,19 +519,19 @@ def _(spark, sf):
     return kept.select("source", F.col("url").cast("long").alias("n"))
 
 
-@query("stream_ingest", f"""SELECT substr(sha256(url || '2024-01-01T00:00:00Z'), 1, 32) AS item_id, title FROM (
-  SELECT 'https://s.example.com/' || md5(text) AS url, arg_min({_WORDS}, doc_id) AS title FROM documents GROUP BY 1)""")
+@query("stream_ingest", f"""SELECT substr(sha256(url || '2024-01-01T00:00:00Z'), 1, 32) AS item_id, title, md5(body) AS body_md5 FROM (
+  SELECT 'https://s.example.com/' || md5(text) AS url, arg_min({_WORDS}, doc_id) AS title, substr(trim(regexp_replace(any_value(text), '{WS}+', ' ', 'g')), 1, 1200) AS body FROM documents GROUP BY text)""")
 def _(spark, sf):
     words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     entries = table(spark, sf, "documents").select(
         "source", F.lit("rss").alias("source_type"), F.lit("World").alias("topic_hint"), F.concat(F.lit("https://s.example.com/"), F.md5("text")).alias("url"),
-        words.alias("title"), F.lit("").alias("body"), F.lit("2024-01-01").cast("timestamp").alias("published_at"),
+        words.alias("title"), F.col("text").alias("body"), F.lit("2024-01-01").cast("timestamp").alias("published_at"),
         F.lit("2024-01-01 06:00:00").cast("timestamp").alias("fetched_at"), F.lit("r").alias("run_id"))
-    landing, path, state = (scratch(spark, k) for k in ("landing", "stream", "state"))
+    landing, path, state = (scratch_path(spark, k) for k in ("landing", "stream", "state"))
     entries.write.json(landing, timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'")
     for _ in range(2):  # the second start has no new files and writes nothing
         ingest.start_ingest(ingest.read_landing(spark, landing), path, state).awaitTermination()
-    return tables.read_table(spark, path, items.ITEM_SCHEMA, columns=["item_id", "title"])
+    return tables.read_table(spark, path, items.ITEM_SCHEMA, columns=["item_id", "title", "body_excerpt"]).select("item_id", "title", F.md5("body_excerpt").alias("body_md5"))
 
 
 # --- waiting list -----------------------------------------------------------------
@@ -546,7 +555,9 @@ def _(spark, sf):
     return waitlist.unsent_count(rows.where("email is not null"))
 
 
-@query("export_signups", f"""SELECT {_MAIL_SQL} AS email, c_mktsegment AS created_at, CAST(NULL AS VARCHAR) AS emailed_at FROM customer WHERE {_MAIL_SQL} IS NOT NULL""")
+@query("export_signups", f"""SELECT {_MAIL_SQL} AS email, '2024-01-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0') AS created_at, CASE WHEN c_acctbal < 0 THEN '2024-02-01' END AS emailed_at
+  FROM customer WHERE {_MAIL_SQL} IS NOT NULL""")
 def _(spark, sf):
-    rows = table(spark, sf, "customer").select(text.normalize_email(_mail()).alias("email"), F.col("c_mktsegment").alias("created_at"), F.lit(None).cast("string").alias("emailed_at"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("c_custkey") % 28).cast("string"), 2, "0"))
+    rows = table(spark, sf, "customer").select(text.normalize_email(_mail()).alias("email"), day.alias("created_at"), F.when(F.col("c_acctbal") < 0, "2024-02-01").alias("emailed_at"))
     return waitlist.export_signups(rows.where("email is not null"))

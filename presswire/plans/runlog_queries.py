@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import pricing
 from ..operators import quality, runlog
-from .item_queries import scratch
+from ..session import scratch_path
 from .standins import plain, run_log, table, with_sql
 
 QUERIES, SQL = {}, {}
@@ -211,7 +211,7 @@ def _(spark, sf):
 @query("run_log_evolution", _log_sql("""SELECT CAST(run_date AS VARCHAR) AS run_date, count(*) AS runs, count(reasons) AS with_reasons FROM (
   SELECT run_date, CASE WHEN day(run_date) > 15 AND event_id % 7 < 3 THEN 1 END AS reasons FROM run_log) GROUP BY 1"""))
 def _(spark, sf):
-    path = scratch(spark, "run-log")
+    path = scratch_path(spark, "run-log")
     log = run_log(spark, sf).drop("event_id")
     # the first half of the month was written before the column existed
     log.where(F.dayofmonth("run_date") <= 15).drop("reasons").write.partitionBy("run_date").parquet(path)
@@ -219,16 +219,13 @@ def _(spark, sf):
     return plain(runlog.read_run_log(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("runs"), F.count("reasons").alias("with_reasons")))
 
 
-@query("correct_run_log", _log_sql("""SELECT count(*) FILTER (NOT bad) AS rows_left, count(*) FILTER (run_date = DATE '2024-01-05') AS before,
-  count(*) FILTER (run_date = DATE '2024-01-05' AND NOT bad) AS after FROM (
-  SELECT run_date, run_date = DATE '2024-01-05' AND job = 'collector' AND items_in <= 5 AS bad FROM run_log)"""))
+@query("correct_run_log", _log_sql("""SELECT count(*) FILTER (NOT bad) AS rows_left, coalesce(sum(n) FILTER (first AND touched), 0)::BIGINT AS before, coalesce(sum(n - bads) FILTER (first AND touched), 0)::BIGINT AS after FROM (
+  SELECT bad, count(*) OVER d AS n, count(*) FILTER (bad) OVER d AS bads, bool_or(bad) OVER d AS touched, row_number() OVER (PARTITION BY run_date ORDER BY event_id) = 1 AS first FROM (
+    SELECT run_date, event_id, run_date IN (DATE '2024-01-05', DATE '2024-01-09') AND job = 'collector' AND items_in <= 5 AS bad FROM run_log) WINDOW d AS (PARTITION BY run_date))"""))
 def _(spark, sf):
-    path = scratch(spark, "run-log")
+    path = scratch_path(spark, "run-log")
     run_log(spark, sf).write.partitionBy("run_date").parquet(path)
     log = runlog.read_run_log(spark, path)
-    bad = log.where((F.col("run_date") == "2024-01-05") & (F.col("job") == "collector") & (F.col("items_in") <= 5))
-    before, after = runlog.correct_rows(log, path, bad)
-    # a day without a bad row is not touched, so both counts are of that day
-    if before == 0:
-        before = after = log.where(F.col("run_date") == "2024-01-05").count()
+    bad = log.where(F.col("run_date").isin("2024-01-05", "2024-01-09") & (F.col("job") == "collector") & (F.col("items_in") <= 5))
+    before, after = runlog.correct_rows(log, path, bad)  # of the days that hold a bad row
     return runlog.read_run_log(spark, path).agg(F.count(F.lit(1)).alias("rows_left"), F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"))

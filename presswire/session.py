@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no search of the Python stack for each expression: plans here have thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _LOCAL_DIRS: dict[str, str] = {}  # scratch folders of local sessions that name none
@@ -37,6 +39,7 @@ def local_session(cores: int = 8, name: str = "presswire") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

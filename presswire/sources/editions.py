@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.strict import lone_object
+
 # one superset for the normal, quiet and fallback shapes; a fallback has a
 # notice and a ranked story list, the others have sections
 EDITION_SCHEMA = """
@@ -24,13 +26,6 @@ stories array<struct<rank: int, title: string, score: int, url: string, source:
 EDITIONS_TABLE = "date date, edition_number int, edition_type string, edition_json string"
 
 
-def lone_object(text: Column) -> Column:
-    """The text where it is one JSON object and nothing else, NULL otherwise."""
-    # a value of the array before the sentinel, so nothing stands behind the object
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit(", 0]"))) == 2
-    return F.when(alone & F.json_object_keys(text).isNotNull(), text)
-
-
 def parse_edition(text: Column) -> Column:
     """The edition struct of a JSON text; NULL where it is not one JSON object."""
     return F.from_json(lone_object(text), EDITION_SCHEMA)

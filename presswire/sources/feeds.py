@@ -30,7 +30,7 @@ def _entries(payloads: DataFrame, values: Column, source_type: str, title: Colum
         url.alias("url"), title.alias("title"), body.alias("_body"),
         F.when(author != "", author).alias("author"),
         published_at.alias("published_at"),
-        (F.col("payload_no") * 1_000_000 + F.col("_pos")).alias("position"),
+        F.struct("payload_no", F.col("_pos").alias("entry")).alias("position"),
     ).where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "") & F.col("published_at").isNotNull())
     # decoded last, so entries that are dropped cost nothing
     decoded = strip_html(F.col("_body")) if source_type != "json" else F.coalesce("_body", F.lit(""))

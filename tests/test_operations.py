@@ -116,7 +116,7 @@ def test_scoring_prompt_names_every_member(spark):
     rows = [("2024-01-01", "c", f"i{n}", f"2024-01-01 0{n}:00:00", f"s{n}", f"T{n}", "u", "") for n in range(9)]
     members = spark.createDataFrame(rows, "ingest_date string, cluster_id string, item_id string, published_at string, source string, title string, canonical_url string, body_excerpt string")
     prompt = edition.ordered_members(members).select(scoring.scoring_prompt("members").alias("p")).first().p
-    assert prompt.startswith("Sources reporting this story: 9\n") and prompt.endswith("- T8")
+    assert prompt.startswith("Reports of one event: 9, from s0, ") and prompt.endswith("* T8")
 
 
 def test_replies_with_text_behind_them_are_rejected(spark):
@@ -127,15 +127,33 @@ def test_replies_with_text_behind_them_are_rejected(spark):
     assert [r.score is not None for r in scoring.check_replies(replies).collect()] == [True, False, False, False]
 
 
-def test_two_rewrites_for_one_piece_do_not_collide(spark):
-    from pyspark.sql import functions as F
+KIND = "struct<edition_type:string,notice:string,headline_of_the_day:string,key_points:array<struct<text:string,topic:string>>,sections:array<struct<name:string,stories:array<struct<slug:string,summary:string,article:struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string>>>>>>>"
+HARD = "Incomprehensible institutional responsibilities notwithstanding internationalization characteristically. "
+
+
+def test_revision_stops_when_easy_or_after_three_passes(spark):
     from presswire.operators import readability
 
-    accepted = spark.createDataFrame([(1, "headline", "a"), (1, "headline", "b")], "date long, id string, rewrite string")
-    kind = "struct<headline_of_the_day:string,key_points:array<struct<text:string,topic:string>>,sections:array<struct<name:string,stories:array<struct<slug:string,summary:string,article:struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string>>>>>>>"
-    edition = spark.range(1, 2).select(F.col("id").alias("date"), F.from_json(F.lit('{"headline_of_the_day": "old", "key_points": [], "sections": []}'), kind).alias("edition"))
-    row = readability.apply_rewrites(edition, accepted).first()
-    assert row.edition.headline_of_the_day == "b" and row.applied == 1
+    def text(n):
+        return json.dumps({"edition_type": "normal", "headline_of_the_day": HARD * n if n else "We go.", "key_points": [{"text": "It is so.", "topic": "AI"}], "sections": []})
+
+    rows = spark.createDataFrame([("easy", text(0)), ("once", text(1)), ("thrice", text(3)), ("never", text(8))], "date string, t string")
+    editions = rows.select("date", F.from_json("t", KIND).alias("edition"))
+
+    def make():
+        def cut(t):  # a pass takes one hard sentence away
+            if not t.startswith("Incomp"):
+                raise ValueError("not asked for")
+            rest = t[len(HARD):]
+            return "We did. " + "It ran so. " * 3 if not rest else "We go. " * 2 + rest if rest.count("Incomp") > 5 else rest
+        return cut
+
+    got = {r.date: r for r in readability.revise(editions, make).collect()}
+    assert set(got) == {"easy", "once", "thrice", "never"}
+    assert (got["easy"].passes, got["easy"].hard) == (0, False) and got["easy"].edition.headline_of_the_day == "We go."
+    assert (got["once"].passes, got["once"].hard) == (1, False) and got["once"].edition.headline_of_the_day.startswith("We did.")
+    assert got["never"].hard and got["never"].average > 9 and got["never"].passes == 3
+    assert got["once"].edition.key_points[0].text == "It is so."
 
 
 def test_every_day_has_an_edition(spark):
@@ -175,7 +193,7 @@ def test_text_behind_an_edition_and_missing_stats(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, edition_json string")
     found = {r.n: r.problems for r in quality.check_editions(rows).collect()}
     assert found[0] == [] and found[1] == found[2] == found[4] == ["not_an_object"]
-    assert "stats" in found[3]
+    assert "missing_key:stats.sources" in found[3]
 
 
 def test_blocks_of_a_crowded_day_are_few(spark):
