@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from presswire.llm import chat, decontamination, html, jaccard, lattice, packing, quality, sharding, toxicity, warc
@@ -65,22 +66,58 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert len(rows) == 600 and {r.class_id for r in rows} == {0} and {r.n_links for r in rows} == {599}
 
 
+def trees_of(text, shingler=Shingler()):
+    return np.frombuffer(jaccard.signature(Shingler.shingles(shingler.words(text))), ">u2").reshape(jaccard.TREES, jaccard.LONGEST)
+
+
+def meet(a, b, length):
+    return bool((trees_of(a)[:, :length] == trees_of(b)[:, :length]).all(axis=1).any())
+
+
+def sixty_words(rng):
+    return [f"v{x}" for x in rng.integers(0, 100_000, 60)]
+
+
 def test_jaccard_goes_to_shorter_prefixes(spark):
-    """Pairs over the threshold that share no prefix of the first length are found."""
-    rng, n, rows = np.random.default_rng(9), jaccard.prefix_length(0.8, 0.995), []
-    shingler, left = Shingler(), range(4000)
-    for _ in left:
-        words = [f"v{x}" for x in rng.integers(0, 100_000, 60)]
-        texts = " ".join(words), " ".join(words[:49])
-        shingles = [Shingler.shingles(shingler.words(t)) for t in texts]
-        meet = [(jaccard.prefix_keys(shingles[0], k) == jaccard.prefix_keys(shingles[1], k)).any() for k in (n, n - 1)]
-        if meet == [False, True]:
-            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
-        if len(rows) == 4:
-            break
-    assert len(rows) == 4
+    """A group whose links are hardly over the threshold looks for more along shorter prefixes."""
+    rng, n, rows = np.random.default_rng(9), jaccard.prefix_length(0.8, 0.999), []
+    while len(rows) < 6:
+        words = sixty_words(rng)
+        whole, front, back = (" ".join(w) for w in (words, words[:49], words[11:]))
+        if meet(whole, front, n) and not meet(whole, back, n) and meet(whole, back, n - 1):
+            rows += [(len(rows) + i, t) for i, t in enumerate((whole, front, back))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (2, 1)}
+    assert got == {0: (0, 2), 1: (0, 1), 2: (0, 1), 3: (3, 2), 4: (3, 1), 5: (3, 1)}
+    alone = {r.doc_id: r.n_links for r in jaccard.links(spark.createDataFrame(rows[:3], "doc_id long, text string"), group_recall=0.0).collect()}
+    assert alone == {0: 1, 1: 1, 2: 0}
+
+
+def test_jaccard_recall_at_the_threshold(spark):
+    """4,000 pairs of similarity 45/56, no other links: at least 99.5 of 100 are found."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(4000):
+        words = sixty_words(rng)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:49]))]
+    found = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("n_links = 1 and class_id = floor(doc_id / 2) * 2").count() >= 0.995 * 8000
+    assert found.where("n_links > 1").count() == 0
+
+
+@pytest.mark.parametrize("length, rows", [(2, 1), (2, 7), (3, 50), (1, 1000)])
+def test_runs_of_the_tries(length, rows):
+    rng = np.random.default_rng(rows)
+    entries = sorted((int(t), rng.integers(0, 3, 4, dtype=np.uint16).astype(">u2").tobytes()) for t in rng.integers(0, 3, 400))
+    nodes = rng.permutation(400).tolist()
+    is_open = (rng.random(400) < 0.05).tolist()
+    table = pa.table({"tree": [t for t, _ in entries], "key": [k for _, k in entries], "node": nodes, "open": is_open})
+    got = [pair for batch in jaccard.runs(length)(iter(table.to_batches(max_chunksize=rows))) for pair in zip(*(batch.column(c).to_pylist() for c in "ab"))]
+    wanted = []
+    for _, run in itertools.groupby(range(400), lambda i: (entries[i][0], entries[i][1][:2 * length])):
+        run = list(run)
+        if any(is_open[i] for i in run):
+            wanted += [(nodes[i], nodes[run[0]]) for i in run[1:]]
+    assert sorted(got) == sorted(wanted)
 
 
 def test_jaccard_odd_rows(spark, odd, none):
@@ -95,8 +132,8 @@ def test_jaccard_odd_rows(spark, odd, none):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    n = jaccard.prefix_length(0.8, 0.995)
-    assert 1 - (1 - 0.8**n) ** jaccard.TREES >= 0.995 > 1 - (1 - 0.8 ** (n + 1)) ** jaccard.TREES
+    n = jaccard.prefix_length(0.8, 0.999)
+    assert 1 - (1 - 0.8**n) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (n + 1)) ** jaccard.TREES
 
 
 def brute_items(docs, items):
