@@ -17,6 +17,8 @@ VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+FILE_BYTES = 32 << 20  # of an archive; a reader's task holds one, packed, and a record of it
+
 ROWS = ("page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
         "digest_ok boolean, payload binary")
 
@@ -120,9 +122,13 @@ def page_of(record: bytes) -> tuple | None:
             number(fields.get("warc-refers-to")), right, payload if kind == "response" else None)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000,
+                   bytes_per_file: int = FILE_BYTES) -> None:
     """Write a record per row of pages (page_id, url, html) into WARC files under `path`.
 
+    A file is closed after `records_per_file` records, or before the record that
+    would take it over `bytes_per_file`, so no file is larger than that unless one record is.
+
     A null html is an empty payload, a null url leaves the target out. Among equal
     payloads of at least `min_bytes` the row with the largest page_id is a
     response and the others revisit it; a row repeated with that same id is a
@@ -143,23 +149,30 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held, records = 0, 0, 0
         for batch in batches:
-            out = []
+            out, parts = [], []
             for page_id, url, payload, sha1, to in zip(*(batch[c] for c in batch.columns)):
                 whole = member(page_record(None if pd.isna(page_id) else int(page_id), url, payload, base64.b32encode(sha1).decode(),
                                            None if pd.isna(to) else int(to), date))
                 if whole[-1]:
                     whole += member(_record([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<urn:end:{page_id}>"), ("WARC-Date", date)], b""))
+                if records and (held + len(whole) > bytes_per_file or records == records_per_file):
+                    part, held, records = part + 1, 0, 0
+                held, records = held + len(whole), records + 1
                 out.append(whole[:-1])
-            yield pd.DataFrame({"value": out})
+                parts.append(part)
+            yield pd.DataFrame({"value": out, "part": parts})
 
-    members = rows.select("page_id", "url", "payload", "sha1", refers.alias("to")).mapInPandas(pack, "value binary")
-    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    members = rows.select("page_id", "url", "payload", "sha1", refers.alias("to")).mapInPandas(pack, "value binary, part int")
+    # a folder a part, so a task closes one file where the next part begins
+    members.select(F.col("value").cast("string").alias("value"), "part").write.option("lineSep", "\0").partitionBy("part").text(path)
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
     """The pages of all archives under `path`, see ROWS; one task reads a file from
-    front to back and holds one record at a time. `payload` is null for revisits."""
+    front to back. It holds the packed file, FILE_BYTES of those written here unless one record is larger,
+    and unpacks one record of it at a time. `payload` is null for revisits."""
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in ROWS.split(", ")]
         for batch in batches:

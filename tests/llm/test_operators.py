@@ -304,6 +304,19 @@ def test_warc_round_trip(spark, sf):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_closed_by_bytes_and_by_records(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"http://a/{i}", "".join(rng.choice(list("abcdefgh"), 40_000 if i % 10 == 0 else 500))) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), records_per_file=30, bytes_per_file=20_000)
+    files = [p.stat().st_size for p in (tmp_path / "a").rglob("*.txt")]
+    assert len(files) > 4 and max(files) <= 20_000 + 30
+    got = {r.page_id: (r.payload.decode(), r.digest_ok) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: (text, True) for i, _, text in rows}
+    warc.write_archives(pages, str(tmp_path / "b"), bytes_per_file=10_000)  # a record larger than that has a file of its own
+    assert warc.read_archives(spark, str(tmp_path / "b")).count() == 120
+
+
 def test_warc_reader_frames_members():
     records = [warc._record([("WARC-Type", "x")], b"a" * n) for n in (0, 5, 100_000)]
     whole = b"".join(warc.member(r) + b"\0" * i for i, r in enumerate(records))
