@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from .. import constants as C
 from ..functions.text import strip
 from ..functions.urls import cluster_id
+from ..functions.vectors import norm, unit
 from ..session import cut_lineage, written
 from .blocks import BLOCK_ROWS, heads, matrices, pack_blocks, with_matrices, within_reach
 from .graph import components, roots
@@ -36,14 +37,19 @@ def embed(df: DataFrame, text: str, make_model: Callable[[], Callable], out: str
 
 
 def hashed_vectors(df: DataFrame, text: str, dims: int = 256, out: str = "vector") -> DataFrame:
-    """Unit term-count vectors over hashed words, without Python or a fit."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    """Unit term-count vectors over words hashed by MD5, without Python or a fit. A text
+    without words has the zero vector."""
+    words = F.filter(F.split(F.lower(strip(F.col(text))), r"(?U)\W+"), lambda w: w != "")
+    place = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dims)
+    counts = _bound(F.coalesce(place, F.array().cast("array<bigint>")), lambda places: F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double")))
+    vector = _bound(counts, lambda c: _bound(norm(c), lambda length: F.transform(c, lambda x: F.when(length > 0, x / length).otherwise(x))))
+    return df.withColumn(out, vector.cast("array<float>"))
 
-    words = df.withColumn("_words", F.split(F.lower(strip(F.col(text))), r"(?U)\W+"))
-    counts = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(words)
-    scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counts)
-    return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def embed_missing(items: DataFrame, cache: DataFrame, text: str, make_model: Callable[[], Callable],
@@ -319,8 +325,6 @@ def centroids(members: DataFrame, keys: list[str], vector: str = "vector") -> Da
     sums = parts.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
     # one row per dimension: the list is as long as the vector, not the group
     mean = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"])
-    from ..functions.vectors import unit
-
     return sums.groupBy(*keys).agg(mean.alias("_mean")).select(*keys, unit(F.col("_mean")).alias("centroid"))
 
 

@@ -9,6 +9,9 @@ from ..functions.urls import clean_url, host_of
 from .ordering import first_rows
 
 
+WANTED_URLS = 200_000  # that are broadcast, some 20 MB
+
+
 def should_fetch(body_excerpt: Column, canonical_url: Column, min_chars: int = C.ENRICH_MIN_CHARS,
                  skip_hosts: list[str] = C.ENRICH_SKIP_HOSTS, enabled: bool = True) -> Column:
     return (
@@ -31,14 +34,19 @@ def readable_page(pages: DataFrame, max_bytes: int = C.ENRICH_MAX_BYTES) -> Colu
     return ok
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``(canonical_url, page_text)``, one row per URL, earliest page first.
 
     Pages are parsed where they are read, each once however many items link to
-    it, so that excerpts and not whole pages go through the shuffle.
+    it, so that excerpts and not whole pages go through the shuffle. Where the URLs
+    wanted are few enough to be sent to every task, no other page is parsed.
     """
-    found = pages.where(readable_page(pages)).select(
-        clean_url(F.col("url")).alias("canonical_url"), "page_id", excerpt(main_text(F.col("html"))).alias("page_text"))
+    found = pages.where(readable_page(pages)).withColumn("canonical_url", clean_url(F.col("url")))
+    if wanted is not None:
+        urls = wanted.select("canonical_url").distinct()
+        if urls.limit(WANTED_URLS + 1).count() <= WANTED_URLS:
+            found = found.join(F.broadcast(urls), "canonical_url", "left_semi")
+    found = found.select("canonical_url", "page_id", excerpt(main_text(F.col("html"))).alias("page_text"))
     return first_rows(found, ["canonical_url"], [F.col("page_id")]).drop("page_id")
 
 
@@ -50,7 +58,7 @@ def enrich_items(items: DataFrame, pages: DataFrame, **config) -> DataFrame:
     # rows with equal URLs agree on the page text, so the join is on URL alone;
     # adaptive execution splits a URL that many items share
     flagged = items.withColumn("fetched", should_fetch(F.col("body_excerpt"), F.col("canonical_url"), **config))
-    texts = page_texts(pages)
+    texts = page_texts(pages, flagged.where("fetched"))
     joined = flagged.join(texts, "canonical_url", "left")
     before = F.length(strip(F.col("body_excerpt")))
     better = F.col("fetched") & (F.length(F.coalesce("page_text", F.lit(""))) > before)

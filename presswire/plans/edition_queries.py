@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import readability as fk
 from ..operators import cluster, edition, gold, quality, readability, scoring, similarity
-from ..sources.editions import edition_rows, publishable
+from ..session import scratch_path
+from ..sources.editions import edition_rows, publishable, read_editions, write_editions
 from .standins import WS, _SECTIONS, _TOPICS, day_tables, doc_items, editions, members, plain, table, with_sql
 
 QUERIES, SQL = {}, {}
@@ -163,10 +164,13 @@ def _(spark, sf):
     return plain(c.select("label", F.posexplode("centroid").alias("dim", "value")).withColumn("value", F.round("value", 5)))
 
 
-@query("hashed_vectors")
+@query("hashed_vectors", """WITH t AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS dim, count(*) AS n FROM (
+    SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1, 2)
+  SELECT item_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 4) AS value FROM t""")
 def _(spark, sf):
     v = cluster.hashed_vectors(table(spark, sf, "benchmark"), "text", 64)
-    return v.select("item_id", F.size("vector").cast("long").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x), 4).alias("length"))
+    cells = v.select("item_id", F.posexplode("vector").alias("dim", "value")).where("value > 0")
+    return plain(cells.withColumn("value", F.round(F.col("value").cast("double"), 4)))
 
 
 def _length_model():
@@ -397,6 +401,28 @@ def _(spark, sf):
     return plain(rows.groupBy("date").agg(F.max("edition_number").alias("edition_number"), F.max("edition_type").alias("edition_type")))
 
 
+@query("edition_sink", """WITH d AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1),
+  runs AS (SELECT date, CASE n % 3 WHEN 0 THEN 'fallback' WHEN 1 THEN 'quiet' ELSE 'broken' END AS first, CASE WHEN month(date) % 3 = 0 THEN NULL WHEN n % 2 = 0 THEN 'fallback' ELSE 'normal' END AS second, n FROM d)
+  SELECT CAST(date AS VARCHAR) AS date, CASE WHEN second IS NULL OR (first = 'quiet' AND second = 'fallback') THEN first ELSE second END AS edition_type,
+    CASE WHEN second IS NULL OR (first = 'quiet' AND second = 'fallback') THEN n ELSE n + 1 END AS edition_number,
+    (SELECT count(*) FILTER (second IS NOT NULL AND NOT (first = 'quiet' AND second = 'fallback')) FROM runs) AS written_again
+  FROM runs WHERE NOT (first = 'broken' AND second IS NULL)""")
+def _(spark, sf):
+    path = scratch_path(spark, "editions")
+    per = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(kind, number, keep=F.lit(True), readable=F.lit(True)):
+        text_of = F.to_json(F.struct(F.col("date").cast("string").alias("date"), number.cast("int").alias("edition_number"), kind.alias("edition_type")))
+        rows = per.where(keep).select("date", number.cast("int").alias("edition_number"), kind.alias("edition_type"), F.when(readable, text_of).otherwise("{not json").alias("edition_json"))
+        return write_editions(rows, path)
+
+    n = F.col("n")
+    run(F.when(n % 3 == 0, "fallback").otherwise("quiet"), n, readable=n % 3 < 2)
+    again = run(F.when(n % 2 == 0, "fallback").otherwise("normal"), n + 1, keep=F.month("date") % 3 != 0)
+    run(F.lit("normal"), n, keep=F.lit(False))  # nothing new: all stays
+    return plain(read_editions(spark, path).select("date", "edition_type", "edition_number", F.lit(again).cast("long").alias("written_again")))
+
+
 @query("publishable_editions", """SELECT o_orderkey FROM orders o WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 = 0
   AND EXISTS (SELECT 1 FROM orders p WHERE p.o_orderstatus = 'F' AND p.o_orderkey % 3 = 0 AND CAST(p.o_orderdate AS DATE) = CAST(o.o_orderdate AS DATE))) AND o_orderkey % 5 = 0""")
 def _(spark, sf):

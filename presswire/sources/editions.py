@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict import lone_object
+from ..operators.ordering import first_rows
+from ..session import written
+from .tables import exists
 
 # one superset for the normal, quiet and fallback shapes; a fallback has a
 # notice and a ranked story list, the others have sections
@@ -57,3 +60,25 @@ def publishable(new: DataFrame, published: DataFrame) -> DataFrame:
     kept = published.where(F.col("edition_type").isin("normal", "quiet")).select(F.col("date").alias("_day"))
     blocked = (F.col("date") == F.col("_day")) & (F.col("edition_type") == "fallback")
     return new.join(kept, blocked, "left_anti")
+
+
+def write_editions(editions: DataFrame, path: str) -> int:
+    """Write editions (date, edition_number, edition_type, edition_json) as one file a date
+    and say how many were. Of several of a date that with the highest number counts.
+
+    A fallback never replaces a published normal or quiet edition; what is stored
+    but cannot be read is no publication. Only the dates written are replaced, each
+    at once when the job commits, so a run without editions keeps all there is and
+    a second run of the same ones gives the same files.
+    """
+    spark = editions.sparkSession
+    newest = first_rows(editions, ["date"], [F.desc("edition_number"), F.col("edition_type"), F.col("edition_json")])
+    newest = newest.select(F.col("date").cast("date").alias("date"), "edition_number", "edition_type", "edition_json")
+    if exists(spark, path):
+        stored = spark.read.schema("value string, date date").text(path, wholetext=True).withColumnRenamed("value", "edition_json")
+        stored = stored.join(newest.select("date"), "date", "left_semi").drop("date")
+        newest = publishable(newest, edition_rows(stored))
+    chosen = written(newest, "editions")  # read from the folder that is written to next
+    count = chosen.count()
+    chosen.select("edition_json", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").text(path)
+    return count

@@ -155,3 +155,12 @@ def test_cache_never_serves_another_version(spark):
     vectors, added = cluster.embed_missing(items, cache, "text", make_model, "new")
     assert {r.item_id: r.vector for r in vectors.collect()} == {"a": [1.0, 0.0], "b": [1.0, 0.0]}
     assert added.count() == 2
+
+
+def test_hashed_vectors(spark):
+    rows = spark.createDataFrame([(1, "One two, two"), (2, ""), (3, None)], "n int, t string")
+    got = {r.n: r.vector for r in cluster.hashed_vectors(rows, "t", 16).collect()}
+    want = np.zeros(16)
+    for w in ("one", "two", "two"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+    assert got[1] == pytest.approx(want / np.linalg.norm(want)) and got[2] == got[3] == [0.0] * 16

@@ -255,3 +255,34 @@ def test_scores_name_their_model_also_when_null(spark):
     got = scoring.settle_scores(attempts, F.lit(0.0), F.lit("m1"), F.lit("p1"), F.lit(datetime(2024, 5, 1, 9))).collect()
     assert {(r.cluster_id, r.score, r.model_version, r.prompt_version, r.scored_at) for r in got} == {
         ("a", 5, "m1", "p1", datetime(2024, 5, 1, 9)), ("b", None, "m1", "p1", datetime(2024, 5, 1, 9))}
+
+
+def test_edition_sink_keeps_what_is_published(spark, tmp_path):
+    path = str(tmp_path / "editions")
+
+    def write(*rows):
+        schema = "date date, edition_number int, edition_type string, edition_json string"
+        texts = [(date(2024, 1, d), n, kind, json.dumps({"date": f"2024-01-{d:02}", "edition_number": n, "edition_type": kind}) if kind != "broken" else "{") for d, n, kind in rows]
+        return editions.write_editions(spark.createDataFrame(texts, schema), path)
+
+    def stored():
+        return {(r.date.day, r.edition_number, r.edition_type) for r in editions.read_editions(spark, path).collect()}
+
+    assert write((1, 1, "normal"), (2, 2, "fallback"), (3, 3, "broken"), (4, 4, "quiet")) == 4
+    assert stored() == {(1, 1, "normal"), (2, 2, "fallback"), (4, 4, "quiet")}
+    assert write((1, 9, "fallback"), (2, 9, "fallback"), (3, 9, "fallback")) == 2
+    assert write() == 0 and write((4, 8, "quiet"), (4, 7, "normal")) == 1
+    assert stored() == {(1, 1, "normal"), (2, 9, "fallback"), (3, 9, "fallback"), (4, 8, "quiet")}
+    before = stored()
+    assert write((1, 9, "fallback")) == 0 and stored() == before
+
+
+def test_only_pages_asked_for_are_parsed(spark):
+    from presswire.operators import enrich
+
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>long enough to help</p>"), (2, "http://a/2", "<p>never asked for</p>")], "page_id long, url string, html string")
+    asked = spark.createDataFrame([("http://a/1",)], "canonical_url string")
+    found = enrich.page_texts(pages, asked)
+    assert [r.page_text for r in found.collect()] == ["long enough to help"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Project")  # the join is below what parses
