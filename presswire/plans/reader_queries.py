@@ -89,14 +89,59 @@ def _allocated(spark, sf):
     return reader.allocate(users(spark, sf), stories(spark, sf), seen(spark, sf), as_of())
 
 
-@query("allocate")
+# The rules of the specification in their order, over every reader and story.
+_ALLOCATED = f"""
+  story AS (SELECT p_partkey AS n, CAST(p_partkey AS VARCHAR) AS story_id, p_partkey * 37 % 14400 AS age, CAST(floor(p_retailprice) AS BIGINT) % 10 + 1 AS topic_score,
+      (CAST(floor(p_retailprice) AS BIGINT) + p_size) % 10 + 1 AS general_score, CASE WHEN p_partkey % 3 = 0 THEN 'World' ELSE ({_TOPICS})[p_size % 10 + 1] END AS first_topic,
+      CASE p_partkey % 4 WHEN 0 THEN [({_TOPICS})[p_partkey % 10 + 1], ({_TOPICS})[(p_partkey + p_size) % 10 + 1]] WHEN 1 THEN [({_TOPICS})[p_partkey % 7 + 1]] ELSE [] END AS others
+    FROM part WHERE p_partkey * 37 % 14400 <= {C.LOOKBACK_CATCHUP_DAYS * 1440}),
+  reader AS (SELECT c_custkey AS k, ([{', '.join(map(str, C.LENGTH_PRESETS))}])[c_custkey % 5 + 1] AS length, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 10 END AS allowance,
+      c_custkey % 3 = 0 OR c_custkey % 7 = 0 OR c_custkey % 60 > {C.LOOKBACK_DAILY_HOURS} AS away, CASE WHEN c_custkey % 5 = 0 THEN ({_TOPICS})[c_custkey % 10 + 1] END AS added FROM customer),
+  pref AS (SELECT k, length, away, added, i, ({_TOPICS})[(k + i * 3) % 10 + 1] AS topic, (k + i * 5) % 8 AS weight, i < allowance AS entitled
+    FROM (SELECT *, unnest(generate_series(0, k % 6)) AS i FROM reader)),
+  seen AS (SELECT DISTINCT o_custkey AS k, CAST(floor(o_totalprice % 2000) AS BIGINT) AS n FROM orders),
+  topical AS (SELECT n, unnest(list_distinct(list_append(others, first_topic))) AS topic FROM story),
+  own AS (SELECT k, n, min(i) AS i FROM pref JOIN topical USING (topic) JOIN story USING (n)
+    WHERE entitled AND (age <= {C.LOOKBACK_DAILY_HOURS * 60} OR away OR coalesce(topic = added, false)) AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = pref.k AND seen.n = topical.n) GROUP BY 1, 2),
+  shares AS (SELECT k, length, i, topic, weight, coalesce(waiting, 0) AS waiting, CASE WHEN sum(weight) OVER (PARTITION BY k) > 0 THEN weight ELSE 1 END AS w
+    FROM pref LEFT JOIN (SELECT k, i, count(*) AS waiting FROM own GROUP BY 1, 2) USING (k, i) WHERE entitled),
+  targets AS (SELECT *, w * length // total + CASE WHEN row_number() OVER (PARTITION BY k ORDER BY w * length % total DESC, i) <= length - sum(w * length // total) OVER (PARTITION BY k) THEN 1 ELSE 0 END AS target
+    FROM (SELECT *, sum(w) OVER (PARTITION BY k) AS total FROM shares)),
+  filling AS (
+    SELECT k, length, i, topic, weight, waiting, target, least(target, waiting) AS filled, 0 AS step FROM targets
+    UNION ALL
+    SELECT k, length, i, topic, weight, waiting, target, CAST(filled + CASE WHEN opened THEN least(w * free // total + CASE WHEN r <= free - given THEN 1 ELSE 0 END, waiting - filled) ELSE 0 END AS BIGINT), step + 1
+    FROM (SELECT *, sum(CASE WHEN opened THEN w * free // total ELSE 0 END) OVER (PARTITION BY k) AS given,
+            row_number() OVER (PARTITION BY k ORDER BY CASE WHEN opened THEN 0 ELSE 1 END, w * free % total DESC, i) AS r
+          FROM (SELECT *, sum(CASE WHEN opened THEN w ELSE 0 END) OVER (PARTITION BY k) AS total
+                FROM (SELECT *, CASE WHEN sum(CASE WHEN opened THEN weight ELSE 0 END) OVER (PARTITION BY k) > 0 THEN weight ELSE 1 END AS w
+                      FROM (SELECT *, waiting > filled AS opened, length - sum(filled) OVER (PARTITION BY k) AS free FROM filling))
+                WHERE free > 0) WHERE total > 0)),
+  filled AS (SELECT * FROM filling QUALIFY step = max(step) OVER (PARTITION BY k)),
+  picked AS (SELECT k, i, row_number() OVER (PARTITION BY k, i ORDER BY topic_score DESC, age, story_id) AS nth, n, topic, false AS topped_up FROM own JOIN story USING (n) JOIN filled USING (k, i)
+    QUALIFY nth <= filled),
+  short AS (SELECT k, away, least(length - coalesce(had, 0), CAST(floor(length * {C.TOPUP_MAX_SHARE}) AS BIGINT)) AS need FROM reader LEFT JOIN (SELECT k, sum(filled) AS had FROM filled GROUP BY 1) USING (k)),
+  topped AS (SELECT s.k, 99 AS i, row_number() OVER (PARTITION BY s.k ORDER BY general_score DESC, age, story_id) AS nth, n, first_topic AS topic, true AS topped_up
+    FROM short s JOIN story ON general_score >= {C.TOPUP_FLOOR} AND (away OR age <= {C.LOOKBACK_DAILY_HOURS * 60})
+    WHERE need > 0 AND NOT EXISTS (SELECT 1 FROM topical t JOIN pref p ON p.topic = t.topic AND p.k = s.k WHERE t.n = story.n) AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = s.k AND seen.n = story.n)
+    QUALIFY nth <= need),
+  chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM topped),
+  allocated AS (SELECT r.k, CAST(r.k AS VARCHAR) AS user_id, any_value(length) AS length, count(c.n) AS selected, count(c.n) FILTER (c.topped_up) AS topped_up, first(c.story_id ORDER BY general_score DESC, age, c.story_id) FILTER (c.n IS NOT NULL) AS lead_story_id,
+      coalesce(string_agg(c.story_id || ':' || topic || ':' || topped_up, ' ' ORDER BY i, nth), '') AS stories, coalesce(string_agg(c.story_id, '|' ORDER BY i, nth), '') AS ids,
+      (SELECT count(*) FROM own o WHERE o.k = r.k) AS candidates, greatest(any_value(r.k) % 6 + 1 - any_value(allowance), 0) AS locked_topics
+    FROM reader r LEFT JOIN (SELECT chosen.*, story_id, general_score, age FROM chosen JOIN story USING (n)) c ON c.k = r.k GROUP BY r.k)"""
+
+
+@query("allocate", f"WITH RECURSIVE {_ALLOCATED} SELECT user_id, lead_story_id, stories, selected, topped_up, candidates, locked_topics FROM allocated")
 def _(spark, sf):
     a = _allocated(spark, sf)
     line = F.array_join(F.transform("stories", lambda s: F.concat_ws(":", s["story_id"], s["claimed_by_topic"], s["topped_up"].cast("string"))), " ")
     return plain(a.select("user_id", "lead_story_id", line.alias("stories"), "selected", "topped_up", "candidates", "locked_topics"))
 
 
-@query("newsletter_records")
+@query("newsletter_records", f"""WITH RECURSIVE {_ALLOCATED}, dated AS (SELECT *, CAST(CAST(timezone((['America/New_York', 'Europe/Paris', 'Asia/Kolkata', 'UTC'])[k % 4 + 1], timezone('UTC', TIMESTAMP '{AS_OF}')) AS DATE) AS VARCHAR) AS local_date FROM allocated)
+  SELECT substr(sha256(user_id || '|' || local_date), 1, {C.ID_CHARS}) AS newsletter_id, user_id, local_date, sha256(ids) AS intro_key, lead_story_id, length, CASE WHEN k % 2 = 0 THEN 'free' ELSE 'pro' END AS plan, selected AS stories
+  FROM dated WHERE k % 4 <> 0""")
 def _(spark, sf):
     rows = users(spark, sf)
     existing = rows.where("cast(user_id as long) % 4 = 0").select("user_id", F.to_date(F.from_utc_timestamp(as_of(), F.col("timezone"))).alias("local_date"))
