@@ -15,27 +15,46 @@ from .labelled import fold, held_out, sample, with_labels
 
 WORD = re.compile(r"\w+")
 ORDER = 5          # letters an n-gram spans
-LONG_BITS, BITS = 22, 20  # whole n-grams have 2**LONG_BITS slots, shorter ones 2**BITS, which bounds the model
 DISCOUNT = 0.75
 START, END = 1, 2  # marks around a word; no letter has these code points
-LEARN = (1, 2, 3)  # folds whose words are counted
-TUNE = (4,)        # fold on which the two scores are weighed; fold 0 is never read
+TUNE = (4,)        # fold on which the two scores are weighed, by counts of the others; fold 0 is never read
 TUNE_ROWS = 20_000
 MEMO_WORDS = 150_000
+CLASSES = ("ordinary", "toxic")
+TABLES = [*(f"{c} {part}" for c in CLASSES for part in ("count", "total", "kinds")), *(f"{k} {part}" for k in range(1, ORDER) for part in ("count", "total", "kinds"))]
 
-_MODULUS, _BASE = 2_147_483_647, 1_000_003
 
-
-def size(letters: int) -> int:
-    return 1 << (LONG_BITS if letters == ORDER else BITS)
-
-
-def slots(letters: list) -> np.ndarray:
-    """The slot of an n-gram given as columns of code points."""
-    h = 17 + len(letters)
+def keys(letters: list) -> np.ndarray:
+    """The 64-bit key of an n-gram given as columns of code points."""
+    h = np.full(len(letters[0]) if letters else 0, len(letters) + 1, np.uint64)
     for c in letters:
-        h = (h * _BASE + c) % _MODULUS
-    return h % size(len(letters))
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Lookup:
+    """Exact counts by key: sorted keys, and where those of each run of high bits begin."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(np.float32)
+        bits = max(1, len(key).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.key >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(asked), np.float32)
+        run = (asked >> self.shift).astype(np.int64)
+        at, end, who = self.first[run], self.first[run + 1], np.arange(len(asked))
+        while True:
+            left = at < end
+            if not left.any():
+                return out
+            at, end, who = at[left], end[left], who[left]
+            hit = self.key[at] == asked[who]
+            out[who[hit]] = self.value[at[hit]]
+            at, end, who = at[~hit] + 1, end[~hit], who[~hit]
 
 
 def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,30 +73,36 @@ def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic): how often each word occurs in texts of either label."""
+    """(word, ordinary, toxic, ordinary4, toxic4): how often each word occurs in texts of
+    either label, and how often of these in texts of the fold that weighs the scores."""
+    names = [f"{c}{of}" for of in ("", "4") for c in CLASSES]
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = (Counter(), Counter())
+        seen = {n: Counter() for n in names}
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
-                seen[int(label)].update(WORD.findall(text.lower()))
-            if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
+            for text, label, tune in zip(batch["text"], batch["label"], batch["tune"]):
+                seen[CLASSES[int(label)] + "4" * bool(tune)].update(WORD.findall(text.lower()))
+            if sum(map(len, seen.values())) > MEMO_WORDS:
                 yield flush(seen)
         yield flush(seen)
 
     def flush(seen):
-        words = list(seen[0].keys() | seen[1].keys())
-        frame = pd.DataFrame({"word": words, "ordinary": [seen[0][w] for w in words], "toxic": [seen[1][w] for w in words]})
-        for s in seen:
+        words = list(set().union(*seen.values()))
+        frame = pd.DataFrame({"word": words, **{n: [seen[n][w] for w in words] for n in names}})
+        for c in CLASSES:
+            frame[c] += frame[f"{c}4"]
+        for s in seen.values():
             s.clear()
-        return frame.astype({"word": "object", "ordinary": "int64", "toxic": "int64"})
+        return frame.astype({"word": "object", **{n: "int64" for n in names}})
 
-    parts = train.where("label in (0, 1) and text is not null").select("text", "label").mapInPandas(count, "word string, ordinary long, toxic long")
-    return parts.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    rows = train.where("label in (0, 1) and text is not null").select("text", "label", "tune")
+    parts = rows.mapInPandas(count, "word string, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def count_ngrams(words: DataFrame) -> DataFrame:
-    """(c1..c5, ordinary, toxic): how often each n-gram of letters occurs in either class."""
-    names = [f"c{i}" for i in range(1, ORDER + 1)]
+    """(c1..c5, ordinary, toxic, ordinary4, toxic4): how often each n-gram of letters occurs in either class."""
+    names, counts = [f"c{i}" for i in range(1, ORDER + 1)], words.columns[1:]
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,77 +111,92 @@ def count_ngrams(words: DataFrame) -> DataFrame:
             rows, owner = spelt(list(batch["word"]))
             kinds, which = np.unique(rows, axis=0, return_inverse=True)
             out = pd.DataFrame(kinds, columns=names)
-            for c in ("ordinary", "toxic"):
+            for c in counts:
                 out[c] = np.bincount(which.ravel(), batch[c].to_numpy()[owner], len(kinds)).astype(np.int64)
             yield out
 
-    grams = words.mapInPandas(spell, ", ".join(f"{c} long" for c in [*names, "ordinary", "toxic"]))
-    return grams.groupBy(*names).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
+    grams = words.mapInPandas(spell, ", ".join(f"{c} long" for c in [*names, *counts]))
+    return grams.groupBy(*names).agg(*[F.sum(c).alias(c) for c in counts])
 
-def _slot(names: list[str]):
-    h = F.lit(17 + len(names)).cast("long")
-    for c in names:
-        h = (h * _BASE + F.col(c)) % _MODULUS
-    return (h % size(len(names))).cast("int")
 
-
-def count_tables(grams: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The model's count tables as (slots, values), at most 2**LONG_BITS slots each.
+def count_tables(grams: DataFrame) -> DataFrame:
+    """The model's exact count tables as rows (place in TABLES, key, value).
 
     The longest n-grams are counted per class. Shorter ones are counted once for
     both classes, by the number of different letters that come before them.
     """
     names = [f"c{i}" for i in range(1, ORDER + 1)]
 
-    def entries(df, table, at, value):
-        return df.select(F.lit(table).alias("table"), at.alias("slot"), value.cast("double").alias("value"))
+    def entries(df, table, of, value):
+        # unused letters are 0, which no letter is
+        letters = [F.col(c).cast("int") if c in of else F.lit(0) for c in names]
+        return df.select(F.lit(TABLES.index(table)).alias("place"), *[x.alias(c) for x, c in zip(letters, names)], value.cast("double").alias("value"))
 
     parts = []
-    for c in ("ordinary", "toxic"):
-        parts += [entries(grams, f"{c} count", _slot(names), F.col(c)), entries(grams, f"{c} total", _slot(names[:-1]), F.col(c)),
-                  entries(grams, f"{c} kinds", _slot(names[:-1]), F.sign(F.col(c)))]
-    level = grams
+    for c in CLASSES:
+        own = grams.where(F.col(c) > 0)
+        parts += [entries(own, f"{c} count", names, F.col(c)), entries(own, f"{c} total", names[:-1], F.col(c)), entries(own, f"{c} kinds", names[:-1], F.lit(1))]
+    level = grams.where("ordinary + toxic > 0")
     for k in range(ORDER - 1, 0, -1):
         tail = names[-k:]
         level = level.groupBy(*tail).agg(F.count(F.lit(1)).alias("n"))
-        parts += [entries(level, f"{k} count", _slot(tail), F.col("n")), entries(level, f"{k} total", _slot(tail[:-1]), F.col("n")),
-                  entries(level, f"{k} kinds", _slot(tail[:-1]), F.lit(1))]
+        parts += [entries(level, f"{k} count", tail, F.col("n")), entries(level, f"{k} total", tail[:-1], F.col("n")), entries(level, f"{k} kinds", tail[:-1], F.lit(1))]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    rows = union.groupBy("table", "slot").agg(F.sum("value").alias("value")).where("value > 0").toPandas()
-    return {t: (g["slot"].to_numpy(np.int32), g["value"].to_numpy(np.float32)) for t, g in rows.groupby("table")}
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            letters = batch[names].to_numpy()
+            key = np.zeros(len(batch), np.uint64)
+            # the letters of a table stand together, zeros before and behind
+            used = letters > 0
+            for start in range(ORDER):
+                for end in range(start, ORDER + 1):
+                    rows = (used[:, start:end].all(axis=1) & ~used[:, :start].any(axis=1) & ~used[:, end:].any(axis=1)) if end > start else (~used.any(axis=1) if start == 0 else None)
+                    if rows is not None and rows.any():
+                        key[rows] = keys([letters[rows, i] for i in range(start, end)]) if end > start else np.uint64(1)
+            yield pd.DataFrame({"place": batch["place"], "key": key.view(np.int64), "value": batch["value"]})
+
+    counted = union.groupBy("place", *names).agg(F.sum("value").alias("value"))
+    return counted.mapInPandas(keyed, "place int, key long, value double")
+
+
+def collected(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The tables at the driver, 12 bytes for each distinct n-gram of letters and each of its contexts."""
+    found = rows.select("place", "key", F.col("value").cast("float")).toArrow()
+    place, key, value = (found[c].to_numpy() for c in ("place", "key", "value"))
+    return {TABLES[p]: (key[place == p].view(np.uint64), value[place == p]) for p in np.unique(place)}
 
 
 class Spelling:
     """Log-likelihood ratios of words, toxic against ordinary, from the count tables."""
 
     def __init__(self, tables):
-        self.tables = {}
-        for k in ["ordinary", "toxic", *map(str, range(1, ORDER))]:
-            for part in ("count", "total", "kinds"):
-                whole = part == "count" and not k.isdigit()
-                dense = np.zeros(size(ORDER if whole else 0), np.float32)
-                if (name := f"{k} {part}") in tables:
-                    dense[tables[name][0]] = tables[name][1]
-                self.tables[k, part] = dense
+        none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.tables = {tuple(name.split(" ")): Lookup(*tables.get(name, none)) for name in TABLES}
 
     def _step(self, k, letters, lower):
-        full, context = slots(letters), slots(letters[:-1])
-        total = self.tables[k, "total"][context]
-        seen = np.maximum(self.tables[k, "count"][full] - DISCOUNT, 0) + DISCOUNT * self.tables[k, "kinds"][context] * lower
+        full = keys(letters)
+        context = keys(letters[:-1]) if len(letters) > 1 else np.ones(len(full), np.uint64)
+        total = self.tables[k, "total"](context)
+        seen = np.maximum(self.tables[k, "count"](full) - DISCOUNT, 0) + DISCOUNT * self.tables[k, "kinds"](context) * lower
         return np.where(total > 0, seen / np.maximum(total, 1), lower)
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """The sum over a word's letters, its end included."""
+    def likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every letter of the words, their ends included: its word's number, and its
+        probability after the letters before it, in ordinary and in toxic texts."""
         rows, owner = spelt(words)
         letters = [rows[:, i] for i in range(ORDER)]
         shared = np.full(len(rows), 1 / 65_536)
         for k in range(1, ORDER):
             shared = self._step(str(k), letters[-k:], shared)
-        ratio = np.log(self._step("toxic", letters, shared)) - np.log(self._step("ordinary", letters, shared))
-        return np.bincount(owner, ratio, len(words))
+        return owner, self._step("ordinary", letters, shared), self._step("toxic", letters, shared)
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """The sum over a word's letters."""
+        owner, ordinary, toxic = self.likelihoods(words)
+        return np.bincount(owner, np.log(toxic) - np.log(ordinary), len(words))
 
 
 @dataclass
@@ -168,22 +208,26 @@ class Model:
 def _signals(tables):
     """Text to (mean ratio a letter, highest ratio a letter of a word); 0, 0 without words."""
     spelling, memo = Spelling(tables), {}
+    known = np.zeros((0, 2))  # ratio and letters of the words of the memo, by number
 
     def signals(texts) -> np.ndarray:
+        nonlocal known
         out = np.zeros((len(texts), 2))
-        for i, text in enumerate(texts):
-            words = WORD.findall(text.lower()) if isinstance(text, str) else []
-            if not words:
-                continue
-            new = list({w for w in words if w not in memo})
+        split = [WORD.findall(text.lower()) if isinstance(text, str) else [] for text in texts]
+        for start in range(0, len(split), 64):
+            part = split[start:start + 64]
+            words = set().union(*part)
+            new = [w for w in words if w not in memo]
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                known, new = known[:0], list(words)
             if new:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                    new = list(set(words))
-                sizes = np.fromiter(map(len, new), np.float64, len(new)) + 1
-                memo.update(zip(new, zip(spelling.ratios(new).tolist(), sizes.tolist())))
-            found = np.array([memo[w] for w in words])
-            out[i] = found[:, 0].sum() / found[:, 1].sum(), (found[:, 0] / found[:, 1]).max()
+                memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+                known = np.concatenate([known, np.column_stack([spelling.ratios(new), np.fromiter(map(len, new), np.float64, len(new)) + 1])])
+            for i, found in enumerate(part, start):
+                if found:
+                    mine = known[np.fromiter(map(memo.__getitem__, found), np.int64, len(found))]
+                    out[i] = mine[:, 0].sum() / mine[:, 1].sum(), (mine[:, 0] / mine[:, 1]).max()
         return out
 
     return signals
@@ -220,15 +264,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", tune_rows: int = TUNE_ROWS) -> Model:
-    """Count all labelled rows of folds 1 to 3, then weigh mean and top ratio on at
-    most `tune_rows` rows of fold 4. Rows of fold 0 are not read."""
+    """Count all labelled rows of folds 1 to 4. Mean and top ratio are weighed on at most
+    `tune_rows` rows of fold 4, whose ratios come from the counts of the other folds. Rows
+    of fold 0 are not read."""
     spark = docs.sparkSession
-    marks = labels.where(F.col(label).isin(0, 1))
-    learn = with_labels(docs.where(fold(F.col("doc_id")).isin(*LEARN)), marks.where(fold(F.col("doc_id")).isin(*LEARN)), label)
-    tables = count_tables(written(count_ngrams(count_words(learn)), "ngrams"))
+    marks = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0))
+    learn = with_labels(docs.where(fold(F.col("doc_id")) != 0), marks, label).withColumn("tune", fold(F.col("doc_id")).isin(*TUNE))
+    grams = written(count_ngrams(count_words(learn)), "ngrams")
+    others = grams.select(*grams.columns[:ORDER], *[(F.col(c) - F.col(f"{c}4")).alias(c) for c in CLASSES])
     tune = sample(marks.where(fold(F.col("doc_id")).isin(*TUNE)), tune_rows)
-    rows = with_labels(docs, tune, label).select("label", signal_column(spark, tables)(F.col("text")).alias("s")).select("label", "s.*").toPandas()
-    return Model(tables, _logistic(rows[["mean", "top"]].to_numpy(float), rows["label"].to_numpy(float)))
+    apart = collected(count_tables(others))
+    rows = with_labels(docs, tune, label).select("label", signal_column(spark, apart)(F.col("text")).alias("s")).select("label", "s.*").toPandas()
+    return Model(collected(count_tables(grams)), _logistic(rows[["mean", "top"]].to_numpy(float), rows["label"].to_numpy(float)))
 
 
 def score_column(spark, model: Model):
@@ -250,7 +297,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Kneser-Ney continuation counts of their shorter contexts, so a spelling rare
     in either class falls back on the same estimate. A text's log-likelihoods are
     compared per letter, over the whole text and over its most toxic word; a
-    logistic curve fitted on a fold of its own turns both into the score.
+    logistic curve turns both into the score. Every count is exact: the tables have an
+    entry for each distinct n-gram and context, told apart by 64-bit keys, and every task has
+    them all, 12 bytes an entry. That grows with the kinds of spelling, not with the rows.
 
     Returns (doc_id, held_out, score, predicted). Null and empty texts score as
     texts without evidence; a null doc_id counts as held out; repeated rows get
@@ -263,5 +312,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that score below 0.5."""
+    """The documents, all columns, that score below 0.5. Null and empty texts score as texts
+    without evidence, repeated rows are kept or go alike, a row without doc_id is scored
+    like others, and an empty table stays empty."""
     return docs.where(score_column(docs.sparkSession, fit(docs, labels))(F.col("text")) < 0.5)
