@@ -9,12 +9,13 @@ Entries that miss a title, a link or a readable date are dropped.
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.dates import parse_day, parse_epoch, parse_feed_date, parse_iso
 from ..functions.text import strip_html
+from ..session import written
 
 PAYLOAD_SCHEMA = "source string, topic_hint string, payload_no long, payload string"
 
@@ -96,6 +97,16 @@ def releases_json(payloads: DataFrame) -> DataFrame:
     return _entries(payloads, releases, "json", e["name"], link, F.lit(None).cast("string"), F.lit(None).cast("string"), parse_day(e["realtime_start"]))
 
 
+_BROKEN = {  # whether a payload of the format holds no list of entries, or no item
+    "item_api": lambda: F.get_json_object("payload", "$.id").isNull(),
+    "rss": lambda: F.coalesce(~F.col("payload").rlike(r"(?s)<channel[\s>].*</channel\s*>"), F.lit(True)),
+    "atom": lambda: F.coalesce(~F.col("payload").rlike(r"(?s)<feed[\s>].*</feed\s*>"), F.lit(True)),
+    "documents_json": lambda: F.json_array_length(F.get_json_object("payload", "$.results")).isNull(),
+    "headlines_json": lambda: F.json_array_length(F.get_json_object("payload", "$.articles")).isNull(),
+    "market_news_json": lambda: F.json_array_length("payload").isNull(),
+    "releases_json": lambda: F.json_array_length(F.get_json_object("payload", "$.releases")).isNull(),
+}
+
 PARSERS = {
     "item_api": item_api, "rss": rss, "atom": atom, "documents_json": documents_json,
     "headlines_json": headlines_json, "market_news_json": market_news_json, "releases_json": releases_json,
@@ -122,27 +133,48 @@ def caps(registry: list[dict]) -> dict[str, int]:
     return {s["name"]: s["max_items_per_run"] for s in check_registry(registry)}
 
 
-def read_payloads(spark: SparkSession, source: dict) -> DataFrame:
-    """Landed files of one source, one payload per file, in file-name order."""
-    files = spark.read.text(source["path"], wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
-    numbers = files.select("_path").distinct().withColumn("payload_no", F.row_number().over(Window.orderBy("_path")).cast("long") - 1)
-    return files.join(numbers, "_path").select(
-        F.lit(source["name"]).alias("source"), F.lit(source["topic_hint"]).alias("topic_hint"),
-        "payload_no", F.col("value").alias("payload"))
+def read_payloads(spark: SparkSession, source: dict) -> tuple[DataFrame, DataFrame]:
+    """Landed files of one source as payloads, one a file and numbered by its path, and the
+    paths of those files that could not be read when their turn came."""
+    name, hint = F.lit(source["name"]).alias("source"), F.lit(source["topic_hint"]).alias("topic_hint")
+    files = spark.read.option("ignoreCorruptFiles", "true").text(source["path"], wholetext=True, recursiveFileLookup=True)
+    payloads = files.select(name, hint, F.col("_metadata.file_path").alias("payload_no"), F.col("value").alias("payload"))
+    # a listing opens no file
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source["path"]).where("length > 0")
+    found = payloads.select("payload_no").distinct()
+    lost = listed.select(name, F.col("path").alias("payload_no"), _plain_path(F.col("path")).alias("_p")).join(
+        found.select(_plain_path(F.col("payload_no")).alias("_p")), "_p", "left_anti").drop("_p")
+    return payloads, lost
+
+
+def _plain_path(path: Column) -> Column:
+    """A path as listings and file metadata both write it: without escapes, one slash after the scheme."""
+    return F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "^([a-z]+):/+", "$1:/")
 
 
 def collect(spark: SparkSession, registry: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """``(entries, errors)`` over every enabled source of the registry. A source
-    that cannot be read gives an error row and never fails the others."""
-    batches, errors = [], []
+    """``(entries, errors)`` over every enabled source of the registry.
+
+    A source without its folder, a file that cannot be read, and a payload that is
+    no document of its format each give a row ``(source, error, payload_no)`` of
+    errors and never fail the others.
+    """
+    batches, errors, missing = [], [], []
     for source in check_registry(registry):
         try:
-            batches.append(PARSERS[source["format"]](read_payloads(spark, source)))
+            payloads, lost = read_payloads(spark, source)
         except AnalysisException as error:
-            errors.append((source["name"], error.getCondition() or type(error).__name__))
-    failed = spark.createDataFrame(errors, "source string, error string")
+            missing.append((source["name"], error.getCondition() or type(error).__name__, None))
+            continue
+        payloads = written(payloads, "payloads")
+        broken = payloads.where(_BROKEN[source["format"]]())
+        batches.append(PARSERS[source["format"]](payloads))
+        errors += [lost.select("source", F.lit("UNREADABLE_FILE").alias("error"), "payload_no"),
+                   broken.select("source", F.lit("BROKEN_PAYLOAD").alias("error"), "payload_no")]
+    failed = reduce(DataFrame.unionByName, errors, spark.createDataFrame(missing, "source string, error string, payload_no string"))
     if not batches:
-        return rss(spark.createDataFrame([], PAYLOAD_SCHEMA)), failed
+        empty = spark.createDataFrame([], PAYLOAD_SCHEMA.replace("payload_no long", "payload_no string"))
+        return rss(empty), failed
     return reduce(DataFrame.unionByName, batches), failed
 
 

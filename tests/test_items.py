@@ -148,7 +148,13 @@ def test_collect_isolates_a_bad_source(spark, tmp_path):
     ]
     entries, errors = feeds.collect(spark, registry)
     assert [(r.source, r.title, r.author) for r in entries.collect()] == [("good", "T", None)]
-    assert [r.source for r in errors.collect()] == ["bad"]
+    assert [(r.source, r.error) for r in errors.collect()] == [("bad", "PATH_NOT_FOUND")]
+    (tmp_path / "good" / "b c+%.json").write_text("{broken")
+    (tmp_path / "good" / "c.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "good" / "empty.json").write_text("")
+    entries, errors = feeds.collect(spark, registry[:1])
+    assert entries.count() == 1
+    assert sorted((r.error, r.payload_no.rsplit("/", 1)[1][:1]) for r in errors.collect()) == [("BROKEN_PAYLOAD", "b"), ("UNREADABLE_FILE", "c")]
     with pytest.raises(ValueError):
         feeds.check_registry(registry + registry[:1])
 
