@@ -1,6 +1,7 @@
 """Tool-call linking in conversations: calls, results, their order, checks and canonical JSON."""
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,8 @@ def canonical(value) -> str:
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """How a value breaks a JSON schema of type, enum, const, required, properties,
-    additionalProperties, items, and limits of numbers, lengths and counts."""
+    additionalProperties, items, pattern, anyOf, allOf, oneOf, not, and limits of numbers, lengths
+    and counts. A type that is none, a pattern that is none, and `$ref` are told as what cannot be checked."""
     kinds = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if kinds is not None:
@@ -34,9 +36,24 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
             if kind in ("number", "integer"):
                 return number and (kind == "number" or float(value).is_integer())
             return isinstance(value, KINDS[kind])
+        named = [kinds] if isinstance(kinds, str) else kinds
+        if not isinstance(named, list) or not all(isinstance(k, str) and (k in KINDS or k in ("number", "integer")) for k in named):
+            return [f"{at}: unknown type {canonical(kinds)}"]
         if not any(fits(k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
             return [f"{at}: not {kinds}"]
-    out = []
+    out = [f"{at}: $ref is not followed"] if "$ref" in schema else []
+    out += [problem for part in schema.get("allOf", []) for problem in violations(value, part, at)]
+    if "anyOf" in schema and all(violations(value, part, at) for part in schema["anyOf"]):
+        out.append(f"{at}: none of anyOf")
+    if "oneOf" in schema and sum(not violations(value, part, at) for part in schema["oneOf"]) != 1:
+        out.append(f"{at}: not one of oneOf")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: what it must not be")
+    if isinstance(value, str) and "pattern" in schema:
+        try:
+            out += [] if re.search(schema["pattern"], value) else [f"{at}: not the pattern"]
+        except (re.error, TypeError):
+            out.append(f"{at}: unknown pattern")
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
     if "const" in schema and value != schema["const"]:

@@ -400,3 +400,14 @@ def test_chat_levels_of_branches_and_cycles(spark):
     needs = {"a": [], "b": ["a"], "c": ["b"], "d": ["a", "c"], "e": ["d"], "f": ["e", "b"], "x": ["y"], "y": ["x"], "z": ["x", "a"], "s": ["s"], "g": ["gone"], "h": ["z"]}
     calls = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv_id long, call_id string, needs array<string>")
     assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": 0}
+
+
+@pytest.mark.parametrize("value, schema, wanted", [
+    (1, {"type": "decimal"}, ['$: unknown type "decimal"']), (1, {"type": ["integer", "what"]}, ['$: unknown type ["integer","what"]']), (1, {"type": 3}, ["$: unknown type 3"]),
+    ("ab", {"pattern": "^a"}, []), ("ba", {"pattern": "^a"}, ["$: not the pattern"]), ("a", {"pattern": "("}, ["$: unknown pattern"]), (3, {"pattern": "^a"}, []),
+    (3, {"anyOf": [{"type": "string"}, {"minimum": 2}]}, []), (1, {"anyOf": [{"type": "string"}, {"minimum": 2}]}, ["$: none of anyOf"]),
+    (3, {"oneOf": [{"minimum": 1}, {"minimum": 2}]}, ["$: not one of oneOf"]), (3, {"allOf": [{"minimum": 1}, {"maximum": 2}]}, ["$: over maximum"]),
+    ("x", {"not": {"type": "string"}}, ["$: what it must not be"]), (1, {"$ref": "#/x"}, ["$: $ref is not followed"]),
+])
+def test_schema_words(value, schema, wanted):
+    assert chat.violations(value, schema) == wanted
