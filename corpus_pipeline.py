@@ -12,28 +12,31 @@ from presswire.llm.common import ready, table, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 for toxicity."""
+    """Documents that score below 0.5 for toxicity. Null and empty texts have no evidence and
+    stay with the base rate; repeated rows stay or go alike; no documents give none."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are of grade 1 or better at least as likely as not."""
+    """Documents that are of grade 1 or better at least as likely as not; null texts count as
+    empty, repeated rows stay or go alike."""
     return quality.keep_good(docs, quality.grade_labels(table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest doc_id, once if it
+    repeats; documents without words are copies of each other, null texts among them."""
     ready(spark)
     return jaccard.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs, each judged by its own text; null texts hold none."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches."""
+    """Length buckets and token-budget batches of all that is left, every row in one batch; null texts are empty."""
     ready(spark)
     return packing.pack(docs)
 
