@@ -34,27 +34,28 @@ def keys(letters: list) -> np.ndarray:
 
 
 class Lookup:
-    """Exact counts by key: sorted keys, and where those of each run of high bits begin."""
-
-    def __init__(self, key: np.ndarray, value: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order].astype(np.float32)
-        bits = max(1, len(key).bit_length())
+    """Exact values by key, one column per table: sorted keys, and where those of each run of high bits begin."""
+
+    def __init__(self, *tables: tuple[np.ndarray, np.ndarray]):
+        self.key = np.unique(np.concatenate([key for key, _ in tables]))
+        self.value = np.zeros((len(self.key) + 1, len(tables)), np.float32)  # the last row is that of no key
+        for column, (key, value) in enumerate(tables):
+            self.value[np.searchsorted(self.key, key), column] = value
+        bits = max(1, len(self.key).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.key >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
 
     def __call__(self, asked: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(asked), np.float32)
         run = (asked >> self.shift).astype(np.int64)
-        at, end, who = self.first[run], self.first[run + 1], np.arange(len(asked))
-        while True:
-            left = at < end
-            if not left.any():
-                return out
-            at, end, who = at[left], end[left], who[left]
-            hit = self.key[at] == asked[who]
-            out[who[hit]] = self.value[at[hit]]
-            at, end, who = at[~hit] + 1, end[~hit], who[~hit]
+        at, end = self.first[run], self.first[run + 1]
+        place, who = np.full(len(asked), len(self.key)), np.flatnonzero(at < end)
+        at, end, asked = at[who], end[who], asked[who]
+        while len(who):
+            hit = self.key[at] == asked
+            place[who[hit]] = at[hit]
+            left = ~hit & (at + 1 < end)
+            at, end, who, asked = at[left] + 1, end[left], who[left], asked[left]
+        return self.value[place]
 
 
 def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,24 +175,29 @@ class Spelling:
 
     def __init__(self, tables):
         none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-        self.tables = {tuple(name.split(" ")): Lookup(*tables.get(name, none)) for name in TABLES}
-
-    def _step(self, k, letters, lower):
-        full = keys(letters)
-        context = keys(letters[:-1]) if len(letters) > 1 else np.ones(len(full), np.uint64)
-        total = self.tables[k, "total"](context)
-        seen = np.maximum(self.tables[k, "count"](full) - DISCOUNT, 0) + DISCOUNT * self.tables[k, "kinds"](context) * lower
+        of = lambda *names: Lookup(*(tables.get(name, none) for name in names))
+        self.counts = {k: of(f"{k} count") for k in range(1, ORDER)} | {ORDER: of(*(f"{c} count" for c in CLASSES))}
+        self.contexts = {k: of(f"{k} total", f"{k} kinds") for k in range(1, ORDER)} | {ORDER: of(*(f"{c} {part}" for part in ("total", "kinds") for c in CLASSES))}
+
+    def _step(self, letters, lower):
+        """The estimates from n-grams of these letters, a column per table, mixed with those of shorter ones."""
+        context = keys(letters[:-1]) if len(letters) > 1 else np.ones(len(letters[0]), np.uint64)
+        total, kinds = np.split(self.contexts[len(letters)](context), 2, axis=1)
+        seen = np.maximum(self.counts[len(letters)](keys(letters)) - DISCOUNT, 0) + DISCOUNT * kinds * lower
         return np.where(total > 0, seen / np.maximum(total, 1), lower)
 
     def likelihoods(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every letter of the words, their ends included: its word's number, and its
         probability after the letters before it, in ordinary and in toxic texts."""
         rows, owner = spelt(words)
-        letters = [rows[:, i] for i in range(ORDER)]
-        shared = np.full(len(rows), 1 / 65_536)
+        # each kind of n-gram once
+        _, first, which = np.unique(keys([rows[:, i] for i in range(ORDER)]), return_index=True, return_inverse=True)
+        letters = [rows[first, i] for i in range(ORDER)]
+        shared = np.full((len(first), 1), 1 / 65_536)
         for k in range(1, ORDER):
-            shared = self._step(str(k), letters[-k:], shared)
-        return owner, self._step("ordinary", letters, shared), self._step("toxic", letters, shared)
+            shared = self._step(letters[-k:], shared)
+        ordinary, toxic = self._step(letters, shared).T
+        return owner, ordinary[which], toxic[which]
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """The sum over a word's letters."""
@@ -214,8 +220,8 @@ def _signals(tables):
         nonlocal known
         out = np.zeros((len(texts), 2))
         split = [WORD.findall(text.lower()) if isinstance(text, str) else [] for text in texts]
-        for start in range(0, len(split), 64):
-            part = split[start:start + 64]
+        for start in range(0, len(split), 256):
+            part = split[start:start + 256]
             words = set().union(*part)
             new = [w for w in words if w not in memo]
             if len(memo) + len(new) > MEMO_WORDS:

@@ -44,17 +44,17 @@ def plain(texts):
     return whole
 
 
-def spelling(spark, texts, apart=False):
+def tables_of(spark, texts, apart=False):
     rows = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], ROWS)
     grams = toxicity.count_ngrams(toxicity.count_words(rows))
     if apart:
         grams = grams.selectExpr(*grams.columns[:5], "ordinary - ordinary4 as ordinary", "toxic - toxic4 as toxic")
-    return toxicity.Spelling(toxicity.collected(toxicity.count_tables(grams)))
+    return toxicity.collected(toxicity.count_tables(grams))
 
 
 @pytest.mark.parametrize("apart", [False, True])
 def test_probabilities(spark, apart):
-    model = spelling(spark, TEXTS, apart)
+    model = toxicity.Spelling(tables_of(spark, TEXTS, apart))
     p = plain([t for t in TEXTS if not (apart and t[2])])
     words = ["banana", "bananas", "cat", "zzz", "中文", "ü", "ban"]
     owner, ordinary, toxic = model.likelihoods(words)
@@ -73,18 +73,19 @@ def test_lookups_are_exact():
     key = np.unique(draw.integers(0, 2**64, 5000, np.uint64))
     value = draw.integers(1, 1000, len(key)).astype(np.float32)
     order = draw.permutation(len(key))
-    table = toxicity.Lookup(key[order], value[order])
-    asked = np.concatenate([key, key + np.uint64(1), draw.integers(0, 2**64, 1000, np.uint64)])
-    known = dict(zip(key.tolist(), value.tolist()))
-    assert table(asked).tolist() == [known.get(a, 0.0) for a in asked.tolist()]
+    other = np.concatenate([key[:100], draw.integers(0, 2**64, 50, np.uint64)])
+    table = toxicity.Lookup((key[order], value[order]), (other, np.ones(150, np.float32)))
+    asked = np.concatenate([key, key + np.uint64(1), other, draw.integers(0, 2**64, 1000, np.uint64)])
+    known, more = dict(zip(key.tolist(), value.tolist())), set(other.tolist())
+    assert table(asked).tolist() == [[known.get(a, 0.0), float(a in more)] for a in asked.tolist()]
     near = np.arange(300, dtype=np.uint64)  # all in one run
-    assert toxicity.Lookup(near, near.astype(np.float32))(near).tolist() == list(range(300))
-    assert toxicity.Lookup(key[:0], value[:0])(asked[:5]).tolist() == [0] * 5
+    assert toxicity.Lookup((near, near.astype(np.float32)))(near)[:, 0].tolist() == list(range(300))
+    assert toxicity.Lookup((key[:0], value[:0]))(asked[:5]).tolist() == [[0]] * 5
 
 
 def test_signals_of_texts(spark):
-    model = spelling(spark, TEXTS)
-    tables = {name: (t.key, t.value) for name, t in zip(toxicity.TABLES, model.tables.values())}
+    tables = tables_of(spark, TEXTS)
+    model = toxicity.Spelling(tables)
     texts = ["banana cat", None, "", "cat cat zzz banana", "!!"]
     found = toxicity._signals(tables)(texts)
     for text, (mean, top) in zip(texts, found):
