@@ -34,20 +34,28 @@ def parse_epoch(value: Column) -> Column:
 
 
 def parse_feed_date(value: Column) -> Column:
-    """The date forms feeds use: RFC 822 with or without weekday, or ISO-8601."""
-    text = F.regexp_replace(F.trim(value), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
-    zone = F.regexp_extract(text, r"\s([A-Za-z]{1,5})$", 1)
+    """The date forms feeds use: RFC 822 and RFC 850 with or without weekday, the C
+    library's form, ISO-8601, and days written with slashes or a month's name. No zone
+    means UTC; two digits of a year from 69 on are of the last century."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(value), r"\s+", " "), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? (?=[A-Za-z0-9])", "")
+    zone = F.regexp_extract(text, r" ([A-Za-z]{1,5})$", 1)
     offset = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])[F.upper(zone)]
     text = F.when(zone != "", F.concat(F.regexp_replace(text, r"[A-Za-z]{1,5}$", ""), offset)).otherwise(
         F.regexp_replace(text, r"([+-]\d{2}):(\d{2})$", "$1$2")
     )
-    text = F.regexp_replace(text, r"\s+", " ")
-    tries = [
-        F.try_to_timestamp(text, F.lit(fmt))
-        for fmt in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss")
-    ]
-    iso = parse_iso(value)
-    return F.coalesce(iso, *[F.when(text.rlike(r"^\d{1,2} "), t) for t in tries])
+    day = r"^(\d{1,2})[ -]([A-Za-z]{3})[ -]"
+    text = F.regexp_replace(F.regexp_replace(text, day + r"(69|[7-9]\d)(?= |$)", "$1 $2 19$3"), day + r"([0-6]\d)(?= |$)", "$1 $2 20$3")
+    text = F.regexp_replace(text, day + r"(\d{4})", "$1 $2 $3")
+
+    def first_of(*formats: str) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+    return F.coalesce(
+        parse_iso(value),
+        F.when(text.rlike(r"^\d{1,2} "), first_of("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy")),
+        F.when(text.rlike(r"^\d{4}/"), first_of("yyyy/M/d HH:mm:ss", "yyyy/M/d")),
+        F.when(text.rlike("^[A-Za-z]{3} "), first_of("MMM d HH:mm:ss yyyy")),
+        F.when(text.rlike("^[A-Za-z]{3,9} [0-9]{1,2},"), first_of("MMMM d, yyyy", "MMM d, yyyy")))
 
 
 def make_run_id(started_at: Column, seed: Column) -> Column:

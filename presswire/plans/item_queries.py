@@ -86,14 +86,18 @@ def _(spark, sf):
                                              "author", "published_at", "ingest_date"))
 
 
-@query("parse_dates", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN NULL
-  ELSE strftime(CASE o_orderkey % 6 WHEN 2 THEN CAST(o_orderdate AS DATE) WHEN 4 THEN o_orderdate + INTERVAL 5 HOUR ELSE o_orderdate END, '%Y-%m-%d %H:%M:%S') END AS published_at FROM orders""")
+@query("parse_dates", """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 5 THEN NULL
+  ELSE strftime(CASE o_orderkey % 10 WHEN 2 THEN CAST(o_orderdate AS DATE) WHEN 4 THEN o_orderdate + INTERVAL 5 HOUR WHEN 8 THEN CAST(o_orderdate AS DATE) ELSE o_orderdate END, '%Y-%m-%d %H:%M:%S') END AS published_at FROM orders""")
 def _(spark, sf):
     d = F.col("o_orderdate").cast("timestamp")
-    kind = F.col("o_orderkey") % 6
-    raw = F.when(kind == 0, F.date_format(d, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(kind == 1, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(
-        kind == 2, F.date_format(d, "yyyy-MM-dd")).when(kind == 3, F.unix_timestamp(d).cast("string")).when(
-        kind == 4, F.date_format(d, "d MMM yyyy HH:mm:ss 'EST'")).otherwise("soon")
+    kind = F.col("o_orderkey") % 10
+    # every form feeds use, by the order's number
+    forms = {0: "EEE, dd MMM yyyy HH:mm:ss 'GMT'", 1: "yyyy-MM-dd'T'HH:mm:ss'Z'", 2: "yyyy-MM-dd", 4: "d MMM yyyy HH:mm:ss 'EST'",
+             6: "EEEE, dd-MMM-yy HH:mm:ss 'GMT'", 7: "EEE MMM  d HH:mm:ss yyyy", 8: "MMMM d, yyyy", 9: "yyyy/MM/dd HH:mm:ss"}
+    raw = F.when(kind == 3, F.unix_timestamp(d).cast("string"))
+    for k, form in forms.items():
+        raw = raw.when(kind == k, F.date_format(d, form))
+    raw = raw.otherwise("soon")
     parsed = F.when(kind == 3, dates.parse_epoch(raw)).when(kind == 2, dates.parse_day(raw)).otherwise(dates.parse_feed_date(raw))
     return plain(table(spark, sf, "orders").select("o_orderkey", parsed.alias("published_at")))
 

@@ -196,3 +196,14 @@ def test_excerpts_and_not_pages_are_shuffled(spark):
     plan = texts._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.rindex("Exchange"):]
     assert "ArrowEvalPython" in below  # parsed below the exchange
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("Tue, 02 Jan 2024 03:04:05 GMT", "2024-01-02 03:04:05"), ("2 Jan 2024 03:04 -0500", "2024-01-02 08:04:00"), ("Tuesday, 02-Jan-24 03:04:05 GMT", "2024-01-02 03:04:05"),
+    ("Sunday, 06-Nov-94 08:49:37 GMT", "1994-11-06 08:49:37"), ("Sun Nov  6 08:49:37 1994", "1994-11-06 08:49:37"), ("02 Jan 24 03:04:05 EST", "2024-01-02 08:04:05"), ("January 2, 2024", "2024-01-02 00:00:00"),
+    ("Jan 2, 2024", "2024-01-02 00:00:00"), ("2024/01/02 03:04:05", "2024-01-02 03:04:05"), ("2024-01-02T03:04:05+01:00", "2024-01-02 02:04:05"), ("2 Jan 2024", "2024-01-02 00:00:00"), ("Tue, 32 Jan 2024 03:04:05 GMT", None), ("soon", None), ("", None)])
+def test_feed_dates(spark, raw, want):
+    from presswire.functions import dates
+
+    got = spark.createDataFrame([(raw,)], "t string").select(dates.parse_feed_date(F.col("t")).cast("string")).first()[0]
+    assert got == want
