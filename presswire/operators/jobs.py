@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.pricing import call_cost
 from ..functions.text import embed_text
-from ..session import written
+from ..session import cut_lineage, written
 from ..sources import feeds
-from ..sources.tables import append_items, overwrite_days, read_table
-from . import cluster, enrich, items, runlog, scoring
+from ..sources.editions import EDITIONS_TABLE, read_editions, write_editions
+from ..sources.tables import append_items, archive_day, exists, overwrite_days, read_table
+from . import cluster, edition, enrich, gold, items, readability, runlog, scoring
 from .edition import ordered_members
 
 CLUSTER_SCHEMA = (
@@ -97,3 +98,80 @@ def silver_job(spark: SparkSession, day: date, items_path: str, clusters_path: s
             run.notes.append(f"{nulls} clusters without a score")
         run.items_out = overwrite_days(done, clusters_path)
     return run
+
+
+NOTICE = "A short list today."
+_ARTICLE = "struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string,attribution:string,source_url:string>>"
+
+
+def ranked_editions(rows: DataFrame, clusters: DataFrame, contexts: DataFrame, numbers: DataFrame, articles: DataFrame | None = None, notice: str = NOTICE) -> DataFrame:
+    """One edition for every day of the items: stories by rank, sections by topic. Days with too
+    few stories, or none in a section, get a fallback. `articles(date, cluster_id, position, article)`."""
+    # a stored table in production: read many times below, so computed once here
+    contexts = cut_lineage(contexts)
+    types = edition.edition_types(contexts, rows)
+    placed = edition.select_stories(contexts).join(types.select("ingest_date", "edition_type"), "ingest_date").where("edition_type <> 'fallback'")
+    sectioned = placed.where("placement = 'section'")
+    curated = sectioned.select(
+        F.col("ingest_date").alias("date"), "section", edition.topic_rank(F.col("topic")).alias("section_pos"),
+        (F.col("position") % 100).alias("story_pos"), "cluster_id", F.col("headline").alias("title"), "headline", "summary_seed", "score", "position", "edition_type")
+    curated = cut_lineage(curated.withColumn("summary", F.when(F.col("summary_seed") != "", F.col("summary_seed")).otherwise(F.col("headline"))))
+    briefly = placed.where("placement = 'briefly'").select(F.col("ingest_date").alias("date"), "position", "cluster_id")
+    lead = F.max_by(F.struct("headline", "cluster_id"), F.struct("score", "cluster_id"))
+    points = F.slice(F.array_sort(F.collect_list(F.struct("position", F.col("title").alias("text")))), 1, F.when(F.max("edition_type") == "normal", 4).otherwise(3))
+    heads = curated.groupBy("date").agg(lead.alias("_lead"), points.alias("_points")).select(
+        "date", F.col("_lead.headline").alias("headline_of_the_day"), F.col("_lead.cluster_id").alias("headline_cluster_id"),
+        F.lit("picked by score").alias("headline_rationale"),
+        F.transform("_points", lambda p: F.struct(p["text"].alias("text"), F.lit("World").alias("topic"))).alias("key_points"))
+    if articles is None:
+        articles = rows.sparkSession.createDataFrame([], f"date date, cluster_id string, position int, article {_ARTICLE}")
+    stats = edition.edition_stats(rows, clusters, edition.select_stories(contexts), contexts, edition.section_plan(contexts))
+    full = edition.assemble_editions(curated.drop("score", "edition_type"), briefly, heads, contexts, articles, numbers, types, stats)
+    days = rows.select(F.col("ingest_date").alias("date")).distinct()
+    return edition.daily_editions(full, contexts, days, numbers, notice)
+
+
+def edition_job(spark: SparkSession, day: date, items_path: str, clusters_path: str, editions_path: str, log_path: str) -> runlog.Run:
+    """One day of scored clusters to its published edition.
+
+    A day without usable clusters gets a fallback, which never replaces a published edition,
+    and is told in the run log, as is text that reads too hard. A second run gives the same file.
+    """
+    with runlog.logged_run(spark, log_path, "editor") as run:
+        rows = read_table(spark, items_path, items.ITEM_SCHEMA, days=[day])
+        clusters = read_table(spark, clusters_path, CLUSTER_SCHEMA, days=[day])
+        run.items_in = rows.count()
+        if not run.items_in:
+            run.status = "failed"
+            run.reasons.append("no_items")
+            return run
+        members = rows.join(clusters.select("ingest_date", "cluster_id", F.explode("member_ids").alias("item_id")), ["ingest_date", "item_id"])
+        published = read_editions(spark, editions_path) if exists(spark, editions_path) else spark.createDataFrame([], EDITIONS_TABLE)
+        numbers = edition.edition_numbers(rows.select(F.col("ingest_date").alias("date")), published)
+        made = written(ranked_editions(rows, clusters, edition.build_contexts(clusters, members), numbers), "edition")
+        report = readability.edition_report(gold.parsed_editions(made)).first()
+        kind = made.first()["edition_type"]
+        if kind == "fallback":
+            run.status = "partial"
+            run.reasons.append("thin_day_fallback")
+        if report and not report["passes"]:
+            run.reasons.append("readability_exceeded")
+        run.extra["readability_flag"] = bool(report and not report["passes"])
+        run.items_out = write_editions(made, editions_path)
+        run.notes.append(f"{kind} edition")
+    return run
+
+
+def archive_job(spark: SparkSession, day: date, paths: dict[str, str], log_path: str) -> runlog.Run:
+    """One day of items, clusters and edition to the monthly record; the daily copies go last.
+    `paths` has items, clusters, editions and the three of the record."""
+    with runlog.logged_run(spark, log_path, "archive") as run:
+        published = read_editions(spark, paths["editions"]) if exists(spark, paths["editions"]) else spark.createDataFrame([], EDITIONS_TABLE)
+        schemas = {"items": items.ITEM_SCHEMA, "clusters": CLUSTER_SCHEMA, "editions": EDITIONS_TABLE}
+        found = archive_day(spark, day, paths, schemas, published)
+        run.items_in, run.items_out = found["items"], found["items_added"]
+        run.notes.append(f"{found['clusters_added']} clusters, {found['editions_added']} editions added")
+        if found["edition_missing"]:
+            run.status = "partial"
+            run.reasons.append("no_edition")
+    return run

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.dates import make_run_id
 from ..functions.urls import cluster_id
-from ..operators import cluster, edition
+from ..operators import cluster, edition, jobs
 from ..operators.items import build_items
-from ..session import configure, cut_lineage
+from ..session import configure
 
 JOB_OF_EVENT = {"signup": "collector", "click": "silver", "view": "editor", "purchase": "site", "error": "archive"}
 
@@ -100,29 +100,8 @@ def editions(spark: SparkSession, sf: str) -> DataFrame:
     """One edition of every day: selection by rank, then assembly; days with too
     few stories, or none in a section, become fallbacks."""
     t = day_tables(spark, sf)
-    # a stored table in production: read many times below, so computed once here
-    contexts = cut_lineage(t["contexts"])
-    types = edition.edition_types(contexts, t["items"])
-    placed = edition.select_stories(contexts).join(types.select("ingest_date", "edition_type"), "ingest_date").where("edition_type <> 'fallback'")
-    sectioned = placed.where("placement = 'section'")
-    curated = sectioned.select(
-        F.col("ingest_date").alias("date"), "section", edition.topic_rank(F.col("topic")).alias("section_pos"),
-        (F.col("position") % 100).alias("story_pos"), "cluster_id", F.col("headline").alias("title"), "headline", "summary_seed", "score", "position", "edition_type")
-    curated = cut_lineage(curated.withColumn("summary", F.when(F.col("summary_seed") != "", F.col("summary_seed")).otherwise(F.col("headline"))))
-    briefly = placed.where("placement = 'briefly'").select(F.col("ingest_date").alias("date"), "position", "cluster_id")
-    lead = F.max_by(F.struct("headline", "cluster_id"), F.struct("score", "cluster_id"))
-    points = F.slice(F.array_sort(F.collect_list(F.struct("position", F.col("title").alias("text")))), 1, F.when(F.max("edition_type") == "normal", 4).otherwise(3))
-    heads = curated.groupBy("date").agg(lead.alias("_lead"), points.alias("_points")).select(
-        "date", F.col("_lead.headline").alias("headline_of_the_day"), F.col("_lead.cluster_id").alias("headline_cluster_id"),
-        F.lit("picked by score").alias("headline_rationale"),
-        F.transform("_points", lambda p: F.struct(p["text"].alias("text"), F.lit("World").alias("topic"))).alias("key_points"))
-    articles = contexts.select(F.col("ingest_date").alias("date"), "cluster_id", F.lit(0).alias("position"), F.lit(None).cast(
-        "struct<background:string,what_happened:string,why_it_matters:string,quote:struct<text:string,attribution:string,source_url:string>>").alias("article")).limit(0)
     days = t["items"].select("ingest_date").distinct()
-    numbers = edition_numbers(days)
-    stats = edition.edition_stats(t["items"], t["clusters"], edition.select_stories(contexts), contexts, edition.section_plan(contexts))
-    full = edition.assemble_editions(curated.drop("score", "edition_type"), briefly, heads, contexts, articles, numbers, types, stats)
-    return edition.daily_editions(full, contexts, days.select(F.col("ingest_date").alias("date")), numbers, "A short list today.")
+    return jobs.ranked_editions(t["items"], t["clusters"], t["contexts"], edition_numbers(days))
 
 
 # --- run log ----------------------------------------------------------------------

@@ -57,3 +57,32 @@ def test_nothing_collected_is_a_failure(spark, tmp_path, lake):
     run = jobs.collect_job(spark, [landed(tmp_path, "a", [])], lake["items"], lake["log"], now=NOW)
     assert (run.status, run.reasons, run.items_out) == ("failed", ["no_items"], 0)
     assert tables.read_table(spark, lake["items"], items.ITEM_SCHEMA).count() == 0
+
+
+def test_a_day_from_files_to_the_record(spark, tmp_path, lake):
+    """Six stories of one topic make a quiet edition; the archive run empties the day; later runs change nothing."""
+    from presswire.sources import editions
+
+    paths = lake | {k: str(tmp_path / "lake" / k) for k in ("editions", "gold_items", "gold_clusters", "gold_editions")}
+    registry = [landed(tmp_path, "a", [f"Story {w}" for w in ("one", "two", "three", "four", "five", "six")])]
+    jobs.collect_job(spark, registry, paths["items"], paths["log"], now=NOW)
+
+    def make_model():
+        return lambda texts: [[float(ord(c)) ** (4 if i % 2 else 3) * (-1) ** ord(c) for i, c in enumerate(t[6:10].ljust(4))] for t in texts]
+
+    def make_scorer():
+        return lambda prompt: (json.dumps({"score": 8, "topic": "AI", "rationale": "r", "confidence": 0.5}), {})
+
+    day = (spark, DAY, paths["items"], paths["clusters"])
+    assert jobs.silver_job(*day, paths["log"], make_model, make_scorer, "m", "p", threshold=0.9999).items_out == 6
+    first = jobs.edition_job(*day, paths["editions"], paths["log"])
+    assert (first.status, first.items_out, first.notes) == ("success", 1, ["quiet edition"]), (first.notes, first.reasons)
+    stored = editions.read_editions(spark, paths["editions"]).collect()
+    second = jobs.edition_job(*day, paths["editions"], paths["log"])
+    assert second.items_out == 1 and editions.read_editions(spark, paths["editions"]).collect() == stored
+    archived = jobs.archive_job(spark, DAY, paths, paths["log"])
+    assert (archived.status, archived.items_in, archived.items_out, archived.notes) == ("success", 6, 6, ["6 clusters, 1 editions added"])
+    again = jobs.archive_job(spark, DAY, paths, paths["log"])
+    assert (again.items_in, again.items_out) == (0, 0)
+    late = jobs.edition_job(*day, paths["editions"], paths["log"])
+    assert (late.status, late.reasons) == ("failed", ["no_items"]) and editions.read_editions(spark, paths["editions"]).collect() == stored
