@@ -1,11 +1,11 @@
 """Helpers shared by the training-data operators."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, shared_dir
+from ..session import configure, scratch_path, written
+
+__all__ = ["BATCH_ROWS", "HOT_SHARE", "components", "join_counted", "ready", "scratch_path", "table", "written"]
 
 # A key is hot when it holds more than this share of the rows, so that there
 # are at most 1 / HOT_SHARE hot keys, whatever the size of the table.
@@ -25,22 +25,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new folder in the cluster's shared place, removed when the session ends."""
-    path = f"{shared_dir(spark)}/presswire-{kind}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder: column pruning still works
-    on it, and a lost executor costs no recompute."""
-    path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join rows to one row per group, for groups of any size.
 
