@@ -538,6 +538,28 @@ def _(spark, sf):
     return tables.read_table(spark, path, items.ITEM_SCHEMA, columns=["item_id", "title", "body_excerpt"]).select("item_id", "title", F.md5("body_excerpt").alias("body_md5"))
 
 
+@query("stream_rejects", f"""WITH e AS (SELECT source, min(doc_id) AS first, text FROM documents WHERE {_WORDS} <> '' GROUP BY source, text),
+  j AS (SELECT source, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'unknown_source' WHEN first % 5 = 0 THEN 'too_old' END AS reason FROM e),
+  c AS (SELECT source, reason, count(*) AS n FROM j GROUP BY 1, 2)
+  SELECT source, 'stored' AS reason, least(n, 20) AS items FROM c WHERE reason IS NULL UNION ALL SELECT source, 'over_cap', n - 20 FROM c WHERE reason IS NULL AND n > 20
+  UNION ALL SELECT source, reason, n FROM c WHERE reason IS NOT NULL""")
+def _(spark, sf):
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    per = table(spark, sf, "documents").where(words != "").groupBy("source", "text").agg(F.min("doc_id").alias("n"))
+    fetched = F.lit("2024-01-01 06:00:00").cast("timestamp")
+    entries = per.select(
+        "source", F.lit("rss").alias("source_type"), F.lit("World").alias("topic_hint"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("n").cast("string")).alias("url"),
+        F.lit("t").alias("title"), F.col("text").alias("body"), F.when(F.col("n") % 5 == 0, fetched - F.expr("INTERVAL 7 HOURS")).otherwise(fetched).alias("published_at"),
+        fetched.alias("fetched_at"), F.lit("r").alias("run_id"))
+    landing, path, state, rejected = (scratch_path(spark, k) for k in ("landing", "stream", "state", "rejected"))
+    entries.coalesce(1).write.json(landing, timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'")
+    for _ in range(2):  # the second start has no new files and writes nothing
+        ingest.start_ingest(ingest.read_landing(spark, landing), path, state, caps={f"src{i}": 20 for i in range(4)}, rejected=rejected).awaitTermination()
+    stored = tables.read_table(spark, path, items.ITEM_SCHEMA).select("source", F.lit("stored").alias("reason"))
+    lost = tables.read_table(spark, rejected, ingest.REJECTED_SCHEMA).select("source", "reason")
+    return stored.unionByName(lost).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("items"))
+
+
 # --- waiting list -----------------------------------------------------------------
 
 @query("new_signups", f"""SELECT email, source, CAST(created_at AS VARCHAR) AS created_at FROM (
