@@ -207,3 +207,28 @@ def test_feed_dates(spark, raw, want):
 
     got = spark.createDataFrame([(raw,)], "t string").select(dates.parse_feed_date(F.col("t")).cast("string")).first()[0]
     assert got == want
+
+
+def test_stream_rejects_and_restarts(spark, tmp_path):
+    from presswire.sources import tables
+    from presswire.streaming import ingest
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+
+    def land(name, *rows):
+        lines = [json.dumps({"source": s, "source_type": "rss", "topic_hint": "World", "url": f"http://a.example.com/{n}", "title": "t", "body": "b",
+                             "published_at": f"2024-01-01T{hour:02}:00:00Z", "fetched_at": "2024-01-01T12:00:00Z", "run_id": "r"}) for n, s, hour in rows]
+        (landing / name).write_text("\n".join(lines))
+
+    def run():
+        ingest.start_ingest(ingest.read_landing(spark, str(landing)), str(tmp_path / "items"), str(tmp_path / "state"), caps={"a": 2}, rejected=str(tmp_path / "rejected")).awaitTermination()
+        stored = sorted(r.url[-1] for r in tables.read_table(spark, str(tmp_path / "items"), items.ITEM_SCHEMA).collect())
+        lost = sorted((r.url[-1], r.reason) for r in tables.read_table(spark, str(tmp_path / "rejected"), ingest.REJECTED_SCHEMA).collect())
+        return stored, lost
+
+    land("1.json", (1, "a", 7), (2, "a", 8), (3, "a", 9), (4, "a", 5), (5, "b", 9))
+    first = (["1", "2"], [("3", "over_cap"), ("4", "too_old"), ("5", "unknown_source")])
+    assert run() == first and run() == first
+    land("2.json", (1, "a", 7), (6, "a", 6))  # a file that comes late: one known item, one new
+    assert run() == (["1", "2", "6"], first[1])
