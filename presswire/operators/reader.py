@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.dates import local_instant
-from ..session import cut_lineage
+from ..session import written
 from .ordering import first_rows
 
 # --- two scores and topics --------------------------------------------------------
@@ -95,7 +95,7 @@ def _newsletter(user_id: str, entitled: list, length: int, offers: list) -> dict
     outside = []
     for o in offers:
         place = outside if o["outside"] else own[o["claim"]]
-        place.append((o["story_id"], o["claim"], o["general_score"], o["written_at"]))
+        place += [(s["story_id"], s["claim"] if o["outside"] else o["claim"], s["general_score"], s["written_at"]) for s in o["picks"]]
     targets, filled = _fill(prefs, {t: len(part) for t, part in own.items()}, length)
     picked = [(*s, False) for (t, _), n in zip(prefs, filled) for s in own[t][:n]]
     short = min(length - len(picked), int(length * C.TOPUP_MAX_SHARE))
@@ -113,34 +113,64 @@ def _newsletter(user_id: str, entitled: list, length: int, offers: list) -> dict
     }
 
 
-def _walk(wants: DataFrame, entries: DataFrame, order: list[Column], allowed: Column, seen: DataFrame, depth: int = 32) -> DataFrame:
+_SEGMENT = 1024  # entries of a ranked list in one row
+
+
+def _bits(topics: Column) -> Column:
+    """Topics of the closed list as a bit mask."""
+    bit = F.create_map(*[F.lit(x) for i, t in enumerate(C.TOPICS) for x in (t, 1 << i)])
+    return F.aggregate(topics, F.lit(0), lambda m, t: m.bitwiseOR(F.coalesce(bit[t], F.lit(0))))
+
+
+def _walk(wants: DataFrame, entries: DataFrame, order: list[Column], seen: DataFrame, depth: int = 32) -> DataFrame:
     """The first `need` allowed and unseen entries of a ranked list per reader.
 
-    `wants(user_id, list_id, need, ..)`, `entries(list_id, story_id, ..)`. Only
-    the head of each list meets the readers. Readers whose need the head does
-    not fill go round again with one eight times as deep, down to the end of
-    the list, so the result does not depend on the depth.
+    `wants(user_id, list_id, claim, need, near, far, copies)`, `entries(list_id, story_id,
+    mask, fresh, claim, general_score, written_at)`. A fresh entry is allowed where its
+    mask shares no bit with `near`, another where it shares none with `far`.
+
+    Lists are rows of up to 1,024 ranked entries, which a reader's row filters where it is:
+    only what is picked is written, never what was looked at. Wants that the head of a list
+    does not fill go on where it ends, each time eight times as far, down to the end of the
+    list, so the result does not depend on the depth. Each round gives rows
+    ``(user_id, claim, from, picks)``, `from` being the place the round began at.
     """
     sizes = entries.groupBy("list_id").agg(F.count(F.lit(1)).alias("list_size"))
-    # by reader once, so the windows below need no further shuffle
-    waiting = wants.join(sizes, "list_id").repartition("user_id")
-    found = []
+    asked = ["user_id", "list_id", "claim", "need", "near", "far", "copies", "list_size"]
+    waiting, start, found = wants.join(F.broadcast(sizes), "list_id").select(*asked), 0, []
+
+    def fits(e: Column) -> Column:
+        reach = F.when(e["fresh"], F.col("near")).otherwise(F.col("far"))
+        return (reach.bitwiseAND(e["mask"]) == 0) & ~F.coalesce(F.array_contains("known", e["story_id"]), F.lit(False))
+
     while True:
-        head = first_rows(entries, ["list_id"], order, depth, rank="place", spread="story_id")
-        if depth <= 1024:
-            head = F.broadcast(head)  # at most `depth` rows of each of the few lists
-        hits = waiting.join(head, "list_id").where(allowed).join(seen, ["user_id", "story_id"], "left_anti")
-        nth = F.row_number().over(Window.partitionBy("user_id", "list_id").orderBy(*order))
-        best = hits.withColumn("nth", nth).where(F.col("nth") <= F.col("need"))
-        best = cut_lineage(best)
-        filled = best.groupBy("user_id", "list_id").agg(F.count(F.lit(1)).alias("_n"))
-        unfilled = waiting.join(filled, ["user_id", "list_id"], "left").where(
-            (F.coalesce("_n", F.lit(0)) < F.col("need")) & (F.col("list_size") > depth)).drop("_n")
-        unfilled = cut_lineage(unfilled)
-        found.append(best.join(unfilled.select("user_id", "list_id"), ["user_id", "list_id"], "left_anti"))
+        head = first_rows(entries, ["list_id"], order, depth, rank="place", spread="story_id").where(F.col("place") > start)
+        head = head.withColumn("segment", F.floor((F.col("place") - 1) / _SEGMENT).cast("int"))
+        shown = F.struct("place", "story_id", "mask", "fresh", "claim", "general_score", "written_at")
+        ranked = written(head.groupBy("list_id", "segment").agg(F.array_sort(F.collect_list(shown)).alias("entries")), "lists")
+        spots = ranked.select("list_id", "segment", F.explode(F.array_distinct(F.transform("entries", lambda e: e["story_id"]))).alias("story_id"))
+        if depth <= 2 * _SEGMENT:  # at most two rows of each of the few lists
+            ranked, spots = F.broadcast(ranked), F.broadcast(spots)
+        # of what a reader has seen, no more than a row of a list holds
+        readers = seen if start == 0 else seen.join(waiting.select("user_id").distinct(), "user_id", "left_semi")
+        known = readers.join(spots, "story_id").groupBy("user_id", "list_id", "segment").agg(F.collect_set("story_id").alias("known"))
+        last = F.floor((F.least(F.lit(depth), F.col("list_size")) - 1) / _SEGMENT).cast("int")
+        rows = waiting.withColumn("segment", F.explode(F.sequence(F.lit(start // _SEGMENT), last)))
+        rows = rows.join(known, ["user_id", "list_id", "segment"], "left").join(ranked, ["list_id", "segment"])
+        hits = F.transform(F.filter("entries", fits), lambda e: F.struct(*[e[c].alias(c) for c in ("story_id", "claim", "general_score", "written_at")]))
+        # a reader who is there twice is offered everything twice
+        hits = F.when(F.col("copies") > 1, F.flatten(F.transform(hits, lambda e: F.array_repeat(e, F.col("copies").cast("int"))))).otherwise(hits)
+        rows = rows.select(*asked, "segment", F.slice(hits, 1, F.greatest("need", F.lit(0))).alias("picks"))
+        if depth > _SEGMENT:
+            parts = F.transform(F.array_sort(F.collect_list(F.struct("segment", "picks"))), lambda p: p["picks"])
+            rows = rows.groupBy(*asked).agg(parts.alias("_parts")).select(*asked, F.slice(F.flatten("_parts"), 1, F.greatest("need", F.lit(0))).alias("picks"))
+        done = written(rows.select(*asked, "picks"), "picks")
+        found.append(done.where(F.size("picks") > 0).select("user_id", "claim", F.lit(start).alias("from"), "picks"))
+        unfilled = done.where((F.size("picks") < F.col("need")) & (F.col("list_size") > depth))
         if unfilled.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        waiting, depth = unfilled, depth * 8
+        waiting = unfilled.withColumn("need", F.col("need") - F.size("picks")).select(*asked)
+        start, depth = depth, depth * 8
 
 
 def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Column) -> DataFrame:
@@ -157,13 +187,14 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
     daily = as_of - F.expr(f"INTERVAL {C.LOOKBACK_DAILY_HOURS} HOURS")
     catchup = as_of - F.expr(f"INTERVAL {C.LOOKBACK_CATCHUP_DAYS} DAYS")
     recent = stories.where((F.col("written_at") >= catchup) & (F.col("written_at") <= as_of))
-    keyed = cut_lineage(recent.select(
-        "story_id", "primary_topic", "topic_score", "general_score", "written_at",
-        (F.col("written_at") >= daily).alias("fresh"), story_topics().alias("topics")))
+    keyed = recent.select(
+        "story_id", "primary_topic", "topic_score", "general_score", F.unix_micros("written_at").alias("written_at"),
+        (F.col("written_at") >= daily).alias("fresh"), story_topics().alias("topics"))
+    keyed = written(keyed.withColumn("mask", _bits(F.col("topics"))), "stories")
     # a story is on the wide list of each of its topics, a fresh one on the daily list too
     scopes = F.when(F.col("fresh"), F.array(F.lit("daily"), F.lit("wide"))).otherwise(F.array(F.lit("wide")))
     scoped = keyed.withColumn("scope", F.explode(scopes))
-    by_topic = scoped.withColumn("topic", F.explode("topics")).withColumn("list_id", F.concat_ws("/", "topic", "scope")).drop("topic", "scope")
+    by_topic = scoped.withColumn("topic", F.explode("topics")).withColumn("list_id", F.concat_ws("/", "topic", "scope")).withColumn("claim", F.lit(None).cast("string"))
 
     base = users.select(
         F.col("user_id").cast("string").alias("user_id"), "length",
@@ -173,38 +204,38 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
         catching_up(as_of).alias("away"),
         F.greatest(F.size("topic_prefs") - F.col("allowance"), F.lit(0)).alias("locked_topics"),
     )
-
-    def reaches(p: Column, topics: Column, fresh: Column) -> Column:
-        """Whether a ranked topic of the reader draws on a story."""
-        return F.array_contains(topics, p["topic"]) & (fresh | F.col("away") | F.array_contains("added", p["topic"]))
-
-    seen_keys = seen.select(F.col("user_id").cast("string").alias("user_id"), "story_id").distinct()
-    ranks = base.select("*", F.posexplode("entitled").alias("position", "p"))
+    seen_keys = written(seen.select(F.col("user_id").cast("string").alias("user_id"), "story_id").distinct(), "seen")
+    # by reader once, so counting copies needs no further shuffle
+    whole = base.drop("locked_topics").where("user_id is not null").repartition("user_id")
+    readers = written(whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("copies")), "readers")
+
+    # a topic draws on the stories no earlier one has claimed: of fresh ones the earlier topics
+    # claim all, of others those that reach back as far; a topic without name claims everything
+    ranks = readers.select("*", F.posexplode("entitled").alias("position", "p"))
     wide = F.col("away") | F.array_contains("added", F.col("p.topic"))
-    own = ranks.select(
-        "user_id", F.col("length").alias("need"), "added", "away", F.col("p.topic").alias("claim"),
-        F.slice("entitled", 1, F.col("position")).alias("earlier"),
-        F.concat_ws("/", "p.topic", F.when(wide, "wide").otherwise("daily")).alias("list_id"))
-    unclaimed = ~F.exists("earlier", lambda p: reaches(p, F.col("topics"), F.col("fresh")))
+    earlier = F.transform(F.slice("entitled", 1, F.col("position")), lambda p: p["topic"])
+    back = F.filter(earlier, lambda t: F.col("away") | F.coalesce(F.array_contains("added", t), F.lit(True)))
+    own = ranks.where(~F.exists(earlier, lambda t: t.isNull())).select(
+        "user_id", F.concat_ws("/", "p.topic", F.when(wide, "wide").otherwise("daily")).alias("list_id"),
+        F.col("p.topic").alias("claim"), F.col("length").alias("need"), _bits(earlier).alias("near"), _bits(back).alias("far"), "copies")
     best = [F.desc("topic_score"), F.desc("written_at"), F.col("story_id")]
-    columns = ["user_id", "claim", "story_id", "general_score", "written_at"]
-    mine = _walk(own, by_topic, best, unclaimed, seen_keys).select(*columns, F.lit(False).alias("outside"), "nth")
+    mine = _walk(own, by_topic, best, seen_keys)
 
     # readers whose own topics cannot fill the length look outside of them; the
     # walk finds all there is of a topic up to the length, so a short sum is exact
-    supply = mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("_supply"))
+    supply = mine.groupBy("user_id").agg(F.sum(F.size("picks")).alias("_supply"))
     free = F.col("length") - F.coalesce("_supply", F.lit(0))
-    short = base.join(supply, "user_id", "left").where(free > 0).select(
-        "user_id", "ranked", F.least(free, F.floor(F.col("length") * C.TOPUP_MAX_SHARE)).alias("need"),
-        F.when(F.col("away"), "wide").otherwise("daily").alias("list_id"))
-    high = scoped.where(F.col("general_score") >= C.TOPUP_FLOOR).withColumnRenamed("scope", "list_id")
+    named = F.when(F.exists("ranked", lambda t: t.isNull()), (1 << len(C.TOPICS)) - 1).otherwise(_bits(F.col("ranked")))
+    short = readers.join(supply, "user_id", "left").where(free > 0).select(
+        "user_id", F.when(F.col("away"), "wide").otherwise("daily").alias("list_id"), F.lit(None).cast("string").alias("claim"),
+        F.least(free, F.floor(F.col("length") * C.TOPUP_MAX_SHARE)).cast("int").alias("need"), named.alias("near"), named.alias("far"), "copies")
+    high = scoped.where(F.col("general_score") >= C.TOPUP_FLOOR).withColumnRenamed("scope", "list_id").withColumn("claim", F.col("primary_topic"))
     by_general = [F.desc("general_score"), F.desc("written_at"), F.col("story_id")]
-    offered = _walk(short, high, by_general, ~F.arrays_overlap("topics", "ranked"), seen_keys)
-    offered = offered.withColumn("claim", F.col("primary_topic")).select(*columns, F.lit(True).alias("outside"), "nth")
+    offered = _walk(short, high, by_general, seen_keys)
 
     # at most a length's worth a topic and the top-up: a short list per reader
-    offers = mine.unionByName(offered).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
-        "nth", "outside", "claim", "story_id", "general_score", F.unix_micros("written_at").alias("written_at")))).alias("offers"))
+    offers = mine.withColumn("outside", F.lit(False)).unionByName(offered.withColumn("outside", F.lit(True))).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("outside", "claim", "from", "picks"))).alias("offers"))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,7 +244,7 @@ def allocate(users: DataFrame, stories: DataFrame, seen: DataFrame, as_of: Colum
                 for u, e, n, o in zip(batch["user_id"], batch["entitled"], batch["length"], batch["offers"])
             ], columns=["user_id", "lead_story_id", "stories", "allocation", "selected", "topped_up"])
 
-    made = base.select("user_id", "entitled", "length").join(offers, "user_id", "left").mapInPandas(assemble, NEWSLETTER)
+    made = base.select("user_id", "entitled", "length").repartition("user_id").join(offers, "user_id", "left").mapInPandas(assemble, NEWSLETTER)
     facts = base.select("user_id", "length", "locked_topics").join(_candidates(base, keyed, seen_keys), "user_id")
     return made.join(facts, "user_id")
 
@@ -225,14 +256,10 @@ def _candidates(base: DataFrame, keyed: DataFrame, seen_keys: DataFrame) -> Data
     the subsets of the ten topics, a list short enough to collect and to be
     carried by every task. Each pair of masks readers draw on is counted once.
     """
-    def bits(topics: Column) -> Column:
-        bit = F.create_map(*[F.lit(x) for i, t in enumerate(C.TOPICS) for x in (t, 1 << i)])
-        return F.aggregate(topics, F.lit(0), lambda m, t: m.bitwiseOR(F.coalesce(bit[t], F.lit(0))))
-
     names = F.transform("entitled", lambda p: p["topic"])
     wide = F.when(F.col("away"), names).otherwise(F.array_intersect(names, F.col("added")))
-    masks = base.select("user_id", bits(names).alias("near"), bits(wide).alias("far"))
-    marked = keyed.select("story_id", "fresh", bits(F.col("topics")).alias("mask"))
+    masks = base.select("user_id", _bits(names).alias("near"), _bits(wide).alias("far"))
+    marked = keyed.select("story_id", "fresh", "mask")
     reach = F.when(F.col("fresh"), F.col("near")).otherwise(F.col("far")).bitwiseAND(F.col("mask")) != 0
     listed = [row.asDict() for row in marked.groupBy("fresh", "mask").agg(F.count(F.lit(1)).alias("n")).collect()]
     sizes = F.from_json(F.lit(json.dumps(listed)), "array<struct<fresh: boolean, mask: int, n: long>>")

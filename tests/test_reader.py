@@ -135,3 +135,32 @@ def test_read_time_at_clock_changes(spark):
 def test_a_length_beyond_the_presets_is_filled(spark):
     row = run(spark, [("AI", 3)], [story(i) for i in range(70)], length=45)
     assert len(row.stories) == 45 and row.allocation[0].target == 45
+
+
+def test_allocation_writes_what_is_picked(spark, tmp_path, monkeypatch):
+    """What a round keeps grows with the stories picked, not with those looked at."""
+    kept = {}
+    real = reader.written
+
+    def watched(df, kind):
+        out = real(df, kind)
+        kept.setdefault(kind, []).append(out)
+        return out
+
+    monkeypatch.setattr(reader, "written", watched)
+    users = [{"user_id": f"u{i}", "topic_prefs": [{"topic": t, "weight": 1} for t in ("AI", "World")], "length": 5, "allowance": 3,
+              "last_read_at": None, "has_newsletter": False, "added_topics": None} for i in range(40)] * 2
+    # every World story is on AI too, but for the last ones: readers walk the whole World list for them
+    stories = [{"story_id": f"s{i:05}", "primary_topic": "World", "secondary_topics": ["AI"] if i < 2600 else None, "topic_score": 10 if i < 2600 else 1,
+                "general_score": 1, "written_at": NOW - timedelta(hours=1)} for i in range(2603)]
+    seen = spark.createDataFrame([("u0", "s00000"), ("u0", "s02600")], "user_id string, story_id string")
+    out = reader.allocate(spark.createDataFrame(users, USERS), spark.createDataFrame(stories, STORIES), seen, F.lit(NOW)).select("user_id", "selected", "candidates", "stories.story_id").distinct().collect()
+    got = {r["user_id"]: r for r in out}
+    assert len(got) == 40
+    # a reader who is there twice is offered every story twice
+    twice = lambda own, world: [s for s in own for _ in range(2)][:3] + [s for s in world for _ in range(2)][:2]
+    assert got["u1"]["story_id"] == twice(["s00000", "s00001"], ["s02600"])
+    assert got["u0"]["story_id"] == twice(["s00001", "s00002"], ["s02601"])
+    rows = [p.select(F.coalesce(F.sum(F.size("picks")), F.lit(0)), F.coalesce(F.max(F.size("picks")), F.lit(0))).first() for p in kept["picks"]]
+    assert max(r[1] for r in rows) <= 5
+    assert sum(r[0] for r in rows) <= 40 * 2 * 5
