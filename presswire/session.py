@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a batch sent to Python is bounded by its bytes too: 10,000 long texts are much
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 _LOCAL_DIRS: dict[str, str] = {}  # scratch folders of local sessions that name none
@@ -81,9 +83,9 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Cut lineage with a table in the shared folder. Other than on a checkpoint, later
-    reads take only the columns and rows they ask for."""
+    reads take only the columns and rows they ask for, and of the folders of `by` only theirs."""
     path = scratch_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", compression).partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
