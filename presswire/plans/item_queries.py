@@ -552,9 +552,10 @@ def _(spark, sf):
         F.lit("t").alias("title"), F.col("text").alias("body"), F.when(F.col("n") % 5 == 0, fetched - F.expr("INTERVAL 7 HOURS")).otherwise(fetched).alias("published_at"),
         fetched.alias("fetched_at"), F.lit("r").alias("run_id"))
     landing, path, state, rejected = (scratch_path(spark, k) for k in ("landing", "stream", "state", "rejected"))
-    entries.coalesce(1).write.json(landing, timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entries.write.json(landing, timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'")
     for _ in range(2):  # the second start has no new files and writes nothing
-        ingest.start_ingest(ingest.read_landing(spark, landing), path, state, caps={f"src{i}": 20 for i in range(4)}, rejected=rejected).awaitTermination()
+        # numbers are counted in a batch: all files are one
+        ingest.start_ingest(ingest.read_landing(spark, landing, 2**31 - 1), path, state, caps={f"src{i}": 20 for i in range(4)}, rejected=rejected).awaitTermination()
     stored = tables.read_table(spark, path, items.ITEM_SCHEMA).select("source", F.lit("stored").alias("reason"))
     lost = tables.read_table(spark, rejected, ingest.REJECTED_SCHEMA).select("source", "reason")
     return stored.unionByName(lost).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("items"))
