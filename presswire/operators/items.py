@@ -49,8 +49,8 @@ def resolve_redirects(
 def build_items(entries: DataFrame, run_id: Column, fetched_at: Column, canonical: Column | None = None) -> DataFrame:
     """Bronze rows from normalised entries.
 
-    `entries` has source, source_type, topic_hint, url, title, body, author and
-    published_at; any further columns are kept. A row whose URL cannot be
+    `entries` has source, source_type, topic_hint, url, title, body or the
+    body_excerpt made of it, author and published_at; any further columns are kept. A row whose URL cannot be
     cleaned is dropped.
     """
     canonical = clean_url(F.col("url")) if canonical is None else canonical
@@ -63,7 +63,7 @@ def build_items(entries: DataFrame, run_id: Column, fetched_at: Column, canonica
         "source", "source_type", "topic_hint", "url",
         F.col("_canonical").alias("canonical_url"),
         collapse(F.col("title")).alias("title"),
-        excerpt(F.col("body")).alias("body_excerpt"),
+        excerpt(F.col("body")).alias("body_excerpt") if "body" in entries.columns else F.col("body_excerpt"),
         F.when(F.col("author") != "", F.col("author")).alias("author"),
         "published_at",
         F.col("_fetched").alias("fetched_at"),
@@ -81,8 +81,13 @@ def since_and_cap(entries: DataFrame, since: Column, caps: dict[str, int], posit
     """
     cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("source")]
     fresh = entries.where((F.col("published_at") >= since) & cap.isNotNull())
-    ranked = first_rows(fresh, ["source"], [F.col(position)], max(caps.values()), rank="_feed_rank", spread=position)
-    return ranked.where(F.col("_feed_rank") <= cap).drop("_feed_rank")
+    # a source within its number is kept whole, whatever the order; a row a registered source
+    over = [r["source"] for r in fresh.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).collect()]
+    if not over:
+        return fresh
+    most = max(caps[s] for s in over)
+    ranked = first_rows(fresh.where(F.col("source").isin(over)), ["source"], [F.col(position)], most, rank="_feed_rank")
+    return fresh.where(~F.col("source").isin(over)).unionByName(ranked.where(F.col("_feed_rank") <= cap).drop("_feed_rank"))
 
 
 def union_items(*batches: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ own, and only one small row per range is combined across a group.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Spark limits row_number() <= k before the shuffle up to this many rows a
 # group (spark.sql.optimizer.windowGroupLimitThreshold).
 _GROUP_LIMIT = 1000
@@ -17,15 +19,17 @@ def first_rows(df: DataFrame, keys: list, order: list, k: int = 1, rank: str | N
     """The first k rows per key.
 
     Spark keeps k rows a key in each task before the shuffle while k is small.
-    For a larger k the rows are first cut inside hash slices of `spread`, a
-    column with many values, so no task sorts a whole hot group.
+    For a larger k the rows are written once in ranges of the order and ranked
+    inside those, so no task sorts a whole hot group. `spread`, a column with many
+    values, orders equals, so that ranges split those too.
     """
     name = rank or "_rank"
     if k > _GROUP_LIMIT:
-        local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(256)))
-        df = df.withColumn(name, F.row_number().over(local)).where(F.col(name) <= k).drop(name, "_slice")
-    df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        order = [*order, F.col(spread)] if spread else order
+        cut = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+        df = _ranked(cut, keys, order, name)
+    else:
+        df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     df = df.where(F.col(name) <= k)
     return df if rank else df.drop(name)
 
@@ -40,7 +44,11 @@ def number_rows(df: DataFrame, keys: list[str], position: Column, order: list, o
     `position` is a number that grows with `order`; rows are ranked inside
     ranges of `width` and shifted by the size of the earlier ranges.
     """
-    cut = df.withColumn("_range", _ranges(position, width))
+    return _ranked(df.withColumn("_range", _ranges(position, width)), keys, order, out)
+
+
+def _ranked(cut: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """``row_number()`` per key of rows in numbered ranges ``_range`` of the order."""
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
