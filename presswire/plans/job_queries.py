@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs, runlog
 from ..session import scratch_path
 from ..sources import feeds, tables
-from .item_queries import _WORDS, _numbered, _payloads
+from .item_queries import _WORDS, _numbered
 from .standins import plain
 
 QUERIES, SQL = {}, {}
@@ -29,15 +29,22 @@ NOW = datetime(2024, 1, 20, 6, 0, tzinfo=timezone.utc)
 def _landed(spark, sf):
     """Documents as landed files of two sources, one broken payload a source, and a source that is not there."""
     base = scratch_path(spark, "landing")
-    n, d = F.col("n"), _numbered(spark, sf)
-    news = F.struct(F.col("w").alias("headline"), F.concat(F.lit("http://m.example.com/"), n).alias("url"), (F.lit(1704067200) + n).cast("string").alias("datetime"), F.col("w").alias("summary"))
-    paper = F.struct(F.col("w").alias("title"), F.concat(F.lit("http://p.example.com/"), n).alias("html_url"), F.lit("2024-01-02").alias("publication_date"), F.col("w").alias("abstract"))
-    registry = []
-    for name, kind, entry, shape in (("market", "market_news_json", news, F.to_json), ("papers", "documents_json", paper, lambda v: F.to_json(F.struct(v.alias("results"))))):
-        whole = _payloads(d, name, entry, shape, per=200).select("payload_no", "payload")
-        broken = spark.range(1).select(F.lit(-1).cast("long").alias("payload_no"), F.lit("<html>moved</html>").alias("payload"))
-        whole.unionByName(broken).repartition("payload_no").write.partitionBy("payload_no").text(f"{base}/{name}")
-        registry.append({"name": name, "format": kind, "topic_hint": "World", "max_items_per_run": 10**9, "path": f"{base}/{name}"})
+
+    def news(x):
+        return F.struct(x["w"].alias("headline"), F.concat(F.lit("http://m.example.com/"), x["n"]).alias("url"), (F.lit(1704067200) + x["n"]).cast("string").alias("datetime"), x["w"].alias("summary"))
+
+    def paper(x):
+        return F.struct(x["w"].alias("title"), F.concat(F.lit("http://p.example.com/"), x["n"]).alias("html_url"), F.lit("2024-01-02").alias("publication_date"), x["w"].alias("abstract"))
+
+    # texts are shuffled once and in one copy; both sources are written from that, a file a payload
+    grouped = _numbered(spark, sf).groupBy(F.floor(F.col("n") / 200).alias("payload_no")).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_l"))
+    market, papers = F.to_json(F.transform("_l", news)), F.to_json(F.struct(F.transform("_l", paper).alias("results")))
+    sources = F.array(*[F.struct(F.lit(name).alias("source"), text.alias("payload")) for name, text in (("market", market), ("papers", papers))])
+    whole = grouped.select("payload_no", F.explode(sources).alias("s")).select("s.source", "payload_no", "s.payload")
+    broken = spark.createDataFrame([("market",), ("papers",)], "source string").select("source", F.lit(-1).cast("long").alias("payload_no"), F.lit("<html>moved</html>").alias("payload"))
+    whole.unionByName(broken).write.partitionBy("source", "payload_no").option("compression", "gzip").text(base)
+    registry = [{"name": name, "format": kind, "topic_hint": "World", "max_items_per_run": 10**9, "path": f"{base}/source={name}"}
+                for name, kind in (("market", "market_news_json"), ("papers", "documents_json"))]
     return registry + [{"name": "gone", "format": "rss", "topic_hint": "World", "max_items_per_run": 5, "path": f"{base}/gone"}]
 
 

@@ -166,7 +166,7 @@ def collect(spark: SparkSession, registry: list[dict]) -> tuple[DataFrame, DataF
         except AnalysisException as error:
             missing.append((source["name"], error.getCondition() or type(error).__name__, None))
             continue
-        payloads = written(payloads, "payloads")
+        payloads = written(payloads, "payloads", compression="zstd")
         broken = payloads.where(_BROKEN[source["format"]]())
         batches.append(PARSERS[source["format"]](payloads))
         errors += [lost.select("source", F.lit("UNREADABLE_FILE").alias("error"), "payload_no"),
