@@ -186,7 +186,7 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
     cluster crosses (see reachable_parts), and every part runs by itself, small
     ones several to a task. Only where a URL comes twice in such a group, so that
     items join whatever their vectors are, or where a part is itself larger than
-    `piece`, is the group walked piece by piece (see _walked).
+    `piece`, is the group, or that part of it, walked piece by piece (see _walked).
     """
     base = items.select(F.col(group).cast("string").alias("group_key"), "item_id", "canonical_url", "published_at", "vector",
                         F.monotonically_increasing_id().alias("id"))
@@ -202,18 +202,20 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
             free = large.join(forced.distinct(), "group_key", "left_anti")
             linked = reachable_parts(free.select(F.col("group_key").alias("day"), "id", "vector"), threshold).withColumnRenamed("component", "part")
             parted = written(free.join(linked, "id", "left").withColumn("part", F.coalesce("part", "id")), "items")
-            part_sizes = parted.groupBy("group_key", "part").agg(F.count(F.lit(1)).alias("n"))
-            crowded = written(part_sizes.where(F.col("n") > piece).select("group_key").distinct(), "items")
-            small = parted.join(crowded, "group_key", "left_anti").join(part_sizes.where("n > 1").select("group_key", "part", F.lit(True).alias("shared")), ["group_key", "part"], "left")
+            part_sizes = written(parted.groupBy("group_key", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "items")
+            sized = parted.join(part_sizes.select("group_key", "part", F.lit(True).alias("shared"), (F.col("n") > piece).alias("crowded")), ["group_key", "part"], "left")
+            small = sized.where("not coalesce(crowded, false)").drop("crowded")
             # a part of one item is a cluster of its own
             found.append(small.where("shared is null").select("group_key", "item_id", F.col("item_id").alias("seed_id")))
             found.append(_by_part(small.where("shared").drop("shared"), threshold, F.pmod(F.xxhash64("part"), F.lit(max(1, total // piece))).cast("string")))
-            walked = large.join(crowded.unionByName(forced).distinct(), "group_key", "left_semi")
+            # a crowded part is walked by itself, beside the others
+            walked = large.join(forced.distinct(), "group_key", "left_semi").withColumn("part", F.lit(0).cast("long")).unionByName(
+                sized.where("crowded").select(*large.columns, "part"))
         else:
-            walked = large
-        walked = written(walked.drop("id"), "items")
+            walked = large.withColumn("part", F.lit(0).cast("long"))
+        walked = written(walked.withColumn("group_key", F.concat_ws("/", "part", "group_key")).drop("id", "part"), "items")
         if not walked.isEmpty():
-            found.append(_walked(walked, threshold, piece))
+            found.append(_walked(walked, threshold, piece).withColumn("group_key", F.regexp_replace("group_key", "^[0-9]+/", "")))
     done = reduce(DataFrame.unionByName, found)
     kind = dict(items.dtypes)[group]
     return done.select(F.col("group_key").cast(kind).alias(group), "item_id", "seed_id", cluster_id(F.col("seed_id")).alias("cluster_id"))
@@ -242,12 +244,19 @@ def _walked(base: DataFrame, threshold: float, piece: int) -> DataFrame:
     spark = base.sparkSession
     total = base.count()
     parts = max(1, -(-total // piece), min(spark.sparkContext.defaultParallelism, max(1, total // 1000)))
+    # only a URL that comes twice is ever looked up
+    twice = base.where("canonical_url is not null").groupBy("group_key", "canonical_url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = written(twice.select("group_key", "canonical_url", F.lit(True).alias("twice")), "urls")
+    if twice.isEmpty():
+        named = base.withColumn("canonical_url", F.lit(None).cast("string"))
+    else:
+        named = base.join(twice, ["group_key", "canonical_url"], "left").withColumn("canonical_url", F.when(F.col("twice"), F.col("canonical_url"))).drop("twice")
     # ranges over the full order split a hot instant as well as a hot day
-    ranged = base.repartitionByRange(parts, "group_key", "published_at", "item_id").withColumn("_part", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = named.repartitionByRange(parts, "group_key", "published_at", "item_id").withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "pieces")
     sizes = ranged.groupBy("group_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_part").alias("_first"))
     rounds = F.when(F.col("_size") <= piece, 0).otherwise(F.col("_part") - F.col("_first"))
-    staged = ranged.join(sizes, "group_key").withColumn("_round", rounds).drop("_part", "_size", "_first")
+    staged = written(ranged.join(sizes, "group_key").withColumn("_round", rounds).drop("_part", "_size", "_first"), "pieces", by="_round")
     last = staged.agg(F.max("_round")).first()[0] or 0
 
     def first_piece(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -281,7 +290,7 @@ def _state_of(out: DataFrame) -> DataFrame:
 
 
 def _next_piece(rows: DataFrame, done: DataFrame, state: DataFrame, threshold: float, r: int, piece: int) -> DataFrame:
-    urls = done.groupBy("group_key", "canonical_url").agg(F.min("seq").alias("known_seq"))
+    urls = done.where("canonical_url is not null").groupBy("group_key", "canonical_url").agg(F.min("seq").alias("known_seq"))
     rows = rows.join(urls, ["group_key", "canonical_url"], "left")
 
     # clusters of a group in slices of about `piece`; the piece goes to each slice
