@@ -124,27 +124,34 @@ def count_tables(grams: DataFrame) -> DataFrame:
     """The model's exact count tables as rows (place in TABLES, key, value).
 
     The longest n-grams are counted per class. Shorter ones are counted once for
-    both classes, by the number of different letters that come before them.
+    both classes, by the number of different letters that come before them. The n-grams
+    are read once, and every row turns into its entries of all tables there.
     """
     names = [f"c{i}" for i in range(1, ORDER + 1)]
-
-    def entries(df, table, of, value):
-        # unused letters are 0, which no letter is
-        letters = [F.col(c).cast("int") if c in of else F.lit(0) for c in names]
-        return df.select(F.lit(TABLES.index(table)).alias("place"), *[x.alias(c) for x, c in zip(letters, names)], value.cast("double").alias("value"))
-
-    parts = []
+    # unused letters are 0, which no letter is
+    none = F.lit(0)
+    ends = [F.struct(F.lit(k).alias("size"), *[F.col(c).cast("int").alias(c) if i >= ORDER - k else none.alias(c) for i, c in enumerate(names)],
+                     *[(F.col(c) if k == ORDER else F.lit(0).cast("long")).alias(c) for c in CLASSES]) for k in range(1, ORDER + 1)]
+    level = grams.where("ordinary + toxic > 0").select(F.explode(F.array(*ends)).alias("end")).select("end.*")
+    level = level.groupBy("size", *names).agg(*[F.sum(c).alias(c) for c in CLASSES])
+
+    size = F.col("size")
+    gram = [F.col(c) for c in names]
+    # without its first letter
+    tail = [F.when(size > ORDER - i, c).otherwise(none) for i, c in enumerate(gram)]
+
+    def entry(when, place, letters, value):
+        return F.when(when, F.struct(place.alias("place"), *[x.alias(c) for x, c in zip(letters, names)], value.cast("double").alias("value")))
+
+    def table(part, k):
+        return F.lit(TABLES.index(f"1 {part}")) + 3 * (k - 1)
+
+    entries = [entry(size < ORDER, table("kinds", size), [*gram[:-1], none], F.lit(1)),
+               entry(size > 1, table("count", size - 1), tail, F.lit(1)), entry(size > 1, table("total", size - 1), [*tail[:-1], none], F.lit(1))]
     for c in CLASSES:
-        own = grams.where(F.col(c) > 0)
-        parts += [entries(own, f"{c} count", names, F.col(c)), entries(own, f"{c} total", names[:-1], F.col(c)), entries(own, f"{c} kinds", names[:-1], F.lit(1))]
-    level = grams.where("ordinary + toxic > 0")
-    for k in range(ORDER - 1, 0, -1):
-        tail = names[-k:]
-        level = level.groupBy(*tail).agg(F.count(F.lit(1)).alias("n"))
-        parts += [entries(level, f"{k} count", tail, F.col("n")), entries(level, f"{k} total", tail[:-1], F.col("n")), entries(level, f"{k} kinds", tail[:-1], F.lit(1))]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+        for part, letters, value in (("count", gram, F.col(c)), ("total", [*gram[:-1], none], F.col(c)), ("kinds", [*gram[:-1], none], F.lit(1))):
+            entries.append(entry((size == ORDER) & (F.col(c) > 0), F.lit(TABLES.index(f"{c} {part}")), letters, value))
+    union = level.select(F.explode(F.array_compact(F.array(*entries))).alias("entry")).select("entry.*")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

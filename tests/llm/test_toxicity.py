@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from presswire.llm import toxicity
+from presswire.llm.common import written
 from presswire.llm.labelled import fold
 
 ROWS = "text string, label int, tune boolean, doc_id long"
@@ -68,6 +69,14 @@ def test_probabilities(spark, apart):
     assert at == len(owner)
 
 
+def test_counting_reads_the_ngrams_once(spark):
+    rows = spark.createDataFrame([(*t, i) for i, t in enumerate(TEXTS)], ROWS)
+    grams = written(toxicity.count_ngrams(toxicity.count_words(rows)), "ngrams")
+    plan = toxicity.count_tables(grams)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # tasks are as many as the table's files ask for, not that many for each of 18 tables
+    assert plan.count("FileScan") == 1 and plan.count("Union") == 0 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_lookups_are_exact():
     draw = np.random.default_rng(1)
     key = np.unique(draw.integers(0, 2**64, 5000, np.uint64))
