@@ -88,9 +88,9 @@ def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return written(sliced.select("day", "block", "id", "vector").groupBy("day", "block").applyInPandas(pack, schema), "blocks")
 
 
-def heads(blocks: DataFrame, prefix: str = "") -> DataFrame:
+def heads(blocks: DataFrame, prefix: str = "", more: tuple = ()) -> DataFrame:
     """What is known of a block without its matrix."""
-    return blocks.select(*[F.col(c).alias(prefix + c) for c in ("day", "block", "center", "radius")])
+    return blocks.select(*[F.col(c).alias(prefix + c) for c in ("day", "block", "center", "radius", *more)])
 
 
 def within_reach(threshold: float) -> Column:
@@ -100,15 +100,18 @@ def within_reach(threshold: float) -> Column:
     return F.acos(cosine) - F.col("radius") - F.col("r_radius") <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
 
 
-def with_matrices(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of blocks ``(day, block, r_day, r_block)`` with ids and matrices of both.
-    Only blocks of a pair are fetched."""
-    names = ("day", "block", "ids", "matrix", "dims")
+def with_matrices(pairs: DataFrame, left: DataFrame, right: DataFrame, more: tuple = ("ids",), kept: tuple = ()) -> DataFrame:
+    """Pairs of blocks ``(day, block, r_day, r_block)`` with matrices of both, columns `more`
+    of both and columns `kept` of the pair. Only blocks of a pair are fetched."""
+    names = ("day", "block", *more, "matrix", "dims")
     ours = left.select(*names)
     theirs = right.select(*[F.col(c).alias(f"r_{c}") for c in names[:-1]])
-    return pairs.select("day", "block", "r_day", "r_block").join(ours, ["day", "block"]).join(theirs, ["r_day", "r_block"])
+    return pairs.select("day", "block", "r_day", "r_block", *kept).join(ours, ["day", "block"]).join(theirs, ["r_day", "r_block"])
+
+
+def matrix(packed: bytes, dims: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.float32).reshape(-1, dims).astype(np.float64)
 
 
 def matrices(row) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(row.matrix, dtype=np.float32).reshape(-1, row.dims).astype(np.float64)
-    return a, np.frombuffer(row.r_matrix, dtype=np.float32).reshape(-1, row.dims).astype(np.float64)
+    return matrix(row.matrix, row.dims), matrix(row.r_matrix, row.dims)

@@ -12,10 +12,10 @@ from pyspark.sql.types import ArrayType, FloatType
 from .. import constants as C
 from ..functions.text import strip
 from ..functions.urls import cluster_id
-from ..functions.vectors import norm, unit
+from ..functions.vectors import dot, norm, unit
 from ..session import cut_lineage, written
-from .blocks import BLOCK_ROWS, heads, matrices, pack_blocks, with_matrices, within_reach
-from .graph import components, roots
+from .blocks import BLOCK_ROWS, heads, matrices, matrix, pack_blocks, with_matrices, within_reach
+from .graph import components, linked_groups, roots
 from .ordering import first_rows
 
 
@@ -154,26 +154,78 @@ def reachable_parts(rows: DataFrame, threshold: float, block_rows: int = BLOCK_R
     No greedy cluster crosses such parts. An item joins where its mean dot with the
     members is at least t times the length of their mean; as every earlier member
     did so too, that length is at least t, so some member has a dot of t^2 or more.
-    Blocks of a day meet two by two, once, and only if near enough; a task returns
-    one link per row it connects, not the pairs.
+
+    Each block is first joined up by itself into groups of linked rows. Blocks near enough
+    then compare one row each, of their largest groups; where those groups are connected
+    already, over any number of blocks, their rows never meet. Only what is left of
+    two blocks is compared, once, and gives links of groups, not of rows.
     """
     least = threshold * threshold - 1e-5  # vectors are stored in single precision
-    blocks = pack_blocks(rows, block_rows)
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                a = matrix(row.matrix, row.dims)
+                group = linked_groups(a @ a.T >= least)
+                ids = np.asarray(row.ids, dtype=np.int64)
+                names = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(names, group, ids)
+                main = int(np.bincount(group).argmax())
+                # the row of the largest group that is nearest to the block's center
+                place = np.flatnonzero(group == main)
+                shown = place[int((a[place] @ np.asarray(row.center)).argmax())]
+                out.append((row.day, row.block, ids, row.matrix, row.dims, row.center, row.radius, group, names, main, names[main], a[shown], len(names) == 1))
+            yield pd.DataFrame(out, columns=["day", "block", "ids", "matrix", "dims", "center", "radius", "groups", "names", "main", "top", "shown", "whole"])
+
+    packed = pack_blocks(rows, block_rows)
+    schema = ", ".join(f"{name} {kind}" for name, kind in packed.dtypes) + ", groups array<int>, names array<long>, main int, top long, shown array<double>, whole boolean"
+    blocks = written(packed.mapInPandas(grouped, schema), "blocks")
+
+    more = ("top", "shown", "whole")
+    near = heads(blocks, more=more).join(heads(blocks, "r_", more).withColumn("day", F.col("r_day")), "day").where(F.col("block") < F.col("r_block")).where(within_reach(least))
+    near = written(near.select("day", "block", "r_day", "r_block", "top", "r_top", (F.col("whole") & F.col("r_whole")).alias("whole"),
+                               (dot(F.col("shown"), F.col("r_shown")) >= least).alias("linked")), "pairs")
+    shown_links = near.where("linked").select(F.col("top").alias("a"), F.col("r_top").alias("b"))
+    known = written(components(shown_links), "links")
+    ours, theirs = (known.select(F.col("id").alias(name), F.col("component").alias(f"{name}_part")) for name in ("top", "r_top"))
+    same = F.coalesce(F.col("top_part") == F.col("r_top_part"), F.lit(False))
+    left = near.join(ours, "top", "left").join(theirs, "r_top", "left").withColumn("same", same).where("not (whole and same)")
 
     def connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 a, b = matrices(row)
-                i, j = np.nonzero(a @ b.T >= least)
-                ids = np.concatenate([row.ids, row.r_ids]).astype(np.int64)
-                names, place = np.unique(ids, return_inverse=True)
-                root = roots(place[i], place[len(a) + j], len(names))
+                groups, r_groups = np.asarray(row.groups), np.asarray(row.r_groups)
+                names = np.concatenate([row.names, row.r_names])
+                # rows of two groups that are connected already need no comparing
+                rest, r_rest = (groups != row.main, r_groups != row.r_main) if row.same else (np.ones(len(a), bool), np.zeros(len(b), bool))
+                ends = [_linked_pairs(a[i], b[j], groups[i], r_groups[j], least) for i, j in ((rest, np.ones(len(b), bool)), (~rest, r_rest))]
+                i, j = (np.concatenate(side) for side in zip(*ends))
+                root = roots(i, len(row.names) + j, len(names))
                 moved = root != np.arange(len(names))
                 if moved.any():
                     yield pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
 
-    pairs = heads(blocks).join(heads(blocks, "r_").withColumn("day", F.col("r_day")), "day").where(F.col("block") <= F.col("r_block")).where(within_reach(least))
-    return components(with_matrices(pairs, blocks, blocks).mapInPandas(connect, "a long, b long"))
+    met = with_matrices(left, blocks, blocks, ("groups", "names", "main"), ("same",)).mapInPandas(connect, "a long, b long")
+    parts = components(shown_links.unionByName(met))
+    each = blocks.select(F.explode(F.arrays_zip("ids", F.transform("groups", lambda g: F.get("names", g)).alias("name"))).alias("r")).select(
+        F.col("r.ids").alias("id"), F.col("r.name").alias("_name"))
+    joined = each.join(parts.withColumnRenamed("id", "_name"), "_name", "left")
+    return joined.select("id", F.coalesce("component", "_name").alias("component"))
+
+
+def _linked_pairs(a: np.ndarray, b: np.ndarray, groups: np.ndarray, r_groups: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of groups of which some two rows are linked."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = a @ b.T >= least
+    for axis, of in ((0, groups), (1, r_groups)):
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+        near = np.logical_or.reduceat(np.take(near, order, axis=axis), starts, axis=axis)
+    i, j = np.nonzero(near)
+    return np.unique(groups)[i].astype(np.int64), np.unique(r_groups)[j].astype(np.int64)
 
 
 def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, group: str = "ingest_date",

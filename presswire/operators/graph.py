@@ -26,6 +26,20 @@ def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def linked_groups(near: np.ndarray) -> np.ndarray:
+    """The group of each row, numbered from 0, of a symmetric matrix that tells which rows
+    are linked. Every row of the matrix is read once."""
+    group = np.full(len(near), -1)
+    for start in range(len(near)):
+        if group[start] < 0:
+            number = group.max() + 1
+            front = np.array([start])
+            while len(front):
+                group[front] = number
+                front = np.flatnonzero(near[front].any(axis=0) & (group < 0))
+    return group
+
+
 def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if held:
