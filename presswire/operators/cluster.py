@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions.text import strip
 from ..functions.urls import cluster_id
 from ..functions.vectors import dot, norm, unit
-from ..session import cut_lineage, written
+from ..session import cut_lineage, scratch_path, written
 from .blocks import BLOCK_ROWS, heads, matrices, matrix, pack_blocks, with_matrices, within_reach
 from .graph import components, linked_groups, roots
 from .ordering import first_rows
@@ -76,6 +76,8 @@ _DONE = "group_key string, item_id string, canonical_url string, seq long, seed_
 _STATE = "group_key string, seq long, seed_id string, n long, total array<double>"
 _OUT = "kind string, " + _DONE + ", n long, total array<double>"
 _ROUND = 10**9
+MOST_ROUNDS = 8
+PIECE_BYTES = 32 << 20  # of vectors in a task
 
 
 def _assign(items: pd.DataFrame, state: pd.DataFrame, threshold: float, first_seq: int):
@@ -238,7 +240,7 @@ def greedy_clusters(items: DataFrame, threshold: float = C.CLUSTER_THRESHOLD, gr
     cluster crosses (see reachable_parts), and every part runs by itself, small
     ones several to a task. Only where a URL comes twice in such a group, so that
     items join whatever their vectors are, or where a part is itself larger than
-    `piece`, is the group, or that part of it, walked piece by piece (see _walked).
+    `piece`, is the group, or that part of it, walked in rounds (see _walked).
     """
     base = items.select(F.col(group).cast("string").alias("group_key"), "item_id", "canonical_url", "published_at", "vector",
                         F.monotonically_increasing_id().alias("id"))
@@ -287,15 +289,21 @@ def _by_part(rows: DataFrame, threshold: float, together: Column) -> DataFrame:
 
 
 def _walked(base: DataFrame, threshold: float, piece: int) -> DataFrame:
-    """Each group in consecutive pieces of about `piece` items; piece r of all groups
-    runs in round r, in parallel, and sees only those earlier clusters that some
-    item of the piece can reach. That is exact: a cluster no item of the piece is
-    within the threshold of cannot gain its first new member, so it stays as it is
-    for the whole piece. No task holds more than a piece and the clusters near it.
+    """Each group in consecutive pieces; piece r of all groups runs in round r, in
+    parallel, and sees only those earlier clusters that some item of the piece can
+    reach. That is exact: a cluster no item of the piece is within the threshold of
+    cannot gain its first new member, so it stays as it is for the whole piece. No
+    task holds more than a piece and the clusters near it.
+
+    A round costs the driver the same whatever was done before, and their number is
+    held down: a piece is an eighth of the largest group where that is more than
+    `piece` items, as far as a task can hold their vectors.
     """
     spark = base.sparkSession
-    total = base.count()
-    parts = max(1, -(-total // piece), min(spark.sparkContext.defaultParallelism, max(1, total // 1000)))
+    sizes = written(base.groupBy("group_key").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    total, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    dims = base.select(F.size("vector")).first()[0]
+    width = max(piece, min(-(-most // MOST_ROUNDS), PIECE_BYTES // (8 * max(1, dims))))
     # only a URL that comes twice is ever looked up
     twice = base.where("canonical_url is not null").groupBy("group_key", "canonical_url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twice = written(twice.select("group_key", "canonical_url", F.lit(True).alias("twice")), "urls")
@@ -304,29 +312,32 @@ def _walked(base: DataFrame, threshold: float, piece: int) -> DataFrame:
     else:
         named = base.join(twice, ["group_key", "canonical_url"], "left").withColumn("canonical_url", F.when(F.col("twice"), F.col("canonical_url"))).drop("twice")
     # ranges over the full order split a hot instant as well as a hot day
-    ranged = named.repartitionByRange(parts, "group_key", "published_at", "item_id").withColumn("_part", F.spark_partition_id())
+    ranged = named.repartitionByRange(-(-total // width), "group_key", "published_at", "item_id").withColumn("_part", F.spark_partition_id())
     ranged = written(ranged, "pieces")
-    sizes = ranged.groupBy("group_key").agg(F.count(F.lit(1)).alias("_size"), F.min("_part").alias("_first"))
+    firsts = ranged.groupBy("group_key").agg(F.min("_part").alias("_first")).join(sizes, "group_key")
     rounds = F.when(F.col("_size") <= piece, 0).otherwise(F.col("_part") - F.col("_first"))
-    staged = written(ranged.join(sizes, "group_key").withColumn("_round", rounds).drop("_part", "_size", "_first"), "pieces", by="_round")
+    staged = written(ranged.join(firsts, "group_key").withColumn("_round", rounds).drop("_part", "_size", "_first"), "pieces", by="_round")
     last = staged.agg(F.max("_round")).first()[0] or 0
 
     def first_piece(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _shape(_assign(rows.assign(known_seq=None), _empty_state(), threshold, 0), key[0])
 
     opening = staged.where(F.col("_round") == 0).drop("_round").groupBy("group_key").applyInPandas(first_piece, _OUT)
-    if last == 0:
-        done = opening.where("kind = 'item'")
-    else:
-        out = cut_lineage(opening)
-        done, state = _items_of(out), _state_of(out)
-        for r in range(1, last + 1):
-            rows = staged.where(F.col("_round") == r).drop("_round")
-            out = cut_lineage(_next_piece(rows, done, state, threshold, r, piece))
-            done = done.unionByName(_items_of(out))
-            moved = _state_of(out)
-            state = cut_lineage(state.join(moved, ["group_key", "seq"], "left_anti").unionByName(moved))
-    return done.select("group_key", "item_id", "seed_id")
+    # every round writes beside the earlier ones, so that what is done is one scan
+    place = scratch_path(spark, "rounds")
+
+    def done() -> DataFrame:
+        return spark.read.schema(f"{_OUT}, round int").parquet(place)
+
+    opening.write.parquet(f"{place}/round=0")
+    state = _state_of(done())
+    for r in range(1, last + 1):
+        rows = staged.where(F.col("_round") == r).drop("_round")
+        _next_piece(rows, _items_of(done()), state, threshold, r, width).write.parquet(f"{place}/round={r}")
+        moved = _state_of(done().where(F.col("round") == r))
+        if r < last:
+            state = written(state.join(moved, ["group_key", "seq"], "left_anti").unionByName(moved), "state")
+    return _items_of(done()).select("group_key", "item_id", "seed_id")
 
 
 def _empty_state() -> pd.DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from presswire.operators import cluster
+from tests.test_cluster import SCHEMA, loop, make
 
 
 def parts_of(rows, threshold):
@@ -48,3 +49,19 @@ def test_blocks_of_one_part_are_not_compared_row_by_row(spark, monkeypatch):
     rows = [("d", i, [float(i % 3 == k) for k in range(3)]) for i in range(120)]
     assert found_parts(spark, rows, 0.8, 5) == {i: i % 3 for i in range(120)}
     assert met == [0]
+
+
+def test_a_crowded_part_is_walked_in_few_rounds(spark, monkeypatch):
+    """90 items at five to a task's share took 18 rounds, each planned over all earlier ones."""
+    rounds = []
+    real = cluster._next_piece
+
+    def watched(rows, done, state, *args):
+        rounds.append(len(done._jdf.queryExecution().analyzed().toString()) + len(state._jdf.queryExecution().analyzed().toString()))
+        return real(rows, done, state, *args)
+
+    monkeypatch.setattr(cluster, "_next_piece", watched)
+    rows = make(90, 4, 2, 0.2, 41)
+    got = {r.item_id: r.seed_id for r in cluster.greedy_clusters(spark.createDataFrame(rows, SCHEMA), 0.8, piece=5).collect()}
+    assert got == loop(rows, 0.8)
+    assert 0 < len(rounds) <= 9 and max(rounds) < 1.5 * rounds[0]
