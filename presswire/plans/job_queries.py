@@ -6,7 +6,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import functions as F
 
 from ..operators import jobs, runlog
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_removed
 from ..sources import feeds, tables
 from .item_queries import _WORDS, _numbered
 from .standins import plain
@@ -42,7 +42,8 @@ def _landed(spark, sf):
     sources = F.array(*[F.struct(F.lit(name).alias("source"), text.alias("payload")) for name, text in (("market", market), ("papers", papers))])
     whole = grouped.select("payload_no", F.explode(sources).alias("s")).select("s.source", "payload_no", "s.payload")
     broken = spark.createDataFrame([("market",), ("papers",)], "source string").select("source", F.lit(-1).cast("long").alias("payload_no"), F.lit("<html>moved</html>").alias("payload"))
-    whole.unionByName(broken).write.partitionBy("source", "payload_no").option("compression", "gzip").text(base)
+    with shuffles_removed(spark):
+        whole.unionByName(broken).write.partitionBy("source", "payload_no").option("compression", "gzip").text(base)
     registry = [{"name": name, "format": kind, "topic_hint": "World", "max_items_per_run": 10**9, "path": f"{base}/source={name}"}
                 for name, kind in (("market", "market_news_json"), ("papers", "documents_json"))]
     return registry + [{"name": "gone", "format": "rss", "topic_hint": "World", "max_items_per_run": 5, "path": f"{base}/gone"}]

@@ -3,6 +3,9 @@
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ SETTINGS = {
 }
 
 _LOCAL_DIRS: dict[str, str] = {}  # scratch folders of local sessions that name none
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)  # scratch folders of the scope
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -80,9 +85,46 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     path = f"{shared_dir(spark)}/presswire-{kind}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
     return path
 
 
+def remove_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Folders of `scratch_path` that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """For work that leaves no frame behind: scratch tables made inside, told in the list,
+    are removed at its end, and shuffle files at the end of each action."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        with shuffles_removed(spark):
+            yield made
+    finally:
+        _MADE.reset(token)
+        remove_scratch(spark, made)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of the action that made them, not when the driver happens
+    to collect its garbage."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, kind: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Cut lineage with a table in the shared folder. Other than on a checkpoint, later
     reads take only the columns and rows they ask for, and of the folders of `by` only theirs."""

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import first_rows
+from ..session import scratch_scope, written
+
+LISTED_KEYS = 200_000  # keys that are told to every task
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,16 +42,48 @@ def read_table(spark: SparkSession, path: str, schema: str, days: list[date] | N
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: str = "item_id", partition: str = "ingest_date",
              position: str | None = None) -> DataFrame:
-    """Rows of a batch not stored yet: first row per key, then an anti join.
+    """Rows of a batch not stored yet: first row per key, less the stored keys.
 
     Only the partitions the batch touches are looked at, so a key stored under
     another day counts as new.
     """
-    order = [F.col(position)] if position else [F.col(partition), *[F.col(c) for c in batch.columns if c not in (key, partition)]]
-    unique = first_rows(batch, [key], order)
-    touched = unique.select(partition).distinct()
-    known = stored.select(key, partition).join(touched, partition, "left_semi").select(key)
-    return unique.join(known, key, "left_anti")
+    return _new_rows(batch, stored, key, partition, position)[0]
+
+
+def _new_rows(batch: DataFrame, stored: DataFrame, key: str, partition: str, position: str | None) -> tuple[DataFrame, int, int]:
+    """What is new, the number of its rows, and the number of rows of the batch.
+
+    Keys, days and positions alone are shuffled to find what is new. A row whose key
+    comes once in the batch passes as it is, one that is stored ends where it is, and
+    only rows of a key that comes twice are ranked. Whole rows are shuffled for their
+    keys only where those that pass and those that do not are both too many to list.
+    """
+    lead = [F.col(position)] if position else []
+    first = F.min(F.struct(*lead, F.col(partition)))[partition]
+    keys = written(batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), first.alias(partition)), "keys", compression="zstd")
+    touched = keys.select(partition).distinct()
+    known = stored.select(key, partition).join(touched, partition, "left_semi").select(key).distinct()
+    told = keys.join(known.withColumn("_known", F.lit(True)), key, "left").select(F.col(key).alias("_key"), F.col("_n"), F.col("_known").isNotNull().alias("_known"))
+    told = written(told, "keys", compression="zstd")
+    once, twice = F.expr("_n = 1 and not _known"), F.expr("_n > 1 and not _known")
+    passing, doubled, listed, total = told.agg(F.count_if(once), F.count_if(twice), F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+
+    def rows_of(which: Column, n: int, how: str = "left_semi") -> DataFrame:
+        wanted = told.where(which).select("_key")
+        return batch.join(F.broadcast(wanted) if n <= LISTED_KEYS else wanted, F.col(key).eqNullSafe(F.col("_key")), how)
+
+    if passing == listed:
+        fresh = batch
+    elif not passing:
+        fresh = batch.where(F.lit(False))
+    elif listed - passing <= LISTED_KEYS:
+        fresh = rows_of(~once, listed - passing, "left_anti")
+    else:
+        fresh = rows_of(once, passing)
+    if doubled:
+        order = lead or [F.col(partition), *[F.col(c) for c in batch.columns if c not in (key, partition)]]
+        fresh = fresh.unionByName(first_rows(rows_of(twice, doubled), [key], order))
+    return fresh, passing + doubled, total
 
 
 def append_items(batch: DataFrame, path: str, schema: str, key: str = "item_id", partition: str = "ingest_date",
@@ -56,14 +91,11 @@ def append_items(batch: DataFrame, path: str, schema: str, key: str = "item_id",
     """Append what is new and return ``(written, skipped)``. Running it twice
     writes nothing the second time."""
     spark = batch.sparkSession
-    seen, kept = Observation(), Observation()
     names = [f.name for f in spark.createDataFrame([], schema).schema]
-    watched = batch.observe(seen, F.count(F.lit(1)).alias("n"))
-    fresh = new_rows(watched, read_table(spark, path, schema, partition=partition), key, partition, position)
-    out = fresh.select(*names).observe(kept, F.count(F.lit(1)).alias("n"))
-    out.write.mode("append").partitionBy(partition).parquet(path)
-    written = kept.get["n"]
-    return written, seen.get["n"] - written
+    with scratch_scope(spark):
+        fresh, new, seen = _new_rows(batch, read_table(spark, path, schema, partition=partition), key, partition, position)
+        fresh.select(*names).write.mode("append").partitionBy(partition).option("compression", "zstd").parquet(path)
+    return new, seen - new
 
 
 def overwrite_days(rows: DataFrame, path: str, partition: str = "ingest_date") -> int:

@@ -1,10 +1,17 @@
 """What grows with the square of a table, or with rounds, is held down."""
 
+import os
+from datetime import date
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from presswire.operators import cluster
+from presswire import session
+from presswire.operators import cluster, jobs
+from presswire.sources import tables
 from tests.test_cluster import SCHEMA, loop, make
+from tests.test_jobs import NOW, landed
 
 
 def parts_of(rows, threshold):
@@ -65,3 +72,46 @@ def test_a_crowded_part_is_walked_in_few_rounds(spark, monkeypatch):
     got = {r.item_id: r.seed_id for r in cluster.greedy_clusters(spark.createDataFrame(rows, SCHEMA), 0.8, piece=5).collect()}
     assert got == loop(rows, 0.8)
     assert 0 < len(rounds) <= 9 and max(rounds) < 1.5 * rounds[0]
+
+
+def wide_shuffles(spark, df):
+    """Exchanges of a frame's plan that carry titles."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x]
+
+
+@pytest.mark.parametrize("listed", [200_000, 2])
+def test_new_rows_are_found_by_their_keys(spark, monkeypatch, listed):
+    """Stored keys, a key twice, one stored under another day and keys that are null, with and without lists of keys."""
+    monkeypatch.setattr(tables, "LISTED_KEYS", listed)
+    schema = "item_id string, ingest_date date, position int, title string"
+    day, other = date(2024, 1, 1), date(2024, 1, 2)
+    batch = spark.createDataFrame([("a", day, 1, "a1"), ("b", day, 5, "b5"), ("b", other, 2, "b2"), ("c", day, 3, "c"), ("d", day, 4, "d"), ("e", other, 6, "e"),
+                                   (None, day, 9, "n9"), (None, day, 8, "n8"), ("f", day, 7, "f")], schema)
+    stored = spark.createDataFrame([("c", day), ("d", other), ("e", date(2024, 1, 3)), (None, day)], "item_id string, ingest_date date")
+    got = tables.new_rows(batch, stored, position="position").collect()
+    assert sorted(r.title for r in got) == ["a1", "b2", "e", "f", "n8"]
+    assert tables.new_rows(batch, batch.select("item_id", "ingest_date"), position="position").select("title").collect() == [("n8",)]
+
+
+def test_whole_rows_are_not_shuffled_for_their_keys(spark):
+    batch = spark.range(0, 50).select(F.col("id").cast("string").alias("item_id"), F.lit(date(2024, 1, 1)).alias("ingest_date"), F.col("id").alias("position"), F.lit("t").alias("title"))
+    none = batch.where("position < 0").select("item_id", "ingest_date")
+    for stored, n in ((none, 50), (batch.select("item_id", "ingest_date"), 0), (batch.where("position < 7").select("item_id", "ingest_date"), 43)):
+        new = tables.new_rows(batch, stored, position="position")
+        assert wide_shuffles(spark, new) == [] and new.count() == n
+
+
+def test_collection_leaves_no_scratch_behind(spark, tmp_path, monkeypatch):
+    made = []
+    real = session.scratch_path
+
+    def watched(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(session, "scratch_path", watched)
+    registry = [landed(tmp_path, "a", ["Rates rise", "Storm"])]
+    run = jobs.collect_job(spark, registry, str(tmp_path / "items"), str(tmp_path / "log"), now=NOW)
+    assert run.items_out == 2 and len(made) >= 4
+    assert not [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert spark.conf.get(session._SHUFFLE_CLEANUP, "false") == "false"
